@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexspan.llm import byte_bpe, license_scan, token_counts
+from lexspan.llm import byte_bpe, fixity, license_scan, mixing, token_counts
 from lexspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +24,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of a WARC file, audited against a replica in which some records are damaged or missing."""
+    pages = table(spark, sf_dir, "pages")
+    page_id, url, html = (F.col(c) for c in ("page_id", "url", "html"))
+    ours = fixity.record(page_id, url, html)
+    theirs = F.when(~fixity.missing(page_id), fixity.record(page_id, url, fixity.damaged(page_id, html)))
+    records = pages.select("page_id", F.sha2(ours, 256).alias("digest"), F.octet_length(ours).cast("long").alias("record_length"), F.sha2(theirs, 256).alias("replica_digest"))
+    return fixity.audit(records, pages.count())
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).drop("source")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.digests(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op7_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_warc_fixity, op6_source_mix, op7_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op4_warc_fixity": fixity.oracle(), "op6_source_mix": mixing.oracle()}
