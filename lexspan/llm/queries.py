@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm import byte_bpe, fixity, license_scan, mixing, partenum, token_counts
+from lexspan.llm import byte_bpe, fixity, license_scan, mixing, partenum, token_counts, winnowing
 from lexspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,9 +44,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_warc_fixity, op6_source_mix, op7_byte_bpe, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_warc_fixity, op6_source_mix, op7_byte_bpe, op9_winnowing, op10_ngram_jaccard)}
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op4_warc_fixity": fixity.oracle(), "op6_source_mix": mixing.oracle()}
