@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm import byte_bpe, fixity, license_scan, mixing, partenum, token_counts, winnowing
+from lexspan.llm import byte_bpe, fixity, license_scan, media, mixing, partenum, token_counts, winnowing
 from lexspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of a WARC file, audited against a replica in which some records are damaged or missing."""
     pages = table(spark, sf_dir, "pages")
@@ -52,5 +56,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_warc_fixity, op6_source_mix, op7_byte_bpe, op9_winnowing, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_chunks, op4_warc_fixity, op6_source_mix, op7_byte_bpe, op9_winnowing, op10_ngram_jaccard)}
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op4_warc_fixity": fixity.oracle(), "op6_source_mix": mixing.oracle()}
