@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm import byte_bpe, fixity, license_scan, media, mixing, partenum, token_counts, winnowing
+from lexspan.llm import byte_bpe, chat, fixity, license_scan, media, mixing, partenum, token_counts, toxicity, winnowing
 from lexspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(records, pages.count())
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    path, pattern = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
+    return chat.read_back(chat.format_turns(talks.unionByName(extra), path, pattern), path, pattern)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).drop("source")
@@ -48,6 +56,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,5 +68,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_chunks, op4_warc_fixity, op6_source_mix, op7_byte_bpe, op9_winnowing, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_chunks, op4_warc_fixity, op5_chat_format, op6_source_mix, op7_byte_bpe, op8_toxicity, op9_winnowing, op10_ngram_jaccard)}
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op4_warc_fixity": fixity.oracle(), "op6_source_mix": mixing.oracle()}
