@@ -16,7 +16,7 @@ shuffle; the tables by source or by bucket are aggregates of at most sources tim
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -28,7 +28,7 @@ CAP = 2.0
 BITS, LEVELS = 10, 3
 
 
-def word_count(text: str) -> F.Column:
+def word_count(text: str) -> Column:
     """Runs of characters other than ASCII white space."""
     norm = F.btrim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).cast("long")
@@ -54,16 +54,36 @@ def targets(sized: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
 
 def mix(df: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, text: str = "text") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of ``df``; taken is words, repeats counted."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    sized = staged(df.select("doc_id", "source", word_count(text).alias("size"), F.shiftright(h, 32 - BITS * LEVELS).alias("h")), "sized")
+    sized = staged(df.select("doc_id", "source", word_count(text).alias("size"), _hash(F.col("doc_id")).alias("h")), "sized")
+    each = thresholds(sized, share, cap, weights)
+    met = sized.alias("d").join(each.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    more = F.when(F.col("h") < F.col("edge"), 1).otherwise(0)
+    return met.select("doc_id", "d.source", "size", "source_size", "target", (F.col("size") * (F.col("times") + more)).alias("taken"))
+
+
+def _hash(doc_id: Column) -> Column:
+    h = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    return F.shiftright(h, 32 - BITS * LEVELS)
+
+
+def thresholds(sized: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(source, source_size, target, times, budget, edge) from (source, size, h): every document ``times``, and once more if h < edge."""
     each = targets(sized, share, cap, weights)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     each = staged(each.withColumn("times", times).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")).select("*", F.lit(0).cast("long").alias("edge")), "targets")
     for depth in range(1, LEVELS + 1):
         each = staged(_refine(sized, each, depth), "edges")
-    met = sized.alias("d").join(each.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    more = F.when(F.col("h") < F.col("edge"), 1).otherwise(0)
-    return met.select("doc_id", "d.source", "size", "source_size", "target", (F.col("size") * (F.col("times") + more)).alias("taken"))
+    return each
+
+
+def repeated(df: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, text: str = "text") -> DataFrame:
+    """The rows of ``df`` as often as the mix takes each, with its own columns only: the filter that the thresholds make, without a shuffle of texts."""
+    sized = staged(df.select("source", word_count(text).alias("size"), _hash(F.col("doc_id")).alias("h")), "sized")
+    each = thresholds(sized, share, cap, weights).select(F.col("source").alias("of"), F.col("times").alias("mix_times"), F.col("edge").alias("mix_edge"))
+    met = df.join(each, F.col("source").eqNullSafe(F.col("of")))
+    times = F.when(word_count(text) > 0, F.col("mix_times") + F.when(_hash(F.col("doc_id")) < F.col("mix_edge"), 1).otherwise(0)).otherwise(0)
+    rows = met.withColumn("mix_times", times.cast("int")).filter("mix_times > 0")
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.sequence(F.lit(1), "mix_times")).alias("mix_copy")).drop("mix_copy")
 
 
 def _refine(sized: DataFrame, each: DataFrame, depth: int) -> DataFrame:

@@ -261,6 +261,21 @@ def _star(members: DataFrame) -> DataFrame:
 
 def join(df: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``df`` (doc_id, text; other columns are left out)."""
+    return _ids(*_linked(df))
+
+
+def representatives(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` that stand for their component: those with its least doc_id, repeated rows once, rows that share that id but not their text all; rows with empty sets all stay."""
+    each, comps = _linked(df)
+    found = each.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # ids that stay: without a null one, as a join by null finds nothing
+    kept = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("doc_id")).select("doc_id").unionByName(found.filter("comp IS NULL").select("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    by_id = df.join(kept, "doc_id", "left_semi").select(*df.columns).dropDuplicates(["doc_id", "text"])
+    return by_id.unionByName(df.filter("doc_id IS NULL").dropDuplicates(["text"]))
+
+
+def _linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of all rows, and (node, comp) of the nodes that have links."""
     spark = df.sparkSession
     docs = df.select("doc_id", "text")
     each = staged(docs.mapInArrow(_describe, "doc_id long, n_shingles long, node long"), "sets")
@@ -293,7 +308,7 @@ def join(df: DataFrame) -> DataFrame:
             links = staged(links.union(verified(_star(big), sets)), "links")
             comps = components(links)
             members = staged(big.filter("node <> hub").select("sig", "node"), "members")
-    return _ids(each, comps)
+    return each, comps
 
 
 def _settle(small: DataFrame, links: DataFrame, comps: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:

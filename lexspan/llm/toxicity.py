@@ -159,17 +159,17 @@ class Model:
     calibration: IsotonicRegressionModel | None
     share: float
 
-    def scored(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """The columns ``keep`` of ``df``, which are its own, and ``score``."""
+    def scored(self, df: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+        """The columns ``keep`` of ``df``, and the score under ``name``."""
         if self.trees is None:
-            return df.select(*keep, F.lit(self.share).alias("score"))
+            return df.select(*keep, F.lit(self.share).alias(name))
         own = [f"own_{i}" for i in range(len(keep))]  # no name of df's can clash with one of the models'
         named = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True)], F.col("text"))
         raw = _raw(self.trees, _featured(named, self.lexicon, *own))
         if self.calibration is not None:
             raw = self.calibration.transform(raw).drop("raw").withColumnRenamed("score", "raw")
         back = [F.col(o).alias(c) for c, o in zip(keep, own, strict=True)]
-        return raw.select(*back, F.least(F.greatest("raw", F.lit(0.0)), F.lit(1.0)).alias("score"))
+        return raw.select(*back, F.least(F.greatest("raw", F.lit(0.0)), F.lit(1.0)).alias(name))
 
 
 def _raw(trees: GBTClassificationModel, featured: DataFrame) -> DataFrame:
