@@ -48,7 +48,7 @@ def set_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
 
 
-def relevance(query: Column, label: Column, query_words: Column, label_words: Column, definition: Column, definition_words: Column) -> Column:
+def relevance(query: Column, label: Column, definition: Column, label_overlap: Column, definition_overlap: Column) -> Column:
     """0 to 99: exact by word count, containment either way, overlap of words; a definition adds at most 8."""
     q, t = F.lower(query), F.lower(label)
     n = F.size(F.split(F.btrim(q), r"\s+"))
@@ -56,9 +56,9 @@ def relevance(query: Column, label: Column, query_words: Column, label_words: Co
     by_label = F.greatest(
         F.when(F.contains(t, q), CONTAINS).otherwise(0.0),
         F.when(F.contains(q, t) & (F.length(t) / F.length(q) > 0.3), CONTAINED).otherwise(0.0),
-        word_overlap(query_words, label_words) * OVERLAP,
+        label_overlap * OVERLAP,
     )
-    by_definition = F.when(F.coalesce(F.contains(F.lower(definition), q), F.lit(False)), 60.0).otherwise(word_overlap(query_words, definition_words) * 55.0)
+    by_definition = F.when(F.contains(F.lower(definition), q), 60.0).otherwise(definition_overlap * 55.0)
     best = F.greatest(by_label, by_definition) + F.least(by_definition * 0.12, F.lit(8.0))
     return F.when((q == "") | (t == ""), 0.0).when(q == t, exact).otherwise(F.round(F.least(best, F.lit(99.0)), 1))
 

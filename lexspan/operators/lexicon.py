@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexspan.functions.constants import ALTERNATIVE_STOP, PATTERN_STOP, PROPERTY_STOP
+from lexspan.functions.text import split_camel, strip_namespace
+
 #: Precedence of label types, and confidence by (type, several words).
 PRECEDENCE = {"preferred": 0, "alternative": 1, "hidden": 2, "translation": 3}
 CONFIDENCE = {("preferred", True): 0.90, ("preferred", False): 0.72, ("alternative", True): 0.65, ("alternative", False): 0.35, ("translation", True): 0.60, ("translation", False): 0.30}
@@ -20,9 +23,18 @@ def precedence(label_type: Column) -> Column:
     return F.coalesce(*[F.when(label_type == k, v) for k, v in PRECEDENCE.items()], F.lit(len(PRECEDENCE)))
 
 
-def admitted(labels: DataFrame, stop: list[str], least: int = 3) -> DataFrame:
-    """Labels of at least ``least`` characters that are no stop word."""
-    return labels.filter((F.length("label") >= least) & ~F.lower("label").isin(stop))
+def admitted(labels: DataFrame, stop: list[str] = PATTERN_STOP, least: int = 3) -> DataFrame:
+    """Labels of at least ``least`` characters that are no stop word; alternative ones must be longer, and no common word."""
+    low = F.lower("label")
+    safe = (F.length("label") > 3) & (F.contains("label", F.lit(" ")) | ~low.isin(ALTERNATIVE_STOP))
+    return labels.filter((F.length("label") >= least) & ~low.isin(stop) & ((F.col("label_type") != "alternative") | safe))
+
+
+def admitted_properties(labels: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Property labels without namespace, camel case split, longer than two characters, and no stop word; deprecated ones left out."""
+    kept = labels.filter(~F.contains("label", F.lit("DEPRECATED")) & ~F.startswith("label", F.lit("ZZZ:")))
+    clean = kept.withColumn("label", split_camel(strip_namespace(F.col("label"), prefixes)))
+    return clean.filter((F.length("label") > 2) & ~F.col("label").isin(*PROPERTY_STOP))
 
 
 def single_index(labels: DataFrame) -> DataFrame:

@@ -6,22 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexspan.functions.constants import FAMILIES, FIELD_CUES
 from lexspan.functions.text import lookback
 
-#: Cues of each field, looked for before a span; fields in order.
-CUES = {
-    "court": ["court of", "before the", "filed in"],
-    "judge": ["honorable", "hon.", "judge"],
-    "case_number": ["case no", "docket no", "no."],
-    "filing_date": ["filed on", "dated", "filed"],
-    "plaintiff": ["plaintiff"],
-    "defendant": ["defendant", "against"],
-}
-
-
 def promoted(annotations: DataFrame, docs: DataFrame, cues: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, field, value): each annotation, in order, fills at most one field, the first still empty whose cue stands before it."""
-    cues = cues or CUES
+    cues = cues or FIELD_CUES
     before = annotations.join(docs.select("doc_id", F.col("text").alias("full")), "doc_id").withColumn("cue", lookback(F.col("full"), F.col("start"))).drop("full")
     fits = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(c) for c in found]), lambda c: F.contains(F.col("cue"), c)), F.lit(i)) for i, found in enumerate(cues.values())]))
     rows = before.withColumn("fits", fits).filter(F.size("fits") > 0)
@@ -32,10 +22,10 @@ def promoted(annotations: DataFrame, docs: DataFrame, cues: dict[str, list[str]]
     return ordered.select("doc_id", F.explode(F.aggregate("a", zero, step)).alias("i", "value")).select("doc_id", F.get(names, F.col("i")).alias("field"), "value")
 
 
-def type_label(links: Column, branch: Column, source: Column, families: dict[str, list[str]]) -> Column:
+def type_label(links: Column, branch: Column, source: Column, families: dict[str, list[str]] | None = None) -> Column:
     """The first family whose keyword a class link's label holds, links in order; else the branch, else the source."""
     found = F.lit(None).cast("string")
-    hits = F.filter(F.transform(links, lambda x: F.coalesce(*[F.when(F.exists(F.array(*[F.lit(k) for k in keys]), lambda k, x=x: F.contains(F.lower(x), k)), F.lit(name)) for name, keys in families.items()], found)), lambda x: x.isNotNull())
+    hits = F.filter(F.transform(links, lambda x: F.coalesce(*[F.when(F.exists(F.array(*[F.lit(k) for k in keys]), lambda k, x=x: F.contains(F.lower(x), k)), F.lit(name)) for name, keys in (families or FAMILIES).items()], found)), lambda x: x.isNotNull())
     return F.coalesce(F.get(hits, F.lit(0)), F.when(branch != "", branch), source)
 
 

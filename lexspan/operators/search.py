@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexspan.functions import scoring, text
+from lexspan.functions.constants import EXPANSIONS, SEARCH_STOP
 
-STOP = ["the", "of", "and", "for", "to", "in", "on", "by", "with", "an", "or", "at", "from"]
+STOP = SEARCH_STOP
 THRESHOLD, ANCESTOR_LEAST, DECAY, LEVELS = 30.0, 50.0, 0.85, 3
 
 
@@ -20,6 +21,12 @@ def terms(query: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lower(F.btrim(query))), runs, single))
 
 
+def expanded(words: Column) -> Column:
+    """Words and what they also stand for."""
+    table = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+    return F.array_distinct(F.concat(words, F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>"))))))
+
+
 def _keys(words: Column) -> Column:
     """Blocking keys: words and, of words of six letters or more, their stems."""
     return F.array_distinct(F.concat(words, F.transform(F.filter(words, lambda w: F.length(w) >= 6), lambda w: F.concat(F.left(w, F.length(w) - 2), F.lit("~"))), F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(F.left(w, F.lit(3)), F.lit("*")))))
@@ -36,9 +43,19 @@ def candidates(queries: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, concepts: DataFrame, top: int = 10, threshold: float = THRESHOLD) -> DataFrame:
-    """(query, iri, label, score, rank) of the best concepts (iri, label, definition) for each query."""
-    score = scoring.relevance(F.col("query"), F.col("label"), F.col("q_words"), F.col("l_words"), F.coalesce("definition", F.lit("")), F.col("d_words"))
-    found = candidates(queries, concepts).withColumn("score", score).filter(F.col("score") >= threshold)
+    """(query, iri, label, score, rank) of the best concepts (iri, label, definition) for each query.
+
+    Labels and definitions that several concepts share are scored once.
+    """
+    concepts = concepts.withColumn("definition", F.coalesce("definition", F.lit("")))
+    texts = concepts.groupBy("label", "definition").agg(F.min("iri").alias("iri"))
+    met = candidates(queries, texts).withColumn("more", expanded(F.col("q_words")))
+    # a query is scored again with its expansions, where it has any
+    every = met.withColumn("words", F.explode(F.array_distinct(F.array("q_words", "more"))))
+    every = every.withColumn("by_label", scoring.word_overlap(F.col("words"), F.col("l_words"))).withColumn("by_definition", scoring.word_overlap(F.col("words"), F.col("d_words")))
+    score = scoring.relevance(F.col("query"), F.col("label"), F.col("definition"), F.col("by_label"), F.col("by_definition"))
+    scored = every.withColumn("score", score).groupBy("query", "label", "definition").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
+    found = scored.join(concepts.select("iri", "label", "definition"), ["label", "definition"])
     w = W.partitionBy("query").orderBy(F.col("score").desc(), "iri")
     return found.select("query", "iri", "label", "score", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= top)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import scoring, text
 from lexspan.operators import annotations as ann
-from lexspan.operators import chunks, extract, feedback, hierarchy, intervals, lexicon, metadata, overlap, reconcile, search, triples, vectors
+from lexspan.operators import chunks, confidence, extract, feedback, hierarchy, intervals, lexicon, metadata, models, overlap, reconcile, search, triples, vectors
 from lexspan.plans import bindings as b
 from lexspan.sinks import export
 from lexspan.sources import ingest
@@ -400,6 +400,50 @@ def svo_triples(spark, sf):
     return triples.triples(parsed)
 
 
+@query(
+    f"""WITH {b.ANNOTATIONS_SQL}, p AS (SELECT ann_id, confidence, state, CASE doc_id % 3 WHEN 0 THEN 'VERB' WHEN 1 THEN 'NOUN' ELSE 'ADV' END AS pos, CASE WHEN doc_id % 2 = 0 THEN 'alternative' ELSE 'preferred' END AS kind FROM annotations),
+q AS (SELECT *, round(CASE WHEN kind = 'alternative' AND pos IN ('VERB', 'ADV') THEN greatest(0.0, least(1.0, confidence - 0.15)) ELSE confidence END, 4) AS c FROM p)
+SELECT ann_id, c AS confidence, CASE WHEN c < 0.2 THEN 'rejected' ELSE state END AS state FROM q"""
+)
+def pos_penalty(spark, sf):
+    a = b.annotations(spark, sf).withColumn("text", F.replace("text", F.lit(" "), F.lit("")))
+    a = a.withColumn("pos", F.when(F.col("doc_id") % 3 == 0, "VERB").when(F.col("doc_id") % 3 == 1, "NOUN").otherwise("ADV")).withColumn("label_type", F.when(F.col("doc_id") % 2 == 0, "alternative").otherwise("preferred"))
+    return confidence.concept_penalty(a).select("ann_id", "confidence", "state")
+
+
+@query(f"WITH {b.ANNOTATIONS_SQL}, scores AS (SELECT lower(text) AS t, iri, max(least(1.0, confidence * 1.2)) AS s FROM annotations WHERE doc_id % 2 = 0 GROUP BY ALL) SELECT ann_id, round(CASE WHEN s IS NULL THEN a.confidence ELSE a.confidence * 0.5 + s * 0.5 END, 3) AS confidence FROM annotations a LEFT JOIN scores x ON lower(a.text) = t AND a.iri = x.iri")
+def rerank(spark, sf):
+    a = b.annotations(spark, sf)
+    scores = a.filter("doc_id % 2 = 0").select("text", "iri", (F.col("confidence") * 1.2).alias("score"))
+    return confidence.reranked(a, scores).select("ann_id", F.round("confidence", 3).alias("confidence"))
+
+
+@query()
+def span_pos(spark, sf):
+    s = b.sentences(spark, sf).select("doc_id", F.lit(0).alias("start"), "text", F.split("text", " ").alias("tokens"))
+    tagged = s.withColumn("pos_tags", F.transform("tokens", lambda t: F.when(t.rlike("^[0-9]"), "NUM").otherwise("NOUN"))).withColumn("fine_tags", F.col("pos_tags"))
+    found = extract.extract(b.sentences(spark, sf), ["money", "duration"])
+    return confidence.span_pos(found.select("doc_id", "start", "end", "label"), confidence.token_rows(tagged))
+
+
+@query()
+def model_answers(spark, sf):
+    prompts = b.table(spark, sf, "documents").select("doc_id", models.type_prompt(F.coalesce("text", F.lit(""))).alias("prompt"))
+    return models.asked(prompts, "prompt", lambda xs: [f"type {len(x) % 3}" for x in xs]).select("doc_id", "answer", "error")
+
+
+@query()
+def label_embeddings(spark, sf):
+    labels = b.table(spark, sf, "part").select("p_partkey", models.index_text(F.col("p_name"), F.col("p_type"), F.array("p_brand")).alias("text"))
+    return models.embedded(labels, "text", "p_partkey")
+
+
+@query("SELECT model, min(cost) AS cost FROM (SELECT 'x/' || p_brand AS model, round(p_size * 0.000001 * 800 + p_size * 0.000002 * 200, 8) AS cost FROM part UNION ALL SELECT p_brand, round(p_size * 0.000001 * 800 + p_size * 0.000002 * 200, 8) FROM part) GROUP BY ALL")
+def model_costs(spark, sf):
+    prices = b.table(spark, sf, "part").select(F.concat(F.lit("x/"), "p_brand").alias("model"), (F.col("p_size") * F.lit(0.000001)).alias("in_cost"), (F.col("p_size") * F.lit(0.000002)).alias("out_cost"))
+    return models.monthly_cost(prices)
+
+
 # Feedback and jobs
 
 
