@@ -1,55 +1,51 @@
-"""Nearest vectors: queries against all rows, in blocks, by matrix products; exact."""
+"""Nearest vectors: a stated query set against all rows, in blocks, by matrix products; exact.
 
-from __future__ import annotations
+Queries and rows are dealt into blocks of bounded size; each two blocks meet in one task, which keeps the best
+of its rows for each query, and those are ranked again. Nothing is gathered on the driver.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Queries that one task compares its rows with: a bounded block, sent to every task.
-BLOCK = 4096
+QUERY_BLOCK, ROW_BLOCK = 4_096, 16_384
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, by_label: bool = False) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the ``k`` rows of ``vectors`` (vec_id, embedding, label) most like each query, not itself.
 
-    With ``by_label`` only rows of the query's label count, which is decided before the best are taken.
-    Queries go in blocks; each task keeps the best k of its rows per query, and those are ranked again.
+    With ``by_label`` only rows of the query's label count, which is decided before the best are taken. Of equal
+    similarities, to six places, the least id comes first. Rows without an embedding are left out.
     """
-    ids = [r["vec_id"] for r in queries.select("vec_id").orderBy("vec_id").collect()]  # the stated query set's keys
-    found: DataFrame | None = None
-    for i in range(0, max(len(ids), 1), BLOCK):
-        block = queries.filter(F.col("vec_id").isin(ids[i : i + BLOCK])).orderBy("vec_id").toPandas() if len(ids) > BLOCK else queries.orderBy("vec_id").toPandas()
-        part = vectors.select("vec_id", "embedding", "label").mapInArrow(_search(block, k, by_label), "query_id long, vec_id long, similarity double")
-        found = part if found is None else found.unionByName(part)
+    usable = lambda x: x.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", "embedding", "label")
+    vectors, queries = usable(vectors), usable(queries)
+    n_q, n_v = (max(1, -(-x.count() // size)) for x, size in ((queries, QUERY_BLOCK), (vectors, ROW_BLOCK)))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    asked = queries.select(F.lit(True).alias("asks"), "*", block(n_q).alias("q"), all_of(n_v).alias("v"))
+    rows = vectors.select(F.lit(False).alias("asks"), "*", all_of(n_q).alias("q"), block(n_v).alias("v"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy()
+        ids, labels = group.column("vec_id").to_numpy(), group.column("label").to_numpy(zero_copy_only=False)
+        x = np.array(group.column("embedding").to_pylist(), np.float64)
+        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        theirs = theirs[np.argsort(ids[theirs], kind="stable")]
+        if not len(mine) or not len(theirs):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        near = np.round(x[mine] @ x[theirs].T, 6)
+        near[ids[mine][:, None] == ids[theirs][None, :]] = -np.inf
+        if by_label:
+            near[labels[mine][:, None] != labels[theirs][None, :]] = -np.inf
+        best = np.argsort(-near, axis=1, kind="stable")[:, :k]  # rows are in order of id
+        value = np.take_along_axis(near, best, 1)
+        ok = np.isfinite(value)
+        return pa.table({"query_id": pa.array(np.repeat(ids[mine], best.shape[1])[ok.ravel()]), "vec_id": pa.array(ids[theirs][best][ok]), "similarity": pa.array(value[ok])})
+
+    found = asked.unionByName(rows).groupBy("q", "v").applyInArrow(compare, "query_id long, vec_id long, similarity double")
     w = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _search(block: pd.DataFrame, k: int, by_label: bool):
-    ids, labels = block["vec_id"].to_numpy(), block["label"].to_numpy()
-    q = np.stack(block["embedding"].to_numpy()).astype(np.float64) if len(block) else np.zeros((0, 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(ids) or not b.num_rows:
-                continue
-            rows, own = b.column("vec_id").to_numpy(), b.column("label").to_numpy()
-            x = np.stack([np.asarray(v, np.float64) for v in b.column("embedding").to_pylist()])
-            near = np.round(q @ x.T, 6)
-            near[ids[:, None] == rows[None, :]] = -np.inf
-            if by_label:
-                near[labels[:, None] != own[None, :]] = -np.inf
-            n = min(k, len(rows))
-            # of equal similarities the least id, as in the final rank
-            best = np.lexsort((np.broadcast_to(rows, near.shape), -near), axis=1)[:, :n]
-            value = np.take_along_axis(near, best, 1)
-            ok = np.isfinite(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[ok.ravel()]), pa.array(rows[best][ok]), pa.array(value[ok])], ["query_id", "vec_id", "similarity"])
-
-    return run
