@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexspan.functions import scoring, text
 from lexspan.operators import annotations as ann
 from lexspan.operators import chunks, confidence, extract, feedback, hierarchy, intervals, lexicon, metadata, models, overlap, reconcile, search, triples, vectors
+from lexspan.plans import annotate
 from lexspan.plans import bindings as b
 from lexspan.sinks import export
 from lexspan.sources import ingest
@@ -592,3 +593,9 @@ def concept_report(spark, sf):
     m = _matches(spark, sf)
     return m.groupBy("label_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs")).orderBy(F.col("n").desc(), "label_key").limit(10)
 
+
+
+@query()
+def annotated_documents(spark, sf):
+    labels = b.lexicon(spark).withColumnRenamed("label_key", "label")
+    return annotate.annotate(b.table(spark, sf, "documents"), labels)

@@ -101,6 +101,17 @@ def statistics(a: DataFrame) -> DataFrame:
     return a.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_annotations"), F.countDistinct("iri").alias("n_concepts"), F.count_if(F.col("state") == "confirmed").alias("n_confirmed"), F.count_if(F.col("state") == "rejected").alias("n_rejected"), F.count_if(F.col("confidence") >= 0.8).alias("n_high"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
+def feedback_rows(f: DataFrame) -> DataFrame:
+    """Feedback with its lineage as JSON in a cell."""
+    return f.select("id", "rating", "stage", "comment", "iri", "label", F.to_json("lineage").alias("lineage"), "created_at")
+
+
+def job_json(a: DataFrame) -> DataFrame:
+    """One object per document: its annotations in order and their statistics; fields that are null are left out."""
+    each = a.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ann_id", "text", "iri", "label", "branch", "confidence", "state"))).alias("annotations"))  # one document's
+    return each.join(statistics(a), "doc_id").select("doc_id", F.to_json(F.struct("doc_id", "annotations", F.struct("n_annotations", "n_concepts", "n_confirmed", "n_rejected", "n_high", "mean_confidence").alias("statistics"))).alias("line"))
+
+
 def _text(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, str], None]:
     return lambda a, path: f(a).select("line").write.text(path)
 
@@ -108,7 +119,7 @@ def _text(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, str], Non
 #: Writers by format: each takes annotations and a path.
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {
     "csv": lambda a, path: csv_rows(a).write.option("header", True).csv(path),
-    "json": lambda a, path: a.select(*FIELDS).write.option("ignoreNullFields", True).json(path),
+    "json": _text(job_json),
     "jsonl": _text(json_lines),
     "jsonld": _text(json_ld),
     "parquet": lambda a, path: a.select(*FIELDS).write.parquet(path),

@@ -236,3 +236,12 @@ def test_ontology(spark, tmp_path):
     ontology.publish(c, root, 2)
     assert ontology.current(spark, root).count() == 2 and ontology.current(spark, root, back=1).count() == 1
     assert one(spark, ontology.actual_branches(F.array(F.lit("Document Metadata"), F.lit("Event")))) == ["Actor / Player", "Document / Artifact", "Event"]
+
+
+def test_annotate(spark):
+    from lexspan.plans import annotate
+
+    docs = spark.createDataFrame([(1, "The  court ruled. A Supreme Court judge agreed."), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([("u:1", "court", "preferred"), ("u:2", "supreme court", "preferred"), ("u:3", "act", "alternative")], "iri string, label string, label_type string")
+    rows = annotate.annotate(docs, labels).orderBy("start", F.desc("end")).collect()
+    assert [(r["text"], r["iri"], r["confidence"], r["sentence_start"]) for r in rows] == [("court", "u:1", 0.72, 0), ("Supreme Court", "u:2", 0.9, 17), ("Court", "u:1", 0.72, 17)]
