@@ -16,10 +16,11 @@ A set that has too few filled parts for the guarantee signs again under another
 both do, so they meet there. Each candidate pair is checked on the sets themselves.
 
 Links make components. A bucket is first compared with its least member only, which joins groups of
-near copies with work in proportion to their rows; what remains apart in small buckets is compared in
-full, and in large ones again under second signatures, then member by member, until no bucket spans
-two components. No link between different sets is lost, and no bucket's pairs are all made unless
-it has at most SMALL members. Equal sets are one node, however many copies there are.
+near copies with work in proportion to their rows. What remains apart in buckets of at most SMALL
+members is compared in full; sets of larger ones sign again, and families that their new buckets
+hold together, but that aren't one component yet, are dealt into blocks, which tasks compare two by
+two, returning links that span and no pairs. No link between different sets is lost. Equal sets are
+one node, however many copies there are.
 
 Null or empty text: an empty set, linked with nothing, its component its own doc_id. Repeated rows and
 equal texts share a component. Fewer than five words: the whole sequence is the one shingle.
@@ -41,7 +42,9 @@ from lexspan.llm.common import arrow_rows, staged
 WORDS = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
 SMALL = 32
-MET_SETS = 500_000
+BLOCK_ITEMS, BLOCK_SETS, COLUMNS = 200_000, 1024, 2048
+MET_SETS = 100_000
+BATCH_ROWS = 2_000  # of texts in, and of signatures on: workers keep their peak of memory, so batches stay small
 
 #: Odd multipliers for mixing 64-bit numbers.
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -150,11 +153,11 @@ def _list(values: list[np.ndarray]) -> pa.Array:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, node (null for empty sets)."""
+    """doc_id, key, n_shingles, node (null for empty sets)."""
     for b in batches:
         sets = [shingles(x) for x in b.column("text").to_pylist()]
-        columns = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node"])
+        columns = [b.column("doc_id"), b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "node"])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +244,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(sig, node, comp, n, hub) of buckets that still span two components."""
+    """(sig, node, comp, n) of buckets that still span two components."""
     found = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = found.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("lo <> hi")
-    return found.join(apart.select("sig", "n", "hub"), "sig")
+    apart = found.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    return found.join(apart.select("sig", "n"), "sig")
 
 
 def _cross(members: DataFrame) -> DataFrame:
@@ -253,10 +256,58 @@ def _cross(members: DataFrame) -> DataFrame:
     return a.join(b, "sig").filter("a < b AND ca <> cb").select("a", "b").distinct()
 
 
-def _star(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket's hub and its members in other components."""
-    hubs = members.filter("node = hub").select("sig", F.col("comp").alias("own"))
-    return members.filter("node <> hub").join(hubs, "sig").filter("comp <> own").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+def _blocks(ties: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join whatever is linked among the nodes that ties (hub, node) hold together, directly or not.
+
+    Such a family, unless it is one component already, is dealt into blocks of about BLOCK_ITEMS elements or BLOCK_SETS sets,
+    and each two of its blocks meet in one task, which compares them by matrix products and returns a
+    forest: at most a row for each node.
+    """
+    tied = components(ties.select(F.col("hub").alias("a"), F.col("node").alias("b"))).select("node", F.col("comp").alias("family"))
+    own = tied.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    apart = own.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("family")
+    rows = sets.join(tied.join(apart, "family"), "node")
+    many = rows.groupBy("family").agg(F.greatest(F.ceil(F.sum(F.size("items")) / BLOCK_ITEMS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
+    rows = rows.join(many, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("one"), F.greatest(x, F.col("block")).alias("two")))
+    met = rows.select("family", "block", "node", "items", F.explode(meets).alias("meet"))
+    return met.groupBy("family", "meet").applyInArrow(_compare, "a long, b long")
+
+
+def _compare(group: pa.Table) -> pa.Table:
+    """A forest of the links among the group's sets."""
+    nodes = group.column("node").to_numpy()
+    lists = group.column("items").combine_chunks()
+    flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    flat, size = flat[ends[0] : ends[-1]], np.diff(ends)
+    _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(nodes)), size)
+    shared = seen[column] > 1  # an element of one set alone is in no intersection
+    number = np.cumsum(seen > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    both = np.zeros((len(nodes), len(nodes)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int((seen > 1).sum()), COLUMNS):
+        i, j = np.searchsorted(column, [start, start + COLUMNS])
+        part = np.zeros((len(nodes), COLUMNS), np.float32)
+        part[row[i:j], column[i:j] - start] = 1
+        both += part @ part.T
+    near = both * (DEN + NUM) >= (size[:, None] + size[None, :]) * NUM
+    open_, a, b = np.ones(len(nodes), bool), [], []
+    for root in range(len(nodes)):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        todo = [root]
+        while todo:
+            at = todo.pop()
+            found = np.flatnonzero(near[at] & open_)
+            open_[found] = False
+            a += [at] * len(found)
+            b += found.tolist()
+            todo += found.tolist()
+    return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
 
 
 def join(df: DataFrame) -> DataFrame:
@@ -277,48 +328,31 @@ def representatives(df: DataFrame) -> DataFrame:
 def _linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of all rows, and (node, comp) of the nodes that have links."""
     spark = df.sparkSession
-    docs = df.select("doc_id", "text")
-    each = staged(docs.mapInArrow(_describe, "doc_id long, n_shingles long, node long"), "sets")
-    with arrow_rows(spark, 50_000):
+    # a row's key: neither a null doc_id nor one that several texts share can mix texts up
+    docs = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    each = staged(docs.mapInArrow(_describe, "doc_id long, key long, n_shingles long, node long"), "sets")
+    with arrow_rows(spark, BATCH_ROWS):
         hits = staged(_buckets(docs.mapInArrow(_sign, "sig long, node long")), "buckets")
     met = staged(hits.select("node").union(hits.select("hub")).distinct(), "met")
-    rep = each.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(met, "node", "left_semi")
-    one = docs.join(rep, "doc_id").groupBy("node").agg(F.first("text").alias("text"))
+    rep = each.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key")).join(met, "node", "left_semi")
+    one = docs.select("key", "text").join(rep, "key").groupBy("node").agg(F.first("text").alias("text"))
     sets = staged(one.mapInArrow(_sets, "node long, items array<long>"), "items")
 
     links = staged(verified(hits.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets), "links")
     comps = components(links)
-    members = hits.select("sig", "node").unionByName(hits.select("sig", F.col("hub").alias("node")).distinct())
     # hubs have been compared; what is left of a bucket are the others
-    left = staged(_open(members.join(hits.select("sig", F.col("hub").alias("node")).distinct(), ["sig", "node"], "left_anti"), comps), "open")
-    links, comps = _settle(left.filter(F.col("n") <= SMALL), links, comps, sets)
+    left = staged(_open(hits.select("sig", "node"), comps), "open")
+    links = links.union(verified(_cross(left.filter(F.col("n") <= SMALL)), sets))
     large = left.filter(F.col("n") > SMALL).select("node").distinct()
     if not large.isEmpty():
-        with arrow_rows(spark, 50_000):
-            again = staged(_buckets(sets.join(large, "node", "left_semi").mapInArrow(_sign_again, "sig long, node long")), "buckets")
-        links = staged(links.union(verified(again.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets)), "links")
-        comps = components(links)
-        members = again.select("sig", "node")  # without hubs
-        while True:
-            left = staged(_open(members, comps), "open")
-            if left.isEmpty():
-                break
-            links, comps = _settle(left.filter(F.col("n") <= SMALL), links, comps, sets)
-            big = left.filter(F.col("n") > SMALL)
-            links = staged(links.union(verified(_star(big), sets)), "links")
-            comps = components(links)
-            members = staged(big.filter("node <> hub").select("sig", "node"), "members")
-    return each, comps
-
-
-def _settle(small: DataFrame, links: DataFrame, comps: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    if small.isEmpty():
-        return links, comps
-    links = staged(links.union(verified(_cross(small), sets)), "links")
-    return links, components(links)
+        with arrow_rows(spark, BATCH_ROWS):
+            again = staged(_buckets(sets.join(large, "node", "left_semi").mapInArrow(_sign_again, "sig long, node long")).select("hub", "node").distinct(), "again")
+        links = links.union(_blocks(again, comps, sets))
+    return each, components(links)
 
 
 def _ids(each: DataFrame, comps: DataFrame) -> DataFrame:
     found = each.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return found.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
