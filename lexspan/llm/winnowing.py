@@ -4,8 +4,10 @@ Rolling hashes of all K-grams of code points; in each window of W of them the le
 ones the rightmost; chosen hashes are kept with their positions. Any stretch of W + K - 1 code points
 that two texts share leaves a common hash in both, and its positions say where.
 
-A text shorter than K has one hash, of the whole text, at 0; empty and null texts have none. Likeness is
-the Jaccard index of two texts' sets of hashes, 1 for two empty ones. Equal texts, equal fingerprints.
+A text of less than two such stretches keeps all its K-grams, and one of less than 2 K - 1 code points all
+grams of two lengths: the largest power of two in its longer half, and twice that. So a text that keeps its
+first half always shares a hash with what it was. Empty and null texts have none. Likeness is the Jaccard
+index of two texts' sets of hashes, 1 for two empty ones. Equal texts, equal fingerprints.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql.window import Window as W
 
 from lexspan.llm.common import partitions
 
-K = 32
-WINDOW = 64
+K = 8
+WINDOW = 8  # at most 255, as gaps are written in a byte
 
 _BASE = 0x9E3779B97F4A7C15  # fixed value: an odd multiplier
 _LOWEST = -(1 << 63)
@@ -39,14 +41,23 @@ def gram_hashes(points: np.ndarray, k: int = K) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) >> np.uint64(32)
 
 
+def _all_grams(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of all k-grams of a short text; if it is too short for these, of all grams of two lengths."""
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    half = 1 << ((n + 1) // 2).bit_length() - 1
+    found = [gram_hashes(points, x) for x in ([k] if half >= k else [half, 2 * half]) if x <= n]
+    positions = np.concatenate([np.arange(len(h)) for h in found])
+    order = np.argsort(positions, kind="stable")
+    return np.concatenate(found)[order], positions[order]
+
+
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Chosen hashes and their positions, in order."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    if not len(points):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(points) < k:
-        whole = int.from_bytes(hashlib.blake2b(points.tobytes(), digest_size=4).digest(), "little")
-        return np.array([whole], np.uint64), np.zeros(1, np.int64)
+    if len(points) < 2 * (k + window - 1):
+        return _all_grams(points, k)
     h = gram_hashes(points, k)
     last = np.uint64((1 << 32) - 1)
     least = h << np.uint64(32) | (last - np.arange(len(h), dtype=np.uint64))  # of equal hashes the rightmost is least
@@ -54,8 +65,6 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     while span * 2 <= window and len(least) > span:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    if len(h) < window:  # a single window
-        least = least.min(keepdims=True)
     chosen = least[np.r_[True, least[1:] != least[:-1]]]
     return chosen >> np.uint64(32), (last - (chosen & last)).astype(np.int64)
 
@@ -69,7 +78,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def written(hashes: np.ndarray, positions: np.ndarray) -> str:
-    return " ".join(f"{h:08x}@{p}" for h, p in zip(hashes.tolist(), positions.tolist(), strict=True))
+    """Ten hexadecimal digits for each: eight of the hash, two of the gap from the position before, at first from 0."""
+    if not len(hashes):
+        return ""
+    rows = np.empty(len(hashes), np.dtype([("hash", ">u4"), ("gap", "u1")]))
+    rows["hash"], rows["gap"] = hashes, np.diff(positions, prepend=0)
+    return rows.tobytes().hex(" ", 5)
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -171,6 +172,19 @@ def test_winnowing(spark, odd, none):
     assert a & b  # the guarantee
 
 
+def test_winnowing_short(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghij klmnop") for _ in range(n)) for n in range(1, 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r["near_edited"] > 0 for r in winnowing.edits(docs).collect())
+    for x in texts:  # the half that an edit keeps, whatever follows it
+        for following in ("", "z", "zzzz", "z" * 200):
+            assert winnowing.likeness(winnowing.winnow(x)[0], winnowing.winnow(winnowing.edited_text(x, following))[0]) > 0
+    hashes, positions = winnowing.winnow(texts[-1])
+    read = [(int(w[:8], 16), int(w[8:], 16)) for w in winnowing.written(hashes, positions).split(" ")]
+    assert [h for h, _ in read] == hashes.tolist() and np.cumsum([g for _, g in read]).tolist() == positions.tolist()
+
+
 def test_jaccard(odd, none):
     rows = {r["doc_id"]: r for r in partenum.join(odd).collect()}
     assert (rows[2]["n_shingles"], rows[2]["component_id"]) == (0, 2) and rows[1]["component_id"] == 1
