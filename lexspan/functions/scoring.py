@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: What an exact match of one, two, or more words scores, and the other levels of relevance.
 EXACT = (82.0, 92.0, 97.0)
 CONTAINS, CONTAINED, OVERLAP = 85.0, 78.0, 88.0
+#: The same of preferred labels: exact, contains, overlap; and of synonyms, overlap alone.
+PREFERRED, SYNONYM = (90.0, 84.0, 86.0), 82.0
+CONTAINED_LEAST = 4  # letters of a contained label or query
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -48,18 +51,23 @@ def set_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
 
 
-def relevance(query: Column, label: Column, definition: Column, label_overlap: Column, definition_overlap: Column) -> Column:
-    """0 to 99: exact by word count, containment either way, overlap of words; a definition adds at most 8."""
+def relevance(query: Column, label: Column, definition: Column, label_overlap: Column, definition_overlap: Column, preferred: Column | None = None, preferred_overlap: Column | None = None, synonym_overlap: Column | None = None) -> Column:
+    """0 to 99: exact by word count, containment either way of four letters or more, overlap of words, the preferred label and synonyms a little less; a definition adds at most 8."""
     q, t = F.lower(query), F.lower(label)
     n = F.size(F.split(F.btrim(q), r"\s+"))
     exact = F.when(n >= 3, EXACT[2]).when(n == 2, EXACT[1]).otherwise(EXACT[0])
-    by_label = F.greatest(
-        F.when(F.contains(t, q), CONTAINS).otherwise(0.0),
-        F.when(F.contains(q, t) & (F.length(t) / F.length(q) > 0.3), CONTAINED).otherwise(0.0),
+    by_name = [
+        F.when(F.contains(t, q) & (F.length(q) >= CONTAINED_LEAST), CONTAINS).otherwise(0.0),
+        F.when(F.contains(q, t) & (F.length(t) >= CONTAINED_LEAST) & (F.length(t) / F.length(q) > 0.3), CONTAINED).otherwise(0.0),
         label_overlap * OVERLAP,
-    )
+    ]
+    if preferred is not None:
+        p = F.lower(preferred)
+        by_name.append(F.when(q == p, PREFERRED[0]).when(F.contains(p, q) & (F.length(q) >= CONTAINED_LEAST), PREFERRED[1]).otherwise(preferred_overlap * PREFERRED[2]))
+    if synonym_overlap is not None:
+        by_name.append(synonym_overlap * SYNONYM)
     by_definition = F.when(F.contains(F.lower(definition), q), 60.0).otherwise(definition_overlap * 55.0)
-    best = F.greatest(by_label, by_definition) + F.least(by_definition * 0.12, F.lit(8.0))
+    best = F.greatest(*by_name, by_definition) + F.least(by_definition * 0.12, F.lit(8.0))
     return F.when((q == "") | (t == ""), 0.0).when(q == t, exact).otherwise(F.round(F.least(best, F.lit(99.0)), 1))
 
 

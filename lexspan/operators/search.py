@@ -14,48 +14,96 @@ THRESHOLD, ANCESTOR_LEAST, DECAY, LEVELS = 30.0, 50.0, 0.85, 3
 
 
 def terms(query: Column) -> Column:
-    """The phrase, its shorter runs of words, and its content words of three letters or more, longest first."""
+    """The phrase, its shorter runs of words, its content words of three letters or more, longest first, and its expansions."""
     words = F.split(F.lower(F.btrim(query)), r"\s+")
     runs = F.array_sort(text.n_grams(words, 2, 4), lambda a, b: F.length(b) - F.length(a))
-    single = F.array_sort(F.filter(text.content_words(query, STOP), lambda w: F.length(w) >= 3), lambda a, b: F.length(b) - F.length(a))
-    return F.array_distinct(F.concat(F.array(F.lower(F.btrim(query))), runs, single))
+    content = text.content_words(query, STOP)
+    single = F.array_sort(F.filter(content, lambda w: F.length(w) >= 3), lambda a, b: F.length(b) - F.length(a))
+    return F.array_distinct(F.concat(F.array(F.lower(F.btrim(query))), runs, single, expansions(content)))
 
 
-def expanded(words: Column) -> Column:
-    """Words and what they also stand for."""
-    table = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    return F.array_distinct(F.concat(words, F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>"))))))
+def expansions(words: Column) -> Column:
+    """Phrases of a word and what it also stands for."""
+    table = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*[F.lit(f"{k} {w}") for w in v]))])
+    return F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>"))))
+
+
+def query_words(query: Column) -> Column:
+    """Content words; of a query that has none, all its words."""
+    content = text.content_words(query, STOP)
+    return F.when(F.size(content) > 0, content).otherwise(F.array_distinct(text.words(query)))
 
 
 def _keys(words: Column) -> Column:
-    """Blocking keys: words and, of words of six letters or more, their stems."""
-    return F.array_distinct(F.concat(words, F.transform(F.filter(words, lambda w: F.length(w) >= 6), lambda w: F.concat(F.left(w, F.length(w) - 2), F.lit("~"))), F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(F.left(w, F.lit(3)), F.lit("*")))))
+    """Blocking keys: words and, of words of three letters or more, their beginnings. Words that match at all have one in common."""
+    return F.array_distinct(F.concat(words, F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(F.left(w, F.lit(3)), F.lit("*")))))
+
+
+def _grams(c: Column) -> Column:
+    """All distinct runs of 1, 2, 4 and 8 characters."""
+    runs = lambda k: F.transform(F.when(F.length(c) >= k, F.sequence(F.lit(1), F.length(c) - k + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, F.lit(k)))
+    return F.array_distinct(F.flatten(F.array(*[runs(k) for k in (1, 2, 4, 8)])))
+
+
+def _lead(c: Column) -> Column:
+    """The longest beginning that ``_grams`` of any text around it has."""
+    return F.left(c, F.when(F.length(c) >= 8, 8).when(F.length(c) >= 4, 4).otherwise(F.least(F.length(c), F.lit(2))))
+
+
+def _described(concepts: DataFrame) -> DataFrame:
+    """Distinct (label, definition, preferred_label, alt_labels) with their words; the last two may be missing from ``concepts``."""
+    c = concepts.withColumn("definition", F.coalesce("definition", F.lit("")))
+    for name, kind in (("preferred_label", "string"), ("alt_labels", "array<string>")):
+        c = c if name in concepts.columns else c.withColumn(name, F.lit(None).cast(kind))
+    empty = F.array().cast("array<string>")
+    c = c.withColumn("preferred_label", F.coalesce("preferred_label", F.lit(""))).withColumn("alt_labels", F.filter(F.coalesce("alt_labels", empty), lambda x: x.isNotNull()))
+    content = lambda x: text.content_words(x, STOP)
+    return c.withColumn("l_words", content(F.col("label"))).withColumn("d_words", content(F.col("definition"))).withColumn("p_words", content(F.col("preferred_label"))).withColumn("s_words", F.transform("alt_labels", content))
+
+
+_TEXTS = ["label", "definition", "preferred_label", "alt_labels"]
+
+
+def _variants(queries: DataFrame) -> DataFrame:
+    """(query, phrase, words): each distinct query as it is, and its expansions."""
+    q = queries.select("query").filter("query IS NOT NULL").distinct()
+    phrases = F.array_distinct(F.concat(F.array(F.lower(F.btrim("query"))), expansions(text.content_words(F.col("query"), STOP))))
+    return q.select("query", F.explode(phrases).alias("phrase")).filter("phrase <> ''").withColumn("words", query_words(F.col("phrase")))
 
 
 def candidates(queries: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Pairs of a query and a concept that share a word, a stem or a beginning of three letters, in label or definition."""
-    q = queries.withColumn("q_words", text.content_words(F.col("query"), STOP))
-    c = concepts.withColumn("l_words", text.content_words(F.col("label"), STOP)).withColumn("d_words", text.content_words(F.coalesce("definition", F.lit("")), STOP))
-    by_query = q.select("query", F.explode(_keys(F.col("q_words"))).alias("key"))
-    by_label = c.select("iri", F.explode(_keys(F.array_union("l_words", "d_words"))).alias("key"))
-    pairs = by_query.join(by_label, "key").select("query", "iri").distinct()
-    return pairs.join(q, "query").join(c, "iri")
+    """Pairs of a query or an expansion of it and a concept, all that the relevance can be above 0 of.
+
+    They share a word or a beginning of three letters in label, preferred label, alternative labels or
+    definition, or one contains the other: the beginning of the shorter is then a gram of the longer.
+    """
+    q, c = _variants(queries), _described(concepts)
+    by_words = q.select("query", "phrase", F.explode(_keys(F.col("words"))).alias("key")).join(c.select("iri", F.explode(_keys(F.array_distinct(F.concat("l_words", "d_words", "p_words", F.flatten("s_words"))))).alias("key")), "key")
+    names = c.select("iri", F.explode(F.array(F.lower("label"), F.lower("preferred_label"), F.lower("definition"))).alias("name")).filter("name <> ''")
+    within = q.select("query", "phrase", _lead(F.col("phrase")).alias("key")).join(names.select("iri", "name", F.explode(_grams(F.col("name"))).alias("key")), "key").filter(F.contains("name", "phrase"))
+    labels = c.select("iri", F.lower("label").alias("name")).filter("name <> ''")
+    around = q.select("query", "phrase", F.explode(_grams(F.col("phrase"))).alias("key")).join(labels.withColumn("key", _lead(F.col("name"))), "key").filter(F.contains("phrase", "name"))
+    pairs = by_words.select("query", "phrase", "iri").union(within.select("query", "phrase", "iri")).union(around.select("query", "phrase", "iri")).distinct()
+    return pairs.join(q, ["query", "phrase"]).join(c, "iri")
 
 
 def search(queries: DataFrame, concepts: DataFrame, top: int = 10, threshold: float = THRESHOLD) -> DataFrame:
-    """(query, iri, label, score, rank) of the best concepts (iri, label, definition) for each query.
+    """(query, iri, label, score, rank) of the best concepts for each query.
 
-    Labels and definitions that several concepts share are scored once.
+    Concepts are rows (iri, label, definition), with alternative labels as ``alt_labels`` array<string> and a
+    ``preferred_label`` where there are any. Concepts that share all of these are scored once.
     """
-    concepts = concepts.withColumn("definition", F.coalesce("definition", F.lit("")))
-    texts = concepts.groupBy("label", "definition").agg(F.min("iri").alias("iri"))
-    met = candidates(queries, texts).withColumn("more", expanded(F.col("q_words")))
-    # a query is scored again with its expansions, where it has any
-    every = met.withColumn("words", F.explode(F.array_distinct(F.array("q_words", "more"))))
-    every = every.withColumn("by_label", scoring.word_overlap(F.col("words"), F.col("l_words"))).withColumn("by_definition", scoring.word_overlap(F.col("words"), F.col("d_words")))
-    score = scoring.relevance(F.col("query"), F.col("label"), F.col("definition"), F.col("by_label"), F.col("by_definition"))
-    scored = every.withColumn("score", score).groupBy("query", "label", "definition").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
-    found = scored.join(concepts.select("iri", "label", "definition"), ["label", "definition"])
+    described = _described(concepts)
+    texts = described.groupBy(*_TEXTS).agg(F.min("iri").alias("iri"))
+    met = candidates(queries, texts)
+    words = F.col("words")
+    by_synonym = F.coalesce(F.array_max(F.transform("s_words", lambda s: scoring.word_overlap(words, s))), F.lit(0.0))
+    overlaps = {"by_label": "l_words", "by_definition": "d_words", "by_preferred": "p_words"}
+    every = met.withColumns({k: scoring.word_overlap(words, F.col(v)) for k, v in overlaps.items()} | {"by_synonym": by_synonym})
+    score = scoring.relevance(F.col("phrase"), F.col("label"), F.col("definition"), F.col("by_label"), F.col("by_definition"), F.col("preferred_label"), F.col("by_preferred"), F.col("by_synonym"))
+    # a query's score is the best of its own and its expansions'
+    scored = every.withColumn("score", score).groupBy("query", *_TEXTS).agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
+    found = scored.join(described.select("iri", *_TEXTS), _TEXTS)
     w = W.partitionBy("query").orderBy(F.col("score").desc(), "iri")
     return found.select("query", "iri", "label", "score", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= top)
 

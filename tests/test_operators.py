@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lexspan.functions import scoring, text
-from lexspan.operators import annotations, chunks, extract, feedback, hierarchy, intervals, lexicon, overlap, reconcile, triples, vectors
+from lexspan.operators import annotations, chunks, extract, feedback, hierarchy, intervals, lexicon, overlap, reconcile, search, triples, vectors
 from lexspan.sinks import export
 from lexspan.sources import ingest
 
@@ -107,6 +107,29 @@ def test_scores(spark):
     assert rel("lease", "lease agreement") >= 85.0
 
 
+def test_search_candidates(spark):
+    rows = [
+        ("u:1", "General", None, None, None),
+        ("u:2", "Type", "", [], None),
+        ("u:3", "Überblick", "", ["Survey Report", None], None),
+        ("u:4", "Sublease", "", None, "Undertenancy Deed"),
+        ("u:5", "价格表", "", None, None),
+        ("u:6", "Compliance Desk", "", None, None),
+        ("u:7", "Counterclaim", "answers a megaphone user", None, None),
+    ]
+    concepts = spark.createDataFrame(rows, "iri string, label string, definition string, alt_labels array<string>, preferred_label string")
+    asked = ["general", "Type", "überblick", "lease", "survey report", "undertenancy deed", "tenancy", "价格表", "regulatory", "my counterclaim!", "gaphone us", "", " ", None]
+    got = {(r["query"], r["iri"]): r["score"] for r in search.search(spark.createDataFrame([(x,) for x in asked], "query string"), concepts).collect()}
+    want = {("general", "u:1"): 82.0, ("Type", "u:2"): 82.0, ("überblick", "u:3"): 82.0, ("lease", "u:4"): 85.0, ("survey report", "u:3"): 82.0, ("undertenancy deed", "u:4"): 90.0}
+    want |= {("tenancy", "u:4"): 84.0, ("价格表", "u:5"): 82.0, ("my counterclaim!", "u:7"): 78.0, ("gaphone us", "u:7"): 67.2}
+    assert {k: got.get(k) for k in want} == want
+    assert got["regulatory", "u:6"] == 44.0  # by its expansion "regulatory compliance"
+    assert {q for q, _ in got} == set(asked) - {"", " ", None}
+    assert one(spark, search.terms(F.lit("tax law"))) == ["tax law", "tax", "tax practice", "tax service"]
+    mentions = spark.createDataFrame([("Survey Report", None, 0.5), ("general", None, 0.5)], "text string, iri string, confidence double")
+    assert {r["text"]: r["iri"] for r in search.resolve(mentions, concepts).collect()} == {"Survey Report": "u:3", "general": "u:1"}
+
+
 def test_reconcile(spark):
     make = lambda rows: spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "text string, iri string, confidence double, ord int")
     ruler = make([("Court", "u:1", 0.9), ("low", "u:2", 0.5), ("high", "u:3", 0.7), ("bare", "u:4", 0.8)])
