@@ -330,16 +330,7 @@ def representatives(df: DataFrame) -> DataFrame:
 def _linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of all rows, and (node, comp) of the nodes that have links."""
     spark = df.sparkSession
-    # a row's key: neither a null doc_id nor one that several texts share can mix texts up
-    docs = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    each = staged(docs.mapInArrow(_describe, "doc_id long, key long, n_shingles long, node long"), "sets")
-    with arrow_rows(spark, BATCH_ROWS):
-        hits = staged(_buckets(docs.mapInArrow(_sign, "sig long, node long")), "buckets")
-    met = staged(hits.select("node").union(hits.select("hub")).distinct(), "met")
-    rep = each.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key")).join(met, "node", "left_semi")
-    one = docs.select("key", "text").join(rep, "key").groupBy("node").agg(F.first("text").alias("text"))
-    sets = staged(one.mapInArrow(_sets, "node long, items array<long>"), "items")
-
+    each, hits, sets = _signed(df)
     links = staged(verified(hits.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets), "links")
     comps = components(links)
     # hubs have been compared; what is left of a bucket are the others
@@ -353,6 +344,57 @@ def _linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each, components(links)
 
 
+def _signed(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key, n_shingles, node) of all rows, (sig, hub, node) of shared first signatures, and (node, items) of the sets that have any."""
+    spark = df.sparkSession
+    # a row's key: neither a null doc_id nor one that several texts share can mix texts up
+    docs = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    each = staged(docs.mapInArrow(_describe, "doc_id long, key long, n_shingles long, node long"), "sets")
+    with arrow_rows(spark, BATCH_ROWS):
+        hits = staged(_buckets(docs.mapInArrow(_sign, "sig long, node long")), "buckets")
+    met = staged(hits.select("node").union(hits.select("hub")).distinct(), "met")
+    rep = each.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key")).join(met, "node", "left_semi")
+    one = docs.select("key", "text").join(rep, "key").groupBy("node").agg(F.first("text").alias("text"))
+    sets = staged(one.mapInArrow(_sets, "node long, items array<long>"), "items")
+    return each, hits, sets
+
+
+def _pairs(hits: DataFrame) -> DataFrame:
+    """All pairs (a, b) within buckets (sig, hub, node), each bucket dealt into parts of about SMALL members."""
+    members = hits.select("sig", "node").union(hits.select("sig", F.col("hub").alias("node")).distinct())
+    parts = hits.groupBy("sig").agg(F.ceil((F.count(F.lit(1)) + 1) / SMALL).cast("int").alias("parts"))
+    dealt = members.join(parts, "sig").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    one = dealt.select("sig", "part", F.col("node").alias("a"))
+    every = dealt.select("sig", F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return one.join(every, ["sig", "part"]).filter("a < b").select("a", "b").distinct()
+
+
+def links(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of all rows of ``df``, and all verified pairs (a, b), a < b, of linked nodes; rows of equal sets have one node.
+
+    Unlike ``join`` it compares all members of all buckets, so its work grows with the square of a family.
+    """
+    each, hits, sets = _signed(df)
+    size = hits.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    small = hits.join(size.filter(F.col("n") < SMALL), "sig", "left_semi")
+    crowded = hits.join(size.filter(F.col("n") >= SMALL), "sig", "left_semi")
+    large = crowded.select("node").union(crowded.select("hub")).distinct()
+    with arrow_rows(df.sparkSession, BATCH_ROWS):
+        again = staged(_buckets(sets.join(large, "node", "left_semi").mapInArrow(_sign_again, "sig long, node long")), "again")
+    found = staged(_pairs(small).union(_pairs(again)).distinct(), "pairs")
+    return each.select("doc_id", "n_shingles", "node"), staged(verified(found, sets), "links")
+
+
+def link_counts(df: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, n_links) for each row of ``df``: how many other rows it is linked with, those of equal sets among them."""
+    each, pairs = links(df)
+    copies = each.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
+    near = both.join(copies.toDF("other", "more"), "other").groupBy("node").agg(F.sum("more").alias("more"))
+    counts = copies.join(near, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return each.join(counts, "node", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _ids(each: DataFrame, comps: DataFrame) -> DataFrame:
     found = each.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))

@@ -185,6 +185,27 @@ def test_winnowing_short(spark):
     assert [h for h, _ in read] == hashes.tolist() and np.cumsum([g for _, g in read]).tolist() == positions.tolist()
 
 
+def test_jaccard_links(spark, odd, none):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(90):  # a family of near copies, some linked and some not, larger than SMALL
+        words = base.copy()
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(60)] = f"x{i}"
+        docs.append(" ".join(words))
+    docs += [" ".join(f"y{j}" for j in range(40)), " ".join(f"y{j}" for j in range(42)), "", "one", "one"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    sets = [set(partenum.shingles(x).tolist()) for x in docs]
+    linked = [[i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    each, pairs = partenum.links(df)
+    node = {r["doc_id"]: r["node"] for r in each.collect()}
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert found == {(node[i], node[j]) for i in node for j in node if linked[i][j] and node[i] < node[j]}
+    assert {r["doc_id"]: r["n_links"] for r in partenum.link_counts(df).collect()} == {i: sum(x) for i, x in enumerate(linked)}
+    assert partenum.link_counts(odd).count() == 6 and partenum.link_counts(none).count() == 0
+
+
 def test_jaccard(odd, none):
     rows = {r["doc_id"]: r for r in partenum.join(odd).collect()}
     assert (rows[2]["n_shingles"], rows[2]["component_id"]) == (0, 2) and rows[1]["component_id"] == 1
