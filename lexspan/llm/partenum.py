@@ -287,14 +287,14 @@ def _compare(group: pa.Table) -> pa.Table:
     shared = seen[column] > 1  # an element of one set alone is in no intersection
     number = np.cumsum(seen > 1) - 1
     row, column = row[shared], number[column[shared]]
-    both = np.zeros((len(nodes), len(nodes)), np.float32)
+    both = np.zeros((len(nodes), len(nodes)), np.int64)  # float32 is exact within a step only
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for start in range(0, int((seen > 1).sum()), COLUMNS):
         i, j = np.searchsorted(column, [start, start + COLUMNS])
         part = np.zeros((len(nodes), COLUMNS), np.float32)
         part[row[i:j], column[i:j] - start] = 1
-        both += part @ part.T
+        both += (part @ part.T).astype(np.int64)
     near = both * (DEN + NUM) >= (size[:, None] + size[None, :]) * NUM
     open_, a, b = np.ones(len(nodes), bool), [], []
     for root in range(len(nodes)):

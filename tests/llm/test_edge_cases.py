@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -206,6 +207,15 @@ def test_jaccard_links(spark, odd, none):
     assert partenum.link_counts(odd).count() == 6 and partenum.link_counts(none).count() == 0
 
 
+def test_jaccard_tie_of_long_texts():
+    both = 1_491_316  # 180 times this isn't a float32, and rounds down
+    x, y = np.arange(both), np.arange(both * 9 // 4 - both)
+    items = pa.ListArray.from_arrays(pa.array([0, len(x), len(x) + len(y)], pa.int32()), pa.array(np.concatenate([x, y])))
+    assert both * 100 == 80 * len(y)
+    found = partenum._compare(pa.table({"node": pa.array([1, 2], pa.int64()), "items": items}))
+    assert found.to_pylist() == [{"a": 1, "b": 2}]
+
+
 def test_jaccard(odd, none):
     rows = {r["doc_id"]: r for r in partenum.join(odd).collect()}
     assert (rows[2]["n_shingles"], rows[2]["component_id"]) == (0, 2) and rows[1]["component_id"] == 1
