@@ -7,8 +7,8 @@ byte_bpe        each text's ids, and whether they decode to it.
 
 All but the last stage return the columns of documents. Null texts pass the first three stages as
 empty texts do: not toxic by content, linked with nothing; of size 0, so the mix takes none of them.
-Equal rows are one document to the second stage; rows that share a doc_id but not their text all stay. A null doc_id is kept, as
-nothing can be said of it but its text; rows with a null doc_id and equal texts are one document.
+The second stage goes by rows: of a component one row stays, whatever ids are shared; a row with a null doc_id only if
+no other row of the component has one. Repeated rows with empty texts are one document.
 """
 
 from __future__ import annotations

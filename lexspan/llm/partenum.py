@@ -318,13 +318,14 @@ def join(df: DataFrame) -> DataFrame:
 
 
 def representatives(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` that stand for their component: those with its least doc_id, repeated rows once, rows that share that id but not their text all; rows with empty sets all stay."""
+    """One row of ``df`` for each component: that with its least doc_id, a null one last; rows with empty sets all stay, repeated ones once."""
     each, comps = _linked(df)
     found = each.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    # ids that stay: without a null one, as a join by null finds nothing
-    kept = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("doc_id")).select("doc_id").unionByName(found.filter("comp IS NULL").select("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    by_id = df.join(kept, "doc_id", "left_semi").select(*df.columns).dropDuplicates(["doc_id", "text"])
-    return by_id.unionByName(df.filter("doc_id IS NULL").dropDuplicates(["text"]))
+    # of rows that share that id but not their text the one of the least key stays
+    first = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first"))
+    kept = first.select("first.key").union(found.filter("comp IS NULL").select("key")).distinct()
+    rows = df.select(F.struct(*df.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key")).join(kept, "key", "left_semi")
+    return rows.select("row.*").dropDuplicates(["doc_id", "text"])
 
 
 def _linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:

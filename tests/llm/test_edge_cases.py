@@ -216,6 +216,14 @@ def test_jaccard_tie_of_long_texts():
     assert found.to_pylist() == [{"a": 1, "b": 2}]
 
 
+def test_representatives(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (2, b), (2, a + " z"), (None, a + " y"), (None, b + " y"), (3, ""), (None, "alone"), (None, "alone"), (4, "same id"), (4, "same id, other text")]
+    kept = partenum.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, a), (2, b), (3, ""), (None, "alone"), (4, "same id"), (4, "same id, other text")]  # the last two are linked with nothing
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_jaccard(odd, none):
     rows = {r["doc_id"]: r for r in partenum.join(odd).collect()}
     assert (rows[2]["n_shingles"], rows[2]["component_id"]) == (0, 2) and rows[1]["component_id"] == 1
