@@ -189,6 +189,13 @@ def sentence_for_span(spark, sf):
     return intervals.best_container(spans.select("doc_id", "start", "end").distinct(), boxes.select("doc_id", "start", "end"))
 
 
+@query()
+def sentence_for_span_documents(spark, sf):
+    docs = b.table(spark, sf, "documents")
+    found = lexicon.match(docs, b.lexicon(spark)).select("doc_id", "start", "end").distinct()
+    return intervals.best_container(found, chunks.sentences(docs).select("doc_id", "start", "end"))
+
+
 @query(f"WITH {b.ANNOTATIONS_SQL} SELECT doc_id, \"start\", \"end\", confidence, source FROM (SELECT *, branch AS source, row_number() OVER (PARTITION BY doc_id, \"start\", \"end\" ORDER BY confidence DESC, branch, ann_id) AS r FROM annotations) WHERE r = 1")
 def best_of_equal_spans(spark, sf):
     a = b.annotations(spark, sf).withColumnRenamed("branch", "source")
@@ -248,7 +255,7 @@ def _concepts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def multi_search(spark, sf):
-    queries = b.table(spark, sf, "part").select(F.lower("p_type").alias("query")).distinct()
+    queries = b.table(spark, sf, "part").select(F.explode(text.words(F.col("p_name"))).alias("query")).distinct()
     return search.search(queries, _concepts(spark, sf), top=10)
 
 
@@ -578,6 +585,13 @@ def rag_chunks(spark, sf):
     return export.rag_chunks(c, a).select("doc_id", "chunk_index", F.col("n_entities").cast("long").alias("n_entities"))
 
 
+@query()
+def rag_chunks_documents(spark, sf):
+    docs = b.table(spark, sf, "documents")
+    found = lexicon.match(docs, b.lexicon(spark)).withColumnRenamed("label_key", "label")
+    return export.rag_chunks(chunks.chunks(docs), found).select("doc_id", "chunk_index", "start", "end", F.col("n_entities").cast("long").alias("n_entities"))
+
+
 @query()
 def export_html(spark, sf):
     docs = b.sentences(spark, sf)

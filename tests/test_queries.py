@@ -1,6 +1,8 @@
 import pytest
 from compare import assert_same, connect
 
+from lexspan.operators import chunks, lexicon
+from lexspan.plans import bindings
 from lexspan.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -21,6 +23,33 @@ def test_runs(spark, sf, name):
     assert df.count() > 0
 
 
+def test_spans_of_documents(spark, sf):
+    """The interval joins over whole documents, offsets beyond one bin among them, against plain loops."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spans = {}
+    for r in lexicon.match(docs, bindings.lexicon(spark)).select("doc_id", "start", "end", "iri").collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    assert max(e for x in spans.values() for _, e in x) > 4096
+    within = lambda d, s, e: sum(s <= i and j <= e for i, j in spans.get(d, ()))
+    got = {(r["doc_id"], r["chunk_index"]): r["n_entities"] for r in QUERIES["rag_chunks_documents"](spark, sf).collect()}
+    assert got == {(r["doc_id"], r["chunk_index"]): within(r["doc_id"], r["start"], r["end"]) for r in chunks.chunks(docs).collect()}
+    boxes = {}
+    for r in chunks.sentences(docs).collect():
+        boxes.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    want = set()
+    for d, x in spans.items():
+        for i, j in set(x):
+            met = sorted((not (s <= i and j <= e), 0 if s <= i and j <= e else -(min(j, e) - max(i, s)), s, e) for s, e in boxes.get(d, ()) if i < e and s < j)
+            want.add((d, i, j, *(met[0][2:] if met else (None, None))))
+    rows = QUERIES["sentence_for_span_documents"](spark, sf).collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_search_asks_for_words_of_names(spark, sf):
+    names = {w for r in spark.read.parquet(f"{sf}/part.parquet").collect() for w in r["p_name"].split()}
+    assert {r["query"] for r in QUERIES["multi_search"](spark, sf).collect()} == names
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
