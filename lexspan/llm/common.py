@@ -5,36 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Rows that go to Python at a time. Texts are whole, so a batch stays small even where texts are long.
+#: Rows that a task turns into Python objects at a time. Texts are whole, so a batch stays small even where texts are long.
 ARROW_ROWS = 400
 ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table of that name; only Spark's reader touches the path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Batches of up to ``rows`` for jobs that start here, whose rows are narrow; the bound on bytes stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def small(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``size`` bytes, one row at least; slices copy nothing.
+
+    Spark's own limits belong to the session; this one holds within one function, whatever they are.
+    """
+    for b in batches:
+        n = max(1, min(rows, size * max(b.num_rows, 1) // max(b.nbytes, 1)))
+        for i in range(0, b.num_rows, n):
+            yield b.slice(i, n)
 
 
 def lower_ascii(col: Column) -> Column:
@@ -42,21 +39,37 @@ def lower_ascii(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset a temporary one, on one machine only: elsewhere that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends there, and a lost executor costs no rerun."""
+def staged(df: DataFrame, tag: str, made: list[str] | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage ends there, and a lost executor costs no rerun.
+
+    The path is added to ``made``, so that whoever reads the table last can give it to ``discard``. What a
+    returned DataFrame still reads stays, in a folder named after the application.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    made.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)

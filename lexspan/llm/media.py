@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import staged
+from lexspan.llm.common import small, staged
 
 PAD = 64
 LEAST, MOST, MASK = 4096, 65536, (1 << 13) - 1  # chunk sizes: at least, at most, and about 8 KB on from the least
@@ -98,7 +98,7 @@ def _digest(chunk: bytes) -> bytes:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         n, sha, lists = [], [], []
         for x in b.column("text").to_pylist():
             media = store_form(payload(x))
@@ -111,7 +111,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, packed), without those that this task has just had."""
     packer, met = zstandard.ZstdCompressor(level=5, write_checksum=False), set()
-    for b in batches:
+    for b in small(batches):
         digests, packed = [], []
         for x in b.column("text").to_pylist():
             for c in chunks(store_form(payload(x))):
@@ -150,7 +150,7 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Media of rows (media, place, of, digest, packed) that come in order; the result is read from the rebuilt bytes."""
     unpacker = zstandard.ZstdDecompressor()
     parts: list[bytes] = []
-    for b in batches:
+    for b in small(batches):
         out: list[tuple] = []
         for media, place, of, packed in zip(*(b.column(c).to_pylist() for c in ("media", "place", "of", "packed")), strict=True):
             if place != len(parts):

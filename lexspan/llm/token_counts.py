@@ -1,9 +1,8 @@
 """Token counts: Arrow functions that return lengths only.
 
-Long texts are cut at safe boundaries into blocks, blocks of many rows are packed into batches of
-about equal bytes, and each batch goes to the library in one call. Words recur, so those that this
-worker has counted before are left out of the blocks (a cut before each word is safe, too); the
-memo is bounded and only saves work.
+Long texts are cut at safe boundaries into blocks of bounded bytes, blocks of many rows are packed into
+batches of about equal bytes, and each batch goes to the library in one call. Nothing is kept between
+batches, so memory is that of one batch, or of one match of the pattern that can't be cut.
 
 Null text counts as empty: 0 tokens. Repeated rows are counted each. Other columns stay.
 """
@@ -19,23 +18,26 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexspan.llm import safe_split
+from lexspan.llm.common import small
 
-BLOCK_CHARS = 16_384
+BLOCK_BYTES = 1 << 16
 BATCH_BYTES = 1 << 20
-MEMO_WORDS = 500_000
 
 
-def packs(xs: list[str], size: int) -> Iterator[list[str]]:
-    """The texts in order, in lists of about ``size`` characters; a longer text stands alone."""
-    batch, held = [], 0
-    for x in xs:
-        if batch and held + len(x) > size:
-            yield batch
-            batch, held = [], 0
-        batch.append(x)
-        held += len(x)
-    if batch:
-        yield batch
+def n_bytes(x: str) -> int:
+    return len(x) if x.isascii() else len(x.encode())
+
+
+def packs(sizes: list[int], size: int = BATCH_BYTES) -> Iterator[slice]:
+    """Stretches of items whose bytes add up to about ``size``; a larger item stands alone."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > size:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 class Counter:
@@ -45,6 +47,7 @@ class Counter:
 
     def __init__(self, path: str) -> None:
         if path.endswith(".json"):
+            import json
             import os
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -54,14 +57,16 @@ class Counter:
             model.no_truncation()
             model.no_padding()
             self._lengths = lambda xs: [len(e) for e in model.encode_batch_fast(xs, add_special_tokens=False)]
-            self._by_word = '"ByteLevel","add_prefix_space":false' in model.to_str() and '"normalizer":null' in model.to_str()
+            said = json.loads(model.to_str())
+            split = said["pre_tokenizer"] or {}
+            plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and said["normalizer"] is None
+            self._safe = bool(plain) and not any(safe_split.cut_through(t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"])
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self._lengths = lambda xs: [len(e) for e in model.encode(xs, num_threads=1)]
-            self._by_word = False  # its pieces may depend on the start of the text
-        self._memo: dict[str, int] = {}
+            self._safe = False  # its pieces may depend on the start of the text
 
     @classmethod
     def of(cls, path: str) -> Counter:
@@ -69,37 +74,20 @@ class Counter:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def lengths(self, xs: list[str]) -> list[int]:
-        if not self._by_word:
-            return self._packed(xs)
-        out: list[int] = []
-        memo = self._memo
-        for pack in packs(xs, BATCH_BYTES):
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            known, rest, seen, again = [], [], set(), set()
-            for x in pack:
-                n = 0
-                for block in safe_split.blocks(x, BLOCK_CHARS):
-                    first, *after = safe_split.words(block)
-                    found = list(map(memo.get, after))
-                    fresh = [w for w, k in zip(after, found, strict=True) if k is None] if None in found else []
-                    n += sum(filter(None, found))
-                    again.update(w for w in fresh if w in seen)
-                    seen.update(fresh)
-                    rest.append((len(known), " ".join([first, *fresh])))
-                known.append(n)
-            for (row, _), n in zip(rest, self._packed([r for _, r in rest]), strict=True):
-                known[row] += n
-            often = list(again)  # met twice in a pack: worth keeping
-            memo.update(zip(often, self._packed([f" {w}" for w in often]), strict=True))
-            out += known
+    def lengths(self, xs: list[str], block: int = BLOCK_BYTES) -> list[int]:
+        row, pieces, sizes = [], [], []
+        for i, x in enumerate(xs):
+            n = n_bytes(x)
+            cut = safe_split.blocks(x, max(1, block * len(x) // n)) if self._safe and n > block else [x]
+            row += [i] * len(cut)
+            pieces += cut
+            sizes += [n] if len(cut) == 1 else map(n_bytes, cut)
+        out = [0] * len(xs)
+        for part in packs(sizes):
+            for i, n in zip(row[part], self._lengths(pieces[part]), strict=True):
+                out[i] += n
         return out
 
-    def _packed(self, xs: list[str]) -> list[int]:
-        """Library calls over batches of about BATCH_BYTES."""
-        return [n for pack in packs(xs, BATCH_BYTES) for n in self._lengths(pack)]
-
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 512, bytes_col: str = "n_bytes", tokens_col: str = "n_tokens", over_col: str = "over_limit") -> DataFrame:
     """``df`` without its text column, with UTF-8 bytes, tokens and whether they exceed ``limit``.
@@ -113,10 +101,10 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 512,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of(path)
-        for b in batches:
+        for b in small(batches):
             xs = [x or "" for x in b.column(text).to_pylist()]
             columns = [b.column(c) for c in kept]
-            columns += [pa.array([len(x.encode()) for x in xs], pa.int64()), pa.array(counter.lengths(xs), pa.int64())]
+            columns += [pa.array([n_bytes(x) for x in xs], pa.int64()), pa.array(counter.lengths(xs), pa.int64())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     return df.select(*kept, text).mapInArrow(run, schema).withColumn(over_col, F.col(tokens_col) > limit)

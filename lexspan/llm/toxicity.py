@@ -9,7 +9,8 @@ Features look at the text alone: densities of the learned and of a written lexic
 stand to each other and to the second person, capitals, punctuation, obfuscated and stretched words.
 
 Null or empty text has features of 0 and a score like any other. Without usable labels of both kinds the
-score is the share of toxic labels, 0 if there are none. Repeated rows are scored each.
+score is the share of toxic labels, 0 if there are none. Repeated rows are scored each; a document with both
+labels teaches both.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import staged
+from lexspan.llm.common import small, staged
 
 SAMPLE = 20_000
 LEXICON = 3_000
@@ -104,7 +105,7 @@ def remainder(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """(text, toxic, part) of at most about ``limit`` labelled rows, drawn by hash; part is 0 to 9."""
+    """(text, toxic, part) of at most about ``limit`` labelled rows, drawn by hash; part is 0 to 9. Rows that repeat count once."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 2)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     total = usable.count()
     draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
@@ -112,12 +113,12 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame
         usable = usable.filter(draw < int((1 << 32) * limit / total))
     part = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 9, 8), 16, 10).cast("long") % 10
     few = F.broadcast(usable.withColumn("part", part))  # ``limit`` rows
-    return docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic", "part")
+    return docs.select("doc_id", "text").join(few, "doc_id").distinct().select("text", "toxic", "part")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, toxic texts, other texts) of each batch; beginnings of words are marked by a space."""
-    for b in batches:
+    for b in small(batches):
         each = (Counter(), Counter())
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             words = {w.lower().translate(LEET) for w in tokens(text or "")}
@@ -144,7 +145,7 @@ def _featured(df: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = np.array([features(x or "", lexicon) for x in b.column("text").to_pylist()], np.float64).reshape(-1, len(NAMES))
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(NAMES), pa.int32()), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), x], [*keep, "x"])
