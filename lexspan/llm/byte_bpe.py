@@ -10,8 +10,8 @@ The merges, given as token ranks, are compiled on demand into a transducer over
   all but what they have in common: that much is certain, and is emitted. What follows a certain
   border is encoded as if the input began there, so the state forgets what it has emitted. Only
   prefixes within the longest token's length can be open, so the lookahead is bounded.
-* Transitions are made when first met and kept; the tables are cleared at a bound, which costs time
-  but changes nothing.
+* Transitions are made when first met and kept; the tables are cleared at a bound, also within a
+  match, which costs time but changes nothing.
 
 Decoding takes ids in pieces of any size and gives back text through an incremental UTF-8 machine:
 a character may be spread over tokens and over pieces. Bytes that form no character become U+FFFD.
@@ -33,10 +33,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexspan.llm import safe_split
+from lexspan.llm.common import small
 
-MAX_STATES = 150_000
+MAX_STATES = 100_000
 MAX_PAIRS = 400_000
-MEMO_WORDS = 400_000
+#: Bounds of the memo of words: a longer word is never kept, and all are dropped when they hold more characters than this.
+MEMO_WORD, MEMO_CHARS = 48, 4_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -146,26 +148,30 @@ class Transducer:
         same, least = 0, min(len(p) for _, p in live)
         while same < least and all(p[same] == closed[same] for _, p in live):
             same += 1
-        new, emitted = tuple((n, p[same:]) for n, p in live), closed[:same]
-        found = self._ids.get(new)
+        return self._number(tuple((n, p[same:]) for n, p in live)), closed[:same]
+
+    def _number(self, state: tuple) -> int:
+        found = self._ids.get(state)
         if found is None:
-            found = self._ids[new] = len(self._states)
-            self._states.append(new)
+            found = self._ids[state] = len(self._states)
+            self._states.append(state)
             self._next.append({})
-        return found, emitted
+        return found
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one match of the pattern; a match that is itself a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._states) > MAX_STATES:
-            self._clear()
         out: list[int] = []
         state, table = 0, self._next
         for byte in piece:
             move = table[state].get(byte)
             if move is None:
+                if len(self._states) >= MAX_STATES:  # only the state that the input is in lives on
+                    here = self._states[state]
+                    self._clear()
+                    state, table = self._number(here), self._next
                 move = table[state][byte] = self._step(state, byte)
             state, emitted = move
             if emitted:
@@ -183,6 +189,7 @@ class Encoder:
         self.machine = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self._memo: dict[str, tuple[bytes, str]] = {}
+        self._held = 0
         size = max(ranks.values()) + 1
         tokens = [self.machine.bytes_of.get(i, b"") for i in range(size)]
         self._flat = np.frombuffer(b"".join(tokens), np.uint8)
@@ -207,13 +214,17 @@ class Encoder:
             return np.zeros(0, "<u4"), ""
         first, *rest = safe_split.words(text)
         memo = self._memo
-        if len(memo) > MEMO_WORDS:
+        if self._held > MEMO_CHARS:
             memo.clear()
+            self._held = 0
         found = [self._word(first)]
         for w in rest:
             ids = memo.get(w)
             if ids is None:
-                ids = memo[w] = self._word(" " + w)
+                ids = self._word(" " + w)
+                if len(w) <= MEMO_WORD and self._held <= MEMO_CHARS:
+                    memo[w] = ids
+                    self._held += len(w) + len(ids[1])
             found.append(ids)
         return np.frombuffer(b"".join([x[0] for x in found]), "<u4"), " ".join([x[1] for x in found])
 
@@ -295,52 +306,57 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text") ->
 
     Adds ``n_tokens`` long, ``ids`` array<int>, ``ids_sha256``, ``decoded`` string, ``decoded_sha256``
     and ``round_trip`` boolean; columns of ``df`` with these names give way. Null text counts as
-    empty: no ids. Rows that repeat give the same values each. Without ``ids`` and ``decoded`` in a
-    later select, use ``digests``, which makes neither.
+    empty: no ids. Rows that repeat give the same values each. ``encode`` leaves the texts out,
+    ``digests`` the ids too.
     """
-    return _apply(df, path, pattern, text, whole=True)
+    return _apply(df, path, pattern, text, ids=True, texts=True)
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """As ``encode_decode``, without the text column and the decoded text."""
+    return _apply(df, path, pattern, text, ids=True, texts=False)
 
 
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """As ``encode_decode``, without the ids and the text themselves, and without the text column."""
-    return _apply(df, path, pattern, text, whole=False)
+    return _apply(df, path, pattern, text, ids=False, texts=False)
 
 
-def _apply(df: DataFrame, path: str, pattern: str, text: str, whole: bool) -> DataFrame:
+def _apply(df: DataFrame, path: str, pattern: str, text: str, ids: bool, texts: bool) -> DataFrame:
     new = [
         T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
         T.StructField("round_trip", T.BooleanType()),
     ]
-    if whole:
-        new += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    new += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids + [T.StructField("decoded", T.StringType())] * texts
     names = {f.name for f in new}
-    kept = [c for c in df.columns if c not in names and (whole or c != text)]
+    kept = [c for c in df.columns if c not in names and (texts or c != text)]
     schema = T.StructType([df.schema[c] for c in kept] + new)
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path, pattern)
-        for b in batches:
+        for b in small(batches):
             out: dict[str, list] = {f.name: [] for f in new}
             for x in b.column(text).to_pylist():
                 x = x or ""
-                ids, decimals = encoder.encode(x)
+                found, decimals = encoder.encode(x)
                 data, back = hashlib.sha256(), []
                 decoder = StreamDecoder(encoder)
-                for i in range(0, len(ids), FEED_IDS):
-                    some, chars = decoder.feed(ids[i : i + FEED_IDS])
+                for i in range(0, len(found), FEED_IDS):
+                    some, chars = decoder.feed(found[i : i + FEED_IDS])
                     data.update(some)
                     back.append(chars)
                 back.append(decoder.finish())
                 decoded = "".join(back)
-                out["n_tokens"].append(len(ids))
+                out["n_tokens"].append(len(found))
                 out["ids_sha256"].append(hashlib.sha256(decimals.encode()).hexdigest())
                 out["decoded_sha256"].append(data.hexdigest())
                 out["round_trip"].append(decoded == x)
-                if whole:
-                    out["ids"].append(ids.astype("i4"))
+                if ids:
+                    out["ids"].append(found.astype("i4"))
+                if texts:
                     out["decoded"].append(decoded)
             columns = [b.column(c) for c in kept] + [pa.array(out[f.name], target.field(f.name).type) for f in new]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
