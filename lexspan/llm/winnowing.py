@@ -13,6 +13,7 @@ index of two texts' sets of hashes, 1 for two empty ones. Equal texts, equal fin
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexspan.llm.common import partitions
+from lexspan.llm.common import partitions, small
 
 K = 8
 WINDOW = 8  # at most 255, as gaps are written in a byte
+RANGE_BYTES = 32 << 20  # of text in a range, which is one task
 
 _BASE = 0x9E3779B97F4A7C15  # fixed value: an odd multiplier
 _LOWEST = -(1 << 63)
@@ -96,7 +98,7 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [winnow(x or "") for x in b.column(text).to_pylist()]
             columns = [b.column(c).cast(target.field(c).type) for c in kept]
             columns += [pa.array([x[i].astype(np.int64) for x in found], pa.list_(pa.int64())).cast(target.field(c).type) for i, c in enumerate(("hashes", "positions"))]
@@ -105,42 +107,58 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*kept).mapInArrow(run, schema)
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the descending bounds the key is below: found in blocks of about the square root of their number."""
+def _range_of(place: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many of the descending bounds the place (id, tie) is below: found in blocks of about the square root of their number."""
     if not bounds:
         return F.lit(0)
+    point = lambda x: F.struct(F.lit(x[0]).cast("long").alias("id"), F.lit(x[1]).cast("long").alias("tie"))
     size = max(1, int(len(bounds) ** 0.5))
     blocks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
-    heads = F.array(*[F.lit(b[0]).cast("long") for b in blocks])
-    inner = F.array(*[F.array(*[F.lit(x).cast("long") for x in b]) for b in blocks])
-    block = F.size(F.filter(heads, lambda x: key < x))
-    return F.when(block == 0, 0).otherwise((block - 1) * size + F.size(F.filter(F.element_at(inner, F.greatest(block, F.lit(1))), lambda x: key < x)))
+    heads = F.array(*[point(b[0]) for b in blocks])
+    inner = F.array(*[F.array(*map(point, b)) for b in blocks])
+    block = F.size(F.filter(heads, lambda x: place < x))
+    return F.when(block == 0, 0).otherwise((block - 1) * size + F.size(F.filter(F.element_at(inner, F.greatest(block, F.lit(1))), lambda x: place < x)))
+
+
+def _bounds(ids: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """Descending bounds of about equal numbers of rows; an id that fills several ranges is divided by the hash of the text."""
+    if ranges < 2:
+        return []
+    cuts = Counter(int(x) for x in ids.stat.approxQuantile("id", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)))
+    return [(x, (1 << 63) - 1 - ((1 << 64) // n) * j) for x in sorted(cuts, reverse=True) for n in (cuts[x],) for j in range(n)]
+
+
+def ranges_of(df: DataFrame) -> int:
+    """Ranges of about RANGE_BYTES of text, and two for each shuffle partition at least."""
+    size = df.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(2 * partitions(df.sparkSession), -(-size // RANGE_BYTES))
 
 
 def with_next(df: DataFrame, ranges: int) -> DataFrame:
     """Rows (doc_id, text) dealt by ranges of doc_id, descending, and sorted; each range also gets the first row after it, as a copy.
 
-    After the last row comes the first. Ids that are null come last; of equal ids, texts in order.
+    After the last row comes the first. Ids that are null come last; rows of equal ids go by the hash of the text, then the text.
+    A range is a partition of its own.
     """
-    key = F.coalesce("doc_id", F.lit(_LOWEST))
-    keyed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    ids = keyed.select("key")
-    cuts = ids.stat.approxQuantile("key", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)) if ranges > 1 else []
-    bounds = sorted({int(x) for x in cuts}, reverse=True)
-    at = _range_of(F.col("key"), bounds)
-    # one row a range: its first id, and the range before it, round in a circle
-    heads = ids.select("key", at.alias("range")).groupBy("range").agg(F.max("key").alias("key"))
+    body = F.coalesce("text", F.lit(""))
+    at = F.struct(F.coalesce("doc_id", F.lit(_LOWEST)).cast("long").alias("id"), F.xxhash64(body).alias("tie"))
+    keyed = df.select("doc_id", body.alias("text"), at.alias("at"))
+    narrow = df.select(at.alias("at"))
+    bounds = _bounds(narrow.select("at.id"), ranges)
+    here = _range_of(F.col("at"), bounds)
+    # one row a range: its first place, and the range before it, round in a circle
+    heads = narrow.select("at", here.alias("range")).groupBy("range").agg(F.max("at").alias("at"))
     before = F.coalesce(F.lag("range").over(W.orderBy("range")), F.max("range").over(W.partitionBy()))
-    heads = heads.select("key", before.alias("to"))
-    rows = keyed.join(F.broadcast(heads), "key", "left").select("doc_id", "text", "key", F.explode(F.array_compact(F.array(F.struct(at.alias("range"), F.lit(0).alias("copy")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("range"), F.lit(1).alias("copy")))))).alias("place"))
-    rows = rows.select("doc_id", "text", "key", "place.range", "place.copy")
-    return rows.repartition(ranges, "range").sortWithinPartitions("range", "copy", F.col("key").desc(), "text")
+    heads = heads.select("at", before.alias("to"))
+    rows = keyed.join(F.broadcast(heads), "at", "left").select("doc_id", "text", "at", F.explode(F.array_compact(F.array(F.struct(here.alias("range"), F.lit(0).alias("copy")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("range"), F.lit(1).alias("copy")))))).alias("place"))
+    rows = rows.select("doc_id", "text", "at", F.col("place.range").cast("int").alias("range"), "place.copy")
+    return rows.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", "copy", F.col("at").desc(), "text").drop("at")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document with its edited text and its next one; only one row and its successor are held."""
     held, place = None, None
-    for b in batches:
+    for b in small(batches):
         out: list[tuple] = []
         for doc_id, text, at, copy in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "range", "copy")), strict=True):
             if copy and held is None:
@@ -172,11 +190,10 @@ def _compared(one: tuple, two: tuple) -> tuple:
 def edits(df: DataFrame) -> DataFrame:
     """Per row of ``df`` (doc_id, text): its fingerprint, that of its edited text, and their likeness and that to the next document."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    ranges = 2 * partitions(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for b in _pairs(batches):
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, types, strict=True)], _NAMES)
 
-    return with_next(df, ranges).mapInArrow(run, schema)
+    return with_next(df, ranges_of(df)).mapInArrow(run, schema)
