@@ -17,7 +17,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexspan.llm.byte_bpe import load_ranks
+from lexspan.llm.common import small
 
 LEARNED = "assistant"
 
@@ -32,18 +32,25 @@ LEARNED = "assistant"
 TURN, SEP, END = "<|turn|>", "<|says|>", "<|end|>"
 CONTROL = (TURN, SEP, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>", "<start_of_turn>", "<end_of_turn>")
 
-_GUARD = "⁠"  # stands after a control string's first character, once more for each time it is escaped
-_FOUND = re.compile("|".join(f"({re.escape(s[0])})({_GUARD}*)({re.escape(s[1:])})" for s in sorted(CONTROL, key=len, reverse=True)))
-_ESCAPED = re.compile("|".join(f"({re.escape(s[0])})({_GUARD}+)({re.escape(s[1:])})" for s in sorted(CONTROL, key=len, reverse=True)))
+_GUARD = "\u2060"  # stands after a control string's first character, once more for each time it is escaped
+
+
+def _pattern(guards: str) -> re.Pattern[str]:
+    """Control strings with guards in them: the first character, the guards, and whatever rest goes with that character, longest first."""
+    rests = {c: sorted((re.escape(s[1:]) for s in CONTROL if s[0] == c), key=len, reverse=True) for c in sorted({s[0] for s in CONTROL})}
+    return re.compile("|".join(f"(?<={re.escape(c)})({_GUARD}{guards})(?={'|'.join(r)})" for c, r in rests.items()))
+
+
+_FOUND, _ESCAPED = _pattern("*"), _pattern("+")
 
 
 def escape(text: str) -> str:
     """No control string is left; ``unescape`` gives the text back."""
-    return _FOUND.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + g[1] + _GUARD + g[2], text)
+    return _FOUND.sub(lambda m: m.group() + _GUARD, text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + g[1][1:] + g[2], text)
+    return _ESCAPED.sub(lambda m: m.group()[1:], text) if _GUARD in text else text
 
 
 class Codec:
@@ -95,7 +102,7 @@ def format_turns(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        for b in batches:
+        for b in small(batches):
             found = [codec.encode_turn(r or "", t or "") for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
             columns = [b.column("conv_id").cast(pa.int64()), b.column("turn").cast(pa.int64()), b.column("role"), b.column("text"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "role", "text", "ids", "head", "body"])
@@ -132,24 +139,25 @@ def read_back(turns: DataFrame, path: str, pattern: str) -> DataFrame:
             done.clear()
             return made
 
-        for b in batches:
-            for conv, ids, start, lo, hi in zip(*(b.column(c).to_pylist() for c in ("conv_id", "ids", "token_start", "loss_start", "loss_end")), strict=True):
+        for b in small(batches):
+            flat, ends = b.column("ids").values.to_numpy(), b.column("ids").offsets.to_pylist()
+            for conv, i, j, start, lo, hi in zip(b.column("conv_id").to_pylist(), ends[:-1], ends[1:], *(b.column(c).to_pylist() for c in ("token_start", "loss_start", "loss_end")), strict=True):
                 if state is None or state[0] != conv:
                     close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
                 if start != state[6]:
                     raise ValueError(f"conversation {conv}: a turn starts at {start}, not at {state[6]}")
+                ids = flat[i:j].tolist()
                 sep = ids.index(codec.sep)
-                role, text = unescape(codec.decode(ids[1:sep])), unescape(codec.decode(ids[sep + 1 : -1]))
-                mask = np.zeros(len(ids), bool)
-                if lo is not None:
-                    mask[lo - start : hi - start] = True
-                learned = unescape(codec.decode([i for i, m in zip(ids, mask, strict=True) if m]))
+                if ids[0] != codec.turn or ids[-1] != codec.end:
+                    raise ValueError(f"conversation {conv}: a turn without its marks")
+                role, text = codec.decode(ids[1:sep]), codec.decode(ids[sep + 1 : -1])
+                learned = unescape(codec.decode(ids[lo - start : hi - start])) if lo is not None else ""
                 state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
+                state[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
                 state[3] += len(learned)
                 state[4].update(learned.encode())
-                state[5] += len(codec.render(ids))
+                state[5] += len(TURN) + len(role) + len(SEP) + len(text) + len(END)
                 state[6] += len(ids)
             if done:
                 yield flush()
