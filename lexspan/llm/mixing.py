@@ -9,8 +9,8 @@ Targets: sources, by code point with null last, weigh 5, 2, 1, repeating, and sh
 all sizes; a target stops at ``cap`` times its source's size, and the excess is shared again by weight.
 A source whose target exceeds its size takes every document once, and the rest of the target a second time.
 
-Null text has size 0 and is taken 0 times; a null source is a source. Rows with the same doc_id share
-their fate. The hash is that of doc_id alone, so reruns agree. Hot sources are summed before the
+Null text has size 0 and is taken 0 times; a null source is a source. The hash is that of doc_id and
+text, so reruns agree, and only repeated rows share their fate. Hot sources are summed before the
 shuffle; the tables by source or by bucket are aggregates of at most sources times 1024 rows.
 """
 
@@ -54,15 +54,16 @@ def targets(sized: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
 
 def mix(df: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, text: str = "text") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of ``df``; taken is words, repeats counted."""
-    sized = staged(df.select("doc_id", "source", word_count(text).alias("size"), _hash(F.col("doc_id")).alias("h")), "sized")
+    sized = staged(df.select("doc_id", "source", word_count(text).alias("size"), _hash(F.col("doc_id"), F.col(text)).alias("h")), "sized")
     each = thresholds(sized, share, cap, weights)
     met = sized.alias("d").join(each.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     more = F.when(F.col("h") < F.col("edge"), 1).otherwise(0)
     return met.select("doc_id", "d.source", "size", "source_size", "target", (F.col("size") * (F.col("times") + more)).alias("taken"))
 
 
-def _hash(doc_id: Column) -> Column:
-    h = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+def _hash(doc_id: Column, text: Column) -> Column:
+    of = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    h = F.conv(F.substring(F.md5(of), 1, 8), 16, 10).cast("long")
     return F.shiftright(h, 32 - BITS * LEVELS)
 
 
@@ -78,12 +79,13 @@ def thresholds(sized: DataFrame, share: float = SHARE, cap: float = CAP, weights
 
 def repeated(df: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, text: str = "text") -> DataFrame:
     """The rows of ``df`` as often as the mix takes each, with its own columns only: the filter that the thresholds make, without a shuffle of texts."""
-    sized = staged(df.select("source", word_count(text).alias("size"), _hash(F.col("doc_id")).alias("h")), "sized")
-    each = thresholds(sized, share, cap, weights).select(F.col("source").alias("of"), F.col("times").alias("mix_times"), F.col("edge").alias("mix_edge"))
-    met = df.join(each, F.col("source").eqNullSafe(F.col("of")))
-    times = F.when(word_count(text) > 0, F.col("mix_times") + F.when(_hash(F.col("doc_id")) < F.col("mix_edge"), 1).otherwise(0)).otherwise(0)
-    rows = met.withColumn("mix_times", times.cast("int")).filter("mix_times > 0")
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.sequence(F.lit(1), "mix_times")).alias("mix_copy")).drop("mix_copy")
+    measured = df.select("source", word_count(text).alias("size"), _hash(F.col("doc_id"), F.col(text)).alias("h"))
+    each = thresholds(staged(measured, "sized"), share, cap, weights).select("source", "times", "edge")
+    # the rows as one column, so that no name of theirs can clash
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col("source").alias("of"), word_count(text).alias("size"), _hash(F.col("doc_id"), F.col(text)).alias("h")])
+    met = rows.join(each, F.col("of").eqNullSafe(F.col("source")))
+    taken = F.when(F.col("size") > 0, F.col("times") + F.when(F.col("h") < F.col("edge"), 1).otherwise(0)).otherwise(0).cast("int")
+    return met.withColumn("taken", taken).filter("taken > 0").select("row", F.explode(F.sequence(F.lit(1), "taken")).alias("nth")).select("row.*")
 
 
 def _refine(sized: DataFrame, each: DataFrame, depth: int) -> DataFrame:
@@ -109,7 +111,7 @@ def oracle() -> str:
     return f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) >> {32 - BITS * LEVELS} AS h FROM documents),
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 8) AS BIGINT) >> {32 - BITS * LEVELS} AS h FROM documents),
 by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight, source_size * CAST({CAP} AS DOUBLE) AS most FROM by_source),
 levels AS (SELECT *, (CAST({SHARE} AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER (ORDER BY most / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
