@@ -1,12 +1,21 @@
-"""WARC fixity: records hashed into Merkle trees over ordered offset ranges; replicas compared from the roots down.
-
-``pack`` lays records out in files, each with its offset. ``tree`` hashes every FAN neighbours of a file
-into a node that covers their range of offsets, level upon level. ``locate`` compares the top nodes of
-two replicas and goes down only below nodes that differ, to the records.
-
-Null page_id, url or html are written as empty. Identical rows are one record with ``copies``: a record is
-stored once, so no group of copies can fill a file. Files take records by digest, about FILE_RECORDS
-each, at any size of the table. A record that one replica lacks differs from any that the other has.
+"""WARC fixity: replicas as bytes, hashed into Merkle trees over ordered offset ranges, compared from the roots down.
+
+A replica is a table of records as they lie in its files: (file_id, record_offset, data binary). ``pack``
+lays records out, each replica by itself, so a record that is lost, added, shortened or moved shifts
+those after it. Within a file records go by the digest of their id; the tree follows its hexadecimal
+digits, so a node is the stretch of the file whose digests begin alike. A node's hash covers its length and,
+for each part in order of offset, the part's hash, its place relative to the node, and its length; so a
+wrong offset or length is seen, and what merely shifted isn't. The id and the stated length of a record are
+read from its bytes.
+
+``audit`` keeps one row a file with the tree nested in it. Roots are compared first, in a read of the roots
+alone; the trees of files that differ are then opened digit by digit, only below nodes that differ.
+
+A record is intact if the other replica's file has the same bytes under its id; else damaged, missing (only
+ours has it), extra (only the replica has it) or moved (the same bytes in another file). Two records of one
+replica with one id are told apart by their bytes. Null page_id, url or html are written as empty. Identical
+rows are one record with ``copies``: a record is stored once, so no group of copies can fill a file.
+Files take records by digest, about FILE_RECORDS each, at any size of the table.
 """
 
 from __future__ import annotations
@@ -15,102 +24,200 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexspan.llm.common import staged
+from lexspan.llm.common import discard, staged
 
-FAN = 16
 FILE_RECORDS = 4096
-LEVELS = 4  # FAN ** LEVELS records: far more than a file has
+LEVELS = 3  # digits: a node of the last level has about one record of a file
+MARK = "WARC-Record-ID: <urn:page:"
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
-    """A WARC 1.0 resource record."""
+    """The bytes of a WARC 1.0 resource record; its id is the page's, and a digest of address and content."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     body = text(html)
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), text(url), F.lit("\r\nWARC-Record-ID: <urn:page:"), text(page_id), F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    return F.concat(head, body, F.lit("\r\n\r\n"))
+    name = F.concat(text(page_id), F.lit(":"), F.md5(F.concat(text(url), F.lit("\n"), body)))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), text(url), F.lit(f"\r\n{MARK}"), name, F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
-def pack(records: DataFrame, total: int, per_file: int = FILE_RECORDS) -> DataFrame:
-    """(file_id, seq, record_offset) added to records with (page_id, digest, record_length); identical rows become one with ``copies``."""
-    files = max(1, -(-total // per_file))
-    each = records.groupBy(*records.columns).agg(F.count(F.lit(1)).alias("copies"))
-    each = each.withColumn("file_id", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % files)
-    w = W.partitionBy("file_id").orderBy("page_id", "digest")
-    ends = F.sum("record_length").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return each.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).withColumn("record_offset", ends - F.col("record_length"))
+def _head(data: Column) -> Column:
+    return F.substring_index(data.cast("string"), "\r\n\r\n", 1)
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves up: (file_id, node, hash, range_start, range_end). ``leaves`` has file_id, seq, record_offset, record_length, digest."""
-    level = leaves.select("file_id", F.col("seq").alias("node"), F.col("digest").alias("hash"), F.col("record_offset").alias("range_start"), (F.col("record_offset") + F.col("record_length")).alias("range_end"))
-    levels = [level]
-    for _ in range(LEVELS):
-        below = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])  # FAN at most
-        level = level.groupBy("file_id", F.floor(F.col("node") / FAN).alias("parent")).agg(F.sha2(F.array_join(below, ""), 256).alias("hash"), F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end")).withColumnRenamed("parent", "node")
-        levels.append(level)
-    return levels
+def record_id(data: Column) -> Column:
+    """From the bytes: what the header names, empty if it names none."""
+    return F.regexp_extract(_head(data), r"WARC-Record-ID: <urn:page:([^>]*)>", 1)
+
+
+def well_formed(data: Column) -> Column:
+    """Whether header, stated length and end mark account for all bytes."""
+    stated = F.regexp_extract(_head(data), r"Content-Length: ([0-9]{1,15})", 1).try_cast("long")
+    return F.coalesce(F.octet_length(data) == F.octet_length(_head(data)) + stated + 8, F.lit(False))
+
+
+def file_of(name: Column, files: int) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(name, F.lit("/"))), 1, 8), 16, 10).cast("long") % files
+
+
+def pack(records: DataFrame) -> DataFrame:
+    """(file_id, record_offset, data) of records (file_id, data): one after the other, by the digest of their id, then of their bytes."""
+    w = W.partitionBy("file_id").orderBy("path", "sha")
+    ordered = records.select("file_id", "data", F.md5(record_id(F.col("data"))).alias("path"), F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("long").alias("n"))
+    return ordered.select("file_id", (F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("record_offset"), "data")
+
 
+def leaves(replica: DataFrame) -> DataFrame:
+    """(file_id, path, id, start, length, sha, formed) of a replica, from its bytes."""
+    data = F.col("data")
+    return replica.select("file_id", F.md5(record_id(data)).alias("path"), record_id(data).alias("id"), F.col("record_offset").alias("start"), F.octet_length(data).cast("long").alias("length"), F.sha2(data, 256).alias("sha"), well_formed(data).alias("formed"))
 
-def locate(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """(file_id, node) of the leaves that differ; below nodes that agree nothing is compared."""
-    wrong: DataFrame | None = None
-    for a, b in zip(reversed(ours), reversed(theirs), strict=True):
-        a, b = a.select("file_id", "node", "hash"), b.select("file_id", "node", F.col("hash").alias("other"))
-        if wrong is not None:
-            above = wrong.select("file_id", F.col("node").alias("parent"))
-            a, b = (x.withColumn("parent", F.floor(F.col("node") / FAN)).join(above, ["file_id", "parent"], "left_semi").drop("parent") for x in (a, b))
-        wrong = a.join(b, ["file_id", "node"], "full").filter(~F.col("hash").eqNullSafe(F.col("other"))).select("file_id", "node")
-    return wrong
 
+def _digest(parts: Column, start: Column, end: Column) -> Column:
+    said = F.transform(parts, lambda x: F.concat_ws(":", x["hash"], x["start"] - start, x["end"] - x["start"]))
+    return F.sha2(F.concat(F.array_join(said, ","), F.lit("|"), (end - start).cast("string")), 256)
 
-def audit(records: DataFrame, total: int, per_file: int = FILE_RECORDS) -> DataFrame:
-    """Every record of ``records`` (page_id, digest, record_length, replica_digest), laid out, with both replicas' top hashes and whether it is intact.
 
-    ``replica_digest`` is that of the bytes that the replica has in the record's range; null where it has none.
+def tree(found: DataFrame) -> DataFrame:
+    """(file_id, root, parts): one row a file; a part is (key, hash, start, end, parts) down to the records, all from one shuffle by file."""
+    whole = F.col("start") + F.col("length")
+    level = found.repartition("file_id").select("file_id", "path", F.struct("start", F.col("sha").alias("hash"), whole.alias("end"), "id", "formed").alias("part"))
+    for digits in range(LEVELS, -1, -1):
+        keys = ["file_id"] + [F.substring("path", 1, digits).alias("key")] * (digits > 0)
+        node = level.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"), F.min("part.start").alias("start"), F.max("part.end").alias("end"))
+        node = node.withColumn("hash", _digest(F.col("parts"), F.col("start"), F.col("end")))
+        if not digits:
+            return node.select("file_id", F.col("hash").alias("root"), "parts")
+        level = node.select("file_id", F.col("key").alias("path"), F.struct("start", "hash", "end", "key", "parts").alias("part"))
+
+
+def differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(file_id, a, b): what lies under last nodes that differ, as lists of records; below nodes that agree nothing is opened."""
+    roots = ours.select("file_id", F.col("root").alias("ra")).join(theirs.select("file_id", F.col("root").alias("rb")), "file_id", "full")
+    wrong = roots.filter(~F.col("ra").eqNullSafe(F.col("rb"))).select("file_id")
+    a, b = (x.join(wrong, "file_id", "left_semi").select("file_id", F.col("parts").alias(n)) for x, n in ((ours, "a"), (theirs, "b")))
+    pairs = a.join(b, "file_id", "full")
+    for _ in range(LEVELS):
+        digits = F.array_distinct(F.concat(*[F.coalesce(F.transform(F.col(n), lambda x: x["key"]), F.array()) for n in "ab"]))
+        one = lambda n: F.get(F.filter(F.col(n), lambda x: x["key"] == F.col("digit")), 0)
+        opened = pairs.withColumn("digit", F.explode(digits)).select("file_id", one("a").alias("x"), one("b").alias("y"))
+        pairs = opened.filter(~F.col("x.hash").eqNullSafe(F.col("y.hash"))).select("file_id", F.col("x.parts").alias("a"), F.col("y.parts").alias("b"))
+    return pairs
+
+
+def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Every record of both replicas (file_id, record_offset, data): where it lies in each, its digests, the roots of its file, and its ``status``.
+
+    Columns: record_id, file_id, record_offset, record_length, record_sha256, replica_file_id, replica_offset, replica_length,
+    replica_sha256, well_formed (of the replica's bytes; null where it has none), root_sha256, replica_root_sha256, status.
     """
-    laid = staged(pack(records, total, per_file), "records")
-    ours = [staged(x, "tree") for x in tree(laid)]
-    theirs = [staged(x, "tree") for x in tree(laid.filter(F.col("replica_digest").isNotNull()).withColumn("digest", F.col("replica_digest")))]
-    wrong = locate(ours, theirs).select("file_id", F.col("node").alias("seq"), F.lit(False).alias("intact"))
-    top = ours[-1].select("file_id", F.col("node").alias("top"), F.col("hash").alias("root_sha256"))
-    other = theirs[-1].select("file_id", F.col("node").alias("top"), F.col("hash").alias("replica_root_sha256"))
-    found = laid.join(wrong, ["file_id", "seq"], "left").withColumn("top", F.floor(F.col("seq") / FAN**LEVELS))
-    return found.join(top, ["file_id", "top"], "left").join(other, ["file_id", "top"], "left").select(
-        "page_id", "copies", "file_id", "seq", "record_offset", "record_length", F.col("digest").alias("record_sha256"), F.col("replica_digest").alias("replica_sha256"), "root_sha256", "replica_root_sha256", F.coalesce("intact", F.lit(True)).alias("intact")
-    )
+    spark, made = ours.sparkSession, []
+    a, b = (staged(tree(staged(leaves(x), "leaves", made)), "tree") for x in (ours, theirs))
+    discard(spark, made)
+    pairs = staged(differing(a, b), "differing")
+    listed = lambda mine, other: pairs.select("file_id", F.explode(mine).alias("r"), F.transform(F.coalesce(other, F.array()), lambda x: x["hash"]).alias("others")).filter(~F.array_contains("others", F.col("r.hash")))
+    left = listed(F.col("a"), F.col("b")).select("file_id", F.col("r.start").alias("start"), F.col("r.id").alias("id"), F.col("r.hash").alias("sha"))
+    right = listed(F.col("b"), F.col("a")).select(F.col("file_id").alias("rf"), F.col("r.start").alias("rs"), (F.col("r.end") - F.col("r.start")).alias("rl"), F.col("r.id").alias("id"), F.col("r.hash").alias("rsha"), F.col("r.formed").alias("rformed"))
+    # of one id: the same bytes meet first, then what is left in order
+    same = left.join(right, (left["id"] == right["id"]) & (F.col("sha") == F.col("rsha"))).select(left["id"].alias("id"), "file_id", "start", "rf", "rs", "rl", "rsha", "rformed", F.lit("moved").alias("status"))
+    rest_l = left.join(same.select("file_id", "start"), ["file_id", "start"], "left_anti")
+    rest_r = right.join(same.select("rf", "rs"), ["rf", "rs"], "left_anti")
+    nth = lambda x, f, s: x.withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy(f, s)))
+    status = F.when(F.col("rsha").isNull(), "missing").when(F.col("sha").isNull(), "extra").otherwise("damaged")
+    other = nth(rest_l, "file_id", "start").join(nth(rest_r, "rf", "rs"), ["id", "nth"], "full").select("id", "file_id", "start", "rf", "rs", "rl", "rsha", "rformed", status.alias("status"))
+    wrong = staged(same.unionByName(other), "wrong")
+    return _report(a, b, wrong)
+
+
+def _records(trees: DataFrame) -> DataFrame:
+    out = trees.select("file_id", "root", F.explode("parts").alias("p"))
+    for _ in range(LEVELS):
+        out = out.select("file_id", "root", F.explode("p.parts").alias("p"))
+    return out.select("file_id", "root", F.col("p.id").alias("id"), F.col("p.start").alias("start"), (F.col("p.end") - F.col("p.start")).alias("length"), F.col("p.hash").alias("sha"), F.col("p.formed").alias("formed"))
+
+
+def _report(a: DataFrame, b: DataFrame, wrong: DataFrame) -> DataFrame:
+    """Our records, with what the replica has instead of those found wrong; intact ones meet theirs by file, id and bytes."""
+    mine = _records(a)
+    theirs = _records(b).select(F.col("file_id").alias("of"), F.col("id").alias("name"), F.col("sha").alias("bytes"), F.col("start").alias("at"), F.col("length").alias("size"), F.col("formed").alias("fine"))
+    found = mine.join(wrong.filter("file_id IS NOT NULL").drop("id"), ["file_id", "start"], "left")
+    here = found.join(theirs, (F.col("file_id") == F.col("of")) & (F.col("id") == F.col("name")) & (F.col("sha") == F.col("bytes")) & F.col("status").isNull(), "left")
+    roots = b.select(F.col("file_id").alias("rid"), F.col("root").alias("rroot"))
+    pick = lambda x, y: F.coalesce(F.col(x), F.col(y))
+    ours = here.join(roots, F.col("file_id") == F.col("rid"), "left").select(
+        F.col("id").alias("record_id"), "file_id", F.col("start").alias("record_offset"), F.col("length").alias("record_length"), F.col("sha").alias("record_sha256"),
+        pick("rf", "of").alias("replica_file_id"), pick("rs", "at").alias("replica_offset"), pick("rl", "size").alias("replica_length"), pick("rsha", "bytes").alias("replica_sha256"), pick("rformed", "fine").alias("well_formed"),
+        F.col("root").alias("root_sha256"), F.col("rroot").alias("replica_root_sha256"), F.coalesce("status", F.lit("intact")).alias("status"),
+    )
+    none = lambda kind: F.lit(None).cast(kind)
+    extra = wrong.filter("file_id IS NULL").join(roots, F.col("rf") == F.col("rid"), "left").join(a.select(F.col("file_id").alias("fid"), "root"), F.col("rf") == F.col("fid"), "left").select(
+        F.col("id").alias("record_id"), none("long").alias("file_id"), none("long").alias("record_offset"), none("long").alias("record_length"), none("string").alias("record_sha256"),
+        F.col("rf").alias("replica_file_id"), F.col("rs").alias("replica_offset"), F.col("rl").alias("replica_length"), F.col("rsha").alias("replica_sha256"), F.col("rformed").alias("well_formed"),
+        F.col("root").alias("root_sha256"), F.col("rroot").alias("replica_root_sha256"), "status",
+    )
+    return ours.unionByName(extra)
 
 
 def _draw(page_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(page_id.cast("string")), 1, 6), 16, 10).cast("long")
+    return F.coalesce(F.conv(F.substring(F.md5(page_id.cast("string")), 1, 6), 16, 10).cast("long"), F.lit(0))
 
 
-def damaged(page_id: Column, html: Column) -> Column:
-    """A replica's html for tests and the query: in about 1 % of the pages the first character is lost."""
-    return F.when(_draw(page_id) % 101 == 7, F.substring(html, 2, 1 << 30)).otherwise(html)
+def replicas(pages: DataFrame, per_file: int = FILE_RECORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two replicas of pages (page_id, url, html), laid out apart, and (record_id, copies).
 
-
-def missing(page_id: Column) -> Column:
-    """As ``damaged``: pages whose record the replica lacks."""
-    return F.coalesce(_draw(page_id) % 211 == 5, F.lit(False))
+    The second one has planted faults, drawn by page_id: some records have lost their last ten bytes, some have another byte in their
+    body, some are missing, some lie in the next file, and some are followed by one that we don't have.
+    """
+    data = record(F.col("page_id"), F.col("url"), F.col("html"))
+    each = staged(pages.select(data.alias("data"), _draw(F.col("page_id")).alias("draw")).groupBy("data", "draw").agg(F.count(F.lit(1)).alias("copies")), "records")
+    files = max(1, -(-each.count() // per_file))
+    ours = each.select(file_of(record_id(F.col("data")), files).alias("file_id"), "data")
+    text, n = F.col("data").cast("string"), F.octet_length("data")
+    changed = F.concat(F.substring(text, 1, 9), F.lit("R"), F.substring(text, 11, 1 << 30))  # a letter of the first line
+    fault = F.when(F.col("draw") % 101 == 7, F.substring("data", F.lit(1), n - 10)).when(F.col("draw") % 103 == 9, changed.cast("binary")).otherwise(F.col("data"))
+    at = (file_of(record_id(F.col("data")), files) + F.when(F.col("draw") % 223 == 6, 1).otherwise(0)) % files
+    kept = each.filter("draw % 211 <> 5").select(at.alias("file_id"), fault.alias("data"))
+    more = record(F.concat(F.lit("x"), record_id(F.col("data"))), F.lit(""), F.lit("extra"))
+    added = each.filter("draw % 227 = 8").select(file_of(record_id(F.col("data")), files).alias("file_id"), more.alias("data"))
+    copies = each.select(record_id(F.col("data")).alias("record_id"), "copies")
+    return staged(pack(ours), "replica"), staged(pack(kept.unionByName(added)), "replica"), copies
+
+
+def audited(pages: DataFrame, per_file: int = FILE_RECORDS) -> DataFrame:
+    """``audit`` of two replicas of ``pages``, with the page_id that the record's bytes name, and how many rows are that record."""
+    ours, theirs, copies = replicas(pages, per_file)
+    found = audit(ours, theirs).join(copies, "record_id", "left")
+    return found.withColumn("page_id", F.regexp_extract("record_id", r"^(-?[0-9]{1,19}):", 1).try_cast("long")).withColumn("copies", F.coalesce("copies", F.lit(0).cast("long")))
 
 
 def oracle() -> str:
-    """The same in DuckDB, with the damage found by comparing all records."""
-    rec = lambda html: f"""E'WARC/1.0\\r\\nWARC-Type: resource\\r\\nWARC-Target-URI: ' || coalesce(url, '') || E'\\r\\nWARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || E'>\\r\\nContent-Type: text/html\\r\\nContent-Length: ' || strlen({html}) || E'\\r\\n\\r\\n' || {html} || E'\\r\\n\\r\\n'"""
-    ctes, last = [], "laid"
-    for side, col in (("a", "record_sha256"), ("b", "replica_sha256")):
-        last = f"(SELECT file_id, seq AS node, {col} AS h FROM laid WHERE {col} IS NOT NULL)"
-        for k in range(LEVELS):
-            ctes.append(f"{side}{k} AS (SELECT file_id, node // {FAN} AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM {last} GROUP BY ALL)".replace("SELECT file_id, node // ", "SELECT file_id, t.node // ").replace(f"FROM {last} GROUP", f"FROM {last} t GROUP").replace("ORDER BY node", "ORDER BY t.node"))
-            last = f"{side}{k}"
-    top = LEVELS - 1
+    """The same in DuckDB: layouts by running sums, ids and lengths read from the records, trees by grouping, faults by comparing all records."""
+    rec = lambda i, u, h: f"""'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || {u} || chr(13) || chr(10) || '{MARK}' || {i} || ':' || md5({u} || chr(10) || {h}) || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen({h}) || chr(13) || chr(10) || chr(13) || chr(10) || {h} || chr(13) || chr(10) || chr(13) || chr(10)"""
+    name = "regexp_extract(split_part({0}, chr(13) || chr(10) || chr(13) || chr(10), 1), 'WARC-Record-ID: <urn:page:([^>]*)>', 1)"
+    file = "CAST('0x' || substr(md5({0} || '/'), 1, 8) AS BIGINT) % (SELECT n FROM files)"
+    ctes = []
+    for side, source in (("a", "SELECT file_id, data FROM ours"), ("b", "SELECT file_id, data FROM theirs")):
+        ctes.append(f"""{side}laid AS (SELECT *, strlen(data) AS length, CAST(sum(strlen(data)) OVER (PARTITION BY file_id ORDER BY path, sha ROWS UNBOUNDED PRECEDING) - strlen(data) AS BIGINT) AS start
+  FROM (SELECT file_id, data, {name.format("data")} AS id, md5({name.format("data")}) AS path, sha256(data) AS sha FROM ({source})))""")
+        ctes.append(f"""{side}{LEVELS + 1} AS (SELECT file_id, path AS key, sha AS hash, start, start + length AS stop FROM {side}laid)""")
+        for d in range(LEVELS, -1, -1):
+            below = f"{side}{d + 1}"
+            ctes.append(f"""{side}{d} AS (SELECT file_id, key, sha256(string_agg(hash || ':' || (start - first) || ':' || (stop - start), ',' ORDER BY start, hash) || '|' || (any_value(last) - any_value(first))) AS hash, any_value(first) AS start, any_value(last) AS stop
+  FROM (SELECT file_id, substr(key, 1, {d}) AS key, hash, start, stop, min(start) OVER w AS first, max(stop) OVER w AS last FROM {below} WINDOW w AS (PARTITION BY file_id, substr(key, 1, {d}))) GROUP BY file_id, key)""")
+    head = "split_part(b.data, chr(13) || chr(10) || chr(13) || chr(10), 1)"
     return f"""
-WITH pages2 AS (SELECT page_id, url, coalesce(html, '') AS html, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 6) AS BIGINT) AS draw FROM pages),
-hurt AS (SELECT *, CASE WHEN draw % 101 = 7 THEN substr(html, 2) ELSE html END AS html2 FROM pages2),
-recs AS (SELECT page_id, {rec("html")} AS r, CASE WHEN coalesce(draw % 211 = 5, false) THEN NULL ELSE {rec("html2")} END AS r2 FROM hurt),
-each AS (SELECT page_id, sha256(r) AS record_sha256, sha256(r2) AS replica_sha256, CAST(strlen(r) AS BIGINT) AS record_length, CAST(count(*) AS BIGINT) AS copies FROM recs GROUP BY ALL),
-filed AS (SELECT *, CAST('0x' || substr(record_sha256, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / {FILE_RECORDS}.0) AS BIGINT)) FROM pages) AS file_id FROM each),
-laid AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(sum(record_length) OVER w - record_length AS BIGINT) AS record_offset FROM filed WINDOW w AS (PARTITION BY file_id ORDER BY page_id NULLS FIRST, record_sha256 ROWS UNBOUNDED PRECEDING)),
-{", ".join(ctes)}
-SELECT page_id, copies, laid.file_id, seq, record_offset, record_length, record_sha256, replica_sha256, a{top}.h AS root_sha256, b{top}.h AS replica_root_sha256, record_sha256 IS NOT DISTINCT FROM replica_sha256 AS intact
-FROM laid LEFT JOIN a{top} ON a{top}.file_id = laid.file_id AND a{top}.node = seq // {FAN**LEVELS} LEFT JOIN b{top} ON b{top}.file_id = laid.file_id AND b{top}.node = seq // {FAN**LEVELS}"""
+WITH plain AS (SELECT coalesce(CAST(page_id AS VARCHAR), '') AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 6) AS BIGINT), 0) AS draw FROM pages),
+made AS (SELECT draw, CAST(count(*) AS BIGINT) AS copies, data FROM (SELECT draw, {rec("page_id", "url", "html")} AS data FROM plain) GROUP BY ALL),
+files AS (SELECT greatest(1, CAST(ceil(count(*) / {FILE_RECORDS}.0) AS BIGINT)) AS n FROM made),
+ours AS (SELECT {file.format(name.format("data"))} AS file_id, data FROM made),
+theirs AS (
+  SELECT ({file.format(name.format("data"))} + CASE WHEN draw % 223 = 6 THEN 1 ELSE 0 END) % (SELECT n FROM files) AS file_id,
+    CASE WHEN draw % 101 = 7 THEN left(data, length(data) - 10) WHEN draw % 103 = 9 THEN substr(data, 1, 9) || 'R' || substr(data, 11) ELSE data END AS data FROM made WHERE draw % 211 <> 5
+  UNION ALL SELECT {file.format(name.format("data"))}, {rec("'x' || " + name.format("data"), "''", "'extra'")} FROM made WHERE draw % 227 = 8),
+{", ".join(ctes)},
+met AS (SELECT coalesce(a.id, b.id) AS record_id, a.file_id, a.start AS record_offset, a.length AS record_length, a.sha AS record_sha256, b.file_id AS replica_file_id, b.start AS replica_offset, b.length AS replica_length, b.sha AS replica_sha256,
+  b.length = strlen({head}) + TRY_CAST(regexp_extract({head}, 'Content-Length: ([0-9]+)', 1) AS BIGINT) + 8 AS well_formed,
+  CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'extra' WHEN a.sha <> b.sha THEN 'damaged' WHEN a.file_id <> b.file_id THEN 'moved' ELSE 'intact' END AS status
+  FROM alaid a FULL JOIN blaid b ON a.id = b.id)
+SELECT met.*, a0.hash AS root_sha256, b0.hash AS replica_root_sha256, TRY_CAST(regexp_extract(record_id, '^(-?[0-9]+):', 1) AS BIGINT) AS page_id, coalesce(copies, 0) AS copies
+FROM met LEFT JOIN a0 ON a0.file_id = coalesce(met.file_id, met.replica_file_id) LEFT JOIN b0 ON b0.file_id = coalesce(met.file_id, met.replica_file_id)
+LEFT JOIN (SELECT {name.format("data")} AS name, copies FROM made) m ON m.name = met.record_id"""

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexspan.llm import byte_bpe, chat, fixity, license_scan, media, mixing, partenum, token_counts, toxicity, winnowing
 from lexspan.llm.common import table
@@ -29,13 +28,8 @@ def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a record of a WARC file, audited against a replica in which some records are damaged or missing."""
-    pages = table(spark, sf_dir, "pages")
-    page_id, url, html = (F.col(c) for c in ("page_id", "url", "html"))
-    ours = fixity.record(page_id, url, html)
-    theirs = F.when(~fixity.missing(page_id), fixity.record(page_id, url, fixity.damaged(page_id, html)))
-    records = pages.select("page_id", F.sha2(ours, 256).alias("digest"), F.octet_length(ours).cast("long").alias("record_length"), F.sha2(theirs, 256).alias("replica_digest"))
-    return fixity.audit(records, pages.count())
+    """Every page as a record of a WARC file, audited against a replica with damaged, missing, extra and moved records."""
+    return fixity.audited(table(spark, sf_dir, "pages"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
