@@ -2,25 +2,29 @@
 
 Texts become sets of hashed word shingles. Two sets of sizes a and b whose similarity reaches 0.8
 differ in at most (a + b) / 9 elements, and neither is larger than 5 / 4 of the other. So, within a
-band of sizes, the feature domain is partitioned, and subsets of the partitions are enumerated:
-
-* First signatures: one for each of the first k + 1 parts that a set has elements in, where k bounds
-  the difference from any partner. At most k parts differ, so the first part in which both agree is
-  among them in both sets. "First" goes by the part's contents, the fullest before others, so both
-  sets agree on the order, and signatures stand for as many elements as they can.
-* Second signatures, for sets in large buckets only: twice as large parts, each split in four, and
-  each choice of three of the four. Some part differs in at most one element, so three of its four
-  are the same.
-
-A set that has too few filled parts for the guarantee signs again under another seed; two such sets
-both do, so they meet there. Each candidate pair is checked on the sets themselves.
-
-Links make components. A bucket is first compared with its least member only, which joins groups of
-near copies with work in proportion to their rows. What remains apart in buckets of at most SMALL
-members is compared in full; sets of larger ones sign again, and families that their new buckets
-hold together, but that aren't one component yet, are dealt into blocks, which tasks compare two by
-two, returning links that span and no pairs. No link between different sets is lost. Equal sets are
-one node, however many copies there are.
+band of sizes, the feature domain is partitioned, each part is split again, and subsets of the splits
+are enumerated: a signature stands for what a set has in the chosen splits of one part.
+
+* Level 1: parts in three splits, every choice of two. Where a part differs in at most one element,
+  some choice is the same in both sets; of k // 2 + 1 parts, k bounding the difference, one is such.
+* Level 2, for the sets of buckets that are large and still apart: parts in five splits, every choice
+  of three, for parts that differ in at most two elements. Signatures stand for more elements.
+
+Parts are taken in the order of their numbers, until enough of them have elements in more splits than may
+differ; whichever of two sets stops first, the other has enumerated its parts as well. A set with too few
+such parts signs all and again under another seed; two such sets both do, so they meet there. Each
+candidate pair is checked on the sets themselves.
+
+Links make components. A bucket's rows stream through one task in order of their sets, sixteen bytes each, and
+leave only the pairs with its least set; of these each set first checks one, which joins groups of near
+copies with work in proportion to their rows, and then those that lead to another component. What remains
+apart in buckets of at most SMALL members is compared in full; larger buckets go on to the next level. Families that
+its buckets hold together, but that aren't one component yet, are dealt into blocks, which tasks
+compare two by two, returning links that span and no pairs. No link between different sets is lost.
+That last step grows with the square of such a family; a family is one only if all levels put its sets together.
+
+A node is a distinct set, however many copies there are: sets are told apart by 128 bits of a digest and
+numbered once, in a table.
 
 Null or empty text: an empty set, linked with nothing, its component its own doc_id. Repeated rows and
 equal texts share a component. Fewer than five words: the whole sequence is the one shingle.
@@ -29,23 +33,24 @@ equal texts share a component. Fewer than five words: the whole sequence is the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from lexspan.llm.common import arrow_rows, staged
+from lexspan.llm.common import discard, small, staged
 
 WORDS = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
+LEVELS = ((3, 1), (5, 2))  # splits of a part, and how many of them a choice leaves out
 SMALL = 32
-BLOCK_ITEMS, BLOCK_SETS, COLUMNS = 200_000, 1024, 2048
+BLOCK_ITEMS, BLOCK_SETS, COLUMNS = 400_000, 2048, 2048
 MET_SETS = 100_000
-BATCH_ROWS = 2_000  # of texts in, and of signatures on: workers keep their peak of memory, so batches stay small
+HOT = 2_000  # at most about this many nodes have more than a HOT-th of all edges; theirs are joined by broadcast
 
 #: Odd multipliers for mixing 64-bit numbers.
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -87,64 +92,45 @@ def bands(size: int) -> list[tuple[int, int]]:
     return found
 
 
-def _parts(s: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the filled parts: numbers, counts, and digests of their contents."""
-    part = mix(s, seed) % np.uint64(n)
-    order = np.argsort(part, kind="stable")
-    part, content = part[order], mix(s, seed + 1)[order]
-    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    with np.errstate(over="ignore"):
-        return part[start], np.diff(np.r_[start, len(part)]), np.add.reduceat(content, start)
-
-
-def first_signatures(s: np.ndarray) -> np.ndarray:
-    out = []
+def signatures(s: np.ndarray, level: int = 0) -> np.ndarray:
+    """The set's signatures: for each part in turn, a number for each choice of its splits that has elements."""
+    splits, out = LEVELS[level][0], LEVELS[level][1]
+    choices = np.zeros((len(list(combinations(range(splits), out))), splits), np.uint64)
+    for i, without in enumerate(combinations(range(splits), out)):
+        choices[i, [j for j in range(splits) if j not in without]] = 1
+    found = []
     for band, largest in bands(len(s)):
         k = most_different(len(s), largest)
         if k == 0:
             continue  # only an equal set can be linked
-        seed, filled = 64 * band, 0
-        while filled <= k:
-            part, count, content = _parts(s, 2 + -(-largest * 3 // 10), seed)
-            filled = len(part)
-            sig = mix(content ^ mix(part, seed + 2), seed + 3)
-            out.append(sig[np.lexsort((sig, -count))[: k + 1]])
-            seed += 1 << 20
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-
-
-def second_signatures(s: np.ndarray) -> np.ndarray:
-    """Choices of three of the four parts of each part; for the guarantee a part counts if none of them is empty."""
-    out = []
-    for band, largest in bands(len(s)):
-        k = most_different(len(s), largest)
-        if k == 0:
-            continue
-        seed, good = 64 * band + 32, 0
-        n = 3 + (most_different(largest, largest) // 2 + 1) * 5 // 4
-        while good <= k // 2:
-            fine, _, content = _parts(s, 4 * n, seed)
+        need, good, seed = k // (out + 1) + 1, 0, 128 * band + 64 * level
+        n = 3 + (most_different(largest, largest) // (out + 1) + 1) * 21 // 20
+        while good < need:
+            fine = mix(s, seed) % np.uint64(n * splits)
+            order = np.argsort(fine)
+            fine = fine[order]
+            start = np.flatnonzero(np.r_[True, fine[1:] != fine[:-1]])
             with np.errstate(over="ignore"):
-                each = mix(content ^ mix(fine, seed + 2), seed + 3)
-                coarse = fine // np.uint64(4)
-                start = np.flatnonzero(np.r_[True, coarse[1:] != coarse[:-1]])
-                total, filled = np.add.reduceat(each, start), np.diff(np.r_[start, len(fine)])
-                grid = np.zeros((len(start), 4), np.uint64)
-                row = np.repeat(np.arange(len(start)), filled)
-                grid[row, (fine % np.uint64(4)).astype(int)] = each
-                own = np.zeros((len(start), 4), bool)
-                own[row, (fine % np.uint64(4)).astype(int)] = True
-                choice = total[:, None] - grid  # all but one of the four
-                names = coarse[start][:, None] * np.uint64(4) + np.arange(4, dtype=np.uint64)
-                some = filled[:, None] > own  # a choice without elements says nothing
-                out.append(mix(choice[some] ^ mix(names[some], seed + 4), seed + 5))
-            good = int((filled >= 2).sum())
+                held = np.add.reduceat(mix(s, seed + 1)[order], start)
+                fine = fine[start]
+                held = mix(held ^ mix(fine, seed + 2), seed + 3)
+                part = fine // np.uint64(splits)
+                row = np.cumsum(np.r_[0, part[1:] != part[:-1]])
+                grid = np.zeros((int(row[-1]) + 1, splits), np.uint64)
+                grid[row, (fine % np.uint64(splits)).astype(np.int64)] = held
+                enough = np.cumsum(np.count_nonzero(grid, axis=1) > out)
+                stop = int(np.searchsorted(enough, need)) + 1
+                good = int(enough[-1])
+                sums = grid[:stop] @ choices.T
+                some = ((grid[:stop] != 0).astype(np.uint64) @ choices.T) > 0
+                names = np.unique(part)[:stop, None] * np.uint64(len(choices)) + np.arange(len(choices), dtype=np.uint64)
+            found.append(mix(sums[some] ^ mix(names[some], seed + 4), seed + 5))
             seed += 1 << 20
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _list(values: list[np.ndarray]) -> pa.Array:
@@ -154,45 +140,46 @@ def _list(values: list[np.ndarray]) -> pa.Array:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, key, n_shingles, node (null for empty sets)."""
-    for b in batches:
-        sets = [shingles(x) for x in b.column("text").to_pylist()]
-        columns = [b.column("doc_id"), b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "node"])
-
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node) of texts; a set that this task has just had is left out, as it would add equal rows."""
-    met: set[int] = set()
-    for b in batches:
-        sigs, nodes = [], []
+    """doc_id, k1, k2, n_shingles, digest (null for empty sets), and the text where this task meets the set for the first time."""
+    met: set[bytes] = set()
+    for b in small(batches):
+        sizes, digests, texts = [], [], []
         for x in b.column("text").to_pylist():
             s = shingles(x)
-            node = _node(s) if len(s) else None
-            if node is None or node in met:
-                continue
-            if len(met) >= MET_SETS:
-                met.clear()
-            met.add(node)
-            found = first_signatures(s)
-            sigs.append(found)
-            nodes.append(np.full(len(found), node, np.int64))
-        if sigs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
-
-
-def _sign_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        flat, ends = b.column("items").values.to_numpy().view(np.uint64), b.column("items").offsets.to_numpy()
-        found = [second_signatures(flat[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        if found:
+            d = _digest(s) if len(s) else None
+            sizes.append(len(s))
+            digests.append(d)
+            texts.append(None if d is None or d in met else x)
+            if d is not None:
+                if len(met) >= MET_SETS:
+                    met.clear()
+                met.add(d)
+        columns = [*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n_shingles", "digest", "text"])
+
+
+def _signer(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (sig, node) of sets (node, items), or of texts (node, text)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            found = [signatures(s, level) for s in _read(b)]
             nodes = np.repeat(b.column("node").to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], ["sig", "node"])
 
+    return sign
+
+
+def _read(b: pa.RecordBatch) -> list[np.ndarray]:
+    if "text" in b.schema.names:
+        return [shingles(x) for x in b.column("text").to_pylist()]
+    flat, ends = b.column("items").values.to_numpy().view(np.uint64), b.column("items").offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("node"), _list([shingles(x) for x in b.column("text").to_pylist()])], ["node", "items"])
+    for b in small(batches):
+        yield pa.RecordBatch.from_arrays([b.column("node"), _list(_read(b))], ["node", "items"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,27 +214,61 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(fits).filter(both * DEN >= (F.size("x") + F.size("y") - both) * NUM).select("a", "b")
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with ``m``, the least v of their u: summed before the shuffle, and for the few nodes with very many edges broadcast."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    many = max(total // HOT, 10_000)
+    hot = F.broadcast(least.filter(F.col("n") > many).select("u", "m"))
+    cold = least.filter(F.col("n") <= many).select("u", "m")
+    return edges.join(hot, "u").unionByName(edges.join(hot, "u", "left_anti").join(cold, "u"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): for each node that has a link, the least node of its component; by alternating large and small stars."""
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    seen, own = None, W.partitionBy("u")
+    spark, old, new = links.sparkSession, [], []
+    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", old)
+    seen = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # a node's edges stream through a window, which spills: no join makes them again
-        least = both.withColumn("m", F.least(F.min("v").over(own), F.col("u")))
-        large = least.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.withColumn("m", F.min("v").over(own))
-        small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = staged(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = _with_least(both, 2 * seen[0])
+        large = staged(least.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large", new)
+        low = _with_least(large, seen[0])
+        small_ = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        kept: list[str] = []
+        edges = staged(small_, "edges", kept)
+        discard(spark, old + new)
+        old, new = kept, []
+        now = _state(edges)
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         seen = now
 
 
+def _state(edges: DataFrame) -> tuple:
+    """How many edges there are, and their sum as hashes: equal if nothing has changed."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _merged(links: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Components of those that there are and of more links."""
+    return components(links if comps is None else links.union(comps.select("node", "comp")))
+
+
+def _comp(node: str, comps: DataFrame | None, df: DataFrame, name: str = "comp") -> DataFrame:
+    if comps is None:
+        return df.withColumn(name, F.col(node))
+    of = comps.select(F.col("node").alias(node), F.col("comp").alias(name))
+    return df.join(of, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _apart(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of different components."""
+    return _comp("b", comps, _comp("a", comps, pairs, "ca"), "cb").filter("ca <> cb").select("a", "b")
+
+
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """(sig, node, comp, n) of buckets that still span two components."""
-    found = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = _comp("node", comps, members)
     apart = found.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     return found.join(apart.select("sig", "n"), "sig")
 
@@ -259,105 +280,152 @@ def _cross(members: DataFrame) -> DataFrame:
 
 
 def _blocks(ties: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that join whatever is linked among the nodes that ties (hub, node) hold together, directly or not.
+    """Links that join whatever is linked among the nodes that ties (a, b) hold together, directly or not.
 
     Such a family, unless it is one component already, is dealt into blocks of about BLOCK_ITEMS elements or BLOCK_SETS sets,
-    and each two of its blocks meet in one task, which compares them by matrix products and returns a
+    and each two of its blocks meet in one task, which compares the one's sets with the other's by matrix products and returns a
     forest: at most a row for each node.
     """
-    tied = components(ties.select(F.col("hub").alias("a"), F.col("node").alias("b"))).select("node", F.col("comp").alias("family"))
-    own = tied.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = _comp("node", comps, components(ties).withColumnRenamed("comp", "family"))
     apart = own.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("family")
-    rows = sets.join(tied.join(apart, "family"), "node")
+    rows = sets.join(own.select("node", "family").join(apart, "family"), "node")
     many = rows.groupBy("family").agg(F.greatest(F.ceil(F.sum(F.size("items")) / BLOCK_ITEMS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     rows = rows.join(many, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("one"), F.greatest(x, F.col("block")).alias("two")))
-    met = rows.select("family", "block", "node", "items", F.explode(meets).alias("meet"))
+    met = rows.select("family", "node", "items", "block", F.explode(meets).alias("meet")).withColumn("first", F.col("block") == F.col("meet.one"))
     return met.groupBy("family", "meet").applyInArrow(_compare, "a long, b long")
 
 
 def _compare(group: pa.Table) -> pa.Table:
-    """A forest of the links among the group's sets."""
-    nodes = group.column("node").to_numpy()
+    """A forest of the links between the group's first block and its second, or within its only one."""
+    nodes, first = group.column("node").to_numpy(), group.column("first").to_numpy()
     lists = group.column("items").combine_chunks()
     flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
     flat, size = flat[ends[0] : ends[-1]], np.diff(ends)
-    _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(nodes)), size)
-    shared = seen[column] > 1  # an element of one set alone is in no intersection
-    number = np.cumsum(seen > 1) - 1
-    row, column = row[shared], number[column[shared]]
-    both = np.zeros((len(nodes), len(nodes)), np.int64)  # float32 is exact within a step only
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for start in range(0, int((seen > 1).sum()), COLUMNS):
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    fresh = np.r_[True, flat[1:] != flat[:-1]]
+    column = np.cumsum(fresh) - 1
+    shared = np.bincount(column)[column] > 1  # an element of one set alone is in no intersection
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    left = np.flatnonzero(first)
+    right = np.flatnonzero(~first) if not first.all() else left
+    at = np.zeros(len(nodes), np.int64)
+    at[right] = np.arange(len(right))
+    at[left] = np.arange(len(left))
+    both = np.zeros((len(left), len(right)), np.int32)  # float32 is exact within a step only
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         i, j = np.searchsorted(column, [start, start + COLUMNS])
-        part = np.zeros((len(nodes), COLUMNS), np.float32)
-        part[row[i:j], column[i:j] - start] = 1
-        both += (part @ part.T).astype(np.int64)
-    near = both * (DEN + NUM) >= (size[:, None] + size[None, :]) * NUM
-    open_, a, b = np.ones(len(nodes), bool), [], []
-    for root in range(len(nodes)):
-        if not open_[root]:
+        r, c = row[i:j], column[i:j] - start
+        x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        mine = first[r]
+        x[at[r[mine]], c[mine]] = 1
+        if right is left:
+            y = x
+        else:
+            y[at[r[~mine]], c[~mine]] = 1
+        both += (x @ y.T).astype(np.int32)
+    need = (size[left][:, None] + size[right][None, :]) * NUM
+    near = both.astype(np.int64) * (DEN + NUM) >= need
+    if right is left:
+        np.fill_diagonal(near, False)
+    return _forest(nodes, left, right, near)
+
+
+def _forest(nodes: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> pa.Table:
+    """Links that span whatever ``near`` (left by right) connects: searched breadth first, each side's open rows at a time."""
+    a, b = [], []
+    open_l, open_r = np.ones(len(left), bool), np.ones(len(right), bool)
+    same = right is left
+    if same:
+        open_r = open_l
+    for root in range(len(left)):
+        if not open_l[root]:
             continue
-        open_[root] = False
-        todo = [root]
+        open_l[root] = False
+        todo = [(True, root)]
         while todo:
-            at = todo.pop()
-            found = np.flatnonzero(near[at] & open_)
-            open_[found] = False
-            a += [at] * len(found)
-            b += found.tolist()
-            todo += found.tolist()
+            on_left, i = todo.pop()
+            found = np.flatnonzero(near[i] & open_r) if on_left else np.flatnonzero(near[:, i] & open_l)
+            (open_r if on_left else open_l)[found] = False
+            mine, other = (left, right) if on_left else (right, left)
+            a += [int(mine[i])] * len(found)
+            b += other[found].tolist()
+            todo += [(same or not on_left, int(x)) for x in found]
     return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
 
 
 def join(df: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``df`` (doc_id, text; other columns are left out)."""
-    return _ids(*_linked(df))
+    found = _placed(*_linked(df))
+    least = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _keys() -> list[Column]:
+    """A row's key, 128 bits: neither a null doc_id nor one that several texts share can mix texts up."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")]
 
 
 def representatives(df: DataFrame) -> DataFrame:
     """One row of ``df`` for each component: that with its least doc_id, a null one last; rows with empty sets all stay, repeated ones once."""
-    each, comps = _linked(df)
-    found = each.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = _placed(*_linked(df))
     # of rows that share that id but not their text the one of the least key stays
-    first = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first"))
-    kept = first.select("first.key").union(found.filter("comp IS NULL").select("key")).distinct()
-    rows = df.select(F.struct(*df.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key")).join(kept, "key", "left_semi")
-    return rows.select("row.*").dropDuplicates(["doc_id", "text"])
-
-
-def _linked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of all rows, and (node, comp) of the nodes that have links."""
-    spark = df.sparkSession
-    each, hits, sets = _signed(df)
-    links = staged(verified(hits.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets), "links")
-    comps = components(links)
-    # hubs have been compared; what is left of a bucket are the others
-    left = staged(_open(hits.select("sig", "node"), comps), "open")
-    links = links.union(verified(_cross(left.filter(F.col("n") <= SMALL)), sets))
-    large = left.filter(F.col("n") > SMALL).select("node").distinct()
-    if not large.isEmpty():
-        with arrow_rows(spark, BATCH_ROWS):
-            again = staged(_buckets(sets.join(large, "node", "left_semi").mapInArrow(_sign_again, "sig long, node long")).select("hub", "node").distinct(), "again")
-        links = links.union(_blocks(again, comps, sets))
-    return each, components(links)
-
-
-def _signed(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, key, n_shingles, node) of all rows, (sig, hub, node) of shared first signatures, and (node, items) of the sets that have any."""
-    spark = df.sparkSession
-    # a row's key: neither a null doc_id nor one that several texts share can mix texts up
-    docs = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    each = staged(docs.mapInArrow(_describe, "doc_id long, key long, n_shingles long, node long"), "sets")
-    with arrow_rows(spark, BATCH_ROWS):
-        hits = staged(_buckets(docs.mapInArrow(_sign, "sig long, node long")), "buckets")
-    met = staged(hits.select("node").union(hits.select("hub")).distinct(), "met")
-    rep = each.filter("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key")).join(met, "node", "left_semi")
-    one = docs.select("key", "text").join(rep, "key").groupBy("node").agg(F.first("text").alias("text"))
-    sets = staged(one.mapInArrow(_sets, "node long, items array<long>"), "items")
-    return each, hits, sets
+    first = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "k1", "k2")).alias("first"))
+    kept = first.select("first.k1", "first.k2").union(found.filter("comp IS NULL").select("k1", "k2")).distinct()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_keys()).join(kept, ["k1", "k2"], "left_semi")
+    return rows.dropDuplicates(["k1", "k2"]).select("row.*")
+
+
+def _placed(rows: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, n_shingles, comp) of all rows; comp is null for empty sets."""
+    each = _comp("node", comps, nodes).select("digest", "comp")
+    some = rows.filter("digest IS NOT NULL").join(each, "digest")
+    none = rows.filter("digest IS NULL").withColumn("comp", F.lit(None).cast("long"))
+    return some.unionByName(none).drop("digest")
+
+
+def _linked(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, k1, k2, n_shingles, digest) of all rows, (digest, node), and (node, comp) of the nodes that have links."""
+    spark, made = df.sparkSession, []
+    rows, texts = _distinct(df)
+    comps, todo, sets = None, texts.select("node", "text"), None
+    for level in range(len(LEVELS)):
+        hits = staged(_buckets(todo.mapInArrow(_signer(level), "sig long, node long")), "buckets", made)
+        if sets is None:
+            sets = _items(texts, hits, made)
+        pairs = staged(hits.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs", made)
+        # each node's least hub first: most of what is linked is one component after that
+        comps = _merged(verified(_apart(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), comps), sets), comps)
+        comps = _merged(verified(_apart(pairs, comps), sets), comps)
+        # hubs have been compared; what is left of a bucket are the others
+        left = staged(_open(hits.select("sig", "node"), comps), "open", made)
+        comps = _merged(verified(_cross(left.filter(F.col("n") <= SMALL)), sets), comps)
+        large = left.filter(F.col("n") > SMALL)
+        if large.isEmpty():
+            break
+        todo = sets.join(large.select("node").distinct(), "node", "left_semi")
+    else:
+        ties = large.join(hits, ["sig", "node"]).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        comps = _merged(_blocks(ties, comps, sets), comps)
+    comps = staged(comps, "components")
+    discard(spark, made)
+    return rows, texts.select("digest", "node"), comps
+
+
+def _distinct(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, n_shingles, digest) of all rows, and (node, digest, text): each distinct set once, numbered, with a text that has it."""
+    schema = "doc_id long, k1 long, k2 long, n_shingles long, digest binary, text string"
+    each = staged(df.select("doc_id", "text", *_keys()).mapInArrow(_describe, schema), "rows")
+    one = each.filter("text IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text"))
+    return each.drop("text"), staged(one.select(F.monotonically_increasing_id().alias("node"), "digest", "text"), "nodes")
+
+
+def _items(texts: DataFrame, hits: DataFrame, made: list[str]) -> DataFrame:
+    """(node, items) of the sets that share a signature."""
+    met = hits.select("node").union(hits.select("hub")).distinct()
+    return staged(texts.select("node", "text").join(met, "node", "left_semi").mapInArrow(_sets, "node long, items array<long>"), "items", made)
 
 
 def _pairs(hits: DataFrame) -> DataFrame:
@@ -375,15 +443,19 @@ def links(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Unlike ``join`` it compares all members of all buckets, so its work grows with the square of a family.
     """
-    each, hits, sets = _signed(df)
+    made: list[str] = []
+    rows, texts = _distinct(df)
+    hits = staged(_buckets(texts.select("node", "text").mapInArrow(_signer(0), "sig long, node long")), "buckets", made)
+    sets = _items(texts, hits, made)
     size = hits.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    small = hits.join(size.filter(F.col("n") < SMALL), "sig", "left_semi")
+    few = hits.join(size.filter(F.col("n") < SMALL), "sig", "left_semi")
     crowded = hits.join(size.filter(F.col("n") >= SMALL), "sig", "left_semi")
-    large = crowded.select("node").union(crowded.select("hub")).distinct()
-    with arrow_rows(df.sparkSession, BATCH_ROWS):
-        again = staged(_buckets(sets.join(large, "node", "left_semi").mapInArrow(_sign_again, "sig long, node long")), "again")
-    found = staged(_pairs(small).union(_pairs(again)).distinct(), "pairs")
-    return each.select("doc_id", "n_shingles", "node"), staged(verified(found, sets), "links")
+    many = crowded.select("node").union(crowded.select("hub")).distinct()
+    again = staged(_buckets(sets.join(many, "node", "left_semi").mapInArrow(_signer(1), "sig long, node long")), "buckets", made)
+    found = staged(verified(_pairs(few).union(_pairs(again)).distinct(), sets), "links")
+    discard(df.sparkSession, made)
+    nodes = rows.filter("digest IS NOT NULL").join(texts.select("digest", "node"), "digest").unionByName(rows.filter("digest IS NULL").withColumn("node", F.lit(None).cast("long")))
+    return nodes.select("doc_id", "n_shingles", "node"), found
 
 
 def link_counts(df: DataFrame) -> DataFrame:
@@ -394,10 +466,3 @@ def link_counts(df: DataFrame) -> DataFrame:
     near = both.join(copies.toDF("other", "more"), "other").groupBy("node").agg(F.sum("more").alias("more"))
     counts = copies.join(near, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     return each.join(counts, "node", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def _ids(each: DataFrame, comps: DataFrame) -> DataFrame:
-    found = each.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return found.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-
