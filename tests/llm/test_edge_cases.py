@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -11,8 +13,9 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lexspan.llm import byte_bpe, chat, fixity, license_rules, license_scan, media, mixing, partenum, safe_split, token_counts, toxicity, winnowing
+from lexspan.llm import byte_bpe, chat, common, fixity, license_rules, license_scan, media, mixing, partenum, safe_split, token_counts, toxicity, winnowing
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 LONG = "word " * 40_000 + "x" * 30_000
@@ -54,18 +57,33 @@ def test_counts(odd, none):
     assert token_counts.count_tokens(none, JSON).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=" ab\n\t'é漢😀\x1c\x85  0!<|>endoftext", max_size=60))
-def test_counts_like_the_library(x):
-    from tokenizers import Tokenizer
+LIBRARY = Tokenizer.from_file(JSON)
+ODD = st.lists(st.sampled_from([*" ab\n\t'é漢字。，😀\x1c\x85\u3000 0!<|>.;한あ²½_", "<|endoftext|>", "don't", "'ll", "\n\n", "a1", "3.14"]), max_size=40).map("".join)
+
 
+@settings(max_examples=300, deadline=None)
+@given(ODD)
+def test_counts_like_the_library(x):
     t = token_counts.Counter.of(JSON)
-    assert t.lengths([x]) == [len(Tokenizer.from_file(JSON).encode(x, add_special_tokens=False))] if len(x) < 3 else True
+    want = len(LIBRARY.encode(x, add_special_tokens=False))
+    assert t.lengths([x]) == [want]
+    assert t.lengths([x], block=3) == [want]  # however small the blocks
     assert "".join(safe_split.blocks(x, 5)) == x
 
 
+def test_count_batches():
+    sizes = [5, 5, 30, 1, 1, 9, 9]
+    assert [sizes[p] for p in token_counts.packs(sizes, 11)] == [[5, 5], [30], [1, 1, 9], [9]]
+    assert list(token_counts.packs([], 11)) == []
+    for x in ("漢字かな混じり文。" * 5_000, "short line\n" * 9_000, "a1b2" * 9_000, "漢" * 50_000):
+        assert token_counts.Counter.of(JSON).lengths([x]) == [len(LIBRARY.encode(x, add_special_tokens=False))]
+    assert len(safe_split.blocks("漢字かな混じり文。" * 5_000, 4_096)) > 9 and len(safe_split.blocks("short line\n" * 9_000, 4_096)) > 20
+    assert safe_split.cut_through("<a 1>") and not safe_split.cut_through("<|endoftext|>")
+
+
 def test_bpe(odd, none):
     rows = byte_bpe.encode_decode(odd, RANKS, P.PATTERN).collect()
+    assert {"ids"} == set(byte_bpe.encode(odd, RANKS, P.PATTERN).columns) - set(byte_bpe.digests(odd, RANKS, P.PATTERN).columns)
     assert all(r["round_trip"] and r["decoded"] == (r["text"] or "") and len(r["ids"]) == r["n_tokens"] for r in rows)
     assert byte_bpe.digests(none, RANKS, P.PATTERN).count() == 0
 
@@ -80,6 +98,18 @@ def test_bpe_like_the_library():
         assert ids.tolist() == t.encode_ordinary(x) and text == " ".join(map(str, ids))
 
 
+def test_bpe_bounds(monkeypatch):
+    """Tables that are cleared within a match, and a memo that holds next to nothing, change no id."""
+    monkeypatch.setattr(byte_bpe, "MAX_STATES", 20)
+    monkeypatch.setattr(byte_bpe, "MEMO_CHARS", 30)
+    e = byte_bpe.Encoder(byte_bpe.load_ranks(RANKS), P.PATTERN)
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
+    rng = random.Random(6)
+    for x in ["".join(rng.choice("etaoinshrdlu") for _ in range(5_000)), "the cat " * 300, "漢字" * 500]:
+        assert e.encode(x)[0].tolist() == t.encode_ordinary(x)
+        assert len(e.machine._states) <= 21 and sum(len(w) for w in e._memo) < 60
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=40), st.lists(st.integers(1, 5), max_size=12))
 def test_utf8_stream(data, sizes):
@@ -105,22 +135,88 @@ def test_media_cuts():
     assert media.samples_of(media.store_form(b"abc" * 20)) == b"abc" * 20
 
 
+def _replica(rows):
+    """(file_id, record_offset, data) of (file_id, data), by the rule that pack follows."""
+    out, ends = [], {}
+    name = lambda d: hashlib.md5(d.split(b"urn:page:")[1].split(b">")[0]).hexdigest() if b"urn:page:" in d else hashlib.md5(b"").hexdigest()
+    for f, d in sorted(rows, key=lambda r: (r[0], name(r[1]), hashlib.sha256(r[1]).hexdigest())):
+        out.append((f, ends.get(f, 0), bytearray(d)))
+        ends[f] = ends.get(f, 0) + len(d)
+    return out
+
+
+def _warc(i, html="<p>x</p>"):
+    return f"WARC/1.0\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(html.encode())}\r\n\r\n{html}\r\n\r\n".encode()
+
+
+REPLICA = "file_id long, record_offset long, data binary"
+
+
 def test_fixity(spark):
-    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(300)] + [(None, None, None)] * 3, "page_id long, url string, html string")
-    bad = {7, 250}
-    digest = lambda html: F.sha2(fixity.record(F.col("page_id"), F.col("url"), html), 256)
-    theirs = F.when(F.col("page_id") == 100, None).otherwise(F.when(F.col("page_id").isin(*bad), digest(F.lit("x"))).otherwise(digest(F.col("html"))))
-    records = pages.select("page_id", digest(F.col("html")).alias("digest"), F.octet_length(fixity.record(F.col("page_id"), F.col("url"), F.col("html"))).cast("long").alias("record_length"), theirs.alias("replica_digest"))
-    rows = fixity.audit(records, 303, per_file=64).collect()
-    assert {r["page_id"] for r in rows if not r["intact"]} == bad | {100}
-    assert [r["copies"] for r in rows if r["page_id"] is None] == [3]
-    assert len({r["file_id"] for r in rows}) == 5
-    for f in {r["file_id"] for r in rows}:
-        at = 0
-        for r in sorted((r for r in rows if r["file_id"] == f), key=lambda r: r["seq"]):
-            assert r["record_offset"] == at
-            at += r["record_length"]
-    assert fixity.audit(records.limit(0), 0).count() == 0
+    """Each kind of fault, one long record, one id twice, and a file that only one replica has."""
+    ours = {i: (i % 3, _warc(i, f"<p>{i}</p>" * (1 if i != 9 else 60_000))) for i in range(90)}
+    theirs = dict(ours)
+    theirs[7] = (1, ours[7][1][:-5])  # shorter: what follows it shifts
+    theirs[8] = (2, ours[8][1].replace(b"<p>", b"<q>"))
+    theirs[9] = (0, ours[9][1][:100_000] + b"?" + ours[9][1][100_001:])
+    theirs[10] = (2, ours[10][1])
+    del theirs[11]
+    theirs[500] = (0, _warc(500))
+    theirs[501] = (5, _warc(501))
+    theirs["b"] = (1, b"no record at all")
+    a, b = (spark.createDataFrame(_replica(x.values()), REPLICA) for x in (ours, theirs))
+    twice = [(0, _warc(600, "one")), (0, _warc(600, "two"))]
+    b2 = spark.createDataFrame(_replica([*theirs.values(), twice[0]]), REPLICA)
+    rows = fixity.audit(a, b).collect()
+    by = {r["record_id"]: r for r in rows}
+    assert {k: r["status"] for k, r in by.items() if r["status"] != "intact"} == {"7": "damaged", "8": "damaged", "9": "damaged", "10": "moved", "11": "missing", "500": "extra", "501": "extra", "": "extra"}
+    assert len(rows) == 93 and (by["10"]["file_id"], by["10"]["replica_file_id"]) == (1, 2)
+    assert [by[k]["well_formed"] for k in ("7", "8", "9", "11", "")] == [False, True, True, None, False]
+    place = {bytes(d): (f, at) for f, at, d in _replica(x for x in theirs.values())}
+    assert all((r["replica_file_id"], r["replica_offset"]) == place[theirs[int(k)][1]] for k, r in by.items() if k and r["status"] != "missing")
+    a2 = spark.createDataFrame(_replica([*ours.values(), *twice]), REPLICA)
+    assert sorted((r["record_sha256"] == hashlib.sha256(twice[0][1]).hexdigest(), r["status"]) for r in fixity.audit(a2, b2).collect() if r["record_id"] == "600") == [(False, "missing"), (True, "intact")]
+    same = fixity.audit(a, a).collect()
+    assert {r["status"] for r in same} == {"intact"} and all(r["root_sha256"] == r["replica_root_sha256"] for r in same)
+    assert fixity.audit(a.limit(0), b.limit(0)).count() == 0
+    assert {r["status"] for r in fixity.audit(a.limit(0), b).collect()} == {"extra"} and {r["status"] for r in fixity.audit(a, b.limit(0)).collect()} == {"missing"}
+
+
+def test_fixity_tree(spark):
+    """Roots by a plain recursion over the bytes, and offsets that are part of the hashes."""
+    rows = _replica([(0, _warc(i)) for i in range(40)])
+
+    def node(found, digits):
+        if digits > fixity.LEVELS:
+            ((at, d),) = found
+            return at, hashlib.sha256(d).hexdigest(), at + len(d)
+        below = {}
+        for at, d in found:
+            path = hashlib.md5(bytes(d).split(b"urn:page:")[1].split(b">")[0]).hexdigest()
+            below.setdefault((path[:digits], at) if digits > fixity.LEVELS - 1 else path[: digits + 1], []).append((at, d))
+        parts = sorted(node(x, digits + 1) for x in below.values())
+        start, end = parts[0][0], max(p[2] for p in parts)
+        return start, hashlib.sha256((",".join(f"{h}:{s - start}:{e - s}" for s, h, e in parts) + f"|{end - start}").encode()).hexdigest(), end
+
+    root = lambda rows: fixity.tree(fixity.leaves(spark.createDataFrame(rows, REPLICA))).first()["root"]
+    assert root(rows) == node([(at, d) for _, at, d in rows], 0)[1]
+    assert root([(f, at + (i > 20), d) for i, (f, at, d) in enumerate(rows)]) != root(rows)  # a gap of one byte
+    assert root([(f, at + 7, d) for f, at, d in rows]) == root(rows)  # the whole file shifted
+
+
+def test_fixity_pages(spark):
+    """Nulls, repeated rows and other columns of pages."""
+    rows = [(i, f"u{i}", f"<p>{i}</p>", "mine") for i in range(300)] + [(None, None, None, "mine")] * 3 + [(5, "u5", "other", "mine")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, data string")
+    found = fixity.audited(pages, per_file=64).collect()
+    assert [r["copies"] for r in found if r["record_length"] and r["page_id"] is None] == [3]
+    assert sum(1 for r in found if r["page_id"] == 5 and r["record_length"]) == 2
+    draw = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:6], 16)
+    want = lambda d: "missing" if d % 211 == 5 else "damaged" if d % 101 == 7 or d % 103 == 9 else "moved" if d % 223 == 6 else "intact"
+    assert all(r["status"] == want(draw(r["page_id"])) for r in found if r["page_id"] is not None)
+    assert {r["status"] for r in found} >= {"missing", "damaged", "intact"}
+    assert len({r["file_id"] for r in found if r["file_id"] is not None}) == 5
+    assert fixity.audited(pages.limit(0)).count() == 0
 
 
 @settings(max_examples=200, deadline=None)
@@ -140,6 +236,30 @@ def test_chat(spark):
     assert chat.read_back(chat.format_turns(df.limit(0), RANKS, P.PATTERN), RANKS, P.PATTERN).count() == 0
 
 
+def test_chat_long_and_clashing(spark):
+    long = "<|turn|> [INST] word " * 20_000
+    rows = [(1, i, "assistant" if i % 2 else "user", x, 9, "mine") for i, x in enumerate(["hi", long, None, "⁠", "<⁠|turn|>"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids long, head string")
+    turns = chat.format_turns(df, RANKS, P.PATTERN)
+    r = chat.read_back(turns, RANKS, P.PATTERN).first()
+    learned = long + "⁠"
+    assert (r["loss_chars"], r["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    shown = "".join(f"{chat.TURN}{x[2]}{chat.SEP}{chat.escape(x[3] or '')}{chat.END}" for x in rows)
+    assert r["formatted_chars"] == len(shown)
+    codec = chat.Codec.of(RANKS, P.PATTERN)
+    assert codec.render([i for t in turns.orderBy("turn").collect() for i in t["ids"]]) == shown
+
+
+def test_mixing_clashes_and_shared_ids(spark):
+    rows = [(None if i % 2 else 7, f"w{i} " * 3, "s", i, 1, "x") for i in range(2000)] + [(i, "w " * 9000, "t", i, 1, "x") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, of long, mix_times long, mix_copy string")
+    got = mixing.repeated(df)
+    assert got.columns == df.columns
+    by = {r["source"]: r for r in mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert abs(by["s"]["taken"] - by["s"]["target"]) <= 60  # shared ids, and yet near the target
+    assert got.select(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0] == sum(r["taken"] for r in by.values())
+
+
 def test_mixing(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 6 and all(r["taken"] == 0 for r in rows if r["size"] == 0)
@@ -160,6 +280,32 @@ def test_toxicity(spark, odd, none):
     assert toxicity.features("", toxicity.Lexicon({}, {})) == [0.0] * len(toxicity.NAMES)
 
 
+def test_toxicity_labels(spark):
+    """Labels of held-out rows never matter; conflicting labels are both used; columns may have any name."""
+    rng = random.Random(8)
+    text = lambda bad: " ".join(rng.choice(["you idiot", "stupid clown", "hate"] if bad and rng.random() < 0.4 else ["plain", "words", "of", "prose", "here"]) for _ in range(30))
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t, _ in rows], "doc_id long, text string, score string, features string")
+    labels = lambda flip: spark.createDataFrame([(i, 1, 1 - y if flip and zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, _, y in rows] + [(1, 1, 1)], "doc_id long, quality int, toxic int")
+    one, two = ({r["doc_id"]: (r["score"], r["held_out"]) for r in toxicity.score(docs, labels(f)).collect()} for f in (False, True))
+    assert one == two and sum(h for _, h in one.values()) > 100
+    held = [(one[i][0] >= 0.3) == bool(y) for i, _, y in rows if one[i][1]]
+    assert sum(held) / len(held) > 0.95
+
+
+def test_winnowing_ties(spark):
+    """Shared and missing ids are divided among ranges; every row still gets its successor."""
+    rows = [(i % 3 if i % 4 else None, f"text number {i % 40} " * 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), -tie[r[1]], r[1]))
+    want = sorted((str(a[0]), hashlib.sha256(winnowing.edited_text(a[1], b[1]).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    dealt = winnowing.with_next(df, 9)
+    got = dealt.mapInArrow(lambda bs: (p.rename_columns(winnowing._NAMES).select(["doc_id", "edited_sha256"]) for p in winnowing._pairs(bs)), "doc_id long, edited_sha256 string")
+    assert sorted((str(r[0]), r[1]) for r in got.collect()) == want
+    assert dealt.select(F.spark_partition_id().alias("p"), "range").distinct().groupBy("p").count().filter("count > 1").count() == 0
+
+
 def test_winnowing(spark, odd, none):
     rows = winnowing.edits(odd).collect()
     assert len(rows) == 6
@@ -212,8 +358,62 @@ def test_jaccard_tie_of_long_texts():
     x, y = np.arange(both), np.arange(both * 9 // 4 - both)
     items = pa.ListArray.from_arrays(pa.array([0, len(x), len(x) + len(y)], pa.int32()), pa.array(np.concatenate([x, y])))
     assert both * 100 == 80 * len(y)
-    found = partenum._compare(pa.table({"node": pa.array([1, 2], pa.int64()), "items": items}))
-    assert found.to_pylist() == [{"a": 1, "b": 2}]
+    for first in ([True, True], [True, False], [False, True]):
+        found = partenum._compare(pa.table({"node": pa.array([1, 2], pa.int64()), "items": items, "first": pa.array(first)}))
+        assert [set(r.values()) for r in found.to_pylist()] == [{1, 2}]
+
+
+@pytest.mark.parametrize("level", range(len(partenum.LEVELS)))
+def test_jaccard_signatures(level):
+    """Sets at the threshold share a signature at each level, whatever their size."""
+    rng = random.Random(level)
+    for n in [*range(1, 40), 63, 64, 65, 100, 127, 128, 129, 400, 1000]:
+        for _ in range(8):
+            one = rng.sample(range(1 << 60), n)
+            gone = rng.randint(0, n // 9)
+            new = rng.randint(0, n // 5)
+            a, b = np.array(sorted(one), np.uint64), np.array(sorted(one[gone:] + rng.sample(range(1 << 60), new)), np.uint64)
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both) and not np.array_equal(a, b):
+                assert len(np.intersect1d(partenum.signatures(a, level), partenum.signatures(b, level)))
+
+
+def test_components(spark, monkeypatch):
+    """A star, a path and a ring; the star's centre counts as a node with very many edges."""
+    monkeypatch.setattr(partenum, "HOT", 3)
+    star = [(5, 100 + i) for i in range(400)]
+    path = [(1000 + i, 1001 + i) for i in range(60)]
+    ring = [(2000 + i, 2000 + (i + 1) % 9) for i in range(9)]
+    df = spark.createDataFrame(star + path + ring + ring, "a long, b long")
+    got = {r["node"]: r["comp"] for r in partenum.components(df).collect()}
+    assert got == {x: 5 if x < 1000 else 1000 if x < 2000 else 2000 for pair in star + path + ring for x in pair}
+    assert partenum.components(df.limit(0)).count() == 0
+
+
+def test_staging(spark, tmp_path, monkeypatch):
+    """Off one machine a shared folder must be named; tables that nobody reads any more are deleted; a session's settings stay."""
+    made = []
+    df = common.staged(spark.range(5), "test", made)
+    assert df.count() == 5
+    common.discard(spark, made)
+    assert made == [] and not list(Path(common.shared_dir(spark).removeprefix("file://")).rglob("test-*"))
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Elsewhere)
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    common.table(spark, "/root/testdata/sf0.001", "documents").count()
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    batch = pa.record_batch({"x": pa.array(["a" * 1000] * 10)})
+    assert [b.num_rows for b in common.small(iter([batch, batch.slice(0, 0)]), rows=4)] == [4, 4, 2]
+    assert [b.num_rows for b in common.small(iter([batch]), size=2500)] == [2] * 5
 
 
 def test_representatives(spark):

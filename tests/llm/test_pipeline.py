@@ -34,3 +34,29 @@ def test_stages(spark, tmp_path):
 
 def test_whole(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_odd_rows(spark):
+    """Nulls, ties, repeated rows, a very long text and columns of any name go through every stage; an empty table does, too."""
+    sf = "/root/testdata/sf0.001"
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [base, base, base + " end", None, "", "alone here", "alone here", "word " * 60_000 + "x" * 20_000]
+    rows = [(i if i % 5 else None, x, "en", "s" if i % 2 else None, 0.5, "a", 1, "b") for i, x in enumerate(texts)] + [(2, base, "en", "s", 0.5, "a", 1, "b")] * 2
+    schema = "doc_id long, text string, lang string, source string, toxicity_score double, mix_copy string, k1 long, row string"
+    docs = spark.createDataFrame(rows, schema)
+    for data in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, data, sf)
+            got = out.collect()
+            if name == "byte_bpe":
+                assert len(got) == data.count() and all(r["round_trip"] for r in got)
+                break
+            assert out.columns == docs.columns
+            if not data.isEmpty():
+                kept = [r["text"] for r in got]
+                assert {"toxicity": 10, "near_duplicates": 5, "mix": None}[name] in (len(got), None)
+                if name == "near_duplicates":
+                    assert sorted(map(str, kept)) == sorted(map(str, [base, None, "", "alone here", texts[-1]]))
+                if name == "mix":
+                    assert set(kept) <= {base, "alone here", texts[-1]} and max(map(kept.count, kept)) <= 2
+            data = spark.createDataFrame(got, schema)
