@@ -13,7 +13,6 @@ no other row of the component has one. Repeated rows with empty texts are one do
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers as tokenizers
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm import byte_bpe, mixing, partenum, toxicity
-from lexspan.llm.common import shared_dir, table
+from lexspan.llm.common import discard, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,8 +28,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score is below the threshold, scored in one pass over whole texts."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = model.scored(docs, docs.columns, name="toxicity_score")
-    return scored.filter(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+    name = max(docs.columns, key=len) + "_score"  # longer than any column's
+    return model.scored(docs, docs.columns, name=name).filter(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256, round_trip."""
-    out = byte_bpe.encode_decode(docs.select("doc_id", "source", "text"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
-    return out.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip")
+    return byte_bpe.encode(docs.select("doc_id", "source", "text"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [("toxicity", not_toxic), ("near_duplicates", one_of_each), ("mix", mixed), ("byte_bpe", encoded)]
@@ -56,9 +54,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
+        made: list[str] = []
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", made)
+        discard(spark, before)
+        before = made
     return docs
