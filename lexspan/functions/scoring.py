@@ -52,9 +52,12 @@ def set_overlap(a: Column, b: Column) -> Column:
 
 
 def relevance(query: Column, label: Column, definition: Column, label_overlap: Column, definition_overlap: Column, preferred: Column | None = None, preferred_overlap: Column | None = None, synonym_overlap: Column | None = None) -> Column:
-    """0 to 99: exact by word count, containment either way of four letters or more, overlap of words, the preferred label and synonyms a little less; a definition adds at most 8."""
-    q, t = F.lower(query), F.lower(label)
-    n = F.size(F.split(F.btrim(q), r"\s+"))
+    """0 to 99: exact by word count, containment either way of four letters or more, overlap of words, the preferred label and synonyms a little less.
+
+    A definition adds at most 8 to what the names score; where they score nothing, its own score stands.
+    """
+    q, t = F.lower(F.btrim(query)), F.lower(label)
+    n = F.size(F.split(q, r"\s+"))
     exact = F.when(n >= 3, EXACT[2]).when(n == 2, EXACT[1]).otherwise(EXACT[0])
     by_name = [
         F.when(F.contains(t, q) & (F.length(q) >= CONTAINED_LEAST), CONTAINS).otherwise(0.0),
@@ -67,7 +70,8 @@ def relevance(query: Column, label: Column, definition: Column, label_overlap: C
     if synonym_overlap is not None:
         by_name.append(synonym_overlap * SYNONYM)
     by_definition = F.when(F.contains(F.lower(definition), q), 60.0).otherwise(definition_overlap * 55.0)
-    best = F.greatest(*by_name, by_definition) + F.least(by_definition * 0.12, F.lit(8.0))
+    named = F.greatest(*by_name)
+    best = F.when(named > 0, named + F.least(by_definition * 0.12, F.lit(8.0))).otherwise(by_definition)
     return F.when((q == "") | (t == ""), 0.0).when(q == t, exact).otherwise(F.round(F.least(best, F.lit(99.0)), 1))
 
 

@@ -69,10 +69,10 @@ def unfenced(c: Column) -> Column:
 
 
 def dehyphenate(c: Column) -> Column:
-    """Text of pages: words cut at line ends joined, single newlines to spaces, lines of a bare number dropped."""
-    c = F.regexp_replace(c, r"(?m)^\s*\d+\s*$", "")
-    c = F.regexp_replace(c, r"([A-Za-z])-\n([a-z])", "$1$2")
-    return F.regexp_replace(c, r"(?<!\n)\n(?!\n)", " ")
+    """Text of pages: words cut at line ends joined, then lines that go on in lower case unless a sentence ended, then lines of a bare number between others dropped."""
+    c = F.regexp_replace(c, r"(?U)(\w)-\n(\w)", "$1$2")
+    c = F.regexp_replace(c, r"(?<![.!?:;\n])\n(?=[a-z])", " ")
+    return F.regexp_replace(c, r"(?U)\n\s*[0-9]+\s*\n", "\n")
 
 
 def relation_name(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Entities that patterns find, with code point offsets, and their deduplication within a document."""
+"""Entities that patterns and models find, with code point offsets, and individuals merged from them within a document."""
 
 from __future__ import annotations
 
@@ -6,13 +6,33 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
-_NUMBER = "(?:one|two|three|four|five|six|seven|eight|nine|ten|twelve|fifteen|twenty|thirty|forty|sixty|ninety)"
+#: Words that patterns are made of.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+ONES = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+SCALES = ["hundred", "thousand", "million", "billion", "trillion"]
+UNITS = ["second", "minute", "hour", "day", "week", "month", "year", "decade"]
+CIRCUITS = ["First", "Second", "Third", "Fourth", "Fifth", "Sixth", "Seventh", "Eighth", "Ninth", "Tenth", "Eleventh", "Federal", "D.C.", "DC"]
+COURTS = ["Superior", "District", "Circuit", "Appellate", "Family", "Probate", "Surrogate", "Surrogate's", "Municipal", "Juvenile", "Small Claims", "County"]
+STREETS = ["Street", "St", "Avenue", "Ave", "Boulevard", "Blvd", "Road", "Rd", "Drive", "Dr", "Lane", "Ln", "Way", "Court", "Ct", "Place", "Pl", "Plaza", "Circle", "Cir", "Terrace", "Ter", "Pike", "Highway", "Hwy"]
+MEANS = ["mean", "means", "shall mean", "is defined as", "refers to", "shall refer to", "has the meaning", "hereby defined as"]
+CONDITIONS = ["if", "unless", "provided that", "subject to", "on condition that", "on the condition that", "in the event", "in the event that", "notwithstanding", "except that", "except where", "except when", "except as", "contingent upon"]
+CONSTRAINTS = ["no more than", "no less than", "no fewer than", "at least", "at most", "not to exceed", "shall not exceed", "must not exceed", "will not exceed", "up to", "up to and including", "a maximum of", "a minimum of", "not more than", "not less than", "not fewer than", "no later than"]
+STOP_ENTITIES = [
+    "de novo", "de facto", "de jure", "de minimis", "ex parte", "ex rel", "habeas corpus", "in camera", "in forma pauperis", "in limine", "in personam", "in re", "in rem", "inter alia", "mens rea",
+    "nolo contendere", "nunc pro tunc", "per curiam", "per se", "prima facie", "pro bono", "pro hac vice", "pro se", "pro tem", "pro tempore", "quantum meruit", "quasi", "res judicata",
+    "stare decisis", "sua sponte", "sub judice", "sui generis", "voir dire", "appellant", "appellee", "petitioner", "respondent", "plaintiff", "defendant", "amicus curiae", "amici curiae",
+]
+ORGANIZATION_ENDS = ["LLP", "LLC", "L.L.P.", "L.L.C.", "Inc", "Corp", "Corporation", "Ltd", "Limited", "PC", "P.C.", "PA", "P.A.", "PLLC", "P.L.L.C.", "LP", "L.P.", "PLC", "GmbH", "AG", "SA", "S.A.", "Co.", "Associates", "Partners", "Group", "Holdings", "Foundation", "International", "Bancorp", "Bank", "Trust"]
+
+
+def _any(words: list[str]) -> str:
+    """One of these, the longest first, with any white space for their spaces."""
+    return "(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in sorted(words, key=len, reverse=True)) + ")"
 
 
 class Extractor(NamedTuple):
@@ -20,85 +40,276 @@ class Extractor(NamedTuple):
     confidence: float
     least: int = 1
     group: int = 0
+    kind: str = ""  # what its finds are called
+
 
+_MONTH = "(?:" + "|".join(f"{m}|{m[:3]}\\.?" for m in MONTHS) + "|Sept\\.?)"
+_AMOUNT = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+_QUOTED = '["“]([A-Z][\\w\\s]{1,60}?)["”]'
+_NAME = r"[A-Z][a-zA-Z]+(?: [A-Z][a-zA-Z]+)*"
 
-#: Patterns are written for both Python and RE2. Confidences are fixed values.
+#: Confidences are fixed values.
 EXTRACTORS: dict[str, Extractor] = {
-    "money": Extractor(r"(?i)(?:[$€£¥] ?[0-9][0-9,]*(?:\.[0-9]+)?(?: ?(?:thousand|million|billion))?|[0-9][0-9,]*(?:\.[0-9]+)? (?:dollars|euros|pounds|USD|EUR|GBP))", 0.93, 2),
-    "date": Extractor(rf"(?:{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|the [0-9]{{1,2}}(?:st|nd|rd|th) day of {_MONTH}(?:,? [0-9]{{4}})?)", 0.92),
-    "duration": Extractor(rf"(?i)(?:[0-9]+|{_NUMBER})(?: \([0-9]+\))?[ -](?:business |calendar )?(?:days?|weeks?|months?|years?|hours?)", 0.90),
-    "percent": Extractor(r"(?i)[0-9]+(?:\.[0-9]+)? ?(?:%|percent|per cent|basis points)", 0.93),
-    "court": Extractor(r"(?:(?:United States|U\.S\.) (?:Supreme Court|District Court|Court of Appeals|Bankruptcy Court)|Supreme Court of [A-Z][a-z]+|[A-Z][a-z]+ (?:Superior|Circuit|County|Family) Court)", 0.91),
-    "definition": Extractor(r"\"([^\"]{2,60})\" (?:means|shall mean|refers to|is defined as)", 0.88, 1, 1),
-    "condition": Extractor(r"(?i)(?:provided that|in the event that|subject to|on condition that|unless and until|unless|if and only if)", 0.85),
-    "constraint": Extractor(r"(?i)(?:at least|at most|no more than|no less than|not to exceed|no later than|not exceeding|up to)", 0.85),
-    "address": Extractor(r"[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|Avenue|Road|Boulevard|Lane|Drive|Court|Plaza|Way)(?:, (?:Suite|Apt\.?|Floor) [0-9A-Z]+)?(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)?, [A-Z]{2}(?: [0-9]{5})?)?", 0.87, 10),
-    "trademark": Extractor(r"[A-Z][A-Za-z0-9]*(?: [A-Z][A-Za-z0-9]*)? ?[®™]", 0.93),
-    "copyright": Extractor(r"(?:©|\([cC]\)|[Cc]opyright(?: ©| \([cC]\))?) ?[0-9]{4}(?:[-–][0-9]{4})?(?: [A-Z][A-Za-z]+)*", 0.93),
-    "email": Extractor(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.90),
-    "citation": Extractor(r"[0-9]+ (?:U\.S\.|F\.(?:2d|3d)|S\. ?Ct\.|F\. ?Supp\.(?: 2d)?) [0-9]+|[0-9]+ U\.S\.C\. §+ ?[0-9]+[a-z]?", 0.92),
+    "money": Extractor(rf"(?i)[$€£¥₹]\s*{_AMOUNT}(?:\s*(?:{_any(SCALES)}|[kmbt])\b(?:\s+dollars?\b)?)?|\b{_AMOUNT}\s*(?:dollars?|cents?|pounds?|euros?|USD|EUR|GBP|JPY)\b|\b(?:{_any(ONES + TENS + SCALES)}[\s-]+)+(?:dollars?|cents?|pounds?|euros?)\b", 0.93, 2, kind="Monetary Amount"),
+    "date": Extractor(rf"(?i)\b{_MONTH}\s+[0-9]{{1,2}},?\s+[0-9]{{4}}\b|\b[0-9]{{1,2}}\s+{_MONTH}\s+[0-9]{{4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b|\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}\b|\bthe\s+[0-9]{{1,2}}(?:st|nd|rd|th)\s+day\s+of\s+{_MONTH}(?:,?\s+[0-9]{{4}}\b)?", 0.92, kind="Date"),
+    "duration": Extractor(rf"(?i)(?:\b[0-9]+(?:\.[0-9]+)?|\b{_any(ONES + TENS)})(?:\s*\([0-9]+\))?[\s-]+(?:business\s+|calendar\s+)?{_any(UNITS)}s?\b", 0.90, kind="Duration"),
+    "percent": Extractor(rf"(?i)\b[0-9]+(?:\.[0-9]+)?\s*%|\b(?:[0-9]+(?:\.[0-9]+)?|{_any([*ONES, *TENS, 'hundred'])})\s+per\s?cent\b|\b[0-9]+(?:\.[0-9]+)?\s+basis\s+points?\b", 0.93, kind="Percentage"),
+    "court": Extractor(
+        rf"(?:United States|U\.S\.) (?:(?:District|Circuit|Bankruptcy|Tax) Court|Supreme Court|Court of Appeals)|Supreme Court of (?:the United States|{_NAME})|{_any(CIRCUITS)} Circuit\b"
+        rf"|\b[SNWCE]\.D\.\s*(?:[A-Z]\.)?[A-Z][a-z]*\.?|Court of (?:Appeals?|Common Pleas|Claims|Chancery)(?: (?:for|of) (?:the )?{_NAME})?|(?:\b{_NAME} )?{_any(COURTS)} Court(?: (?:of|for) (?:the )?{_NAME})?",
+        0.91, kind="Court",
+    ),
+    "definition": Extractor(rf"(?i){_QUOTED}\s+{_any(MEANS)}\b", 0.88, 1, 1, kind="Definition"),
+    "condition": Extractor(rf"(?i)\b{_any(CONDITIONS)}\b", 0.85, kind="Condition"),
+    "constraint": Extractor(rf"(?i)\b{_any(CONSTRAINTS)}\b", 0.85, kind="Constraint"),
+    "address": Extractor(rf"\b[0-9]{{1,5}}\s+{_NAME}\s+{_any(STREETS)}\b\.?(?:,?\s+(?:Suite|Ste|Apt|Unit|Floor|Fl|Room|Rm)\.?\s*[0-9A-Z]+\b)?(?:,?\s+{_NAME})?(?:,?\s+[A-Z]{{2}}\b)?(?:\s+[0-9]{{5}}(?:-[0-9]{{4}})?\b)?", 0.87, 10, kind="Address"),
+    "trademark": Extractor(r"[A-Z]\w*(?: [A-Z]\w*)* ?[®™]", 0.93, kind="Trademark"),
+    "copyright": Extractor(rf"(?i:©|\(c\)|Copyright(?:\s*(?:©|\(c\)))?)\s*[0-9]{{4}}(?:\s*[-–]\s*[0-9]{{4}})?(?:\s+{_NAME}(?:,? (?:Inc|LLC|Ltd|Corp)\.?)?)?", 0.93, kind="Copyright"),
+    "email": Extractor(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.90, kind="Email"),
+    "citation": Extractor(r"\b[0-9]+ (?:U\.S\.|F\.(?:2d|3d|4th)|S\. ?Ct\.|F\. ?Supp\.(?: [23]d)?) [0-9]+\b|\b[0-9]+ (?:U\.S\.C\.|USC|C\.F\.R\.|CFR)\s*(?:§+ ?)?[0-9]+(?:\.[0-9]+)?[a-z]?\b", 0.92, kind="Legal Citation"),
 }
 
 #: Which source's span leads when two are one individual.
 PRIORITY = {"citation": 100, "citation_url": 95, "regex": 80, "ner": 70, "model": 50, "other": 0}
 
+_FOUND = "doc_id long, label string, start int, end int, text string, value string, confidence double, error string"
+_KINDS = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string())
+
 
 def register(name: str, extractor: Extractor) -> None:
+    """Adds an extractor; a pattern that doesn't compile is refused here, not in a task."""
+    re.compile(extractor.pattern)
     EXTRACTORS[name] = extractor
 
 
-def extract(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(doc_id, label, start, end, text, value, confidence) for each find of the named extractors; ends are trimmed with the text."""
-    chosen = {n: EXTRACTORS[n] for n in names or EXTRACTORS}
+def _compiled(names: list[str] | None) -> dict[str, tuple[Extractor, re.Pattern[str]]]:
+    return {n: (EXTRACTORS[n], re.compile(EXTRACTORS[n].pattern)) for n in names or EXTRACTORS}
+
+
+def _finds(text: str, chosen: dict[str, tuple[Extractor, re.Pattern[str]]]) -> Iterator[tuple]:
+    """(label, start, end, text, value, confidence, error); an extractor that fails gives one row with its error and no span."""
+    for name, (e, rx) in chosen.items():
+        try:
+            found = []
+            for m in rx.finditer(text):
+                whole = m.group()
+                start = m.start() + len(whole) - len(whole.lstrip())
+                whole = whole.strip()
+                if len(whole) >= e.least:
+                    found.append((name, start, start + len(whole), whole, m.group(e.group).strip(), e.confidence, None))
+        except Exception as x:  # one extractor's failure is its own
+            found = [(name, None, None, None, None, None, f"{type(x).__name__}: {x}")]
+        yield from found
+
+
+def extract(docs: DataFrame, names: list[str] | None = None, errors: bool = False) -> DataFrame:
+    """(doc_id, label, start, end, text, value, confidence, error) for each find of the named extractors; ends are trimmed with the text.
+
+    With ``errors`` also a row without a span for each text that an extractor failed on.
+    """
+    chosen = _compiled(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(n, e, re.compile(e.pattern)) for n, e in chosen.items()]
         for b in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for name, e, rx in compiled:
-                    for m in rx.finditer(text or ""):
-                        found = m.group()
-                        start = m.start() + len(found) - len(found.lstrip())
-                        found = found.strip()
-                        if len(found) >= e.least:
-                            out.append((doc_id, name, start, start + len(found), found, m.group(e.group).strip(), e.confidence))
+            out = [(d, *f) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for f in _finds(t or "", chosen) if errors or f[-1] is None]
             if out:
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "label", "start", "end", "text", "value", "confidence"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], [f.split()[0] for f in _FOUND.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+
+
+# Citations
+
+
+#: What a citation of each form is an instance of.
+CITATION_CLASSES = {"case": "Caselaw", "short": "Caselaw", "id": "Caselaw", "supra": "Caselaw", "statute": "Statute", "regulation": "Statute", "journal": "Legal Scholarship", "other": "Legal Citation"}
+
+_REPORTERS = r"(?:U\.\s?S\.|S\.\s?Ct\.|L\.\s?Ed\.(?:\s?2d)?|F\.(?:\s?(?:2d|3d|4th))?|F\.\s?Supp\.(?:\s?[23]d)?|[A-Z][a-z]*\.(?:\s?[23]d)?)"
+
+#: Forms of citations: a pattern with named parts, its normal form, and a template of its address, if it has any.
+CITATION_FORMS: dict[str, tuple[str, str, str]] = {
+    "statute": (r"\b(?P<title>[0-9]+)\s+U\.?\s?S\.?\s?C\.?(?:\s*§+)?\s*(?P<section>[0-9]+[a-z]{0,2}(?:-[0-9]+)?)\b", "{title} U.S.C. § {section}", "https://www.law.cornell.edu/uscode/text/{title}/{section}"),
+    "regulation": (r"\b(?P<title>[0-9]+)\s+C\.?\s?F\.?\s?R\.?(?:\s*§+)?\s*(?P<section>[0-9]+(?:\.[0-9]+)?[a-z]?(?:-[0-9]+)?)\b", "{title} C.F.R. § {section}", "https://www.law.cornell.edu/cfr/text/{title}/{section}"),
+    "journal": (r"\b(?P<volume>[0-9]+)\s+(?P<journal>[A-Z][a-z]+\.?(?:\s[A-Z][a-z]*\.?)*\sL\.\s?(?:Rev|J)\.)\s+(?P<page>[0-9]+)\b", "{volume} {journal} {page}", ""),
+    "short": (rf"\b(?P<volume>[0-9]+)\s+(?P<reporter>{_REPORTERS})(?:,)?\s+at\s+(?P<page>[0-9]+)\b", "{volume} {reporter}, at {page}", ""),
+    "case": (rf"\b(?P<volume>[0-9]+)\s+(?P<reporter>{_REPORTERS})\s+(?P<page>[0-9]+)\b(?:\s+\((?P<year>[0-9]{{4}})\))?", "{volume} {reporter} {page}", "https://cite.case.law/{slug}/{volume}/{page}/"),
+    "id": (r"\b[Ii]d\.(?:\s+at\s+(?P<page>[0-9]+))?", "Id.", ""),
+    "supra": (r"\bsupra(?:,?\s+note\s+(?P<note>[0-9]+))?\b", "supra", ""),
+}
+
+
+def citations(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, text, form, class, normal_form, url, confidence): what an earlier form has found isn't found again within it.
+
+    ``normal_form`` is null where the text is in it already, ``url`` where the form has no address.
+    """
+    schema = "doc_id long, start int, end int, text string, form string, class string, normal_form string, url string, confidence double"
+    kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.float64())
+
+    def found(text: str, forms: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for form, rx, normal, url in forms:
+            for m in rx.finditer(text):
+                if any(m.start() < e and s < m.end() for s, e, *_ in out):
+                    continue
+                parts = {k: re.sub(r"\s+", " ", v) for k, v in m.groupdict().items() if v}
+                parts["slug"] = re.sub(r"[^a-z0-9]+", "-", parts.get("reporter", "").lower().replace(". ", ".").replace(".", "")).strip("-")
+                said = normal.format(**parts) + (f" ({parts['year']})" if "year" in parts else "")
+                out.append((m.start(), m.end(), m.group(), form, CITATION_CLASSES[form], said if said != m.group() else None, url.format(**parts) or None, 0.92))
+        return sorted(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = [(form, re.compile(p), normal, url) for form, (p, normal, url) in CITATION_FORMS.items()]
+        for b in batches:
+            out = [(d, *f) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for f in found(t or "", forms)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def with_more_citations(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Citations with those of another extractor (doc_id, start, end, text, normal_form, url) whose span isn't among them, at 0.90."""
+    new = more.join(found.select("doc_id", "start", "end"), ["doc_id", "start", "end"], "left_anti")
+    return found.unionByName(new.select("doc_id", "start", "end", "text", F.lit("other").alias("form"), F.lit(CITATION_CLASSES["other"]).alias("class"), "normal_form", "url", F.lit(0.90).alias("confidence")))
+
+
+# Spans of an entity recogniser
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, label string, start int, end int, text string, value string, confidence double")
+#: Class and confidence by the recogniser's label.
+ENTITY_CLASSES = {"PERSON": ("Person", 0.80), "ORG": ("Organization", 0.78), "GPE": ("Location", 0.78), "LOC": ("Location", 0.78)}
 
 
-def _same(a: dict, b: dict) -> bool:
-    """Overlap, equal names, one name within the other, or equal mentions."""
-    x, y = a["name"].lower(), b["name"].lower()
-    return (a["start"] < b["end"] and b["start"] < a["end"]) or x == y or x in y or y in x or a["mention"].lower() == b["mention"].lower()
+def entities(spans: DataFrame) -> DataFrame:
+    """(doc_id, start, end, text, class, confidence) of recognised spans (doc_id, start, end, text, tag): phrases that are no entities left out.
+
+    A person whose name has the ending of an organization is one.
+    """
+    kind = F.coalesce(*[F.when(F.col("tag") == t, c) for t, (c, _) in ENTITY_CLASSES.items()])
+    sure = F.coalesce(*[F.when(F.col("tag") == t, s) for t, (_, s) in ENTITY_CLASSES.items()])
+    ends = r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(re.escape(w) for w in sorted(ORGANIZATION_ENDS, key=len, reverse=True)) + r")(?![A-Za-z0-9_])"
+    stop = F.lower(F.btrim("text")).isin(STOP_ENTITIES)
+    kept = spans.filter(F.col("tag").isin(*ENTITY_CLASSES) & ~stop)
+    return kept.select("doc_id", "start", "end", "text", F.when((F.col("tag") == "PERSON") & F.col("text").rlike(ends), "Organization").otherwise(kind).alias("class"), sure.alias("confidence"))
+
+
+# Individuals
+
+
+_PERSON = "name string, mention string, start int, end int, source string, links array<string>, normal_form string, url string"
+_PERSON_KINDS = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
+BLOCK = 256
+
+
+def as_individuals(df: DataFrame, source: Column, link: Column, name: Column | None = None) -> DataFrame:
+    """Rows with spans as individuals; ``normal_form`` and ``url`` stay where there are any."""
+    more = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("normal_form", "url")]
+    return df.select("doc_id", (F.col("text") if name is None else name).alias("name"), F.col("text").alias("mention"), "start", "end", source.alias("source"), F.array(link).alias("links"), *more)
+
+
+class _Kept:
+    """A document's individuals as they are kept, found again by span, name and mention without looking at all of them."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict] = []
+        self._names: dict[str, int] = {}  # the first kept one that a name belongs to
+        self._kept_names: list[str] = []
+        self._mentions: dict[str, int] = {}
+        self._blocks: dict[int, list[int]] = {}
+
+    def find(self, r: dict) -> int | None:
+        name, mention = r["name"].lower().strip(), r["mention"].lower().strip()
+        by_name = self._names.get(name)
+        if by_name is None:
+            by_name = next((i for i, x in enumerate(self._kept_names) if name in x or x in name), None)
+            if by_name is not None:
+                self._names[name] = by_name
+        blocks = range(r["start"] // BLOCK, max(r["start"], r["end"] - 1) // BLOCK + 1)
+        by_span = min((i for b in blocks for i in self._blocks.get(b, ()) if self.rows[i]["start"] < r["end"] and r["start"] < self.rows[i]["end"]), default=None)
+        return min((i for i in (by_name, by_span, self._mentions.get(mention)) if i is not None), default=None)
+
+    def add(self, r: dict) -> None:
+        i = len(self.rows)
+        self.rows.append({**r, "links": list(r["links"] or []), "n_merged": 1, "sources": {r["source"]}})
+        self._kept_names.append(r["name"].lower().strip())
+        self._mentions.setdefault(r["mention"].lower().strip(), i)
+        for b in range(r["start"] // BLOCK, max(r["start"], r["end"] - 1) // BLOCK + 1):
+            self._blocks.setdefault(b, []).append(i)
+
+    def merge(self, i: int, r: dict) -> None:
+        into = self.rows[i]
+        into["links"] += [x for x in r["links"] or [] if x not in into["links"]]
+        into["n_merged"] += 1
+        into["sources"].add(r["source"])
+        for c in ("normal_form", "url"):
+            into[c] = into[c] or r[c]
+
+
+def _merged(rows: list[dict]) -> list[tuple]:
+    """Merged into the first kept one that overlaps, has the name, a name within it or around it, or the mention.
+
+    The stronger source comes first, then the earlier span; a merge of two sources is a hybrid, which keeps its strength.
+    """
+    kept = _Kept()
+    for r in sorted(rows, key=lambda r: (-PRIORITY.get(r["source"], 0), r["start"], r["end"], r["name"])):
+        i = kept.find(r)
+        if i is None:
+            kept.add(r)
+        else:
+            kept.merge(i, r)
+    return [(k["name"], k["mention"], k["start"], k["end"], k["source"] if len(k["sources"]) == 1 else "hybrid", k["links"], k["normal_form"], k["url"], k["n_merged"]) for k in kept.rows]
+
+
+def _table(out: list[tuple]) -> list[pa.Array]:
+    kinds = (pa.int64(), *_PERSON_KINDS, pa.int32())
+    return [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
+
+
+_MERGED = f"doc_id long, {_PERSON}, n_merged int"
+_MERGED_NAMES = [f.split()[0] for f in _MERGED.split(", ")]
 
 
 def individuals(df: DataFrame) -> DataFrame:
-    """Individuals (doc_id, name, mention, start, end, source, links) of a document merged into the first kept one that is the same.
+    """Individuals (doc_id, name, mention, start, end, source, links, normal_form, url) of a document merged, with ``n_merged``.
+
+    For rows of any origin, gathered by document. What patterns find needn't be gathered: see ``found_individuals``.
+    """
+    for c in ("normal_form", "url"):
+        df = df if c in df.columns else df.withColumn(c, F.lit(None).cast("string"))
+
+    def fold(group: pa.Table) -> pa.Table:
+        doc = group.column("doc_id")[0].as_py()
+        return pa.Table.from_arrays(_table([(doc, *r) for r in _merged(group.to_pylist())]), _MERGED_NAMES)
 
-    The stronger source comes first, then the earlier span; a merge of two sources is a hybrid, which keeps
-    its strength. The fold changes what it has kept, so it runs in order within one document.
+    return df.select(*[c for c in _MERGED_NAMES if c != "n_merged"]).groupBy("doc_id").applyInArrow(fold, _MERGED)
+
+
+def found_individuals(docs: DataFrame, names: list[str] | None = None, more: str | None = None) -> DataFrame:
+    """What the extractors find in (doc_id, text), merged within each document in the pass that finds it: no shuffle.
+
+    ``more`` names a column of individuals from elsewhere, array<struct> with the fields of ``individuals``, that join in.
     """
+    chosen = _compiled(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            given = b.column(more).to_pylist() if more else [None] * b.num_rows
+            for d, t, also in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), given, strict=True):
+                rows = [{"name": v, "mention": x, "start": s, "end": e, "source": "citation" if n == "citation" else "regex", "links": [chosen[n][0].kind or n], "normal_form": None, "url": None} for n, s, e, x, v, _, error in _finds(t or "", chosen) if error is None]
+                out += [(d, *r) for r in _merged(rows + list(also or []))]
+            yield pa.RecordBatch.from_arrays(_table(out), _MERGED_NAMES)
+
+    return docs.select("doc_id", "text", *([more] if more else [])).mapInArrow(run, _MERGED)
+
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.to_dict("records"), key=lambda r: (-PRIORITY.get(r["source"], 0), r["start"], r["end"], r["name"]))
-        kept: list[dict] = []
-        for r in rows:
-            into = next((k for k in kept if _same(k, r)), None)
-            if into is None:
-                kept.append({**r, "links": list(r["links"]), "n_merged": 1, "sources": {r["source"]}})
-                continue
-            into["links"] += [x for x in r["links"] if x not in into["links"]]
-            into["n_merged"] += 1
-            into["sources"].add(r["source"])
-        for k in kept:
-            k["source"] = k["source"] if len(k.pop("sources")) == 1 else "hybrid"
-        return pd.DataFrame(kept, columns=["doc_id", "name", "mention", "start", "end", "source", "links", "n_merged"])
-
-    return df.groupBy("doc_id").applyInPandas(fold, "doc_id long, name string, mention string, start int, end int, source string, links array<string>, n_merged int")
+def gathered(df: DataFrame, name: str = "more") -> DataFrame:
+    """Individuals as one array a document, as ``found_individuals`` takes them."""
+    fields = [f.split()[0] for f in _PERSON.split(", ")]
+    for c in ("normal_form", "url"):
+        df = df if c in df.columns else df.withColumn(c, F.lit(None).cast("string"))
+    return df.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias(name))
 
 
 def filled_links(links: DataFrame, labels: DataFrame) -> DataFrame:

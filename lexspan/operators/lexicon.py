@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +14,16 @@ from pyspark.sql.window import Window as W
 
 from lexspan.functions.constants import ALTERNATIVE_STOP, PATTERN_STOP, PROPERTY_STOP
 from lexspan.functions.text import split_camel, strip_namespace
+from lexspan.operators import overlap
 
 #: Precedence of label types, and confidence by (type, several words).
 PRECEDENCE = {"preferred": 0, "alternative": 1, "hidden": 2, "translation": 3}
 CONFIDENCE = {("preferred", True): 0.90, ("preferred", False): 0.72, ("alternative", True): 0.65, ("alternative", False): 0.35, ("translation", True): 0.60, ("translation", False): 0.30}
 DEFAULT_CONFIDENCE = 0.50
 
+#: Characters of labels that one automaton holds, automata that a worker keeps, and texts whose matches leave together.
+PART_CHARS, KEPT_PARTS, TEXTS = 4_000_000, 4, 200
+
 
 def precedence(label_type: Column) -> Column:
     return F.coalesce(*[F.when(label_type == k, v) for k, v in PRECEDENCE.items()], F.lit(len(PRECEDENCE)))
@@ -51,37 +57,101 @@ def multi_index(labels: DataFrame) -> DataFrame:
     return keyed.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
-def match(docs: DataFrame, labels: DataFrame, most_words: int = 4) -> DataFrame:
-    """Every occurrence of every label of ``labels`` (label_key, ...) as whole words, ignoring case: (doc_id, start, end, surface, label columns).
-
-    Runs of one to ``most_words`` tokens meet the labels by equality of their lower-case text, so a label's
-    own spaces and marks must be the text's. Tokens are exploded per document and joined: Spark
-    broadcasts the labels if they are small, else it shuffles both by label.
+class Matcher:
+    """Labels in one automaton; made once for each Python worker and part of a lexicon."""
+
+    _made: dict[str, Matcher] = {}
+
+    def __init__(self, keys: list[str]) -> None:
+        import ahocorasick
+
+        self.keys = keys
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, k in enumerate(keys):
+            self.automaton.add_word(k, i)
+        if keys:
+            self.automaton.make_automaton()
+
+    @classmethod
+    def of(cls, name: str, keys: Broadcast) -> Matcher:
+        if name not in cls._made:
+            if len(cls._made) >= KEPT_PARTS:
+                cls._made.clear()
+            cls._made[name] = cls(keys.value)
+        return cls._made[name]
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, label) of each occurrence, ignoring case, that no letter, digit or underscore touches."""
+        low, at = text.lower(), None
+        if len(low) != len(text):  # some capitals have two small letters: places are those of the text
+            at = [i for i, c in enumerate(text) for _ in c.lower()] + [len(text)]
+            low = "".join(c.lower() for c in text)
+        keys, out, n = self.keys, [], len(low)
+        for last, i in self.automaton.iter(low) if keys else ():
+            start, end = last + 1 - len(keys[i]), last + 1
+            if end < n and ((c := low[end]).isalnum() or c == "_"):
+                continue
+            if start and ((c := low[start - 1]).isalnum() or c == "_"):
+                continue
+            out.append((start, end, i) if at is None else (at[start], at[end - 1] + 1, i))
+        return out
+
+
+def _parts(labels: DataFrame, chars: int) -> Iterator[list[str]]:
+    """The distinct keys, in as many parts as their length asks for; the driver holds one part at a time."""
+    keys = labels.select("label_key").filter("label_key <> ''").distinct()
+    total = keys.agg(F.sum(F.length("label_key").cast("long"))).first()[0] or 0
+    n = max(1, -(-total // chars))
+    for i in range(n):
+        part = keys if n == 1 else keys.filter(F.pmod(F.xxhash64("label_key"), F.lit(n)) == i)
+        yield [r[0] for r in part.collect()]
+
+
+def match(docs: DataFrame, labels: DataFrame, resolve: bool = False, part_chars: int = PART_CHARS) -> DataFrame:
+    """Every occurrence of every label of ``labels`` (label_key in lower case, ...) between word borders: (doc_id, start, end, surface, label columns).
+
+    Texts pass once through an automaton in Arrow batches, whatever the labels' words and signs, and only occurrences leave.
+    The automaton is broadcast; a lexicon of more than ``part_chars`` characters is matched in several passes. With ``resolve``
+    overlaps are resolved as in ``overlap.resolve``, in the same pass if there is one.
     """
-    schema = "doc_id long, start int, end int, surface string, label_key string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        word = re.compile(r"\w+")
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                spans = [m.span() for m in word.finditer(text or "")]
-                for i, (start, _) in enumerate(spans):
-                    for _, end in spans[i : i + most_words]:
-                        surface = text[start:end]
-                        for column, value in zip(out, (doc_id, start, end, surface, surface.lower()), strict=True):
-                            column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "start", "end", "surface", "label_key"])
-
-    runs = docs.select("doc_id", "text").mapInArrow(run, schema)
-    return runs.join(labels, "label_key")
+    spark, schema = docs.sparkSession, "doc_id long, start int, end int, surface string, label_key string"
+    parts = [spark.sparkContext.broadcast(p) for p in _parts(labels, part_chars)]
+    here = resolve and len(parts) == 1
 
-
-def match_native(docs: DataFrame, labels: DataFrame, most_words: int = 2) -> DataFrame:
-    """As ``match``, with offsets in words in place of characters, all in the JVM: (doc_id, word, label_key, n_words, label columns)."""
+    def scan(keys: Broadcast, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher.of(name, keys)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            for b in batches:
+                for i in range(0, b.num_rows, TEXTS):
+                    some, out = b.slice(i, TEXTS), []
+                    for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                        found = matcher.spans(text or "")
+                        if here:
+                            found = [found[j] for j in overlap.kept([(s, e, 0.0) for s, e, _ in found])]
+                        out += [(doc_id, s, e, text[s:e], matcher.keys[k]) for s, e, k in found]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "start", "end", "surface", "label_key"])
+
+        return run
+
+    found: DataFrame | None = None
+    for keys in parts:
+        each = docs.select("doc_id", "text").mapInArrow(scan(keys, uuid.uuid4().hex), schema)
+        found = each if found is None else found.unionByName(each)
+    if resolve and not here:
+        found = overlap.resolve(found)
+    return found.join(labels, "label_key")
+
+
+def match_native(docs: DataFrame, labels: DataFrame, most_words: int | None = None) -> DataFrame:
+    """Runs of words that equal a label, whatever stands between the words, all in the JVM: (doc_id, word, label_key, n_words, label columns).
+
+    A word is a run of ASCII letters in lower case, digits, underscores and other characters than ASCII; labels are words with single spaces.
+    Runs are as long as the longest label, or as ``most_words`` says.
+    """
+    if most_words is None:
+        most_words = labels.agg(F.max(F.size(F.split("label_key", " ")))).first()[0] or 1
     found = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_\x{80}-\x{10FFFF}]+"), F.lit(0)).alias("w"))
     every: DataFrame | None = None
     for k in range(1, most_words + 1):

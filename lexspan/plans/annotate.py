@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import normalize_whitespace
-from lexspan.operators import chunks, lexicon, overlap
+from lexspan.operators import chunks, lexicon
 from lexspan.operators.intervals import best_container
 
 
@@ -15,7 +15,7 @@ def canonical(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", normalize_whitespace(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def annotate(docs: DataFrame, labels: DataFrame, most_words: int = 4) -> DataFrame:
+def annotate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, ann_id, start, end, text, iri, label_type, confidence, state, sentence_start, sentence_end).
 
     Labels (iri, label, label_type) are admitted, indexed and matched; crossing spans are resolved within each
@@ -23,12 +23,10 @@ def annotate(docs: DataFrame, labels: DataFrame, most_words: int = 4) -> DataFra
     """
     text = canonical(docs)
     index = lexicon.multi_index(lexicon.admitted(labels)).select("label_key", "iri", "label", "label_type")
-    found = lexicon.match(text, index.select("label_key").distinct(), most_words)
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "label_key", "surface")).alias("s"))  # one document's matches
-    kept = spans.select("doc_id", F.explode(overlap.resolve(F.col("s"))).alias("x")).select("doc_id", "x.start", "x.end", F.col("x.surface").alias("text"), "x.label_key")
-    linked = kept.join(index, "label_key").withColumn("confidence", lexicon.confidence(F.col("label_type"), F.col("label")))
+    spans = lexicon.match(text, index.select("label_key").distinct(), resolve=True).withColumnRenamed("surface", "text")
+    linked = spans.join(index, "label_key").withColumn("confidence", lexicon.confidence(F.col("label_type"), F.col("label")))
     sentences = chunks.sentences(text).select("doc_id", "start", "end")
-    placed = best_container(kept.select("doc_id", "start", "end").distinct(), sentences)
+    placed = best_container(spans.select("doc_id", "start", "end").distinct(), sentences)
     out = linked.join(placed, ["doc_id", "start", "end"], "left")
     ann_id = F.sha2(F.concat_ws("|", "doc_id", "start", "end", "iri"), 256)  # the same in every run
     return out.select("doc_id", ann_id.alias("ann_id"), "start", "end", "text", "iri", "label_type", "confidence", F.when(F.col("confidence") >= 0.6, "confirmed").otherwise("preliminary").alias("state"), "sentence_start", "sentence_end")

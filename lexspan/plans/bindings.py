@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,17 +52,54 @@ def stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STACKED_SQL = "stacked AS (SELECT " + ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {c}" for c, e in STACKED.items()) + " FROM lineitem)"
 
-#: Sentences that hold what the extractors look for.
-SENTENCE = "concat('On ', CAST(CAST(o_orderdate AS DATE) AS STRING), ' buyer ', CAST(o_custkey AS STRING), ' shall pay $', CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING), ' within ', CAST(o_orderkey % 90 + 1 AS STRING), ' business days, at least ', CAST(o_orderkey % 20 AS STRING), '.5% up front, provided that the United States District Court agrees. \"Goods\" means order ', CAST(o_orderkey AS STRING), ' at ', CAST(o_custkey % 900 + 1 AS STRING), ' Market Street, Suite 4. Acme® (c) 2024 Acme')"
+#: Sentences that hold what the extractors look for, and some that only seem to. A template is a list of literals, fields (expressions in
+#: braces) and finds, ``(extractor, pieces)``; a find of a definition is its term alone, within its quotes.
+TEMPLATES: list[list] = [
+    [
+        "On ", ("date", ["{CAST(CAST(o_orderdate AS DATE) AS STRING)}"]), " buyer {o_custkey} shall pay ", ("money", ["${CAST(o_totalprice AS DECIMAL(18, 2))}"]), " within ", ("duration", ["{o_orderkey % 90 + 1} business days"]),
+        ", ", ("constraint", ["at least"]), " ", ("percent", ["{o_orderkey % 20}.5%"]), " up front, ", ("condition", ["provided that"]), " the ", ("court", ["United States District Court"]), ' agrees. "', ("definition", ["Goods"]), '" means order {o_orderkey} at ',
+        ("address", ["{o_custkey % 900 + 1} Market Street, Suite 4"]), ". ", ("trademark", ["Acme®"]), " ", ("copyright", ["(c) 2024 Acme"]),
+    ],
+    [
+        "By ", ("date", ["March {o_orderkey % 28 + 1}, {year(o_orderdate)}"]), " the tenant owes ", ("money", ["{o_orderkey} dollars"]), " and ", ("money", ["25 cents"]), ", that is ", ("percent", ["fifty percent"]), " of ", ("money", ["{o_custkey} USD"]),
+        ", for ", ("duration", ["six (6) months"]), "; ", ("condition", ["unless"]), " the ", ("court", ["Ninth Circuit"]), " reverses. The term “", ("definition", ["Net Price"]), "” refers to lot {o_orderkey}, ", ("constraint", ["not to exceed"]), " ",
+        ("percent", ["{o_orderkey % 500} basis points"]), ". See ", ("citation", ["42 U.S.C. § {o_orderkey}"]), ".",
+    ],
+    ['Order {o_orderkey} holds 5 apples and 12.50 pears; 2023-1-5 and 13-2020 are no dates, a sign alone % and per cent alone are none. She said "nothing" and left; the court of opinion adjourned, iffy or atleast so. 12 Market, no street; Acme R; copyright soon. 42 U.S. and F.2d 7.'],
+    [
+        "Lot {o_orderkey}: ", ("date", ["the {o_orderkey % 20 + 4}th day of May, {year(o_orderdate)}"]), "; ", ("date", ["Jan. 5, {year(o_orderdate)}"]), "; ", ("date", ["15 Sep 2021"]), ". Pay ", ("money", ["€1,{o_custkey % 900 + 100} million"]), " or ", ("money", ["five hundred thousand dollars"]),
+        "; ", ("money", ["$3K"]), " today. ", ("court", ["Superior Court of Kent"]), "; ", ("court", ["S.D.N.Y."]), "; ", ("condition", ["if"]), " paid, ", ("constraint", ["no more than"]), " ", ("duration", ["{o_orderkey % 30 + 2} years"]), ". ", ("copyright", ["Copyright 2019-{year(o_orderdate)} Foo Bar"]),
+        ". ", ("address", ["{o_custkey % 900 + 1} Oak Ave, Springfield, IL 62701"]), "; ", ("trademark", ["Foo Bar™"]),
+    ],
+]
+
+
+def _said(pieces: list) -> str:
+    """An expression for the concatenation, in Spark's types."""
+    out = []
+    for p in pieces:
+        if isinstance(p, tuple):
+            out.append(_said(p[1]))
+            continue
+        for i, part in enumerate(re.split(r"[{}]", p)):
+            if part:
+                out.append(f"CAST({part} AS STRING)" if i % 2 else "'" + part.replace("'", "''") + "'")
+    return f"concat({', '.join(out)})"
+
+
+SENTENCE = "CASE o_orderkey % 4 " + " ".join(f"WHEN {i} THEN {_said(t)}" for i, t in enumerate(TEMPLATES)) + " END"
+
+
+def expected(extractor: str) -> str:
+    """DuckDB's expression for what the extractor should find in a sentence, written from the template's fields."""
+    each = [", ".join(_said(p[1]) for p in t if isinstance(p, tuple) and p[0] == extractor) for t in TEMPLATES]
+    return ("CASE o_orderkey % 4 " + " ".join(f"WHEN {i} THEN [{x}]::VARCHAR[]" for i, x in enumerate(each)) + " END").replace("STRING", "VARCHAR")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(SENTENCE).alias("text"))
 
 
-SENTENCES_SQL = f"sentences AS (SELECT o_orderkey AS doc_id, {SENTENCE.replace('STRING', 'VARCHAR')} AS text FROM orders)"
-
-
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(child, parent, ord): suppliers under nations under regions."""
     nation = table(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey) AS child", "concat('r', n_regionkey) AS parent", "0 AS ord")
@@ -94,3 +133,38 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 LEXICON_SQL = "lexicon(iri, label_key, label_type) AS (VALUES " + ", ".join(f"('urn:term/{i}', '{a}', '{b}')" for i, (a, b) in enumerate(LEXICON)) + ")"
+
+
+#: A lexicon of at least 18,000 labels from sf0.01 on: the small one, labels with signs, one to eight words of each document, and names of orders.
+SIGNED = [("(c)", "preferred"), ("e.g.", "alternative"), ("100%", "preferred"), ("§", "hidden"), ("u.s.c.", "preferred"), ("...", "hidden")]
+_WORDS_OF = {
+    "spark": "array_join(slice(split(lower(text), ' '), CAST(doc_id % 3 + 1 AS INT), CAST(doc_id % 8 + 1 AS INT)), ' ')",
+    "duckdb": "array_to_string(string_split(lower(text), ' ')[doc_id % 3 + 1 : doc_id % 3 + doc_id % 8 + 1], ' ')",
+}
+_ORDER_LABEL = "concat('order ', CAST(o_orderkey AS STRING), ' of customer ', CAST(o_custkey AS STRING))"
+_PART_LABEL = "lower(concat(p_name, ' ', CAST(p_partkey AS STRING)))"
+_KIND = "CASE doc_id % 4 WHEN 0 THEN 'preferred' WHEN 1 THEN 'alternative' WHEN 2 THEN 'hidden' ELSE 'translation' END"
+#: Labels of more pieces, words or single signs, than DuckDB's SQL looks ahead are left out of both.
+PIECES = 24
+_PIECE, _SIGN = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]"
+
+
+def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = spark.createDataFrame([(f"urn:sign/{i}", a, k) for i, (a, k) in enumerate(SIGNED)], "iri string, label_key string, label_type string").unionByName(lexicon(spark))
+    of_docs = table(spark, sf_dir, "documents").select(F.expr("concat('urn:document/', CAST(doc_id AS STRING))").alias("iri"), F.expr(_WORDS_OF["spark"]).alias("label_key"), F.expr(_KIND).alias("label_type"))
+    of_orders = table(spark, sf_dir, "orders").select(F.expr("concat('urn:order/', CAST(o_orderkey AS STRING))").alias("iri"), F.expr(_ORDER_LABEL).alias("label_key"), F.lit("preferred").alias("label_type"))
+    of_parts = table(spark, sf_dir, "part").select(F.expr("concat('urn:part/', CAST(p_partkey AS STRING))").alias("iri"), F.expr(_PART_LABEL).alias("label_key"), F.lit("alternative").alias("label_type"))
+    every = small.unionByName(of_docs).unionByName(of_orders).unionByName(of_parts)
+    return every.filter((F.col("label_key") != "") & (F.length(F.regexp_replace("label_key", _PIECE, "x")) <= PIECES))
+
+
+LARGE_LEXICON_SQL = (
+    LEXICON_SQL
+    + f""", signed(iri, label_key, label_type) AS (VALUES {", ".join(f"('urn:sign/{i}', '{a}', '{k}')" for i, (a, k) in enumerate(SIGNED))}),
+large AS (SELECT iri, label_key, label_type, regexp_replace(label_key, '{_PIECE}', 'x', 'g') AS shape FROM (SELECT * FROM lexicon UNION ALL SELECT * FROM signed
+UNION ALL SELECT concat('urn:document/', CAST(doc_id AS VARCHAR)), {_WORDS_OF["duckdb"]}, {_KIND} FROM documents
+UNION ALL SELECT concat('urn:order/', CAST(o_orderkey AS VARCHAR)), {_ORDER_LABEL.replace("STRING", "VARCHAR")}, 'preferred' FROM orders UNION ALL SELECT concat('urn:part/', CAST(p_partkey AS VARCHAR)), {_PART_LABEL.replace("STRING", "VARCHAR")}, 'alternative' FROM part) WHERE label_key <> '' AND length(regexp_replace(label_key, '{_PIECE}', 'x', 'g')) <= {PIECES}),
+pieces AS (SELECT doc_id, i, w[i] AS t FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_PIECE}|{_SIGN}') AS w FROM documents), unnest(range(1, len(w) + 1)) AS s(i)),
+ahead AS (SELECT doc_id, i, t AS t0, {", ".join(f"lead(t, {k}) OVER w AS t{k}" for k in range(1, PIECES + 1))}, lag(t) OVER w AS back, sum(length(t)) OVER w - length(t) AS place FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+met AS ({" UNION ALL ".join(f"SELECT doc_id, CAST(place AS INT) AS s, label_key, iri, label_type FROM ahead JOIN large ON length(shape) = {k} AND label_key = concat({', '.join(f't{j}' for j in range(k))}) WHERE t{k - 1} IS NOT NULL AND (regexp_matches(t0, '^{_PIECE}') OR back IS NULL OR NOT regexp_matches(back, '^{_PIECE}')) AND (regexp_matches(t{k - 1}, '^{_PIECE}') OR t{k} IS NULL OR NOT regexp_matches(t{k}, '^{_PIECE}'))" for k in range(1, PIECES + 1))})"""
+)

@@ -87,13 +87,24 @@ def html_elements(spark, sf):
     return ingest.html_elements(b.table(spark, sf, "pages"), "page_id", "html")
 
 
-@query(r"""SELECT kind, fmt, CAST(count(*) AS BIGINT) AS n FROM (SELECT kind, CASE WHEN starts_with(h, 'JVBERi') THEN 'pdf' WHEN starts_with(h, 'UEsDB') THEN 'word' WHEN starts_with(h, '{\rtf') THEN 'rtf'
-WHEN regexp_matches(h, '(?s)^(?:From|To|Subject|Date|Received|MIME-Version|Return-Path): ') THEN 'email' WHEN regexp_matches(lower(left(h, 200)), '<!doctype html|<html|<body|<div|<p>') THEN 'html'
-WHEN regexp_matches(h, '(?m)^#{1,6} |^\s*[-*] |\[[^\]]+\]\([^)]+\)') THEN 'markdown' ELSE 'plain_text' END AS fmt FROM (
-SELECT 'document' AS kind, ltrim(coalesce(text, ''), ' ') AS h FROM documents UNION ALL SELECT 'page', ltrim(coalesce(html, ''), ' ') FROM pages)) GROUP BY ALL""")
+#: What stands before the text of a row, by doc_id, and the format that this makes it.
+_HEADS = ["", "JVBERi0x", "UEsDBBQA", "{\\rtf1 ", "Subject: ", "message-id: ", "<!-- ", "<HTML>", "# ", "x \n## ", "##", "Subject:", "< html>"]
+_FORMATS = {"JVBERi0x": "pdf", "UEsDBBQA": "word", "{\\rtf1 ": "rtf", "Subject: ": "email", "message-id: ": "email", "<!-- ": "html", "<HTML>": "html", "# ": "markdown", "x \n## ": "markdown"}
+_FILES = {"a.TXT": "plain_text", "a.b.md": "markdown", "x.htm": "html", "x.doc": "word", "x.msg": "email"}
+
+
+@query(
+    "SELECT kind, fmt, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'named' AS kind, CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FILES.values())) + " END AS fmt FROM documents WHERE doc_id % 7 < 5 UNION ALL SELECT 'sniffed', CASE doc_id % 13 "
+    + " ".join(f"WHEN {i} THEN '{_FORMATS[h]}'" for i, h in enumerate(_HEADS) if h in _FORMATS)
+    + " ELSE 'plain_text' END FROM documents WHERE doc_id % 7 >= 5) GROUP BY ALL"
+)
 def format_detect(spark, sf):
-    both = b.table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("text").alias("c")).unionByName(b.table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("html").alias("c")))
-    return both.groupBy("kind", ingest.detect_format(F.lit(None).cast("string"), F.col("c")).alias("fmt")).agg(F.count(F.lit(1)).alias("n"))
+    d = b.table(spark, sf, "documents")
+    nth = lambda xs, n: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % n).cast("int"))
+    # texts of letters alone, so that only what stands before them tells
+    content = F.concat(F.lit(" \n "), nth(_HEADS, 13), F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]", "x"))
+    name = F.coalesce(nth(_FILES, 7), F.lit("no extension"))
+    return d.groupBy(F.when(F.col("doc_id") % 7 < 5, "named").otherwise("sniffed").alias("kind"), ingest.detect_format(name, content).alias("fmt")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -111,15 +122,21 @@ _WORDS_SQL = r"words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(te
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     docs = b.table(spark, sf, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
-    return lexicon.match_native(docs, b.lexicon(spark), 3)
+    return lexicon.match_native(docs, b.lexicon(spark))
 
 
 _RUNS_SQL = f"""{_WORDS_SQL}, {b.LEXICON_SQL}, runs AS (SELECT doc_id, i AS word, array_to_string(w[i + 1:i + k], ' ') AS label_key, k FROM words, unnest([1, 2, 3]) AS s(k), unnest(range(greatest(len(w) - k + 1, 0))) AS t(i)),
 found AS (SELECT doc_id, word, label_key, iri, label_type FROM runs JOIN lexicon USING (label_key))"""
 
 
-@query(f"WITH {_RUNS_SQL} SELECT doc_id, label_key, iri, CAST(count(*) AS BIGINT) AS n, CAST(min(word) AS INT) AS first_word FROM found GROUP BY ALL")
+@query(f"WITH {b.LARGE_LEXICON_SQL} SELECT doc_id, label_key, iri, CAST(count(*) AS BIGINT) AS n, min(s) AS first_start FROM met GROUP BY ALL")
 def lexicon_match(spark, sf):
+    m = lexicon.match(b.table(spark, sf, "documents"), b.large_lexicon(spark, sf))
+    return m.groupBy("doc_id", "label_key", "iri").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"))
+
+
+@query(f"WITH {_RUNS_SQL} SELECT doc_id, label_key, iri, CAST(count(*) AS BIGINT) AS n, CAST(min(word) AS INT) AS first_word FROM found GROUP BY ALL")
+def lexicon_runs(spark, sf):
     return _matches(spark, sf).groupBy("doc_id", "label_key", "iri").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("first_word"))
 
 
@@ -134,9 +151,7 @@ def match_confidence(spark, sf):
 
 @query()
 def overlap_resolve(spark, sf):
-    m = lexicon.match(b.table(spark, sf, "documents"), b.lexicon(spark), 3)
-    spans = m.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "iri")).alias("s"))
-    return spans.select("doc_id", F.explode(overlap.resolve(F.col("s"))).alias("x")).select("doc_id", "x.start", "x.end", "x.iri")
+    return lexicon.match(b.table(spark, sf, "documents"), b.large_lexicon(spark, sf), resolve=True).select("doc_id", "start", "end", "iri")
 
 
 _LABELS = {"label": "concat(p_brand, ' ', p_type)", "iri": "concat('urn:part/', CAST(p_partkey AS STRING))", "label_type": "CASE p_size % 4 WHEN 0 THEN 'preferred' WHEN 1 THEN 'alternative' WHEN 2 THEN 'hidden' ELSE 'translation' END"}
@@ -292,19 +307,25 @@ def vector_pair_similarity(spark, sf):
 
 
 _SIDES = {"ruler": ("p_partkey % 3 <> 0", "p_size / 50.0"), "model": ("p_partkey % 2 = 0", "(50 - p_size) / 50.0")}
+_SAID = {"text": "concat(p_type, ' ', CAST(p_partkey % 5 AS STRING), ' ', CAST(p_partkey % 31 AS STRING))", "iri": "CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('urn:', p_brand) END", "similarity": "CAST(p_partkey * 37 % 100 AS DOUBLE) / 100", "overlap": "CAST(p_partkey % 4 AS DOUBLE) / 4"}
 
 
 def _side(spark: SparkSession, sf: str, side: str) -> DataFrame:
     where, conf = _SIDES[side]
-    return b.table(spark, sf, "part").filter(where).selectExpr("p_name AS text", "concat('urn:', p_brand) AS iri", f"CAST({conf} AS DOUBLE) AS confidence", "p_partkey AS ord")
+    return b.table(spark, sf, "part").filter(where).selectExpr(*[f"{e} AS {c}" for c, e in _SAID.items()], f"CAST({conf} AS DOUBLE) AS confidence", "p_partkey AS ord")
 
 
-_RECONCILED_SQL = (
-    ", ".join(f"{s} AS (SELECT t, iri, confidence FROM (SELECT lower(p_name) AS t, concat('urn:', p_brand) AS iri, CAST({c} AS DOUBLE) AS confidence, row_number() OVER (PARTITION BY lower(p_name), p_brand ORDER BY p_partkey DESC) AS r FROM part WHERE {w}) WHERE r = 1)" for s, (w, c) in _SIDES.items())
-    + """, reconciled AS (SELECT t AS text, iri, CASE WHEN r.confidence IS NOT NULL AND m.confidence IS NOT NULL THEN 'both_agree' WHEN m.confidence IS NULL THEN 'ruler_only' ELSE 'llm_only' END AS category,
-CASE WHEN r.confidence IS NOT NULL AND m.confidence IS NOT NULL THEN least(1.0, greatest(r.confidence, m.confidence) + 0.05 * (1 - greatest(r.confidence, m.confidence))) ELSE coalesce(r.confidence, m.confidence) END AS confidence
-FROM ruler r FULL JOIN model m USING (t, iri) WHERE m.confidence IS NOT NULL OR r.confidence >= 0.6)"""
+_BOOST = "least(1.0, greatest({0}, {1}) + 0.05 * (1 - greatest({0}, {1})))"
+_SIDES_SQL = ", ".join(
+    f"{s} AS (SELECT lower({_SAID['text'].replace('STRING', 'VARCHAR')}) AS t, {_SAID['iri']} AS iri, max_by(CAST({c} AS DOUBLE), p_partkey) AS c, min(p_partkey) AS o, min_by(CAST({c} AS DOUBLE), p_partkey) AS c1, max_by({_SAID['similarity']}, p_partkey) AS sim, max_by({_SAID['overlap']}, p_partkey) AS ovl FROM part WHERE {w} GROUP BY 1, 2)"
+    for s, (w, c) in _SIDES.items()
 )
+_PAIRED_SQL = f"""{_SIDES_SQL}, agree AS (SELECT t, iri, {_BOOST.format("r.c", "m.c")} AS c FROM ruler r JOIN model m USING (t, iri)),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY o) AS k FROM ruler ANTI JOIN agree USING (t, iri)), m1 AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY o) AS k FROM model ANTI JOIN agree USING (t, iri))"""
+_RECONCILED_SQL = f"""{_PAIRED_SQL}, bare AS (SELECT r.t, m.iri, '' AS r_iri, m.iri AS m_iri, {_BOOST.format("r.c", "m.c1")} AS c FROM r1 r JOIN m1 m ON r.t = m.t AND r.iri = '' AND m.k = 1
+UNION ALL SELECT m.t, r.iri, r.iri, '', {_BOOST.format("m.c", "r.c1")} FROM m1 m JOIN r1 r ON r.t = m.t AND m.iri = '' AND r.k = 1),
+reconciled AS (SELECT t AS text, iri, 'both_agree' AS category, c AS confidence FROM agree UNION ALL SELECT t, iri, 'both_agree', c FROM bare
+UNION ALL SELECT t, iri, 'ruler_only', c FROM r1 WHERE c >= 0.6 AND (t, iri) NOT IN (SELECT (t, r_iri) FROM bare) UNION ALL SELECT t, iri, 'llm_only', c FROM m1 WHERE (t, iri) NOT IN (SELECT (t, m_iri) FROM bare))"""
 
 
 @query(f"WITH {_RECONCILED_SQL} SELECT text, iri, category, round(confidence, 6) AS confidence FROM reconciled")
@@ -312,10 +333,29 @@ def reconcile_concepts(spark, sf):
     return reconcile.reconcile(_side(spark, sf, "ruler"), _side(spark, sf, "model")).select("text", "iri", "category", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"WITH {_RECONCILED_SQL} SELECT p_partkey AS ann_id, coalesce(category, 'none') AS category, CASE WHEN category = 'both_agree' THEN 'confirmed' WHEN category IS NULL THEN 'rejected' ELSE 'preliminary' END AS state FROM part LEFT JOIN reconciled ON lower(p_name) = text AND concat('urn:', p_brand) = iri")
+@query(
+    f"""WITH {_PAIRED_SQL}, met AS (SELECT r.t, r.iri AS a, m.iri AS z, r.c AS ac, m.c AS zc, r.sim AS asim, m.sim AS zsim, r.ovl AS ao, m.ovl AS zo FROM r1 r JOIN m1 m ON r.t = m.t AND r.k = m.k),
+won AS (SELECT *, CASE WHEN a = '' OR z = '' THEN 'merge' WHEN greatest(asim, zsim) > 0.85 THEN CASE WHEN asim >= zsim THEN 'a' ELSE 'z' END WHEN ao > zo THEN 'a' WHEN zo > ao THEN 'z' ELSE 'both' END AS w FROM met),
+done AS (SELECT t AS text, iri, 'both_agree' AS category, c AS confidence FROM agree UNION ALL SELECT t, CASE WHEN a <> '' THEN a ELSE z END, 'both_agree', {_BOOST.format("ac", "zc")} FROM won WHERE w = 'merge'
+UNION ALL SELECT t, a, 'conflict_resolved', CASE WHEN greatest(asim, zsim) > 0.85 THEN greatest(ac, asim) ELSE ac END FROM won WHERE w IN ('a', 'both') UNION ALL SELECT t, z, 'conflict_resolved', CASE WHEN greatest(asim, zsim) > 0.85 THEN greatest(zc, zsim) ELSE zc END FROM won WHERE w IN ('z', 'both')
+UNION ALL SELECT t, iri, 'ruler_only', c FROM r1 WHERE c >= 0.6 AND (t, iri) NOT IN (SELECT (t, a) FROM met) UNION ALL SELECT t, iri, 'llm_only', c FROM m1 WHERE (t, iri) NOT IN (SELECT (t, z) FROM met))
+SELECT text, iri, category, round(confidence, 6) AS confidence FROM done"""
+)
+def reconcile_triaged(spark, sf):
+    return reconcile.triaged(_side(spark, sf, "ruler"), _side(spark, sf, "model")).select("text", "iri", "category", F.round("confidence", 6).alias("confidence"))
+
+
+_STRONG = "CASE category WHEN 'both_agree' THEN 0 WHEN 'conflict_resolved' THEN 1 WHEN 'llm_only' THEN 2 ELSE 3 END"
+
+
+@query(
+    f"""WITH {_RECONCILED_SQL}, a AS (SELECT p_partkey AS ann_id, lower({_SAID["text"].replace("STRING", "VARCHAR")}) AS t, {_SAID["iri"]} AS iri FROM part), loose AS (SELECT text, min_by(category, {_STRONG}) AS category FROM reconciled GROUP BY text),
+found AS (SELECT ann_id, coalesce(r.category, CASE WHEN a.iri = '' THEN l.category END) AS category FROM a LEFT JOIN reconciled r ON a.t = r.text AND a.iri = r.iri LEFT JOIN loose l ON a.t = l.text)
+SELECT ann_id, coalesce(category, 'none') AS category, CASE WHEN category = 'both_agree' THEN 'confirmed' WHEN category IS NULL THEN 'rejected' ELSE 'preliminary' END AS state FROM found"""
+)
 def annotation_state(spark, sf):
     found = reconcile.reconcile(_side(spark, sf, "ruler"), _side(spark, sf, "model"))
-    a = b.table(spark, sf, "part").selectExpr("p_partkey AS ann_id", "p_name AS text", "concat('urn:', p_brand) AS iri")
+    a = b.table(spark, sf, "part").selectExpr("p_partkey AS ann_id", f"{_SAID['text']} AS text", f"{_SAID['iri']} AS iri")
     return reconcile.annotation_states(a, found).select("ann_id", F.coalesce("category", F.lit("none")).alias("category"), "state")
 
 
@@ -323,10 +363,7 @@ def annotation_state(spark, sf):
 
 
 def _extracted(name: str) -> None:
-    e = extract.EXTRACTORS[name]
-    group = f", {e.group}" if e.group else ""
-    # finds shorter than the least are dropped in both
-    sql = f"""WITH {b.SENTENCES_SQL} SELECT doc_id, CAST(len(v) AS BIGINT) AS n, array_to_string(v, '|') AS found FROM (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '{e.pattern}'{group}), lambda x: length(trim(x)) >= {e.least}), lambda x: trim(x)) AS v FROM sentences) WHERE len(v) > 0"""
+    sql = f"SELECT doc_id, CAST(len(v) AS BIGINT) AS n, array_to_string(v, '|') AS found FROM (SELECT o_orderkey AS doc_id, {b.expected(name)} AS v FROM orders) WHERE len(v) > 0"
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         found = extract.extract(b.sentences(spark, sf), [name])
@@ -337,15 +374,13 @@ def _extracted(name: str) -> None:
     query(sql)(run)
 
 
-for _name in ("money", "date", "duration", "percent", "court", "definition", "condition", "constraint", "address", "trademark", "copyright"):
+for _name in ("money", "date", "duration", "percent", "court", "definition", "condition", "constraint", "address", "trademark", "copyright", "citation"):
     _extracted(_name)
 
 
 @query()
 def individuals(spark, sf):
-    found = extract.extract(b.sentences(spark, sf))
-    rows = found.select("doc_id", F.col("value").alias("name"), F.col("text").alias("mention"), "start", "end", F.when(F.col("label") == "citation", "citation").otherwise("regex").alias("source"), F.array("label").alias("links"))
-    return extract.individuals(rows)
+    return extract.found_individuals(b.sentences(spark, sf))
 
 
 # Annotations

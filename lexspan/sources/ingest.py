@@ -18,21 +18,21 @@ from pyspark.sql import functions as F
 from lexspan.functions.text import dehyphenate
 
 #: Formats by file extension.
-EXTENSIONS = {"txt": "plain_text", "text": "plain_text", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "pdf": "pdf", "docx": "word", "rtf": "rtf", "eml": "email"}
+EXTENSIONS = {"txt": "plain_text", "md": "markdown", "html": "html", "htm": "html", "pdf": "pdf", "docx": "word", "doc": "word", "rtf": "rtf", "eml": "email", "msg": "email"}
 
 
 def detect_format(filename: Column, content: Column) -> Column:
     """By extension, else by how the content begins, else plain text."""
-    ext = F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    ext = F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), r"\.([^.]*)$", 1))
     by_name = F.coalesce(*[F.when(ext == k, v) for k, v in EXTENSIONS.items()])
-    head = F.ltrim(F.coalesce(content, F.lit("")))
+    head = F.regexp_replace(F.coalesce(content, F.lit("")), r"(?U)^\s+", "")
     looks = (
-        F.when(head.startswith("JVBERi"), "pdf")
+        F.when(head.startswith("JVBER"), "pdf")
         .when(head.startswith("UEsDB"), "word")
         .when(head.startswith("{\\rtf"), "rtf")
-        .when(head.rlike(r"(?s)^(?:From|To|Subject|Date|Received|MIME-Version|Return-Path): "), "email")
-        .when(F.lower(F.left(head, F.lit(200))).rlike(r"<!doctype html|<html|<body|<div|<p>"), "html")
-        .when(head.rlike(r"(?m)^#{1,6} |^\s*[-*] |\[[^\]]+\]\([^)]+\)"), "markdown")
+        .when(head.rlike(r"(?i)\A(?:From|Subject|Date|To|Message-ID):\s"), "email")
+        .when(head.startswith("<!") | F.startswith(F.lower(F.left(head, F.lit(5))), F.lit("<html")), "html")
+        .when(head.startswith("# ") | F.contains(head, F.lit("\n## ")), "markdown")
         .otherwise("plain_text")
     )
     return F.coalesce(by_name, looks)

@@ -55,13 +55,16 @@ def resolved(spans):
 
 def test_overlap_resolution(spark):
     rng = random.Random(5)
-    cases = []
-    for i in range(60):
-        spans = {(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 20) for _ in range(rng.randint(1, 9)))}
-        cases.append((i, [(a, b) for a, b in spans]))
-    df = spark.createDataFrame(cases, "i int, s array<struct<start:int,end:int>>")
-    for r in df.select("i", overlap.resolve(F.col("s")).alias("r")).collect():
-        assert sorted((x["start"], x["end"]) for x in r["r"]) == resolved(cases[r["i"]][1])
+    cases = {i: [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 20) for _ in range(rng.randint(1, 9)))] for i in range(60)}
+    for spans in [*cases.values(), [(i, i + rng.randint(1, 40)) for i in range(300)]]:
+        assert sorted(spans[i] for i in overlap.kept([(*s, 0.0) for s in spans])) == resolved(spans)
+    df = spark.createDataFrame([(i, *s) for i, x in cases.items() for s in x], "doc_id int, start int, end int")
+    found = {}
+    for r in overlap.resolve(df).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    assert {i: sorted(x) for i, x in found.items()} == {i: resolved(x) for i, x in cases.items()}
+    sure = spark.createDataFrame([(1, 0, 5, 0.7, "a"), (1, 0, 5, 0.9, "b"), (1, 3, 9, 0.1, "c"), (1, 4, 5, 0.2, "d")], "doc_id int, start int, end int, confidence double, of string")
+    assert [r["of"] for r in overlap.resolve(sure, "confidence").collect()] == ["c", "d"]
 
 
 def test_lexicon(spark):
@@ -69,6 +72,17 @@ def test_lexicon(spark):
     labels = spark.createDataFrame([("u:1", "lease"), ("u:2", "lease agreement")], "iri string, label_key string")
     found = sorted((r["doc_id"], r["start"], r["end"], r["iri"]) for r in lexicon.match(docs, labels).collect())
     assert found == [(1, 4, 9, "u:1"), (1, 13, 18, "u:1"), (1, 13, 28, "u:2")]
+    every = lambda text, *keys, **more: sorted((r["start"], r["end"], r["label_key"]) for r in lexicon.match(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(k,) for k in keys], "label_key string"), **more).collect())
+    long = "motion for leave to file an amended complaint"
+    assert every(f"The {long.title()}.", long, "leave") == [(4, 4 + len(long), long), (15, 20, "leave")]
+    assert every("under 5 U.S.C. 7, but not XU.S.C. or u.s.c.x", "u.s.c.") == [(8, 14, "u.s.c.")]
+    assert every("a (c) b(c)", "(c)") == [(2, 5, "(c)")]
+    assert every("İstanbul court", "court") == [(9, 14, "court")]  # places are the text's, whatever lower case does
+    assert every("new york county", "new york", "york county") == [(0, 8, "new york"), (4, 15, "york county")]
+    assert every("new york county", "new york", "york county", resolve=True) == [(4, 15, "york county")]
+    assert every("new york county", "new york", "york county", resolve=True, part_chars=9) == [(4, 15, "york county")]  # two automata
+    assert every("court_x courts", "court", "") == [] and every("", "court") == []
+    assert lexicon.match(docs, labels.limit(0)).count() == 0
     c = lambda kind, label: one(spark, lexicon.confidence(F.col("k"), F.col("l")), k=kind, l=label)
     assert (c("preferred", "a b"), c("alternative", "a"), c("hidden", "a")) == (0.90, 0.35, 0.50)
 
@@ -100,7 +114,13 @@ def test_scores(spark):
     assert one(spark, scoring.word_match(F.lit("contract"), F.lit("contracts"))) == 0.8
     assert one(spark, scoring.word_match(F.lit("litigation"), F.lit("litigator"))) == 0.7
     assert one(spark, scoring.word_match(F.lit("cat"), F.lit("dog"))) == 0.0
-    rel = lambda q, t: one(spark, scoring.relevance(F.lit(q), F.lit(t), F.lit(""), scoring.word_overlap(words(q.lower()), words(t.lower())), F.lit(0.0)))
+    rel = lambda q, t, d="": one(spark, scoring.relevance(F.lit(q), F.lit(t), F.lit(d), scoring.word_overlap(text.content_words(F.lit(q), search.STOP), text.content_words(F.lit(t), search.STOP)), scoring.word_overlap(text.content_words(F.lit(q), search.STOP), text.content_words(F.lit(d), search.STOP))))
+    assert rel("Dog Bite", "Dog Bite Strict Liability") >= 85.0
+    assert rel("criminal defense attorney", "Criminal Defense") >= 78.0
+    assert rel("employment discrimination", "Workplace Discrimination Law") > 30.0
+    assert rel("leases", "Tenancy", "of leases and rents") == 60.0  # found by its definition alone
+    assert rel("test", "") == 0.0 and rel("test", "test", "test test test") == 82.0
+    assert rel("cat", "catalogue") == 70.4  # contained, but by three letters: the words' overlap counts
     assert rel("breach of contract", "breach of contract") == 97.0
     assert rel("real estate", "Real Estate") == 92.0
     assert rel("lease", "lease") == 82.0
@@ -121,7 +141,7 @@ def test_search_candidates(spark):
     asked = ["general", "Type", "überblick", "lease", "survey report", "undertenancy deed", "tenancy", "价格表", "regulatory", "my counterclaim!", "gaphone us", "", " ", None]
     got = {(r["query"], r["iri"]): r["score"] for r in search.search(spark.createDataFrame([(x,) for x in asked], "query string"), concepts).collect()}
     want = {("general", "u:1"): 82.0, ("Type", "u:2"): 82.0, ("überblick", "u:3"): 82.0, ("lease", "u:4"): 85.0, ("survey report", "u:3"): 82.0, ("undertenancy deed", "u:4"): 90.0}
-    want |= {("tenancy", "u:4"): 84.0, ("价格表", "u:5"): 82.0, ("my counterclaim!", "u:7"): 78.0, ("gaphone us", "u:7"): 67.2}
+    want |= {("tenancy", "u:4"): 84.0, ("价格表", "u:5"): 82.0, ("my counterclaim!", "u:7"): 78.0, ("gaphone us", "u:7"): 60.0}
     assert {k: got.get(k) for k in want} == want
     assert got["regulatory", "u:6"] == 44.0  # by its expansion "regulatory compliance"
     assert {q for q, _ in got} == set(asked) - {"", " ", None}
@@ -268,3 +288,93 @@ def test_annotate(spark):
     labels = spark.createDataFrame([("u:1", "court", "preferred"), ("u:2", "supreme court", "preferred"), ("u:3", "act", "alternative")], "iri string, label string, label_type string")
     rows = annotate.annotate(docs, labels).orderBy("start", F.desc("end")).collect()
     assert [(r["text"], r["iri"], r["confidence"], r["sentence_start"]) for r in rows] == [("court", "u:1", 0.72, 0), ("Supreme Court", "u:2", 0.9, 17), ("Court", "u:1", 0.72, 17)]
+
+
+def test_pages_of_text(spark):
+    c = lambda s: one(spark, text.dehyphenate(F.col("s")), s=s)
+    assert c("One ends.\nNext line") == "One ends.\nNext line"
+    assert c("it goes\non and con-\ntinues\nHere") == "it goes on and continues\nHere"
+    assert c("end.\n 12 \nStart 12 of") == "end.\nStart 12 of"
+
+
+def test_reconcile(spark):
+    side = lambda *rows: spark.createDataFrame([(t, i, c, n) for n, (t, i, c) in enumerate(rows)], "text string, iri string, confidence double, ord long")
+    got = lambda r, m: sorted((x["text"], x["iri"], x["category"], round(x["confidence"], 4)) for x in reconcile.reconcile(side(*r), side(*m)).collect())
+    assert got([("Court", "u:1", 0.8)], [("court", None, 0.6)]) == [("court", "u:1", "both_agree", 0.81)]
+    assert got([("court", "", 0.5)], [("court", "u:2", 0.9), ("court", "u:1", 0.7)]) == [("court", "u:1", "llm_only", 0.7), ("court", "u:2", "both_agree", 0.905)]
+    assert got([("deal", "u:2", 0.8)], [("deal", "u:3", 0.6)]) == [("deal", "u:2", "ruler_only", 0.8), ("deal", "u:3", "llm_only", 0.6)]
+    assert got([("the", "u:1", 0.5)], []) == [] and got([], []) == []
+    assert got([("a", "u:1", 0.7), ("a", "u:1", 0.8)], []) == [("a", "u:1", "ruler_only", 0.8)]
+    more = lambda *rows: spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "text string, iri string, confidence double, similarity double, overlap double, ord long")
+    tri = lambda r, m: sorted((x["iri"], x["category"], round(x["confidence"], 4)) for x in reconcile.triaged(more(*r), more(*m)).collect())
+    assert tri([("deal", "u:2", 0.8, 0.9, 0.0)], [("deal", "u:3", 0.95, 0.9, 1.0)]) == [("u:2", "conflict_resolved", 0.9)]
+    assert tri([("deal", "u:2", 0.8, 0.1, 0.2)], [("deal", "u:3", 0.6, 0.2, 0.5)]) == [("u:3", "conflict_resolved", 0.6)]
+    assert tri([("deal", "u:2", 0.8, 0.1, 0.5)], [("deal", "u:3", 0.6, 0.2, 0.5)]) == [("u:2", "conflict_resolved", 0.8), ("u:3", "conflict_resolved", 0.6)]
+    assert tri([("deal", "", 0.8, 0.1, 0.5)], [("deal", "u:3", 0.6, 0.2, 0.5)]) == [("u:3", "both_agree", 0.81)]
+
+
+def test_citations_and_entities(spark):
+    said = "See 410 U.S. 113 (1973); 42 USC 1983; 17 C.F.R. § 240.10b-5; 12 Harv. L. Rev. 345. Id. at 5; 410 U.S. at 120; supra note 3."
+    found = [(r["form"], r["text"], r["class"], r["normal_form"], r["url"]) for r in extract.citations(spark.createDataFrame([(1, said), (2, None)], "doc_id long, text string")).orderBy("start").collect()]
+    assert found == [
+        ("case", "410 U.S. 113 (1973)", "Caselaw", None, "https://cite.case.law/us/410/113/"),
+        ("statute", "42 USC 1983", "Statute", "42 U.S.C. § 1983", "https://www.law.cornell.edu/uscode/text/42/1983"),
+        ("regulation", "17 C.F.R. § 240.10b-5", "Statute", None, "https://www.law.cornell.edu/cfr/text/17/240.10b-5"),
+        ("journal", "12 Harv. L. Rev. 345", "Legal Scholarship", None, None),
+        ("id", "Id. at 5", "Caselaw", "Id.", None),
+        ("short", "410 U.S. at 120", "Caselaw", "410 U.S., at 120", None),
+        ("supra", "supra note 3", "Caselaw", "supra", None),
+    ]
+    cites = extract.citations(spark.createDataFrame([(1, said)], "doc_id long, text string"))
+    more = spark.createDataFrame([(1, 4, 23, "410 U.S. 113 (1973)", None, None), (1, 0, 3, "See", None, "u")], "doc_id long, start int, end int, text string, normal_form string, url string")
+    assert [(r["text"], r["confidence"]) for r in extract.with_more_citations(cites, more).filter("form = 'other'").collect()] == [("See", 0.9)]
+    spans = spark.createDataFrame([(1, 0, 9, x, t) for x, t in (("Jane Doe", "PERSON"), ("Doe Holdings", "PERSON"), ("Habeas Corpus ", "ORG"), ("Acme", "ORG"), ("Ohio", "GPE"), ("1999", "DATE"))], "doc_id long, start int, end int, text string, tag string")
+    assert [(r["text"], r["class"], r["confidence"]) for r in extract.entities(spans).collect()] == [("Jane Doe", "Person", 0.8), ("Doe Holdings", "Organization", 0.8), ("Acme", "Organization", 0.78), ("Ohio", "Location", 0.78)]
+
+
+def test_extractor_errors_stay_alone(spark, monkeypatch):
+    monkeypatch.setitem(extract.EXTRACTORS, "broken", extract.Extractor("x+", 0.5, group=7))  # a group that isn't there fails on every match
+    rows = list(extract._finds("xx on 2024-01-05", extract._compiled(["broken", "date"])))
+    assert [(r[0], r[3], bool(r[6])) for r in rows] == [("broken", None, True), ("date", "2024-01-05", False)]
+    docs = spark.createDataFrame([(1, "on 2024-01-05")], "doc_id long, text string")
+    assert [r["text"] for r in extract.extract(docs, ["date"], errors=True).collect()] == ["2024-01-05"]
+    try:
+        extract.register("bad", extract.Extractor("(", 0.5))
+        raise AssertionError
+    except re.error:
+        assert "bad" not in extract.EXTRACTORS
+
+
+def plain_individuals(rows):
+    """The merge, looking at every kept row."""
+    kept = []
+    for r in sorted(rows, key=lambda r: (-extract.PRIORITY.get(r["source"], 0), r["start"], r["end"], r["name"])):
+        for k in kept:
+            x, y = r["name"].lower(), k["name"].lower()
+            if (k["start"] < r["end"] and r["start"] < k["end"]) or x in y or y in x or r["mention"].lower() == k["mention"].lower():
+                k["links"] += [z for z in r["links"] if z not in k["links"]]
+                k["n"] += 1
+                k["of"].add(r["source"])
+                break
+        else:
+            kept.append({**r, "links": list(r["links"]), "n": 1, "of": {r["source"]}})
+    return sorted((k["name"], k["start"], k["end"], k["source"] if len(k["of"]) == 1 else "hybrid", tuple(k["links"]), k["n"]) for k in kept)
+
+
+def test_individuals_like_the_plain_merge(spark):
+    rng = random.Random(12)
+    names = ["Smith", "John Smith", "Acme", "Acme Corp", "Acme Corp Holdings", "Ohio", "ohio", "Doe"]
+    rows = []
+    for d in range(40):
+        for _ in range(rng.randint(1, 40)):
+            name, start = rng.choice(names), rng.randint(0, 3000)
+            rows.append({"doc_id": d, "name": name, "mention": rng.choice([name, name.upper(), "it"]), "start": start, "end": start + rng.choice([3, 9, 700]), "source": rng.choice(["citation", "regex", "ner", "model"]), "links": [rng.choice("abc")]})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, name string, mention string, start int, end int, source string, links array<string>")
+    key = lambda r: (r["name"], r["start"], r["end"], r["source"], tuple(r["links"]), r["n_merged"])
+    by_doc = {}
+    for r in extract.individuals(df).collect():
+        by_doc.setdefault(r["doc_id"], []).append(key(r))
+    assert {d: sorted(x) for d, x in by_doc.items()} == {d: plain_individuals([r for r in rows if r["doc_id"] == d]) for d in range(40)}
+    docs = spark.createDataFrame([(d, "Acme® and $5") for d in range(40)], "doc_id long, text string").join(extract.gathered(df), "doc_id", "left")
+    joined = extract.found_individuals(docs, ["money", "trademark"], more="more").collect()
+    assert {r["name"] for r in joined} >= {"$5", "Acme®"} and any(r["source"] == "hybrid" for r in joined)

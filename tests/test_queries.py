@@ -1,7 +1,8 @@
 import pytest
 from compare import assert_same, connect
+from test_operators import plain_individuals, resolved
 
-from lexspan.operators import chunks, lexicon
+from lexspan.operators import chunks, extract, lexicon
 from lexspan.plans import bindings
 from lexspan.plans.queries import ORACLE_SQL, QUERIES
 
@@ -45,6 +46,29 @@ def test_spans_of_documents(spark, sf):
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
 
 
+def test_overlaps_of_documents(spark, sf):
+    """Whole documents and the large lexicon, against the rule said again."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), bindings.large_lexicon(spark, sf)
+    spans, iris = {}, {}
+    for r in lexicon.match(docs, labels).collect():
+        spans.setdefault(r["doc_id"], set()).add((r["start"], r["end"]))
+        iris.setdefault((r["doc_id"], r["start"], r["end"]), set()).add(r["iri"])
+    want = sorted((d, s, e, i) for d, x in spans.items() for s, e in resolved(x) for i in iris[d, s, e])
+    assert sorted(map(tuple, QUERIES["overlap_resolve"](spark, sf).collect())) == want
+    assert len(want) < len({(d, s, e, i) for (d, s, e), x in iris.items() for i in x})
+
+
+def test_individuals_of_documents(spark, sf):
+    """What the extractors find in each text, merged by the plain rule."""
+    by_doc = {}
+    for r in extract.extract(bindings.sentences(spark, sf)).collect():
+        link = extract.EXTRACTORS[r["label"]].kind
+        by_doc.setdefault(r["doc_id"], []).append({"name": r["value"], "mention": r["text"], "start": r["start"], "end": r["end"], "source": "citation" if r["label"] == "citation" else "regex", "links": [link]})
+    want = sorted((d, *x) for d, rows in by_doc.items() for x in plain_individuals(rows))
+    got = sorted((r["doc_id"], r["name"], r["start"], r["end"], r["source"], tuple(r["links"]), r["n_merged"]) for r in QUERIES["individuals"](spark, sf).collect())
+    assert got == want
+
+
 def test_search_asks_for_words_of_names(spark, sf):
     names = {w for r in spark.read.parquet(f"{sf}/part.parquet").collect() for w in r["p_name"].split()}
     assert {r["query"] for r in QUERIES["multi_search"](spark, sf).collect()} == names
