@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +10,10 @@ from lexspan.operators import annotations as ann
 from lexspan.operators import chunks, confidence, extract, feedback, hierarchy, intervals, lexicon, metadata, models, overlap, reconcile, search, triples, vectors
 from lexspan.plans import annotate
 from lexspan.plans import bindings as b
+from lexspan.plans.registry import ORACLE_SQL, QUERIES, query
 from lexspan.sinks import export
 from lexspan.sources import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Text
 
 
@@ -648,3 +632,9 @@ def concept_report(spark, sf):
 def annotated_documents(spark, sf):
     labels = b.lexicon(spark).withColumnRenamed("label_key", "label")
     return annotate.annotate(b.table(spark, sf, "documents"), labels)
+
+
+# Registered with the rest
+from lexspan.plans import concept_queries, export_queries, stage_queries  # noqa: E402
+
+__all__ = ["ORACLE_SQL", "QUERIES", "concept_queries", "export_queries", "stage_queries"]

@@ -130,6 +130,12 @@ WRITERS: dict[str, Callable[[DataFrame, str], None]] = {
     "brat": _text(standoff),
 }
 
+#: Writers that need the documents or their chunks as well.
+TEXT_WRITERS: dict[str, Callable[[DataFrame, DataFrame, str], None]] = {
+    "html": lambda a, docs, path: highlighted(docs, a).write.parquet(path),
+    "rag": lambda a, chunks, path: rag_chunks(chunks, a).write.json(path),
+}
+
 
 def register(name: str, write: Callable[[DataFrame, str], None]) -> None:
     WRITERS[name] = write

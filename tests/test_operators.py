@@ -378,3 +378,32 @@ def test_individuals_like_the_plain_merge(spark):
     docs = spark.createDataFrame([(d, "Acme® and $5") for d in range(40)], "doc_id long, text string").join(extract.gathered(df), "doc_id", "left")
     joined = extract.found_individuals(docs, ["money", "trademark"], more="more").collect()
     assert {r["name"] for r in joined} >= {"$5", "Acme®"} and any(r["source"] == "hybrid" for r in joined)
+
+
+def test_writers_of_sections(spark, tmp_path):
+    """Every format is written and found again, empty sections and signs in texts among them."""
+    from lexspan.plans.export_queries import _sections
+    from lexspan.sinks import sections
+
+    s = _sections(spark, "/root/testdata/sf0.001")
+    few = sections.Sections(s.annotations.filter("doc_id < 40"), s.individuals.filter("doc_id < 40").withColumn("name", F.lit('a "b" <c>, d\n')), s.properties.filter("doc_id < 40"), s.triples.limit(0))
+    for name in sections.WRITERS:
+        sections.write(few, name, f"{tmp_path}/{name}")
+        assert any(tmp_path.joinpath(name).rglob("part-*")), name
+    assert spark.read.parquet(f"{tmp_path}/parquet/individuals").count() == 40 and spark.read.parquet(f"{tmp_path}/parquet/triples").count() == 0
+    back = spark.read.json(f"{tmp_path}/json")
+    assert back.count() == 40 and {r["individuals"][0]["name"] for r in back.collect()} == {'a "b" <c>, d\n'}
+    assert spark.read.format("xml").option("rowTag", "document").load(f"{tmp_path}/xml").count() == 40
+    rejected = few.annotations.filter("state = 'rejected'").count()
+    assert rejected and sections.shown(few, include_dismissed=True).annotations.count() - sections.shown(few).annotations.count() == rejected
+    docs = spark.createDataFrame([(1, "a < b court")], "doc_id long, text string")
+    found = spark.createDataFrame([(1, 6, 11, "u:1", "court", 0.95)], "doc_id long, start int, end int, iri string, label string, confidence double")
+    export.TEXT_WRITERS["html"](found, docs, f"{tmp_path}/html")
+    assert spark.read.parquet(f"{tmp_path}/html").first()["html"] == 'a &lt; b <mark class="high">court</mark>'
+    export.TEXT_WRITERS["rag"](found, chunks.chunks(docs), f"{tmp_path}/rag")
+    assert spark.read.json(f"{tmp_path}/rag").first()["entities"][0]["iri"] == "u:1"
+    try:
+        sections.write(few, "none", "x")
+        raise AssertionError
+    except KeyError:
+        pass
