@@ -30,6 +30,9 @@ BRANCHES = {
     "SYSTEM_IDENTIFIERS": ("System Identifiers", "#3d4d5a"),
 }
 
+#: The colour of a branch that isn't among them.
+FALLBACK_COLOR = "#4a5568"
+
 #: Branches left out of matching; an ontology's own type branch is passed in beside them.
 EXCLUDED_BRANCHES = ("Standards Compatibility", "ZZZ - SANDBOX: UNDER CONSTRUCTION", "Area of Law")
 
@@ -37,26 +40,28 @@ EXCLUDED_BRANCHES = ("Standards Compatibility", "ZZZ - SANDBOX: UNDER CONSTRUCTI
 VIRTUAL_BRANCHES = {"Document Metadata": ("Actor / Player", "Document / Artifact")}
 
 #: Labels that are no patterns.
-PATTERN_STOP = (
-    "a an the to of in on at by for or and is it be as do no so up if my me he we am us go re al de la le mr ms dr st vs id ie eg etc per via "
-    "not but has had was are its may can did she his her him our who how all any new one two out own set use way day get see now old end put run "
-    "let say too yet off try ask got met cut pay due add"
-).split()
+PATTERN_STOP = [
+    "a", "an", "the", "to", "of", "in", "on", "at", "by", "for", "or", "and", "is", "it", "be", "as", "do", "no", "so", "up", "if", "my", "me", "he", "we", "am", "us", "go", "re",
+    "al", "de", "la", "le", "mr", "ms", "dr", "st", "vs", "id", "ie", "eg", "etc", "per", "via", "not", "but", "has", "had", "was", "are", "its", "may", "can", "did", "she",
+    "his", "her", "him", "our", "who", "how", "all", "any", "new", "one", "two", "out", "own", "set", "use", "way", "day", "get", "see", "now", "old", "end", "put", "run", "let",
+    "say", "too", "yet", "off", "try", "ask", "got", "met", "cut", "pay", "due", "add",
+]
 
 #: One-word alternative labels that are common words.
-ALTERNATIVE_STOP = (
-    "act bar bill bond brief case charge claim code count court deed due duty fee fine firm fund grant hold law lien loan loss note order party pay "
-    "plea right rule sale seal suit tax term title tort trust use wage ward will writ"
-).split()
+ALTERNATIVE_STOP = [
+    "act", "bar", "bill", "bond", "brief", "case", "charge", "claim", "code", "count", "court", "deed", "due", "duty", "fee", "fine", "firm", "fund", "grant", "hold", "law",
+    "lien", "loan", "loss", "note", "order", "party", "pay", "plea", "right", "rule", "sale", "seal", "suit", "tax", "term", "title", "tort", "trust", "use", "wage", "ward",
+    "will", "writ",
+]
 
 #: Property labels that are no patterns.
 PROPERTY_STOP = ("not", "and", "near", "equal", "can", "has", "or")
 
 #: Words that searches pass over.
-SEARCH_STOP = (
-    "a an the of and or in for to with by on at is are was were be been being not no has have had do does did this that it its their other such than "
-    "law legal type types general"
-).split()
+SEARCH_STOP = [
+    "a", "an", "the", "of", "and", "or", "in", "for", "to", "with", "by", "on", "at", "is", "are", "was", "were", "be", "been", "being", "not", "no", "has", "have", "had", "do",
+    "does", "did", "this", "that", "it", "its", "their", "other", "such", "than", "law", "legal", "type", "types", "general",
+]
 
 #: Words that a query's word also stands for.
 EXPANSIONS = {
@@ -127,3 +132,25 @@ FAMILIES = {
     "Addresses": ["address", "location", "place"],
     "Monetary": ["money", "monetary", "amount", "currency"],
 }
+
+#: Words that, alone, make no phrase worth a semantic search, beside those that are no patterns.
+PHRASE_STOP = [
+    "this", "that", "they", "them", "what", "when", "where", "which", "whom", "each", "some", "such", "both", "same", "said", "here", "have", "been", "were", "will", "does", "done", "made", "shall", "being",
+    "with", "from", "into", "than", "then", "also", "just", "even", "more", "most", "only", "over", "very", "well", "much", "back", "like", "upon", "thus", "once",
+]
+
+#: Types of documents that can be asked for, by field.
+DOCUMENT_TYPES = {
+    "Litigation": ["Motion to Dismiss", "Complaint", "Answer", "Motion for Summary Judgment", "Memorandum of Law", "Court Opinion"],
+    "Contracts": ["Commercial Lease", "Employment Agreement", "NDA", "Purchase Agreement", "Service Agreement"],
+    "Corporate": ["Board Resolution", "Bylaws Amendment", "Shareholder Agreement", "Operating Agreement"],
+    "Regulatory": ["Compliance Report", "Regulatory Filing", "Agency Opinion"],
+    "Law Firm Operations": ["Engagement Letter", "Legal Opinion Letter"],
+    "Real Estate": ["Deed of Trust", "Purchase and Sale Agreement", "Lease Agreement"],
+    "IP": ["Patent License Agreement", "Trademark Assignment"],
+    "Estate Planning": ["Last Will and Testament", "Trust Agreement"],
+    "Immigration": ["Immigration Petition", "Visa Application Support Letter"],
+}
+
+#: Tasks that models are asked for.
+MODEL_TASKS = ["classifier", "extractor", "concept", "branch_judge", "area_of_law", "synthetic", "individual", "property", "document_type"]

@@ -61,3 +61,25 @@ def attach(matches: DataFrame, existing: DataFrame) -> DataFrame:
     loose = existing.groupBy("doc_id", "start", "end", F.lower("text").alias("low")).agg(F.min("ann_id").alias("loose"))
     found = matches.withColumn("low", F.lower("text")).join(exact, ["doc_id", "start", "end", "iri"], "left").join(loose, ["doc_id", "start", "end", "low"], "left")
     return found.withColumn("ann_id", F.coalesce("exact", "loose")).withColumn("created", F.col("ann_id").isNull()).drop("low", "exact", "loose")
+
+
+def without(old: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``old`` but for those with a key of ``gone``."""
+    return old.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def rejected_with_feedback(df: DataFrame, feedback: DataFrame, which: Column, note: str) -> tuple[DataFrame, DataFrame]:
+    """Annotations (job_id, ann_id, ...) rejected, and the feedback (job_id, ann_id, rating, note) with an entry for each that now is and wasn't."""
+    hit = df.filter(F.coalesce(which, F.lit(False)) & (F.col("state") != "rejected")).select("job_id", "ann_id", F.lit("dismissed").alias("rating"), F.lit(note).alias("note"))
+    return reject(df, which), upserted(feedback, hit, "job_id", "ann_id")
+
+
+def lineage_rows(df: DataFrame) -> DataFrame:
+    """(ann_id, place, event): what has happened to each annotation, in order."""
+    return df.select("ann_id", F.posexplode("lineage").alias("place", "event"))
+
+
+def migrated(df: DataFrame) -> DataFrame:
+    """Rows of an older form, with one ``branch``, in the present one: an array of ``branches``, the old one's branch if it is missing or empty."""
+    old = F.when(F.coalesce("branch", F.lit("")) != "", F.array("branch")).otherwise(F.array().cast("array<string>"))
+    return df.withColumn("branches", F.when(F.size(F.coalesce("branches", F.array().cast("array<string>"))) > 0, F.col("branches")).otherwise(old)).drop("branch")

@@ -76,3 +76,40 @@ def stale(jobs: DataFrame, now: str, minutes: int = 30) -> DataFrame:
 
 def expired(jobs: DataFrame, now: str, days: int = 30) -> DataFrame:
     return jobs.filter(F.col("updated_at") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def by_job(f: DataFrame, job_id: int) -> DataFrame:
+    return f.filter(F.col("job_id") == job_id)
+
+
+def by_annotation(f: DataFrame, keys: DataFrame) -> DataFrame:
+    """The newest entry of each annotation (job_id, ann_id) that is asked for."""
+    w = W.partitionBy("job_id", "ann_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return f.join(keys.select("job_id", "ann_id").distinct(), ["job_id", "ann_id"], "left_semi").withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
+
+
+#: The states of a job, in order; the last two end it.
+STATES = ["pending", "ingesting", "normalizing", "enriching", "identifying", "resolving", "matching", "judging", "extracting_individuals", "extracting_properties", "exporting", "completed", "failed"]
+
+
+def transitions(log: DataFrame) -> DataFrame:
+    """(job_id, ts, status, before, forward) of a log (job_id, ts, status): a row where a job's status changes, and whether it went on.
+
+    A job may fail at any time; nothing follows an end.
+    """
+    w = W.partitionBy("job_id").orderBy("ts", "status")
+    place = lambda c: F.array_position(F.array(*[F.lit(x) for x in STATES]), c)
+    rows = log.select("job_id", "ts", "status", F.lag("status").over(w).alias("before"))
+    changed = rows.filter(~F.col("status").eqNullSafe(F.col("before")))
+    on = F.when(F.col("before").isNull(), True).when(F.col("before").isin("completed", "failed"), False).otherwise((place(F.col("status")) > place(F.col("before"))))
+    return changed.withColumn("forward", on)
+
+
+def logged(log: DataFrame, new: DataFrame) -> DataFrame:
+    """An activity log (job_id, ts, stage, message) with more entries, each once, in order of time within a job."""
+    return log.unionByName(new).distinct()
+
+
+def stage_summary(annotations: DataFrame) -> DataFrame:
+    """One row: matches by label type, and annotations by state."""
+    return annotations.agg(F.count_if(F.col("label_type") == "preferred").alias("n_preferred"), F.count_if(F.col("label_type") == "alternative").alias("n_alternative"), F.count_if(F.col("state") == "confirmed").alias("n_confirmed"), F.count_if(F.col("state") == "rejected").alias("n_rejected"))

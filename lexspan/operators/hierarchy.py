@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexspan.staging import staged
+
 PATH_LIMIT, WALK_LIMIT = 10, 20
 
 
 def closure(edges: DataFrame, limit: int = WALK_LIMIT) -> DataFrame:
-    """(iri, ancestor, depth) from (child, parent): all ancestors at their least depth; cycles end where they meet themselves."""
+    """(iri, ancestor, depth) from (child, parent): all ancestors at their least depth; cycles end where they meet themselves.
+
+    Each level is a table of its own, so the plan stays flat however deep the hierarchy is.
+    """
     level = edges.select(F.col("child").alias("iri"), F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1))
-    found = level
+    found = level = staged(level, "closure")
     up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("above")).distinct()
     for depth in range(2, limit + 1):
-        level = level.join(up, "ancestor").select("iri", F.col("above").alias("ancestor")).filter("iri <> ancestor").distinct().join(found, ["iri", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).persist()
+        level = staged(level.join(up, "ancestor").select("iri", F.col("above").alias("ancestor")).filter("iri <> ancestor").distinct().join(found, ["iri", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if level.isEmpty():
             break
         found = found.unionByName(level)
@@ -52,7 +57,7 @@ def branch_of(edges: DataFrame, roots: DataFrame, limit: int = WALK_LIMIT) -> Da
 
 
 def neighbourhood(edges: DataFrame, see_also: DataFrame, starts: DataFrame, down: int = 2, also: int = 5, most: int = 200) -> DataFrame:
-    """Nodes of each start's graph (start, iri, depth): ancestors below 0, descendants to ``down``, ``also`` see-also nodes a node.
+    """Nodes of each start's graph (start, iri, depth): ancestors below 0, descendants to ``down``, ``also`` see-also nodes a node, with their ancestors.
 
     At most ``most`` nodes a graph, nearer ones first; ``truncated`` says if there were more.
     """
@@ -65,7 +70,8 @@ def neighbourhood(edges: DataFrame, see_also: DataFrame, starts: DataFrame, down
     w = W.partitionBy("a").orderBy("b")
     links = see_also.select("a", "b").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= also)
     linked = near.join(links, near["iri"] == links["a"]).select("start", F.col("b").alias("iri"), F.col("depth"))
-    every = near.unionByName(linked).groupBy("start", "iri").agg(F.min_by("depth", F.struct(F.abs("depth"), "depth")).alias("depth"))
+    reached = linked.distinct().alias("l").join(up.alias("u"), F.col("l.iri") == F.col("u.iri")).select("l.start", F.col("u.ancestor").alias("iri"), (F.col("l.depth") - F.col("u.depth")).alias("depth"))
+    every = near.unionByName(linked).unionByName(reached).groupBy("start", "iri").agg(F.min_by("depth", F.struct(F.abs("depth"), "depth")).alias("depth"))
     order = W.partitionBy("start").orderBy(F.abs("depth"), "depth", "iri")
     numbered = every.withColumn("rank", F.row_number().over(order)).withColumn("truncated", F.count(F.lit(1)).over(W.partitionBy("start")) > most)
     return numbered.filter(F.col("rank") <= most).drop("rank")

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexspan.functions.constants import ALTERNATIVE_STOP, PATTERN_STOP, PROPERTY_STOP
-from lexspan.functions.text import split_camel, strip_namespace
+from lexspan.functions.constants import ALTERNATIVE_STOP, PATTERN_STOP
 from lexspan.operators import overlap
 
 #: Precedence of label types, and confidence by (type, several words).
@@ -36,13 +35,6 @@ def admitted(labels: DataFrame, stop: list[str] = PATTERN_STOP, least: int = 3)
     return labels.filter((F.length("label") >= least) & ~low.isin(stop) & ((F.col("label_type") != "alternative") | safe))
 
 
-def admitted_properties(labels: DataFrame, prefixes: list[str]) -> DataFrame:
-    """Property labels without namespace, camel case split, longer than two characters, and no stop word; deprecated ones left out."""
-    kept = labels.filter(~F.contains("label", F.lit("DEPRECATED")) & ~F.startswith("label", F.lit("ZZZ:")))
-    clean = kept.withColumn("label", split_camel(strip_namespace(F.col("label"), prefixes)))
-    return clean.filter((F.length("label") > 2) & ~F.col("label").isin(*PROPERTY_STOP))
-
-
 def single_index(labels: DataFrame) -> DataFrame:
     """Per lower-case label the concept of the strongest label type; the last of equal ones."""
     w = W.partitionBy("label_key").orderBy(precedence(F.col("label_type")), F.col("iri").desc())

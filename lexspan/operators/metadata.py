@@ -24,8 +24,12 @@ def promoted(annotations: DataFrame, docs: DataFrame, cues: dict[str, list[str]]
 
 def type_label(links: Column, branch: Column, source: Column, families: dict[str, list[str]] | None = None) -> Column:
     """The first family whose keyword a class link's label holds, links in order; else the branch, else the source."""
-    found = F.lit(None).cast("string")
-    hits = F.filter(F.transform(links, lambda x: F.coalesce(*[F.when(F.exists(F.array(*[F.lit(k) for k in keys]), lambda k, x=x: F.contains(F.lower(x), k)), F.lit(name)) for name, keys in (families or FAMILIES).items()], found)), lambda x: x.isNotNull())
+    none = F.lit(None).cast("string")
+
+    def family(link: Column) -> Column:
+        return F.coalesce(*[F.when(F.lower(link).rlike("|".join(keys)), name) for name, keys in (families or FAMILIES).items()], none)
+
+    hits = F.filter(F.transform(links, family), lambda x: x.isNotNull())
     return F.coalesce(F.get(hits, F.lit(0)), F.when(branch != "", branch), source)
 
 
@@ -34,3 +38,49 @@ def majority(df: DataFrame, keys: list[str], value: str, order: str) -> DataFram
     each = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
     w = W.partitionBy(*keys).orderBy(F.col("n").desc(), "seen")
     return each.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select(*keys, value, "n")
+
+
+#: How many of each go into a document's context, and what confidence counts as high.
+NAMES, WEAK, TRIPLES, CONCEPTS, WEAK_CONCEPTS, HIGH = 20, 20, 30, 20, 15, 0.80
+
+
+def entities_by_type(individuals: DataFrame) -> DataFrame:
+    """(doc_id, type, names): distinct names of confident individuals (doc_id, name, type, confidence, start) by type, in order of place; a name counts where it stands first."""
+    w = W.partitionBy("doc_id", "name").orderBy("start", "type")
+    first = individuals.withColumn("rank", F.row_number().over(w)).filter("rank = 1").filter(F.col("confidence") >= HIGH)
+    return first.groupBy("doc_id", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "name"))), lambda x: x["name"]).alias("names"))
+
+
+def weak_entities(individuals: DataFrame) -> DataFrame:
+    """(doc_id, name, type, confidence) of the others, the confidence to two places."""
+    w = W.partitionBy("doc_id", "name").orderBy("start", "type")
+    first = individuals.withColumn("rank", F.row_number().over(w)).filter("rank = 1").filter(F.col("confidence") < HIGH)
+    return first.select("doc_id", "name", "type", F.round("confidence", 2).alias("confidence"))
+
+
+def top_labels(concepts: DataFrame, most: int = CONCEPTS) -> DataFrame:
+    """(doc_id, labels): the first distinct labels of confident concepts (doc_id, label, confidence, place), at most ``most``."""
+    first = concepts.filter((F.col("confidence") >= HIGH) & (F.col("label") != "")).groupBy("doc_id", "label").agg(F.min("place").alias("place"))
+    return first.groupBy("doc_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]), 1, most).alias("labels"))
+
+
+def histogram(annotations: DataFrame, top: int = 30) -> DataFrame:
+    """A report of the ``top`` concepts as ``label [branch]`` with their counts and the first sixty characters of a definition, the first by iri."""
+    each = annotations.groupBy("label", "branch").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.left("definition", F.lit(60)), "iri").alias("definition"))
+    return each.select(F.concat("label", F.lit(" ["), "branch", F.lit("]")).alias("concept"), "n", "definition").orderBy(F.col("n").desc(), "concept").limit(top)
+
+
+def top_counts(annotations: DataFrame, column: str, top: int) -> DataFrame:
+    """A report of the most frequent values of a column."""
+    return annotations.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), column).limit(top)
+
+
+def page_count(elements: DataFrame) -> DataFrame:
+    """(doc_id, n_pages) of elements (doc_id, page) whose pages count from 0; without pages null."""
+    return elements.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
+
+
+def areas(answers: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc_id, area, confidence, rank): areas that a model names with enough confidence, the best first."""
+    w = W.partitionBy("doc_id").orderBy(F.col("confidence").desc(), "area")
+    return answers.filter(F.col("confidence") >= least).withColumn("rank", F.row_number().over(w))

@@ -36,6 +36,61 @@ def type_prompt(text: Column) -> Column:
     return F.concat(F.lit("What type of document is this? Answer with the type.\n\n"), bookends(text))
 
 
+def individual_prompt(text: Column, annotations: Column) -> Column:
+    """Asks for named individuals of a chunk, given its annotations as ``id: label`` strings."""
+    return F.concat(F.lit("Name the individuals in this text, each as JSON {name, mention, class_ids, class_labels, confidence}. Annotations: "), F.array_join(annotations, "; "), F.lit("\n\n"), text)
+
+
+def property_prompt(text: Column, known: Column) -> Column:
+    """Asks for relations of a chunk, given those already found."""
+    return F.concat(F.lit("Name the relations in this text, each as JSON {mention, domain, range, confidence}. Found already: "), F.array_join(known, "; "), F.lit("\n\n"), text)
+
+
+def area_prompt(kind: Column, concepts: Column) -> Column:
+    """Asks for areas of law, given a document's type and its concepts."""
+    said = F.when(F.size(concepts) > 0, F.array_join(concepts, ", ")).otherwise(F.lit("none"))
+    return F.concat(F.lit("Which areas of law is this document about? Answer as a JSON array of {area, confidence}.\nType: "), F.coalesce(kind, F.lit("unknown")), F.lit("\nConcepts: "), said)
+
+
+def check_prompt(kind: Column, branches: Column, labels: Column) -> Column:
+    """Asks whether a document's type fits what was found in it."""
+    return F.concat(F.lit("Does the type fit what was found? Answer as JSON {severity, message}.\nType: "), F.coalesce(kind, F.lit("unknown")), F.lit("\nBranches: "), F.array_join(branches, ", "), F.lit("\nLabels: "), F.array_join(labels, ", "))
+
+
+def severity(c: Column) -> Column:
+    """A model's word for how grave something is, as one of info, warning and error."""
+    low = F.lower(F.btrim(c))
+    return F.when(low.isin("error", "critical", "high"), "error").when(low.isin("warning", "medium", "moderate"), "warning").otherwise("info")
+
+
+def document_type(found: DataFrame, fallback: str = "Unknown") -> DataFrame:
+    """Rows with ``answer`` and ``error`` of a type prompt as (..., document_type, confidence): JSON or a bare word; an error or nothing is the fallback at 0."""
+    parsed = F.from_json(unfenced(F.col("answer")), "document_type string, confidence double")
+    plain = F.btrim(unfenced(F.col("answer")))
+    named = F.coalesce(parsed["document_type"], F.when(~F.startswith(plain, F.lit("{")) & (plain != ""), plain))
+    bad = F.col("error").isNotNull() | named.isNull()
+    return found.withColumn("document_type", F.when(bad, fallback).otherwise(named)).withColumn("confidence", F.when(bad, 0.0).otherwise(F.coalesce(parsed["confidence"], F.lit(1.0)))).drop("answer", "error")
+
+
+def routed(configured: dict[str, str], default: str | None, tiers: dict[str, str] | None = None) -> dict[str, str | None]:
+    """The model of each task: the one configured, else that of the task's tier, else the default; None if there is none."""
+    return {t: configured.get(t) or (tiers or {}).get(t) or default for t in MODEL_TASKS}
+
+
+def saved(vectors: DataFrame, path: str, model: str) -> None:
+    """Writes an index (key, embedding) with the name of its model."""
+    vectors.withColumn("model", F.lit(model)).withColumn("dim", F.size("embedding")).write.parquet(path)
+
+
+def loaded(spark, path: str, model: str, count: int | None = None) -> DataFrame:
+    """Reads an index that ``saved`` has written; one of another model, of mixed sizes or of another number of rows is refused."""
+    df = spark.read.parquet(path)
+    said = df.agg(F.collect_set("model").alias("m"), F.countDistinct("dim").alias("d"), F.count(F.lit(1)).alias("n")).first()
+    if said["m"] != [model] or said["d"] != 1 or (count is not None and said["n"] != count):
+        raise ValueError(f"the index at {path} is of {said['m']}, {said['n']} rows and {said['d']} sizes")
+    return df.drop("model", "dim")
+
+
 def asked(df: DataFrame, prompt: str, answer: Answer) -> DataFrame:
     """``df`` with ``answer`` and ``error``: prompts go to the model in batches."""
     kept = [f for f in df.schema.fields if f.name not in ("answer", "error")]

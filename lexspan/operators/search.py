@@ -116,11 +116,35 @@ def with_ancestors(scored: DataFrame, closure: DataFrame) -> DataFrame:
     return scored.select("query", "iri", "score").unionByName(more)
 
 
-def resolve(mentions: DataFrame, concepts: DataFrame, top: int = 5) -> DataFrame:
-    """Mentions (text, iri, confidence) with a concept: by iri, else the best of a search of their distinct texts, confidence blended 60 to 40."""
-    known = concepts.select("iri", F.col("label").alias("known"))
-    exact = mentions.join(known, "iri", "left")
-    texts = exact.filter("known IS NULL").select(F.col("text").alias("query")).distinct()
-    best = search(texts, concepts, top).filter("rank = 1").select(F.col("query").alias("text"), F.col("iri").alias("found_iri"), F.col("label").alias("found"), (F.col("score") / 100).alias("found_score"))
-    met = exact.join(best, "text", "left")
-    return met.select("text", F.when(F.col("known").isNotNull(), F.col("iri")).otherwise(F.col("found_iri")).alias("iri"), F.coalesce("known", "found").alias("label"), F.when(F.col("known").isNotNull(), F.col("confidence")).when(F.col("found").isNotNull(), scoring.blend(F.col("confidence"), F.col("found_score"), 0.6)).alias("confidence"))
+def hinted(found: DataFrame, hints: DataFrame) -> DataFrame:
+    """Search results (query, iri, ..., branch, score, rank) ranked anew: those whose branch holds the query's hint (query, hint) first, then by score."""
+    met = found.join(hints.dropDuplicates(["query"]), "query", "left")
+    fits = F.coalesce(F.contains(F.lower("branch"), F.lower("hint")) & (F.col("hint") != ""), F.lit(False))
+    w = W.partitionBy("query").orderBy(F.when(fits, 0).otherwise(1), F.col("score").desc(), "iri")
+    return met.withColumn("rank", F.row_number().over(w)).drop("hint")
+
+
+def resolve(mentions: DataFrame, concepts: DataFrame, top: int = 5, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Mentions (text, iri, confidence, and perhaps a ``hint`` of a branch) with a concept: by iri, else the best of a search of their distinct texts.
+
+    ``asked_iri`` (empty for none) and ``asked_confidence`` are the mention's own. Found ones blend confidence and score 60 to 40; a hint puts concepts of its branch first among the ``top``. ``backups`` are the other
+    candidates, best first. A concept of an excluded branch (``concepts`` may have a ``branch``) is no answer. Without a concept all are null.
+    """
+    c = concepts if "branch" in concepts.columns else concepts.withColumn("branch", F.lit(None).cast("string"))
+    m = mentions if "hint" in mentions.columns else mentions.withColumn("hint", F.lit(None).cast("string"))
+    known = c.select("iri", F.col("label").alias("known"), F.col("branch").alias("known_branch"))
+    exact = m.withColumn("asked_iri", F.coalesce("iri", F.lit(""))).withColumn("asked_confidence", F.col("confidence")).join(known, "iri", "left")
+    asked = exact.filter("known IS NULL").select(F.concat_ws("\x00", "text", "hint").alias("key"), "text", "hint").distinct()
+    found = search(asked.select(F.col("text").alias("query")).distinct(), c, top).join(c.select("iri", "branch"), "iri")
+    each = asked.join(found, asked["text"] == found["query"]).select(F.col("key").alias("query"), "hint", "iri", "label", "score", "branch")
+    ranked = hinted(each.drop("hint"), each.select("query", "hint"))
+    listed = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "iri", "label", "score", "branch"))).alias("all"))
+    met = exact.withColumn("query", F.concat_ws("\x00", "text", "hint")).join(listed, "query", "left").drop("query")
+    best, rest = F.get("all", F.lit(0)), F.transform(F.slice("all", 2, 5), lambda x: F.struct(x["iri"].alias("iri"), x["label"].alias("label"), x["score"].alias("score")))
+    direct = F.col("known").isNotNull()
+    out = met.select(
+        "text", "asked_iri", "asked_confidence", F.when(direct, F.col("iri")).otherwise(best["iri"]).alias("iri"), F.coalesce("known", best["label"]).alias("label"), F.when(direct, F.col("known_branch")).otherwise(best["branch"]).alias("branch"),
+        F.when(direct, F.col("confidence")).when(best.isNotNull(), scoring.blend(F.col("confidence"), best["score"] / 100, 0.6)).alias("confidence"), F.when(~direct, rest).alias("backups"),
+    )
+    gone = F.coalesce(F.col("branch").isin(*excluded), F.lit(False)) if excluded else F.lit(False)
+    return out.select("text", "asked_iri", "asked_confidence", *[F.when(~gone, F.col(x)).alias(x) for x in ("iri", "label", "branch", "confidence", "backups")])

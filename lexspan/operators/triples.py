@@ -75,3 +75,32 @@ def linked(triples_: DataFrame, annotations: DataFrame) -> DataFrame:
 def mentions_within(ends: DataFrame, names: DataFrame) -> DataFrame:
     """Triple ends (doc_id, triple_id, role, text) and the names (doc_id, name) of the same document that occur in them, ignoring case."""
     return ends.join(names, "doc_id").filter(F.contains(F.lower("text"), F.lower("name")) & (F.col("name") != ""))
+
+
+def properties_within(predicates: DataFrame, found: DataFrame) -> DataFrame:
+    """Predicates (doc_id, triple_id, predicate) and the properties (doc_id, text, iri, ...) of the same document whose text occurs in them, ignoring case."""
+    return predicates.join(found, "doc_id").filter(F.contains(F.lower("predicate"), F.lower("text")) & (F.col("text") != ""))
+
+
+def enriched(triples_: DataFrame, annotations: DataFrame, individuals: DataFrame, properties: DataFrame) -> DataFrame:
+    """Triples (doc_id, triple_id, subject, predicate, object, subject_start, ..., object_end) with what their parts are linked to, flat.
+
+    A subject's or object's concept is that of the first annotation, not rejected, that its span touches; its individual the first
+    whose mention it holds; the predicate's property the first whose text it holds. First goes by place, then by iri or id.
+    """
+    ends, names = [], []
+    for role in ("subject", "object"):
+        ends.append(triples_.filter(f"{role}_start IS NOT NULL").select("doc_id", "triple_id", F.lit(role).alias("role"), F.col(f"{role}_start").alias("start"), F.col(f"{role}_end").alias("end")))
+        names.append(triples_.select("doc_id", "triple_id", F.lit(role).alias("role"), F.col(role).alias("said")))
+    touched = overlap_join(ends[0].unionByName(ends[1]), annotations.filter("state <> 'rejected' AND iri IS NOT NULL"), touching=True)
+    concept = touched.groupBy("doc_id", F.col("a_triple_id").alias("triple_id"), F.col("a_role").alias("role")).agg(F.min(F.struct("b_start", "b_iri")).alias("x")).select("doc_id", "triple_id", "role", F.col("x.b_iri").alias("concept"))
+    said = names[0].unionByName(names[1]).withColumnRenamed("said", "text")
+    held = mentions_within(said, individuals.select("doc_id", F.col("mention").alias("name"), "ind_id", "start"))
+    person = held.groupBy("doc_id", "triple_id", "role").agg(F.min_by("ind_id", F.struct("start", "ind_id")).alias("individual"))
+    named = properties_within(triples_.select("doc_id", "triple_id", "predicate"), properties.select("doc_id", "text", "iri", "start"))
+    relation = named.groupBy("doc_id", "triple_id").agg(F.min_by("iri", F.struct("start", "iri")).alias("predicate_iri"))
+    out = triples_
+    for role in ("subject", "object"):
+        of = lambda df, c, role=role: df.filter(F.col("role") == role).select("doc_id", "triple_id", F.col(c).alias(f"{role}_{c}"))
+        out = out.join(of(concept, "concept"), ["doc_id", "triple_id"], "left").join(of(person, "individual"), ["doc_id", "triple_id"], "left")
+    return out.join(relation, ["doc_id", "triple_id"], "left")

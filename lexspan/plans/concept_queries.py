@@ -1 +1,166 @@
-"""."""
+"""Concepts, properties and what is counted of them, each with DuckDB's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexspan.operators import concepts, hierarchy, metadata, properties
+from lexspan.plans import bindings as b
+from lexspan.plans.registry import query
+from lexspan.sources import ontology
+
+#: The ontology of the queries: regions under the top, nations under one region or two, suppliers under one nation or two; some parents don't exist.
+_PARENTS = {
+    "r": "ARRAY('http://www.w3.org/2002/07/owl#Thing')",
+    "n": "CASE WHEN n_nationkey % 5 = 0 THEN ARRAY(concat('r', n_regionkey), concat('r', (n_regionkey + 1) % 5)) ELSE ARRAY(concat('r', n_regionkey)) END",
+    "s": "CASE WHEN s_suppkey % 4 = 0 THEN ARRAY(concat('n', s_nationkey), concat('n', (s_nationkey + 1) % 25)) WHEN s_suppkey % 10 = 1 THEN ARRAY('n-gone') ELSE ARRAY(concat('n', s_nationkey)) END",
+}
+
+
+def _concepts(spark: SparkSession, sf: str) -> DataFrame:
+    region, nation, supplier = (b.table(spark, sf, t) for t in ("region", "nation", "supplier"))
+    none = "CAST(NULL AS STRING)"
+    cols = lambda iri, label, definition, preferred, parents, also, alternatives, deprecated: [f"{iri} AS iri", f"{label} AS label", f"{definition} AS definition", f"{preferred} AS preferred_label", f"{parents} AS parents", f"{also} AS see_also", f"{alternatives} AS alternatives", "CAST(ARRAY() AS ARRAY<STRING>) AS examples", f"{deprecated} AS deprecated"]
+    empty = "CAST(ARRAY() AS ARRAY<STRING>)"
+    r = region.selectExpr(*cols("concat('r', r_regionkey)", "r_name", none, none, _PARENTS["r"], empty, empty, "false"))
+    n = nation.selectExpr(*cols("concat('n', n_nationkey)", "n_name", "concat('A nation, number ', n_nationkey)", "lower(n_name)", _PARENTS["n"], empty, "ARRAY(concat('Land ', n_nationkey))", "false"))
+    s = supplier.selectExpr(*cols("concat('s', s_suppkey)", "s_name", "''", "concat('Firm ', s_suppkey)", _PARENTS["s"], "ARRAY(concat('s', s_suppkey + 1), concat('s', s_suppkey + 2))", empty, "s_suppkey % 9 = 0"))
+    return r.unionByName(n).unionByName(s)
+
+
+def _known(spark: SparkSession, sf: str) -> DataFrame:
+    return b.table(spark, sf, "region").filter("r_regionkey < 3").selectExpr("concat('r', r_regionkey) AS iri", "CASE r_regionkey WHEN 0 THEN 'Area of Law' WHEN 1 THEN 'Service' ELSE 'Event' END AS branch")
+
+
+_ALL_SQL = """cls AS (SELECT 'r' || r_regionkey AS iri, r_name AS label, NULL::VARCHAR AS pref, []::VARCHAR[] AS see_also FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, lower(n_name), [] FROM nation
+UNION ALL SELECT 's' || s_suppkey, s_name, 'Firm ' || s_suppkey, ['s' || (s_suppkey + 1), 's' || (s_suppkey + 2)] FROM supplier),
+edge AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent, 0 AS ord FROM nation UNION ALL SELECT 'n' || n_nationkey, 'r' || ((n_regionkey + 1) % 5), 1 FROM nation WHERE n_nationkey % 5 = 0
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 0 FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 10 <> 1 UNION ALL SELECT 's' || s_suppkey, 'n' || ((s_nationkey + 1) % 25), 1 FROM supplier WHERE s_suppkey % 4 = 0),
+root AS (SELECT 'r' || r_regionkey AS iri, CASE r_regionkey WHEN 0 THEN 'Area of Law' WHEN 1 THEN 'Service' WHEN 2 THEN 'Event' ELSE r_name END AS branch FROM region),
+up AS (SELECT iri, iri AS a, 0 AS d FROM cls UNION ALL SELECT child, parent, 1 FROM edge UNION ALL SELECT e.child, p.parent, 2 FROM edge e JOIN edge p ON e.parent = p.child),
+branched AS (SELECT c.iri, coalesce(min_by(r.branch, (u.d, u.a)), 'Unknown') AS branch FROM cls c LEFT JOIN (up u JOIN root r ON u.a = r.iri) ON c.iri = u.iri GROUP BY c.iri)"""
+
+
+@query(f"WITH {_ALL_SQL} SELECT iri, branch FROM root")
+def concept_roots(spark, sf):
+    return concepts.roots(_concepts(spark, sf), _known(spark, sf))
+
+
+_NAMES = """(SELECT coalesce(string_agg(label, '|' ORDER BY encode(label), encode(iri)), '') FROM (SELECT DISTINCT c.label, c.iri FROM {0} JOIN cls c ON c.iri = o WHERE i = x.iri))"""
+
+
+@query(
+    f"""WITH {_ALL_SQL}, first AS (SELECT child, min_by(parent, (ord, parent)) AS parent FROM edge GROUP BY child), par AS (SELECT child AS i, parent AS o FROM edge), kid AS (SELECT parent AS i, child AS o FROM edge),
+sib AS (SELECT f.child AS i, e.child AS o FROM first f JOIN edge e ON f.parent = e.parent AND f.child <> e.child), rel AS (SELECT iri AS i, unnest(see_also) AS o FROM cls)
+SELECT x.iri, {_NAMES.format("par")} AS all_parents, {_NAMES.format("kid")} AS children, {_NAMES.format("sib")} AS siblings, {_NAMES.format("rel")} AS related FROM cls x"""
+)
+def concept_relatives(spark, sf):
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["label"]), "|").alias(c)
+    return concepts.relatives(_concepts(spark, sf)).select("iri", *[names(c) for c in ("all_parents", "children", "siblings", "related")])
+
+
+@query(
+    f"""WITH {_ALL_SQL}, lab AS (SELECT iri, label FROM cls), first AS (SELECT child, min_by(parent, (ord, parent)) AS parent FROM edge GROUP BY child),
+paths AS (SELECT x.iri, coalesce(g.label || ' > ', '') || coalesce(p.label || ' > ', '') || x.label AS path FROM cls x LEFT JOIN edge e ON e.child = x.iri LEFT JOIN lab p ON p.iri = e.parent LEFT JOIN first f ON f.child = e.parent LEFT JOIN lab g ON g.iri = f.parent)
+SELECT x.iri, x.label, CASE WHEN lower(coalesce(pref, '')) <> lower(x.label) THEN pref END AS preferred_label, b.branch, coalesce((SELECT c FROM (VALUES ('Area of Law', '#1a5276'), ('Service', '#065e4e'), ('Event', '#b91c1c')) AS v(n, c) WHERE n = b.branch), '#4a5568') AS branch_color,
+(SELECT string_agg(path, '|' ORDER BY encode(path)) FROM (SELECT DISTINCT path FROM paths p WHERE p.iri = x.iri)) AS hierarchy_paths, starts_with(x.iri, 's') AND CAST(substr(x.iri, 2) AS INT) % 9 = 0 AS deprecated FROM cls x JOIN branched b USING (iri)"""
+)
+def concept_detail(spark, sf):
+    d = concepts.detail(_concepts(spark, sf), _known(spark, sf))
+    return d.select("iri", "label", "preferred_label", "branch", "branch_color", F.array_join("hierarchy_paths", "|").alias("hierarchy_paths"), "deprecated")
+
+
+@query(f"WITH {_ALL_SQL} SELECT branch, CASE branch WHEN 'Service' THEN '#065e4e' WHEN 'Event' THEN '#b91c1c' ELSE '#4a5568' END AS color, count(*) AS n_concepts FROM branched WHERE branch <> 'Area of Law' GROUP BY ALL")
+def branch_counts(spark, sf):
+    return concepts.branch_counts(_concepts(spark, sf), _known(spark, sf))
+
+
+@query("SELECT 's' || s_suppkey AS iri, s_name AS label FROM supplier WHERE s_suppkey < 98 UNION ALL SELECT 'n3', n_name FROM nation WHERE n_nationkey = 3")
+def concept_batch(spark, sf):
+    """A batch of keys, some unknown and some twice, cut at a hundred."""
+    keys = ["n3", "none", "n3", *[f"s{i}" for i in range(150)]]
+    return concepts.lookup(_concepts(spark, sf), keys).select("iri", "label")
+
+
+@query(
+    f"""WITH {_ALL_SQL} SELECT iri, label, CASE WHEN lower(coalesce(pref, lower(label))) <> lower(label) THEN pref END AS preferred_label, CASE WHEN starts_with(iri, 'n') THEN 'A nation, number ' || substr(iri, 2) END AS definition,
+CASE WHEN starts_with(iri, 'n') THEN 1 ELSE 0 END AS n_alternatives FROM cls"""
+)
+def concept_rows(spark, sf):
+    return concepts.typed(_concepts(spark, sf)).select("iri", "label", "preferred_label", "definition", F.size("alternatives").alias("n_alternatives"))
+
+
+@query("SELECT 'prefix' AS way, 's' || s_suppkey AS iri FROM supplier WHERE starts_with(lower(s_name), 'supplier#00000001') UNION ALL SELECT 'label', 'n' || n_nationkey FROM nation WHERE n_name = 'NATION_3'")
+def concept_by_label(spark, sf):
+    c = _concepts(spark, sf)
+    return concepts.by_label(c, "Supplier#00000001", prefix=True).select(F.lit("prefix").alias("way"), "iri").unionByName(concepts.by_label(c, "nation_3").select(F.lit("label").alias("way"), "iri"))
+
+
+@query("SELECT 's' || s_suppkey AS iri FROM supplier WHERE s_suppkey % 9 <> 0 AND s_nationkey % 4 <> 1 AND s_nationkey % 4 <> 2")
+def live_concepts(spark, sf):
+    rows = b.table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey) AS iri", "CASE s_nationkey % 4 WHEN 1 THEN 'Area of Law' WHEN 2 THEN 'Own types' WHEN 3 THEN 'Service' END AS branch", "s_suppkey % 9 = 0 AS deprecated")
+    return ontology.live(rows, own_types="Own types").select("iri")
+
+
+@query(f"WITH {_ALL_SQL} SELECT iri, branch || '|Actor / Player|Document / Artifact' AS branches FROM branched")
+def actual_branches(spark, sf):
+    found = hierarchy.branch_of(concepts.edges(_concepts(spark, sf)), concepts.roots(_concepts(spark, sf), _known(spark, sf)))
+    every = _concepts(spark, sf).select("iri").join(found, "iri", "left").withColumn("branch", F.coalesce("branch", F.lit("Unknown")))
+    return every.select("iri", F.array_join(ontology.actual_branches(F.array("branch", F.lit("Document Metadata"))), "|").alias("branches"))
+
+
+# Properties
+
+
+#: Properties with namespaces, camel case, deprecated ones, and labels that are too short or stop words; base forms of some.
+PROPERTIES = [
+    ("urn:prop/0", "ex:isThe", ["ex:inThe"]), ("urn:prop/1", "ex:inThe", []), ("urn:prop/2", "own:license", ["general public license", "own:isThe"]), ("urn:prop/3", "ZZZ:stupid", []), ("urn:prop/4", "the DEPRECATED", ["the"]),
+    ("urn:prop/5", "and", []), ("urn:prop/6", "of", ["ex:or"]), ("urn:prop/7", "licensed", []), ("urn:prop/8", "ex:killed", ["hates"]), ("urn:prop/9", "killing", []),
+]
+LEMMAS = [("hates", "hate"), ("killed", "kill"), ("killing", "kill"), ("licensed", "license"), ("is the", "be the")]
+_INDEX_SQL = """idx(label_key, iri, match_type) AS (VALUES ('is the', 'urn:prop/0', 'preferred'), ('in the', 'urn:prop/1', 'preferred'), ('license', 'urn:prop/2', 'preferred'), ('general public license', 'urn:prop/2', 'alternative'), ('licensed', 'urn:prop/7', 'preferred'),
+('killed', 'urn:prop/8', 'preferred'), ('hates', 'urn:prop/8', 'alternative'), ('killing', 'urn:prop/9', 'preferred'), ('hate', 'urn:prop/8', 'lemma'), ('kill', 'urn:prop/8', 'lemma'))"""
+
+
+def _index(spark: SparkSession) -> DataFrame:
+    props = spark.createDataFrame(PROPERTIES, "iri string, label string, alternatives array<string>")
+    return properties.index(props, ["ex", "own"], spark.createDataFrame(LEMMAS, "label_key string, lemma string"))
+
+
+@query(f"WITH {_INDEX_SQL} SELECT * FROM idx")
+def property_index(spark, sf):
+    return _index(spark)
+
+
+_FIND_SQL = r"""low AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]') AS w FROM documents), piece AS (SELECT doc_id, i, w[i] AS t FROM low, unnest(range(1, len(w) + 1)) AS s(i)),
+ahead AS (SELECT doc_id, t, t || coalesce(lead(t, 1) OVER w, '') || coalesce(lead(t, 2) OVER w, '') AS t3, t || coalesce(lead(t, 1) OVER w, '') || coalesce(lead(t, 2) OVER w, '') || coalesce(lead(t, 3) OVER w, '') || coalesce(lead(t, 4) OVER w, '') AS t5 FROM piece WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+hit AS (SELECT doc_id, idx.* FROM ahead JOIN idx ON CASE len(string_split(label_key, ' ')) WHEN 1 THEN t WHEN 2 THEN t3 ELSE t5 END = label_key)"""
+
+
+@query(f"WITH {_INDEX_SQL}, {_FIND_SQL} SELECT doc_id, iri, match_type, CASE match_type WHEN 'preferred' THEN 0.85 WHEN 'lemma' THEN 0.72 ELSE 0.75 END + CASE WHEN contains(label_key, ' ') THEN 0.05 ELSE 0 END AS confidence, count(*) AS n FROM hit GROUP BY ALL")
+def property_match(spark, sf):
+    found = properties.match(b.table(spark, sf, "documents"), _index(spark), resolve=False)
+    return found.groupBy("doc_id", "iri", "match_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def property_spans(spark, sf):
+    """Matches of the index and a second source's finds on the same texts, merged."""
+    docs = b.table(spark, sf, "documents")
+    found = properties.match(docs, _index(spark))
+    more = found.select("doc_id", "start", (F.col("end") + F.col("start") % 3).alias("end"), "text", "iri", F.lit("model").alias("match_type"), F.lit(0.8).alias("confidence"), F.lit("model").alias("source"))
+    return properties.merged(found, more)
+
+
+# What a document's entities are
+
+
+@query(
+    f"""WITH {b.ANNOTATIONS_SQL}, named AS (SELECT doc_id, CASE WHEN l_suppkey % 5 = 0 THEN 'Persons' WHEN l_suppkey % 5 = 1 THEN 'Courts' WHEN l_suppkey % 5 = 2 THEN 'Organizations' WHEN l_suppkey % 5 = 3 THEN 'Other branch' ELSE 'regex' END AS type FROM (SELECT l_orderkey AS doc_id, l_suppkey FROM lineitem))
+SELECT doc_id, type, count(*) AS n FROM named GROUP BY ALL"""
+)
+def individual_types(spark, sf):
+    rows = b.table(spark, sf, "lineitem").selectExpr("l_orderkey AS doc_id", "CASE l_suppkey % 5 WHEN 0 THEN array('Natural Person', 'Court') WHEN 1 THEN array('x', 'High Tribunal') WHEN 2 THEN array('Law Firm') WHEN 3 THEN array('nothing') ELSE array() END AS links", "CASE WHEN l_suppkey % 5 = 3 THEN 'Other branch' ELSE '' END AS branch", "'regex' AS source")
+    label = metadata.type_label(F.col("links"), F.col("branch"), F.col("source"))
+    return rows.groupBy("doc_id", label.alias("type")).agg(F.count(F.lit(1)).alias("n"))

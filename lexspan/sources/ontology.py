@@ -42,9 +42,10 @@ def actual_branches(c: Column) -> Column:
     return F.array_distinct(F.flatten(parts))
 
 
-def live(concepts: DataFrame, excluded: tuple[str, ...] = EXCLUDED_BRANCHES) -> DataFrame:
-    """Concepts (branch, deprecated) that are neither deprecated nor of an excluded branch."""
-    return concepts.filter(~F.coalesce(F.col("branch").isin(*excluded), F.lit(False)) & ~F.coalesce("deprecated", F.lit(False)))
+def live(concepts: DataFrame, own_types: str | None = None, excluded: tuple[str, ...] = EXCLUDED_BRANCHES) -> DataFrame:
+    """Concepts (branch, deprecated) that are neither deprecated nor of an excluded branch, nor of the ontology's branch of its own types."""
+    out = [*excluded, *([own_types] if own_types else [])]
+    return concepts.filter(~F.coalesce(F.col("branch").isin(*out), F.lit(False)) & ~F.coalesce("deprecated", F.lit(False)))
 
 
 def publish(df: DataFrame, root: str, version: int) -> None:
