@@ -20,11 +20,14 @@ Files take records by digest, about FILE_RECORDS each, at any size of the table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexspan.llm.common import discard, staged
+from lexspan.llm.common import staged
 
 FILE_RECORDS = 4096
 LEVELS = 3  # digits: a node of the last level has about one record of a file
@@ -59,28 +62,37 @@ def file_of(name: Column, files: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(name, F.lit("/"))), 1, 8), 16, 10).cast("long") % files
 
 
+def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal records of a batch as one, with how many they are: a group of copies shrinks before it meets in one file."""
+    for b in batches:
+        found = pa.Table.from_batches([b]).group_by(["file_id", "data"]).aggregate([("copies", "sum")])
+        yield from found.select(["file_id", "data", "copies_sum"]).rename_columns(["file_id", "data", "copies"]).combine_chunks().to_batches()
+
+
 def pack(records: DataFrame) -> DataFrame:
-    """(file_id, record_offset, data) of records (file_id, data): one after the other, by the digest of their id, then of their bytes."""
-    w = W.partitionBy("file_id").orderBy("path", "sha")
-    ordered = records.select("file_id", "data", F.md5(record_id(F.col("data"))).alias("path"), F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("long").alias("n"))
-    return ordered.select("file_id", (F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("record_offset"), "data")
+    """(file_id, record_offset, data, copies) of records (file_id, data, copies): one after the other, by the digest of their id, then of their bytes; all in one shuffle by file."""
+    few = records.select(F.col("file_id").cast("long"), "data", F.col("copies").cast("long")).mapInArrow(_collapsed, "file_id long, data binary, copies long")
+    keyed = few.select("file_id", F.md5(record_id(F.col("data"))).alias("path"), F.unhex(F.sha2("data", 256)).alias("sha"), "data", "copies").repartition("file_id")
+    each = keyed.groupBy("file_id", "path", "sha").agg(F.first("data").alias("data"), F.sum("copies").alias("copies")).withColumn("n", F.octet_length("data").cast("long"))
+    w = W.partitionBy("file_id").orderBy("path", "sha").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return each.select("file_id", (F.sum("n").over(w) - F.col("n")).alias("record_offset"), "data", "copies")
 
 
 def leaves(replica: DataFrame) -> DataFrame:
-    """(file_id, path, id, start, length, sha, formed) of a replica, from its bytes."""
-    data = F.col("data")
-    return replica.select("file_id", F.md5(record_id(data)).alias("path"), record_id(data).alias("id"), F.col("record_offset").alias("start"), F.octet_length(data).cast("long").alias("length"), F.sha2(data, 256).alias("sha"), well_formed(data).alias("formed"))
+    """(file_id, path, id, start, length, sha, formed, copies) of a replica, from its bytes; ``copies`` is 1 where the replica doesn't say."""
+    data, copies = F.col("data"), F.col("copies") if "copies" in replica.columns else F.lit(1)
+    return replica.select("file_id", F.md5(record_id(data)).alias("path"), record_id(data).alias("id"), F.col("record_offset").alias("start"), F.octet_length(data).cast("long").alias("length"), F.unhex(F.sha2(data, 256)).alias("sha"), well_formed(data).alias("formed"), copies.cast("long").alias("copies"))
 
 
 def _digest(parts: Column, start: Column, end: Column) -> Column:
-    said = F.transform(parts, lambda x: F.concat_ws(":", x["hash"], x["start"] - start, x["end"] - x["start"]))
-    return F.sha2(F.concat(F.array_join(said, ","), F.lit("|"), (end - start).cast("string")), 256)
+    said = F.transform(parts, lambda x: F.concat_ws(":", F.lower(F.hex(x["hash"])), x["start"] - start, x["end"] - x["start"]))
+    return F.unhex(F.sha2(F.concat(F.array_join(said, ","), F.lit("|"), (end - start).cast("string")), 256))
 
 
 def tree(found: DataFrame) -> DataFrame:
     """(file_id, root, parts): one row a file; a part is (key, hash, start, end, parts) down to the records, all from one shuffle by file."""
     whole = F.col("start") + F.col("length")
-    level = found.repartition("file_id").select("file_id", "path", F.struct("start", F.col("sha").alias("hash"), whole.alias("end"), "id", "formed").alias("part"))
+    level = found.repartition("file_id").select("file_id", "path", F.struct("start", F.col("sha").alias("hash"), whole.alias("end"), "id", "formed", "copies").alias("part"))
     for digits in range(LEVELS, -1, -1):
         keys = ["file_id"] + [F.substring("path", 1, digits).alias("key")] * (digits > 0)
         node = level.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"), F.min("part.start").alias("start"), F.max("part.end").alias("end"))
@@ -107,15 +119,14 @@ def differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Every record of both replicas (file_id, record_offset, data): where it lies in each, its digests, the roots of its file, and its ``status``.
 
-    Columns: record_id, file_id, record_offset, record_length, record_sha256, replica_file_id, replica_offset, replica_length,
-    replica_sha256, well_formed (of the replica's bytes; null where it has none), root_sha256, replica_root_sha256, status.
+    Columns: record_id, copies (of our record, 0 if we have none), file_id, record_offset, record_length, record_sha256, replica_file_id,
+    replica_offset, replica_length, replica_sha256, well_formed (of the replica's bytes; null where it has none), root_sha256,
+    replica_root_sha256, status.
     """
-    spark, made = ours.sparkSession, []
-    a, b = (staged(tree(staged(leaves(x), "leaves", made)), "tree") for x in (ours, theirs))
-    discard(spark, made)
+    a, b = (staged(tree(leaves(x)), "tree") for x in (ours, theirs))
     pairs = staged(differing(a, b), "differing")
     listed = lambda mine, other: pairs.select("file_id", F.explode(mine).alias("r"), F.transform(F.coalesce(other, F.array()), lambda x: x["hash"]).alias("others")).filter(~F.array_contains("others", F.col("r.hash")))
-    left = listed(F.col("a"), F.col("b")).select("file_id", F.col("r.start").alias("start"), F.col("r.id").alias("id"), F.col("r.hash").alias("sha"))
+    left = listed(F.col("a"), F.col("b")).select("file_id", F.col("r.start").alias("start"), F.col("r.id").alias("id"), F.col("r.hash").alias("sha"), F.col("r.copies").alias("copies"))
     right = listed(F.col("b"), F.col("a")).select(F.col("file_id").alias("rf"), F.col("r.start").alias("rs"), (F.col("r.end") - F.col("r.start")).alias("rl"), F.col("r.id").alias("id"), F.col("r.hash").alias("rsha"), F.col("r.formed").alias("rformed"))
     # of one id: the same bytes meet first, then what is left in order
     same = left.join(right, (left["id"] == right["id"]) & (F.col("sha") == F.col("rsha"))).select(left["id"].alias("id"), "file_id", "start", "rf", "rs", "rl", "rsha", "rformed", F.lit("moved").alias("status"))
@@ -132,7 +143,7 @@ def _records(trees: DataFrame) -> DataFrame:
     out = trees.select("file_id", "root", F.explode("parts").alias("p"))
     for _ in range(LEVELS):
         out = out.select("file_id", "root", F.explode("p.parts").alias("p"))
-    return out.select("file_id", "root", F.col("p.id").alias("id"), F.col("p.start").alias("start"), (F.col("p.end") - F.col("p.start")).alias("length"), F.col("p.hash").alias("sha"), F.col("p.formed").alias("formed"))
+    return out.select("file_id", "root", F.col("p.id").alias("id"), F.col("p.start").alias("start"), (F.col("p.end") - F.col("p.start")).alias("length"), F.col("p.hash").alias("sha"), F.col("p.formed").alias("formed"), F.col("p.copies").alias("copies"))
 
 
 def _report(a: DataFrame, b: DataFrame, wrong: DataFrame) -> DataFrame:
@@ -143,50 +154,50 @@ def _report(a: DataFrame, b: DataFrame, wrong: DataFrame) -> DataFrame:
     here = found.join(theirs, (F.col("file_id") == F.col("of")) & (F.col("id") == F.col("name")) & (F.col("sha") == F.col("bytes")) & F.col("status").isNull(), "left")
     roots = b.select(F.col("file_id").alias("rid"), F.col("root").alias("rroot"))
     pick = lambda x, y: F.coalesce(F.col(x), F.col(y))
+    hexed = lambda x: F.lower(F.hex(x))
     ours = here.join(roots, F.col("file_id") == F.col("rid"), "left").select(
-        F.col("id").alias("record_id"), "file_id", F.col("start").alias("record_offset"), F.col("length").alias("record_length"), F.col("sha").alias("record_sha256"),
-        pick("rf", "of").alias("replica_file_id"), pick("rs", "at").alias("replica_offset"), pick("rl", "size").alias("replica_length"), pick("rsha", "bytes").alias("replica_sha256"), pick("rformed", "fine").alias("well_formed"),
-        F.col("root").alias("root_sha256"), F.col("rroot").alias("replica_root_sha256"), F.coalesce("status", F.lit("intact")).alias("status"),
+        F.col("id").alias("record_id"), "copies", "file_id", F.col("start").alias("record_offset"), F.col("length").alias("record_length"), hexed("sha").alias("record_sha256"),
+        pick("rf", "of").alias("replica_file_id"), pick("rs", "at").alias("replica_offset"), pick("rl", "size").alias("replica_length"), hexed(pick("rsha", "bytes")).alias("replica_sha256"), pick("rformed", "fine").alias("well_formed"),
+        hexed("root").alias("root_sha256"), hexed("rroot").alias("replica_root_sha256"), F.coalesce("status", F.lit("intact")).alias("status"),
     )
     none = lambda kind: F.lit(None).cast(kind)
     extra = wrong.filter("file_id IS NULL").join(roots, F.col("rf") == F.col("rid"), "left").join(a.select(F.col("file_id").alias("fid"), "root"), F.col("rf") == F.col("fid"), "left").select(
-        F.col("id").alias("record_id"), none("long").alias("file_id"), none("long").alias("record_offset"), none("long").alias("record_length"), none("string").alias("record_sha256"),
-        F.col("rf").alias("replica_file_id"), F.col("rs").alias("replica_offset"), F.col("rl").alias("replica_length"), F.col("rsha").alias("replica_sha256"), F.col("rformed").alias("well_formed"),
-        F.col("root").alias("root_sha256"), F.col("rroot").alias("replica_root_sha256"), "status",
+        F.col("id").alias("record_id"), F.lit(0).cast("long").alias("copies"), none("long").alias("file_id"), none("long").alias("record_offset"), none("long").alias("record_length"), none("string").alias("record_sha256"),
+        F.col("rf").alias("replica_file_id"), F.col("rs").alias("replica_offset"), F.col("rl").alias("replica_length"), hexed("rsha").alias("replica_sha256"), F.col("rformed").alias("well_formed"),
+        hexed("root").alias("root_sha256"), hexed("rroot").alias("replica_root_sha256"), "status",
     )
     return ours.unionByName(extra)
 
 
-def _draw(page_id: Column) -> Column:
-    return F.coalesce(F.conv(F.substring(F.md5(page_id.cast("string")), 1, 6), 16, 10).cast("long"), F.lit(0))
+def _page(data: Column) -> Column:
+    return F.regexp_extract(record_id(data), r"^(-?[0-9]{1,19}):", 1)
 
 
-def replicas(pages: DataFrame, per_file: int = FILE_RECORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Two replicas of pages (page_id, url, html), laid out apart, and (record_id, copies).
+def replicas(pages: DataFrame, per_file: int = FILE_RECORDS) -> tuple[DataFrame, DataFrame]:
+    """Two replicas of pages (page_id, url, html), laid out apart; the first with how many rows each record is.
 
     The second one has planted faults, drawn by page_id: some records have lost their last ten bytes, some have another byte in their
-    body, some are missing, some lie in the next file, and some are followed by one that we don't have.
+    first line, some are missing, some lie in the next file, and some are followed by one that we don't have.
     """
-    data = record(F.col("page_id"), F.col("url"), F.col("html"))
-    each = staged(pages.select(data.alias("data"), _draw(F.col("page_id")).alias("draw")).groupBy("data", "draw").agg(F.count(F.lit(1)).alias("copies")), "records")
-    files = max(1, -(-each.count() // per_file))
-    ours = each.select(file_of(record_id(F.col("data")), files).alias("file_id"), "data")
-    text, n = F.col("data").cast("string"), F.octet_length("data")
-    changed = F.concat(F.substring(text, 1, 9), F.lit("R"), F.substring(text, 11, 1 << 30))  # a letter of the first line
-    fault = F.when(F.col("draw") % 101 == 7, F.substring("data", F.lit(1), n - 10)).when(F.col("draw") % 103 == 9, changed.cast("binary")).otherwise(F.col("data"))
-    at = (file_of(record_id(F.col("data")), files) + F.when(F.col("draw") % 223 == 6, 1).otherwise(0)) % files
-    kept = each.filter("draw % 211 <> 5").select(at.alias("file_id"), fault.alias("data"))
-    more = record(F.concat(F.lit("x"), record_id(F.col("data"))), F.lit(""), F.lit("extra"))
-    added = each.filter("draw % 227 = 8").select(file_of(record_id(F.col("data")), files).alias("file_id"), more.alias("data"))
-    copies = each.select(record_id(F.col("data")).alias("record_id"), "copies")
-    return staged(pack(ours), "replica"), staged(pack(kept.unionByName(added)), "replica"), copies
+    files = max(1, -(-pages.count() // per_file))
+    data, text, n = F.col("data"), F.col("data").cast("string"), F.octet_length("data")
+    place = file_of(record_id(data), files)
+    made = pages.select(record(F.col("page_id"), F.col("url"), F.col("html")).alias("data"), F.lit(1).alias("copies"))
+    ours = staged(pack(made.select(place.alias("file_id"), "data", "copies")), "replica")
+    draw = F.when(_page(data) == "", 0).otherwise(F.conv(F.substring(F.md5(_page(data)), 1, 6), 16, 10).cast("long"))
+    each = ours.select("data", F.lit(1).alias("copies"), draw.alias("draw"), place.alias("place"))
+    changed = F.concat(F.substring(text, 1, 9), F.lit("R"), F.substring(text, 11, 1 << 30))
+    fault = F.when(F.col("draw") % 101 == 7, F.substring("data", F.lit(1), n - 10)).when(F.col("draw") % 103 == 9, changed.cast("binary")).otherwise(data)
+    kept = each.filter("draw % 211 <> 5").select(((F.col("place") + F.when(F.col("draw") % 223 == 6, 1).otherwise(0)) % files).alias("file_id"), fault.alias("data"), "copies")
+    more = record(F.concat(F.lit("x"), record_id(data)), F.lit(""), F.lit("extra"))
+    added = each.filter("draw % 227 = 8").select(F.col("place").alias("file_id"), more.alias("data"), "copies")
+    return ours, staged(pack(kept.unionByName(added)), "replica")
 
 
 def audited(pages: DataFrame, per_file: int = FILE_RECORDS) -> DataFrame:
-    """``audit`` of two replicas of ``pages``, with the page_id that the record's bytes name, and how many rows are that record."""
-    ours, theirs, copies = replicas(pages, per_file)
-    found = audit(ours, theirs).join(copies, "record_id", "left")
-    return found.withColumn("page_id", F.regexp_extract("record_id", r"^(-?[0-9]{1,19}):", 1).try_cast("long")).withColumn("copies", F.coalesce("copies", F.lit(0).cast("long")))
+    """``audit`` of two replicas of ``pages``, with the page_id that the record's bytes name."""
+    found = audit(*replicas(pages, per_file))
+    return found.withColumn("page_id", F.regexp_extract("record_id", r"^(-?[0-9]{1,19}):", 1).try_cast("long"))
 
 
 def oracle() -> str:
@@ -207,7 +218,7 @@ def oracle() -> str:
     return f"""
 WITH plain AS (SELECT coalesce(CAST(page_id AS VARCHAR), '') AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 6) AS BIGINT), 0) AS draw FROM pages),
 made AS (SELECT draw, CAST(count(*) AS BIGINT) AS copies, data FROM (SELECT draw, {rec("page_id", "url", "html")} AS data FROM plain) GROUP BY ALL),
-files AS (SELECT greatest(1, CAST(ceil(count(*) / {FILE_RECORDS}.0) AS BIGINT)) AS n FROM made),
+files AS (SELECT greatest(1, CAST(ceil(count(*) / {FILE_RECORDS}.0) AS BIGINT)) AS n FROM pages),
 ours AS (SELECT {file.format(name.format("data"))} AS file_id, data FROM made),
 theirs AS (
   SELECT ({file.format(name.format("data"))} + CASE WHEN draw % 223 = 6 THEN 1 ELSE 0 END) % (SELECT n FROM files) AS file_id,
