@@ -12,8 +12,11 @@ are enumerated: a signature stands for what a set has in the chosen splits of on
 
 Parts are taken in the order of their numbers, until enough of them have elements in more splits than may
 differ; whichever of two sets stops first, the other has enumerated its parts as well. A set with too few
-such parts signs all and again under another seed; two such sets both do, so they meet there. Each
-candidate pair is checked on the sets themselves.
+such parts signs all and again under another seed; two such sets both do, so they meet there.
+
+A candidate pair first meets by sketches: an element flips one of two to four bits for each element of a
+set, so two sketches differ in no more bits than the sets do in elements, and a pair whose sketches
+differ in more than linked sets can is out. The others are checked on the sets themselves.
 
 Links make components. A bucket's rows stream through one task in order of their sets, sixteen bytes each, and
 leave only the pairs with its least set; of these each set first checks one, which joins groups of near
@@ -139,47 +142,65 @@ def _list(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Which of 2 to 4 bits for each element have been flipped an odd number of times."""
+    bits = 1 << max(len(s).bit_length() + 1, 3)
+    return np.packbits(np.bincount((mix(s, 9) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def may_link(a: bytes, b: bytes, sizes: tuple[int, int]) -> bool:
+    """Whether sizes and sketches leave it open that two sets are linked; the longer sketch is folded to the shorter."""
+    if min(sizes) * DEN < max(sizes) * NUM:
+        return False
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (DEN + NUM) <= sum(sizes) * (DEN - NUM)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, k1, k2, n_shingles, digest (null for empty sets), and the text where this task meets the set for the first time."""
+    """doc_id, k1, k2, n_shingles, digest (null for empty sets), and the text and sketch where this task meets the set for the first time."""
     met: set[bytes] = set()
     for b in small(batches):
-        sizes, digests, texts = [], [], []
+        sizes, digests, texts, sketches = [], [], [], []
         for x in b.column("text").to_pylist():
             s = shingles(x)
             d = _digest(s) if len(s) else None
             sizes.append(len(s))
             digests.append(d)
-            texts.append(None if d is None or d in met else x)
-            if d is not None:
+            new = d is not None and d not in met
+            texts.append(x if new else None)
+            sketches.append(sketch(s) if new else None)
+            if new:
                 if len(met) >= MET_SETS:
                     met.clear()
                 met.add(d)
-        columns = [*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n_shingles", "digest", "text"])
+        columns = [*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.string()), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n_shingles", "digest", "text", "sketch"])
 
 
 def _signer(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (sig, node) of sets (node, items), or of texts (node, text)."""
+    """Rows (sig, node) of texts (node, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            found = [signatures(s, level) for s in _read(b)]
+            found = [signatures(shingles(x), level) for x in b.column("text").to_pylist()]
             nodes = np.repeat(b.column("node").to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], ["sig", "node"])
 
     return sign
 
 
-def _read(b: pa.RecordBatch) -> list[np.ndarray]:
-    if "text" in b.schema.names:
-        return [shingles(x) for x in b.column("text").to_pylist()]
-    flat, ends = b.column("items").values.to_numpy().view(np.uint64), b.column("items").offsets.to_numpy()
-    return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches):
-        yield pa.RecordBatch.from_arrays([b.column("node"), _list(_read(b))], ["node", "items"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), _list([shingles(x) for x in b.column("text").to_pylist()])], ["node", "items"])
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in small(batches, 20_000):
+        rows = zip(*(b.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")), strict=True)
+        yield b.select(["a", "b"]).filter(pa.array([may_link(x, y, (m, n)) for x, y, m, n in rows], pa.bool_()))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +226,15 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, hub long, node long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those that are linked."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    fits = (F.size("x") * DEN >= F.size("y") * NUM) & (F.size("y") * DEN >= F.size("x") * NUM)
+def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, made: list[str]) -> DataFrame:
+    """Of distinct pairs (a, b) those that are linked: by ``marks`` (node, n_shingles, sketch) first, then by the sets of ``texts`` (node, text)."""
+    side = lambda x: marks.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    left = staged(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_open_pairs, "a long, b long"), "likely", made)
+    nodes = staged(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), "likely", made)
+    sets = _items(texts, nodes, made)
+    one, two = (sets.select(F.col("node").alias(n), F.col("items").alias(x)) for n, x in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right, "b").join(left, "a").filter(fits).filter(both * DEN >= (F.size("x") + F.size("y") - both) * NUM).select("a", "b")
+    return left.join(two, "b").join(one, "a").filter(both * DEN >= (F.size("x") + F.size("y") - both) * NUM).select("a", "b")
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
@@ -223,8 +246,11 @@ def _with_least(edges: DataFrame, total: int) -> DataFrame:
     return edges.join(hot, "u").unionByName(edges.join(hot, "u", "left_anti").join(cold, "u"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp): for each node that has a link, the least node of its component; by alternating large and small stars."""
+def components(links: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """(node, comp): for each node that has a link, the least node of its component; by alternating large and small stars.
+
+    The path of the table that the result reads is added to ``made``.
+    """
     spark, old, new = links.sparkSession, [], []
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", old)
     seen = _state(edges)
@@ -240,6 +266,8 @@ def components(links: DataFrame) -> DataFrame:
         old, new = kept, []
         now = _state(edges)
         if now == seen:
+            if made is not None:
+                made += kept
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         seen = now
 
@@ -249,9 +277,12 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _merged(links: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _merged(links: DataFrame, comps: DataFrame | None, made: list[str]) -> DataFrame:
     """Components of those that there are and of more links."""
-    return components(links if comps is None else links.union(comps.select("node", "comp")))
+    links = staged(links, "links", made)
+    if comps is not None and links.isEmpty():
+        return comps
+    return components(links if comps is None else links.union(comps.select("node", "comp")), made)
 
 
 def _comp(node: str, comps: DataFrame | None, df: DataFrame, name: str = "comp") -> DataFrame:
@@ -279,16 +310,17 @@ def _cross(members: DataFrame) -> DataFrame:
     return a.join(b, "sig").filter("a < b AND ca <> cb").select("a", "b").distinct()
 
 
-def _blocks(ties: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocks(ties: DataFrame, comps: DataFrame, texts: DataFrame, made: list[str]) -> DataFrame:
     """Links that join whatever is linked among the nodes that ties (a, b) hold together, directly or not.
 
     Such a family, unless it is one component already, is dealt into blocks of about BLOCK_ITEMS elements or BLOCK_SETS sets,
     and each two of its blocks meet in one task, which compares the one's sets with the other's by matrix products and returns a
     forest: at most a row for each node.
     """
-    own = _comp("node", comps, components(ties).withColumnRenamed("comp", "family"))
+    own = staged(_comp("node", comps, components(ties, made).withColumnRenamed("comp", "family")), "families", made)
     apart = own.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("family")
-    rows = sets.join(own.select("node", "family").join(apart, "family"), "node")
+    open_ = staged(own.select("node", "family").join(apart, "family"), "families", made)
+    rows = _items(texts, open_.select("node"), made).join(open_, "node")
     many = rows.groupBy("family").agg(F.greatest(F.ceil(F.sum(F.size("items")) / BLOCK_ITEMS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     rows = rows.join(many, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("one"), F.greatest(x, F.col("block")).alias("two")))
@@ -389,43 +421,51 @@ def _placed(rows: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
 def _linked(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, k1, k2, n_shingles, digest) of all rows, (digest, node), and (node, comp) of the nodes that have links."""
     spark, made = df.sparkSession, []
-    rows, texts = _distinct(df)
-    comps, todo, sets = None, texts.select("node", "text"), None
+    rows, texts = _distinct(df, made)
+    comps, todo, marks = None, texts, None
     for level in range(len(LEVELS)):
-        hits = staged(_buckets(todo.mapInArrow(_signer(level), "sig long, node long")), "buckets", made)
-        if sets is None:
-            sets = _items(texts, hits, made)
+        hits, met = _hits(todo, level, made)
+        marks = staged(texts.select("node", "n_shingles", "sketch").join(met, "node", "left_semi"), "marks", made) if marks is None else marks
         pairs = staged(hits.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs", made)
         # each node's least hub first: most of what is linked is one component after that
-        comps = _merged(verified(_apart(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), comps), sets), comps)
-        comps = _merged(verified(_apart(pairs, comps), sets), comps)
+        comps = _merged(verified(_apart(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), comps), texts, marks, made), comps, made)
+        comps = _merged(verified(_apart(pairs, comps), texts, marks, made), comps, made)
         # hubs have been compared; what is left of a bucket are the others
         left = staged(_open(hits.select("sig", "node"), comps), "open", made)
-        comps = _merged(verified(_cross(left.filter(F.col("n") <= SMALL)), sets), comps)
+        comps = _merged(verified(_cross(left.filter(F.col("n") <= SMALL)), texts, marks, made), comps, made)
         large = left.filter(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        todo = sets.join(large.select("node").distinct(), "node", "left_semi")
+        todo = texts.join(staged(large.select("node").distinct(), "large", made), "node", "left_semi")
     else:
-        ties = large.join(hits, ["sig", "node"]).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        comps = _merged(_blocks(ties, comps, sets), comps)
-    comps = staged(comps, "components")
+        ties = staged(large.join(hits, ["sig", "node"]).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "ties", made)
+        comps = _merged(_blocks(ties, comps, texts, made), comps, made)
+    comps, ids = staged(comps, "components"), staged(texts.select("digest", "node"), "ids")
     discard(spark, made)
-    return rows, texts.select("digest", "node"), comps
+    return rows, ids, comps
+
+
+def _distinct(df: DataFrame, made: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, n_shingles, digest) of all rows, and (node, digest, n_shingles, sketch, text): each distinct set once, numbered, with a text that has it."""
+    schema = "doc_id long, k1 long, k2 long, n_shingles long, digest binary, text string, sketch binary"
+    whole: list[str] = []
+    each = staged(df.select("doc_id", "text", *_keys()).mapInArrow(_describe, schema), "described", whole)
+    one = each.filter("text IS NOT NULL").groupBy("digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("text").alias("text"))
+    nodes = staged(one.select(F.monotonically_increasing_id().alias("node"), "digest", "n_shingles", "sketch", "text"), "nodes", made)
+    rows = staged(each.drop("text", "sketch"), "rows")
+    discard(df.sparkSession, whole)
+    return rows, nodes
 
 
-def _distinct(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, k1, k2, n_shingles, digest) of all rows, and (node, digest, text): each distinct set once, numbered, with a text that has it."""
-    schema = "doc_id long, k1 long, k2 long, n_shingles long, digest binary, text string"
-    each = staged(df.select("doc_id", "text", *_keys()).mapInArrow(_describe, schema), "rows")
-    one = each.filter("text IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text"))
-    return each.drop("text"), staged(one.select(F.monotonically_increasing_id().alias("node"), "digest", "text"), "nodes")
+def _hits(texts: DataFrame, level: int, made: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(sig, hub, node) of signatures that several sets have, and their nodes."""
+    hits = staged(_buckets(texts.select("node", "text").mapInArrow(_signer(level), "sig long, node long")), "buckets", made)
+    return hits, staged(hits.select("node").union(hits.select("hub")).distinct(), "met", made)
 
 
-def _items(texts: DataFrame, hits: DataFrame, made: list[str]) -> DataFrame:
-    """(node, items) of the sets that share a signature."""
-    met = hits.select("node").union(hits.select("hub")).distinct()
-    return staged(texts.select("node", "text").join(met, "node", "left_semi").mapInArrow(_sets, "node long, items array<long>"), "items", made)
+def _items(texts: DataFrame, nodes: DataFrame, made: list[str]) -> DataFrame:
+    """(node, items) of these nodes."""
+    return staged(texts.select("node", "text").join(nodes, "node", "left_semi").mapInArrow(_sets, "node long, items array<long>"), "items", made)
 
 
 def _pairs(hits: DataFrame) -> DataFrame:
@@ -444,17 +484,18 @@ def links(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     Unlike ``join`` it compares all members of all buckets, so its work grows with the square of a family.
     """
     made: list[str] = []
-    rows, texts = _distinct(df)
-    hits = staged(_buckets(texts.select("node", "text").mapInArrow(_signer(0), "sig long, node long")), "buckets", made)
-    sets = _items(texts, hits, made)
+    rows, texts = _distinct(df, made)
+    hits, met = _hits(texts, 0, made)
+    marks = staged(texts.select("node", "n_shingles", "sketch").join(met, "node", "left_semi"), "marks", made)
     size = hits.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     few = hits.join(size.filter(F.col("n") < SMALL), "sig", "left_semi")
     crowded = hits.join(size.filter(F.col("n") >= SMALL), "sig", "left_semi")
-    many = crowded.select("node").union(crowded.select("hub")).distinct()
-    again = staged(_buckets(sets.join(many, "node", "left_semi").mapInArrow(_signer(1), "sig long, node long")), "buckets", made)
-    found = staged(verified(_pairs(few).union(_pairs(again)).distinct(), sets), "links")
+    many = staged(crowded.select("node").union(crowded.select("hub")).distinct(), "crowded", made)
+    again, _ = _hits(texts.join(many, "node", "left_semi"), 1, made)
+    found = staged(verified(_pairs(few).union(_pairs(again)).distinct(), texts, marks, made), "links")
+    ids = staged(texts.select("digest", "node"), "ids")
     discard(df.sparkSession, made)
-    nodes = rows.filter("digest IS NOT NULL").join(texts.select("digest", "node"), "digest").unionByName(rows.filter("digest IS NULL").withColumn("node", F.lit(None).cast("long")))
+    nodes = rows.filter("digest IS NOT NULL").join(ids, "digest").unionByName(rows.filter("digest IS NULL").withColumn("node", F.lit(None).cast("long")))
     return nodes.select("doc_id", "n_shingles", "node"), found
 
 
