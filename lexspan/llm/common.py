@@ -18,9 +18,24 @@ ARROW_ROWS = 400
 ARROW_BYTES = 4 << 20
 
 
+_scoped: dict[int, SparkSession] = {}
+
+
+def scoped(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the settings of ``spark``, but for small Arrow batches: the caller's session stays as it is."""
+    own = _scoped.get(id(spark))
+    if own is None or own.sparkContext is not spark.sparkContext:
+        own = _scoped[id(spark)] = spark.newSession()
+    small_ones = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+    for key, value in {**spark.conf.getAll, **small_ones}.items():
+        if own.conf.get(key, None) != value and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table of that name; only Spark's reader touches the path."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The Parquet table of that name, in a session of its own settings; only Spark's reader touches the path."""
+    return scoped(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:

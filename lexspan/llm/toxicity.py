@@ -164,8 +164,8 @@ class Model:
         """The columns ``keep`` of ``df``, and the score under ``name``."""
         if self.trees is None:
             return df.select(*keep, F.lit(self.share).alias(name))
-        own = [f"own_{i}" for i in range(len(keep))]  # no name of df's can clash with one of the models'
-        named = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True)], F.col("text"))
+        own = ["text" if c == "text" else f"own_{i}" for i, c in enumerate(keep)]  # no name of df's can clash with one of the models'
+        named = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True) if c != "text"], F.col("text"))
         raw = _raw(self.trees, _featured(named, self.lexicon, *own))
         if self.calibration is not None:
             raw = self.calibration.transform(raw).drop("raw").withColumnRenamed("score", "raw")
