@@ -37,8 +37,9 @@ from lexspan.llm.common import small
 
 MAX_STATES = 100_000
 MAX_PAIRS = 400_000
-#: Bounds of the memo of words: a longer word is never kept, and all are dropped when they hold more characters than this.
-MEMO_WORD, MEMO_CHARS = 48, 4_000_000
+#: Bounds of the memo of words: a word of more characters is never kept, and all are dropped when they take more bytes than this,
+#: of which every entry takes some beside its contents.
+MEMO_WORD, MEMO_BYTES, MEMO_ENTRY = 48, 128 << 20, 320
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -214,7 +215,7 @@ class Encoder:
             return np.zeros(0, "<u4"), ""
         first, *rest = safe_split.words(text)
         memo = self._memo
-        if self._held > MEMO_CHARS:
+        if self._held > MEMO_BYTES:
             memo.clear()
             self._held = 0
         found = [self._word(first)]
@@ -222,9 +223,9 @@ class Encoder:
             ids = memo.get(w)
             if ids is None:
                 ids = self._word(" " + w)
-                if len(w) <= MEMO_WORD and self._held <= MEMO_CHARS:
+                if len(w) <= MEMO_WORD and self._held <= MEMO_BYTES:
                     memo[w] = ids
-                    self._held += len(w) + len(ids[1])
+                    self._held += MEMO_ENTRY + 4 * len(w) + len(ids[0]) + len(ids[1])
             found.append(ids)
         return np.frombuffer(b"".join([x[0] for x in found]), "<u4"), " ".join([x[1] for x in found])
 
