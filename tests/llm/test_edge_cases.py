@@ -101,13 +101,13 @@ def test_bpe_like_the_library():
 def test_bpe_bounds(monkeypatch):
     """Tables that are cleared within a match, and a memo that holds next to nothing, change no id."""
     monkeypatch.setattr(byte_bpe, "MAX_STATES", 20)
-    monkeypatch.setattr(byte_bpe, "MEMO_CHARS", 30)
+    monkeypatch.setattr(byte_bpe, "MEMO_BYTES", 2_000)
     e = byte_bpe.Encoder(byte_bpe.load_ranks(RANKS), P.PATTERN)
     t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
     rng = random.Random(6)
     for x in ["".join(rng.choice("etaoinshrdlu") for _ in range(5_000)), "the cat " * 300, "漢字" * 500]:
         assert e.encode(x)[0].tolist() == t.encode_ordinary(x)
-        assert len(e.machine._states) <= 21 and sum(len(w) for w in e._memo) < 60
+        assert len(e.machine._states) <= 21 and len(e._memo) <= 7
 
 
 @settings(max_examples=200, deadline=None)
@@ -198,7 +198,7 @@ def test_fixity_tree(spark):
         start, end = parts[0][0], max(p[2] for p in parts)
         return start, hashlib.sha256((",".join(f"{h}:{s - start}:{e - s}" for s, h, e in parts) + f"|{end - start}").encode()).hexdigest(), end
 
-    root = lambda rows: fixity.tree(fixity.leaves(spark.createDataFrame(rows, REPLICA))).first()["root"]
+    root = lambda rows: fixity.tree(fixity.leaves(spark.createDataFrame(rows, REPLICA))).first()["root"].hex()
     assert root(rows) == node([(at, d) for _, at, d in rows], 0)[1]
     assert root([(f, at + (i > 20), d) for i, (f, at, d) in enumerate(rows)]) != root(rows)  # a gap of one byte
     assert root([(f, at + 7, d) for f, at, d in rows]) == root(rows)  # the whole file shifted
@@ -378,6 +378,23 @@ def test_jaccard_signatures(level):
                 assert len(np.intersect1d(partenum.signatures(a, level), partenum.signatures(b, level)))
 
 
+def test_jaccard_sketches():
+    """No linked pair is ruled out, and most that are a little below the threshold are."""
+    rng = random.Random(11)
+    out = 0
+    for n in [*range(1, 30), 63, 64, 65, 200, 900]:
+        for share in (0.8, 0.81, 0.6):
+            both = [rng.getrandbits(64) for _ in range(n)]
+            more = int(n / share) - n
+            cut = rng.randint(0, more)
+            a, b = np.unique(np.array(both + [rng.getrandbits(64) for _ in range(cut)], np.uint64)), np.unique(np.array(both + [rng.getrandbits(64) for _ in range(more - cut)], np.uint64))
+            linked = 100 * n >= 80 * (len(a) + len(b) - n)
+            found = partenum.may_link(partenum.sketch(a), partenum.sketch(b), (len(a), len(b)))
+            assert found or not linked
+            out += not found
+    assert out > 25
+
+
 def test_components(spark, monkeypatch):
     """A star, a path and a ring; the star's centre counts as a node with very many edges."""
     monkeypatch.setattr(partenum, "HOT", 3)
