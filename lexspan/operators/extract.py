@@ -41,32 +41,34 @@ class Extractor(NamedTuple):
     least: int = 1
     group: int = 0
     kind: str = ""  # what its finds are called
+    folded: bool = False  # the pattern is in lower case, and looked for in the text's lower case
+    gates: tuple[str, ...] = ()  # a text whose lower case has none of these has no find
 
 
-_MONTH = "(?:" + "|".join(f"{m}|{m[:3]}\\.?" for m in MONTHS) + "|Sept\\.?)"
+_MONTH = ("(?:" + "|".join(f"{m}|{m[:3]}\\.?" for m in MONTHS) + "|Sept\\.?)").lower()
 _AMOUNT = r"[0-9][0-9,]*(?:\.[0-9]+)?"
-_QUOTED = '["“]([A-Z][\\w\\s]{1,60}?)["”]'
+_QUOTED = '["“]([a-z][\\w\\s]{1,60}?)["”]'
 _NAME = r"[A-Z][a-zA-Z]+(?: [A-Z][a-zA-Z]+)*"
 
 #: Confidences are fixed values.
 EXTRACTORS: dict[str, Extractor] = {
-    "money": Extractor(rf"(?i)[$€£¥₹]\s*{_AMOUNT}(?:\s*(?:{_any(SCALES)}|[kmbt])\b(?:\s+dollars?\b)?)?|\b{_AMOUNT}\s*(?:dollars?|cents?|pounds?|euros?|USD|EUR|GBP|JPY)\b|\b(?:{_any(ONES + TENS + SCALES)}[\s-]+)+(?:dollars?|cents?|pounds?|euros?)\b", 0.93, 2, kind="Monetary Amount"),
-    "date": Extractor(rf"(?i)\b{_MONTH}\s+[0-9]{{1,2}},?\s+[0-9]{{4}}\b|\b[0-9]{{1,2}}\s+{_MONTH}\s+[0-9]{{4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b|\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}\b|\bthe\s+[0-9]{{1,2}}(?:st|nd|rd|th)\s+day\s+of\s+{_MONTH}(?:,?\s+[0-9]{{4}}\b)?", 0.92, kind="Date"),
-    "duration": Extractor(rf"(?i)(?:\b[0-9]+(?:\.[0-9]+)?|\b{_any(ONES + TENS)})(?:\s*\([0-9]+\))?[\s-]+(?:business\s+|calendar\s+)?{_any(UNITS)}s?\b", 0.90, kind="Duration"),
-    "percent": Extractor(rf"(?i)\b[0-9]+(?:\.[0-9]+)?\s*%|\b(?:[0-9]+(?:\.[0-9]+)?|{_any([*ONES, *TENS, 'hundred'])})\s+per\s?cent\b|\b[0-9]+(?:\.[0-9]+)?\s+basis\s+points?\b", 0.93, kind="Percentage"),
+    "money": Extractor(rf"[$€£¥₹]\s*{_AMOUNT}(?:\s*(?:{_any(SCALES)}|[kmbt])\b(?:\s+dollars?\b)?)?|\b{_AMOUNT}\s*(?:dollars?|cents?|pounds?|euros?|usd|eur|gbp|jpy)\b|\b(?:{_any(ONES + TENS + SCALES)}[\s-]+)+(?:dollars?|cents?|pounds?|euros?)\b", 0.93, 2, kind="Monetary Amount", folded=True, gates=('$', '€', '£', '¥', '₹', 'dollar', 'cent', 'pound', 'euro', 'usd', 'eur', 'gbp', 'jpy')),
+    "date": Extractor(rf"\b{_MONTH}\s+[0-9]{{1,2}},?\s+[0-9]{{4}}\b|\b[0-9]{{1,2}}\s+{_MONTH}\s+[0-9]{{4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b|\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}\b|\bthe\s+[0-9]{{1,2}}(?:st|nd|rd|th)\s+day\s+of\s+{_MONTH}(?:,?\s+[0-9]{{4}}\b)?", 0.92, kind="Date", folded=True, gates=('/', '-', 'jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec')),
+    "duration": Extractor(rf"(?:\b[0-9]+(?:\.[0-9]+)?|\b{_any(ONES + TENS)})(?:\s*\([0-9]+\))?[\s-]+(?:business\s+|calendar\s+)?{_any(UNITS)}s?\b", 0.90, kind="Duration", folded=True, gates=('second', 'minute', 'hour', 'day', 'week', 'month', 'year', 'decade')),
+    "percent": Extractor(rf"\b[0-9]+(?:\.[0-9]+)?\s*%|\b(?:[0-9]+(?:\.[0-9]+)?|{_any([*ONES, *TENS, 'hundred'])})\s+per\s?cent\b|\b[0-9]+(?:\.[0-9]+)?\s+basis\s+points?\b", 0.93, kind="Percentage", folded=True, gates=('%', 'cent', 'basis')),
     "court": Extractor(
         rf"(?:United States|U\.S\.) (?:(?:District|Circuit|Bankruptcy|Tax) Court|Supreme Court|Court of Appeals)|Supreme Court of (?:the United States|{_NAME})|{_any(CIRCUITS)} Circuit\b"
-        rf"|\b[SNWCE]\.D\.\s*(?:[A-Z]\.)?[A-Z][a-z]*\.?|Court of (?:Appeals?|Common Pleas|Claims|Chancery)(?: (?:for|of) (?:the )?{_NAME})?|(?:\b{_NAME} )?{_any(COURTS)} Court(?: (?:of|for) (?:the )?{_NAME})?",
-        0.91, kind="Court",
+        rf"|\b[SNWCE]\.D\.\s*(?:[A-Z]\.)?[A-Z][a-z]*\.?|Court of (?:Appeals?|Common Pleas|Claims|Chancery)(?: (?:for|of) (?:the )?{_NAME})?|\b{_any(COURTS)} Court\b(?: (?:of|for) (?:the )?{_NAME})?",
+        0.91, kind="Court", gates=('court', 'circuit', '.d.'),
     ),
-    "definition": Extractor(rf"(?i){_QUOTED}\s+{_any(MEANS)}\b", 0.88, 1, 1, kind="Definition"),
-    "condition": Extractor(rf"(?i)\b{_any(CONDITIONS)}\b", 0.85, kind="Condition"),
-    "constraint": Extractor(rf"(?i)\b{_any(CONSTRAINTS)}\b", 0.85, kind="Constraint"),
-    "address": Extractor(rf"\b[0-9]{{1,5}}\s+{_NAME}\s+{_any(STREETS)}\b\.?(?:,?\s+(?:Suite|Ste|Apt|Unit|Floor|Fl|Room|Rm)\.?\s*[0-9A-Z]+\b)?(?:,?\s+{_NAME})?(?:,?\s+[A-Z]{{2}}\b)?(?:\s+[0-9]{{5}}(?:-[0-9]{{4}})?\b)?", 0.87, 10, kind="Address"),
-    "trademark": Extractor(r"[A-Z]\w*(?: [A-Z]\w*)* ?[®™]", 0.93, kind="Trademark"),
-    "copyright": Extractor(rf"(?i:©|\(c\)|Copyright(?:\s*(?:©|\(c\)))?)\s*[0-9]{{4}}(?:\s*[-–]\s*[0-9]{{4}})?(?:\s+{_NAME}(?:,? (?:Inc|LLC|Ltd|Corp)\.?)?)?", 0.93, kind="Copyright"),
-    "email": Extractor(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.90, kind="Email"),
-    "citation": Extractor(r"\b[0-9]+ (?:U\.S\.|F\.(?:2d|3d|4th)|S\. ?Ct\.|F\. ?Supp\.(?: [23]d)?) [0-9]+\b|\b[0-9]+ (?:U\.S\.C\.|USC|C\.F\.R\.|CFR)\s*(?:§+ ?)?[0-9]+(?:\.[0-9]+)?[a-z]?\b", 0.92, kind="Legal Citation"),
+    "definition": Extractor(rf"{_QUOTED}\s+{_any(MEANS)}\b", 0.88, 1, 1, kind="Definition", folded=True, gates=('"', '“')),
+    "condition": Extractor(rf"\b{_any(CONDITIONS)}\b", 0.85, kind="Condition", folded=True, gates=('if', 'unless', 'provided', 'subject', 'condition', 'event', 'notwithstanding', 'except', 'contingent')),
+    "constraint": Extractor(rf"\b{_any(CONSTRAINTS)}\b", 0.85, kind="Constraint", folded=True, gates=('than', 'at', 'exceed', 'up', 'maximum', 'minimum')),
+    "address": Extractor(rf"\b[0-9]{{1,5}}\s+{_NAME}\s+{_any(STREETS)}\b\.?(?:,?\s+(?:Suite|Ste|Apt|Unit|Floor|Fl|Room|Rm)\.?\s*[0-9A-Z]+\b)?(?:,?\s+{_NAME})?(?:,?\s+[A-Z]{{2}}\b)?(?:\s+[0-9]{{5}}(?:-[0-9]{{4}})?\b)?", 0.87, 10, kind="Address", gates=('st', 'ave', 'blvd', 'boulevard', 'road', 'rd', 'drive', 'dr', 'lane', 'ln', 'way', 'court', 'ct', 'pl', 'cir', 'ter', 'pike', 'highway', 'hwy')),
+    "trademark": Extractor(r"[A-Z]\w*(?: [A-Z]\w*)* ?[®™]", 0.93, kind="Trademark", gates=('®', '™')),
+    "copyright": Extractor(rf"(?i:©|\(c\)|Copyright(?:\s*(?:©|\(c\)))?)\s*[0-9]{{4}}(?:\s*[-–]\s*[0-9]{{4}})?(?:\s+{_NAME}(?:,? (?:Inc|LLC|Ltd|Corp)\.?)?)?", 0.93, kind="Copyright", gates=('©', '(c)', 'copyright')),
+    "email": Extractor(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.90, kind="Email", gates=('@',)),
+    "citation": Extractor(r"\b[0-9]+ (?:U\.S\.|F\.(?:2d|3d|4th)|S\. ?Ct\.|F\. ?Supp\.(?: [23]d)?) [0-9]+\b|\b[0-9]+ (?:U\.S\.C\.|USC|C\.F\.R\.|CFR)\s*(?:§+ ?)?[0-9]+(?:\.[0-9]+)?[a-z]?\b", 0.92, kind="Legal Citation", gates=('u.s.', 'f.', 's. ct', 's.ct', 'usc', 'c.f.r', 'cfr')),
 }
 
 #: Which source's span leads when two are one individual.
@@ -86,17 +88,28 @@ def _compiled(names: list[str] | None) -> dict[str, tuple[Extractor, re.Pattern[
     return {n: (EXTRACTORS[n], re.compile(EXTRACTORS[n].pattern)) for n in names or EXTRACTORS}
 
 
+def _low(text: str) -> str:
+    """The text in lower case, character by character: one that would become two stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def _finds(text: str, chosen: dict[str, tuple[Extractor, re.Pattern[str]]]) -> Iterator[tuple]:
     """(label, start, end, text, value, confidence, error); an extractor that fails gives one row with its error and no span."""
+    low = _low(text)
     for name, (e, rx) in chosen.items():
+        if e.gates and not any(g in low for g in e.gates):
+            continue
         try:
             found = []
-            for m in rx.finditer(text):
-                whole = m.group()
-                start = m.start() + len(whole) - len(whole.lstrip())
+            for m in rx.finditer(low if e.folded else text):
+                start, end = m.span()
+                whole = text[start:end]
+                start += len(whole) - len(whole.lstrip())
                 whole = whole.strip()
                 if len(whole) >= e.least:
-                    found.append((name, start, start + len(whole), whole, m.group(e.group).strip(), e.confidence, None))
+                    value = text[slice(*m.span(e.group))].strip() if e.group else whole
+                    found.append((name, start, start + len(whole), whole, value, e.confidence, None))
         except Exception as x:  # one extractor's failure is its own
             found = [(name, None, None, None, None, None, f"{type(x).__name__}: {x}")]
         yield from found

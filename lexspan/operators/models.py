@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.functions.constants import MODEL_TASKS
 from lexspan.functions.text import bookends, unfenced
 
 Answer = Callable[[list[str]], list[str]]

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.functions import scoring, text
 from lexspan.functions.constants import DOCUMENT_TYPES
 from lexspan.operators import annotations as ann
-from lexspan.operators import confidence, extract, feedback, metadata, models, properties, search, triples
+from lexspan.operators import confidence, extract, feedback, hierarchy, metadata, models, properties, search, triples
 from lexspan.plans import bindings as b
 from lexspan.plans import stages
 from lexspan.plans.registry import query
+from lexspan.sinks import export
 
 # Individuals, properties and triples by stages
 
@@ -370,3 +372,57 @@ def preliminary_merge(spark, sf):
     has = docs.filter(F.contains(F.lower("text"), F.lit("stupid"))).select("doc_id", F.lit(1).alias("n"))
     return ann.upserted(docs.select("doc_id", F.lit(0).alias("n")), has, "doc_id")
 
+
+
+# Smaller parts
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS n, CASE WHEN l_suppkey % 2 = 0 THEN 'urn:own' WHEN l_partkey % 3 < 2 THEN 'urn:class/' || (l_partkey % 3) END AS iri, CASE WHEN l_suppkey % 2 = 0 THEN 'Own' WHEN l_partkey % 3 < 2 THEN 'Branch ' || (l_partkey % 3) END AS branch FROM lineitem")
+def class_links(spark, sf):
+    """Links without an iri get that of their label."""
+    links = b.table(spark, sf, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS n", "concat('CLASS ', l_partkey % 3) AS label", "CASE WHEN l_suppkey % 2 = 0 THEN 'urn:own' WHEN l_suppkey % 3 = 0 THEN '' END AS iri", "CASE WHEN l_suppkey % 2 = 0 THEN 'Own' END AS branch")
+    labels = spark.createDataFrame([(f"class {i}", f"urn:class/{i}", f"Branch {i}") for i in range(2)], "label string, iri string, branch string")
+    return extract.filled_links(links, labels).select("doc_id", "n", "iri", "branch")
+
+
+@query(
+    """WITH s AS (SELECT 's' || s_suppkey AS iri, CAST(40 + s_suppkey % 50 AS DOUBLE) AS score FROM supplier), up AS (SELECT 's' || s_suppkey AS iri, 'n' || s_nationkey AS a, 1 AS d FROM supplier UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'q' AS query, iri, score FROM s UNION ALL SELECT 'q', a, round(max(score * pow(0.85, d)), 6) FROM s JOIN up USING (iri) WHERE score >= 50 GROUP BY a"""
+)
+def search_ancestors(spark, sf):
+    """Scores of suppliers, and what their nations and regions get from them."""
+    scored = b.table(spark, sf, "supplier").selectExpr("'q' AS query", "concat('s', s_suppkey) AS iri", "CAST(40 + s_suppkey % 50 AS DOUBLE) AS score")
+    return search.with_ancestors(scored, hierarchy.closure(b.edges(spark, sf))).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' OR p_name LIKE '%widget%' THEN 0.5 ELSE 0 END::DOUBLE AS overlap FROM part")
+def definition_overlap(spark, sf):
+    """Words that a name shares with a definition of two words, over those of the larger set."""
+    said = F.array(F.lit("ring"), F.lit("widget"))
+    return b.table(spark, sf, "part").select("p_partkey", scoring.set_overlap(text.words(F.col("p_name")), said).alias("overlap"))
+
+
+@query("SELECT p_partkey, greatest(0.3, least(0.85, 0.5 + 0.1 * (p_size % 6) - CASE WHEN p_partkey % 2 = 0 THEN 0.05 ELSE 0 END))::DOUBLE AS confidence FROM part")
+def triple_scores(spark, sf):
+    return b.table(spark, sf, "part").select("p_partkey", scoring.triple_confidence((F.col("p_size") % 6).cast("double"), F.col("p_partkey") % 2 == 0).alias("confidence"))
+
+
+@query("SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS length FROM embeddings")
+def unit_vectors(spark, sf):
+    n = scoring.normalized(F.col("embedding"))
+    return b.table(spark, sf, "embeddings").select("vec_id", F.round(scoring.dot(n, n), 6).alias("length"))
+
+
+@query(
+    """SELECT event_id AS id, event_type AS rating, CASE WHEN user_id % 5 > 0 THEN 'stage ' || (user_id % 5) END AS stage, NULL::VARCHAR AS comment, 'urn:' || user_id AS iri, 'label ' || user_id AS label, '[' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '{"stage":"a","detail":"' || event_type || '"}' END || ']' AS lineage, ts AS created_at FROM events"""
+)
+def feedback_export(spark, sf):
+    e = b.table(spark, sf, "events")
+    one = F.array(F.struct(F.lit("a").alias("stage"), F.col("event_type").alias("detail")))
+    rows = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("rating"), F.expr("CASE WHEN user_id % 5 > 0 THEN concat('stage ', user_id % 5) END").alias("stage"), F.lit(None).cast("string").alias("comment"), F.concat(F.lit("urn:"), "user_id").alias("iri"), F.concat(F.lit("label "), "user_id").alias("label"), F.when(F.col("event_id") % 3 == 0, F.slice(one, 1, 0)).otherwise(one).alias("lineage"), F.col("ts").alias("created_at"))
+    return export.feedback_rows(rows)
+
+
+@query("SELECT o_orderkey AS doc_id, '42 U.S.C. § ' || o_orderkey AS text, 'Statute' AS class, 'https://www.law.cornell.edu/uscode/text/42/' || o_orderkey AS url FROM orders WHERE o_orderkey % 4 = 1")
+def citations(spark, sf):
+    return extract.citations(b.sentences(spark, sf)).select("doc_id", "text", "class", "url")

@@ -168,7 +168,7 @@ def test_individuals(spark):
 def test_extractors():
     cases = {"money": "paid $1,200.50 today", "date": "on March 3, 2021 it", "duration": "thirty (30) days", "percent": "12.5% of", "court": "the Supreme Court of Ohio", "definition": '"Goods" means things', "condition": "provided that he", "constraint": "not to exceed ten", "address": "at 12 North Main Street, Suite 4", "trademark": "Acme® tools", "copyright": "© 2020 Acme", "citation": "at 410 U.S. 113", "email": "a.b@c.org"}
     for name, sample in cases.items():
-        assert re.search(extract.EXTRACTORS[name].pattern, sample), name
+        assert list(extract._finds(sample, extract._compiled([name]))), name
 
 
 def test_svo():
@@ -407,3 +407,37 @@ def test_writers_of_sections(spark, tmp_path):
         raise AssertionError
     except KeyError:
         pass
+
+
+def test_jobs_and_pages(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"job{i}.json").write_text('{\n "id": "j%d",\n "status": "completed", "annotations": [{"start": %d}]}' % (i, i))
+    jobs = ingest.job_files(spark, str(tmp_path))
+    assert jobs.count() == 3
+    assert ingest.job_files(spark, f"{tmp_path}/job1.json").first()["annotations"][0]["start"] == 1  # one job alone
+    pages = spark.createDataFrame([(1, 0, "a word cut-\nin two\ngoes on"), (1, 1, None)], "doc_id long, page int, text string")
+    assert [r["text"] for r in ingest.pdf_pages(pages).orderBy("page").collect()] == ["a word cutin two goes on", None]
+
+
+def test_index_of_vectors(spark, tmp_path):
+    from lexspan.operators import models
+
+    df = models.embedded(spark.createDataFrame([("a", "court"), ("b", "lease")], "iri string, text string"), "text", "iri")
+    models.saved(df, f"{tmp_path}/index", "hashed")
+    assert models.loaded(spark, f"{tmp_path}/index", "hashed", 2).columns == ["iri", "embedding"]
+    for model, count in (("other", None), ("hashed", 3)):
+        try:
+            models.loaded(spark, f"{tmp_path}/index", model, count)
+            raise AssertionError
+        except ValueError:
+            pass
+    assert models.routed({"concept": "m1"}, "m0", {"property": "m2"})["concept"] == "m1"
+    assert models.routed({}, None, {"property": "m2"}) == dict.fromkeys([t for t in models.MODEL_TASKS]) | {"property": "m2"}
+
+
+def test_reject_leaves_feedback(spark):
+    rows = spark.createDataFrame([(1, "a", "confirmed", ["made"]), (1, "b", "rejected", ["made"])], "job_id int, ann_id string, state string, lineage array<string>")
+    old = spark.createDataFrame([(1, "a", "up", "")], "job_id int, ann_id string, rating string, note string")
+    now, entries = annotations.rejected_with_feedback(rows, old, F.lit(True), "wrong")
+    assert {r["ann_id"]: len(r["lineage"]) for r in now.collect()} == {"a": 2, "b": 1}
+    assert [(r["ann_id"], r["rating"], r["note"]) for r in entries.collect()] == [("a", "dismissed", "wrong")]

@@ -26,3 +26,14 @@ def test_rate_limited(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, key string, ts timestamp").parquet(path)
     got = {r["event_id"]: r["accepted"] for r in run(spark, feed.rate_limited(stream, 2, 60), "limited")}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: False}
+
+
+def test_windowed_counts(spark, tmp_path):
+    """Windows that the watermark has passed come out; a row later than it allows isn't counted."""
+    path, schema = str(tmp_path / "in"), "event_id long, event_type string, value double, ts timestamp"
+    at = lambda h, m: pd.Timestamp(2024, 1, 1, h, m).to_pydatetime()
+    for rows in ([(1, "a", 1.0, at(0, 5)), (2, "a", 2.0, at(0, 50))], [(3, "a", 4.0, at(3, 0))], [(6, "c", 1.0, at(3, 1))], [(4, "a", 8.0, at(0, 10)), (5, "b", 1.0, at(9, 0))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = {(r["start"].hour, r["event_type"]): (r["n"], r["total"]) for r in run(spark, feed.windowed_counts(stream), "windowed")}
+    assert got[0, "a"] == (2, 3.0) and got[3, "a"] == (1, 4.0) and (9, "b") not in got
