@@ -1,33 +1,35 @@
-"""Nearest vectors: a stated query set against all rows, in blocks, by matrix products; exact.
+"""Nearest vectors: a stated query set against all rows, exactly in blocks, or through an index of lists.
 
-Queries and rows are dealt into blocks of bounded size; each two blocks meet in one task, which keeps the best
-of its rows for each query, and those are ranked again. Nothing is gathered on the driver.
+``nearest`` deals queries and rows into blocks of bounded size; each two blocks meet in one task, which keeps the best
+of its rows for each query, and those are ranked again: exact, and its shuffle grows with rows times query blocks.
+
+``Index`` deals every row to the nearest of some centroids, fitted on a bounded sample of rows, and a query meets the lists of its
+nearest centroids alone. A list is divided into blocks where it is long, so equal or crowded vectors never make one task.
+Nothing but the sample and the centroids is gathered on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-QUERY_BLOCK, ROW_BLOCK = 4_096, 16_384
+QUERY_BLOCK, ROW_BLOCK = 1_024, 8_192
 
+#: The index: rows that centroids are fitted on at most, lists at most, rounds of fitting, and what share of the sample's neighbours
+#: the lists that a query meets must hold, measured on so many of its rows.
+SAMPLE, LISTS, ROUNDS, RECALL, ASKED = 50_000, 4_096, 8, 0.96, 500
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, by_label: bool = False) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the ``k`` rows of ``vectors`` (vec_id, embedding, label) most like each query, not itself.
+_BEST = "query_id long, vec_id long, similarity double"
 
-    With ``by_label`` only rows of the query's label count, which is decided before the best are taken. Of equal
-    similarities, to six places, the least id comes first. Rows without an embedding are left out.
-    """
-    usable = lambda x: x.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", "embedding", "label")
-    vectors, queries = usable(vectors), usable(queries)
-    n_q, n_v = (max(1, -(-x.count() // size)) for x, size in ((queries, QUERY_BLOCK), (vectors, ROW_BLOCK)))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    asked = queries.select(F.lit(True).alias("asks"), "*", block(n_q).alias("q"), all_of(n_v).alias("v"))
-    rows = vectors.select(F.lit(False).alias("asks"), "*", all_of(n_q).alias("q"), block(n_v).alias("v"))
+
+def _comparing(k: int, by_label: bool) -> Callable[[pa.Table], pa.Table]:
+    """Of a group of queries and rows (asks, vec_id, embedding, label): the best rows for each query, itself left out, of equal ones the least id."""
 
     def compare(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy()
@@ -37,15 +39,114 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, by_label: bool
         theirs = theirs[np.argsort(ids[theirs], kind="stable")]
         if not len(mine) or not len(theirs):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        near = np.round(x[mine] @ x[theirs].T, 6)
-        near[ids[mine][:, None] == ids[theirs][None, :]] = -np.inf
-        if by_label:
-            near[labels[mine][:, None] != labels[theirs][None, :]] = -np.inf
-        best = np.argsort(-near, axis=1, kind="stable")[:, :k]  # rows are in order of id
-        value = np.take_along_axis(near, best, 1)
-        ok = np.isfinite(value)
-        return pa.table({"query_id": pa.array(np.repeat(ids[mine], best.shape[1])[ok.ravel()]), "vec_id": pa.array(ids[theirs][best][ok]), "similarity": pa.array(value[ok])})
-
-    found = asked.unionByName(rows).groupBy("q", "v").applyInArrow(compare, "query_id long, vec_id long, similarity double")
+        parts = []
+        for i in range(0, len(mine), QUERY_BLOCK):
+            some = mine[i : i + QUERY_BLOCK]
+            near = np.round(x[some] @ x[theirs].T, 6)
+            near[ids[some][:, None] == ids[theirs][None, :]] = -np.inf
+            if by_label:
+                near[labels[some][:, None] != labels[theirs][None, :]] = -np.inf
+            best = np.argsort(-near, axis=1, kind="stable")[:, :k]  # rows are in order of id
+            value = np.take_along_axis(near, best, 1)
+            ok = np.isfinite(value)
+            parts.append(pa.table({"query_id": pa.array(np.repeat(ids[some], best.shape[1])[ok.ravel()]), "vec_id": pa.array(ids[theirs][best][ok]), "similarity": pa.array(value[ok])}))
+        return pa.concat_tables(parts)
+
+    return compare
+
+
+def _usable(x: DataFrame) -> DataFrame:
+    return x.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", "embedding", "label")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, by_label: bool = False) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the ``k`` rows of ``vectors`` (vec_id, embedding, label) most like each query, not itself.
+
+    With ``by_label`` only rows of the query's label count, which is decided before the best are taken. Of equal
+    similarities, to six places, the least id comes first. Rows without an embedding are left out.
+    """
+    vectors, queries = _usable(vectors), _usable(queries)
+    n_q, n_v = (max(1, -(-x.count() // size)) for x, size in ((queries, QUERY_BLOCK), (vectors, ROW_BLOCK)))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    asked = queries.select(F.lit(True).alias("asks"), "*", block(n_q).alias("q"), all_of(n_v).alias("v"))
+    rows = vectors.select(F.lit(False).alias("asks"), "*", all_of(n_q).alias("q"), block(n_v).alias("v"))
+    return _ranked(asked.unionByName(rows).groupBy("q", "v").applyInArrow(_comparing(k, by_label), _BEST), k)
+
+
+def _centroids(x: np.ndarray, lists: int, rounds: int) -> np.ndarray:
+    """Directions that rows gather round: begun at rows spread over the sample, moved to the mean of those nearest, ``rounds`` times."""
+    c = x[np.linspace(0, len(x) - 1, lists).astype(int)].copy()
+    for _ in range(rounds):
+        at = np.argmax(x @ c.T, axis=1)
+        for j in range(lists):
+            mine = x[at == j]
+            if len(mine):
+                c[j] = mine.mean(axis=0)
+        n = np.linalg.norm(c, axis=1, keepdims=True)
+        c /= np.where(n > 0, n, 1)
+    return c
+
+
+def _probes(x: np.ndarray, c: np.ndarray, k: int) -> int:
+    """How many lists a query must meet for a share of RECALL of its ``k`` nearest in the sample: few where vectors gather, all but all where they don't."""
+    asked = np.unique(np.linspace(0, len(x) - 1, min(ASKED, len(x))).astype(int))
+    at, need = np.argmax(x @ c.T, axis=1), []
+    for i in asked:
+        near = x @ x[i]
+        near[i] = -np.inf
+        best = np.argsort(-near, kind="stable")[: min(k, len(x) - 1)]
+        place = np.empty(len(c), int)
+        place[np.argsort(-(c @ x[i]), kind="stable")] = np.arange(len(c))
+        need += place[at[best]].tolist()
+    return int(np.quantile(need, RECALL, method="higher")) + 1 if need else 1
+
+
+@dataclass
+class Index:
+    """Every usable row of a table with its list, and how many lists a query meets."""
+
+    rows: DataFrame
+    centroids: np.ndarray
+    probes: int
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, lists: int | None = None, sample: int = SAMPLE) -> Index:
+        """Centroids from at most about ``sample`` rows, drawn by hash; as many as the square root of the rows, LISTS at most. All rows are indexed."""
+        vectors = _usable(vectors)
+        n = vectors.count()
+        lists = max(1, min(lists or round(n**0.5), LISTS, n))
+        part = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(n, 1)))) if n > sample else vectors
+        x = np.array([r["embedding"] for r in part.select("embedding").orderBy("vec_id").toLocalIterator()], np.float64)  # ``sample`` rows
+        c = _centroids(x, min(lists, len(x)), ROUNDS) if len(x) else np.zeros((0, 0))
+        return cls(_listed(vectors, c, 1), c, _probes(x, c, 10) if len(x) else 1)
+
+    def search(self, queries: DataFrame, k: int = 10, by_label: bool = False) -> DataFrame:
+        """As ``nearest``, from the lists nearest to each query; exact within these lists."""
+        asked = _listed(_usable(queries), self.centroids, self.probes)
+        blocks = self.rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias("blocks"))  # a row a list
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        a = asked.join(F.broadcast(blocks), "list").select(F.lit(True).alias("asks"), "vec_id", "embedding", "label", "list", every)
+        r = self.rows.join(F.broadcast(blocks), "list").select(F.lit(False).alias("asks"), "vec_id", "embedding", "label", "list", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"))
+        return _ranked(a.unionByName(r).groupBy("list", "block").applyInArrow(_comparing(k, by_label), _BEST), k)
+
+
+def _listed(vectors: DataFrame, centroids: np.ndarray, lists: int) -> DataFrame:
+    """Rows once for each of the ``lists`` nearest centroids, as ``list``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not len(centroids):
+                continue
+            near = np.array(b.column("embedding").to_pylist(), np.float64) @ centroids.T
+            at = np.argsort(-near, axis=1, kind="stable")[:, :lists]
+            rows = pa.Table.from_batches([b]).take(pa.array(np.repeat(np.arange(b.num_rows), at.shape[1])))
+            yield from rows.append_column("list", pa.array(at.ravel().astype(np.int32))).combine_chunks().to_batches()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    return vectors.mapInArrow(run, f"{fields}, list int")

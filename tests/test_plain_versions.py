@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from test_operators import plain_individuals
 
@@ -240,3 +241,27 @@ def test_context_and_metadata(spark, sf):
         assert (r["document_type"], r["confidence"]) == (("Answer", 0.9) if d % 2 == 0 else ("Lease", 1.0))
         if d % 4 == 0:
             assert '"United States District Court"' in r["entities"] and "money" in r["entities"]
+
+
+def test_vector_index_recall(spark):
+    """At least nine in ten of the nearest are found, of the whole table's queries; what is found is exactly as near as it says."""
+    sf = "/root/testdata/sf0.1"
+    exact = {(r["query_id"], r["vec_id"]): r["similarity"] for r in QUERIES["vector_topk"](spark, sf).collect()}
+    found = {(r["query_id"], r["vec_id"]): r["similarity"] for r in QUERIES["vector_index"](spark, sf).collect()}
+    both = exact.keys() & found.keys()
+    assert len(both) / len(exact) >= 0.9
+    assert all(exact[x] == found[x] for x in both)
+
+
+def test_vector_index_edges(spark):
+    from lexspan.operators import vectors
+
+    schema = "vec_id long, embedding array<float>, label int"
+    same = spark.createDataFrame([(i, [1.0, 0.0], i % 2) for i in range(50)] + [(99, None, 0)], schema)  # all in one list
+    got = vectors.Index.fit(same, lists=4).search(same.filter("vec_id < 2"), 3, by_label=True).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in got) == [(0, 2), (0, 4), (0, 6), (1, 3), (1, 5), (1, 7)]
+    assert vectors.Index.fit(same.limit(0)).search(same, 3).count() == 0
+    crowds = spark.createDataFrame([(i, [float(x) for x in np.eye(20)[i % 20] + 0.01 * np.sin(i + np.arange(20))], 0) for i in range(600)], schema)
+    index = vectors.Index.fit(crowds, lists=20)
+    assert index.probes <= 3  # few lists where vectors gather
+    assert all(r["query_id"] % 20 == r["vec_id"] % 20 for r in index.search(crowds, 3).collect())
