@@ -19,9 +19,8 @@ set, so two sketches differ in no more bits than the sets do in elements, and a
 differ in more than linked sets can is out. The others are checked on the sets themselves.
 
 Links make components. A bucket's rows stream through one task in order of their sets, sixteen bytes each, and
-leave only the pairs with its least set; of these each set first checks one, which joins groups of near
-copies with work in proportion to their rows, and then those that lead to another component. What remains
-apart in buckets of at most SMALL members is compared in full; larger buckets go on to the next level. Families that
+leave only the pairs with its least set, which joins groups of near copies with work in proportion to their
+rows. What remains apart in buckets of at most SMALL members is compared in full; larger buckets go on to the next level. Families that
 its buckets hold together, but that aren't one component yet, are dealt into blocks, which tasks
 compare two by two, returning links that span and no pairs. No link between different sets is lost.
 That last step grows with the square of such a family; a family is one only if all levels put its sets together.
@@ -44,6 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexspan.llm.common import discard, small, staged
 
@@ -77,8 +77,9 @@ def shingles(text: str | None) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.full(n, np.uint64(min(len(h), WORDS)))
         for j in range(min(WORDS, len(h))):
-            out = mix(out * _C + h[j : j + n])
-    return np.unique(out)
+            out *= _C
+            out += h[j : j + n]
+    return np.unique(mix(out))
 
 
 def most_different(size: int, largest: int) -> int:
@@ -95,13 +96,13 @@ def bands(size: int) -> list[tuple[int, int]]:
     return found
 
 
+#: For each level the splits that each choice keeps.
+_CHOICES = [[[j for j in range(splits) if j not in gone] for gone in combinations(range(splits), out)] for splits, out in LEVELS]
+
+
 def signatures(s: np.ndarray, level: int = 0) -> np.ndarray:
     """The set's signatures: for each part in turn, a number for each choice of its splits that has elements."""
-    splits, out = LEVELS[level][0], LEVELS[level][1]
-    choices = np.zeros((len(list(combinations(range(splits), out))), splits), np.uint64)
-    for i, without in enumerate(combinations(range(splits), out)):
-        choices[i, [j for j in range(splits) if j not in without]] = 1
-    found = []
+    (splits, out), choices, found = LEVELS[level], _CHOICES[level], []
     for band, largest in bands(len(s)):
         k = most_different(len(s), largest)
         if k == 0:
@@ -117,19 +118,19 @@ def signatures(s: np.ndarray, level: int = 0) -> np.ndarray:
                 held = np.add.reduceat(mix(s, seed + 1)[order], start)
                 fine = fine[start]
                 held = mix(held ^ mix(fine, seed + 2), seed + 3)
-                part = fine // np.uint64(splits)
-                row = np.cumsum(np.r_[0, part[1:] != part[:-1]])
-                grid = np.zeros((int(row[-1]) + 1, splits), np.uint64)
-                grid[row, (fine % np.uint64(splits)).astype(np.int64)] = held
+                grid = np.zeros(n * splits, np.uint64)  # a row a part: in it nothing, or what a split holds
+                grid[fine.astype(np.int64)] = held
+                grid = grid.reshape(n, splits)
                 enough = np.cumsum(np.count_nonzero(grid, axis=1) > out)
-                stop = int(np.searchsorted(enough, need)) + 1
                 good = int(enough[-1])
-                sums = grid[:stop] @ choices.T
-                some = ((grid[:stop] != 0).astype(np.uint64) @ choices.T) > 0
-                names = np.unique(part)[:stop, None] * np.uint64(len(choices)) + np.arange(len(choices), dtype=np.uint64)
-            found.append(mix(sums[some] ^ mix(names[some], seed + 4), seed + 5))
+                stop = int(np.searchsorted(enough, need)) + 1 if good >= need else n
+                grid = grid[:stop]
+                sums = np.stack([sum(grid[:, j] for j in kept) for kept in choices], axis=1)
+                names = np.arange(stop * len(choices), dtype=np.uint64).reshape(stop, -1)
+                some = sums != 0  # a choice without elements says nothing
+                found.append(mix(sums[some] ^ mix(names[some], seed + 4), seed + 5))
             seed += 1 << 20
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -230,8 +231,7 @@ def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, made: list[st
     """Of distinct pairs (a, b) those that are linked: by ``marks`` (node, n_shingles, sketch) first, then by the sets of ``texts`` (node, text)."""
     side = lambda x: marks.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     left = staged(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_open_pairs, "a long, b long"), "likely", made)
-    nodes = staged(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), "likely", made)
-    sets = _items(texts, nodes, made)
+    sets = _items(texts, left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), made)
     one, two = (sets.select(F.col("node").alias(n), F.col("items").alias(x)) for n, x in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
     return left.join(two, "b").join(one, "a").filter(both * DEN >= (F.size("x") + F.size("y") - both) * NUM).select("a", "b")
@@ -246,15 +246,24 @@ def _with_least(edges: DataFrame, total: int) -> DataFrame:
     return edges.join(hot, "u").unionByName(edges.join(hot, "u", "left_anti").join(cold, "u"))
 
 
+def _oriented(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+
+
 def components(links: DataFrame, made: list[str] | None = None) -> DataFrame:
     """(node, comp): for each node that has a link, the least node of its component; by alternating large and small stars.
 
     The path of the table that the result reads is added to ``made``.
     """
-    spark, old, new = links.sparkSession, [], []
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", old)
-    seen = _state(edges)
+    old: list[str] = []
+    return _stars(staged(_oriented(links), "edges", old), old, made)
+
+
+def _stars(edges: DataFrame, old: list[str], made: list[str] | None) -> DataFrame:
+    """The components of staged edges (u, v), u > v, whose paths are ``old``."""
+    spark, seen = edges.sparkSession, _state(edges)
     while True:
+        new: list[str] = []
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _with_least(both, 2 * seen[0])
         large = staged(least.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large", new)
@@ -263,7 +272,7 @@ def components(links: DataFrame, made: list[str] | None = None) -> DataFrame:
         kept: list[str] = []
         edges = staged(small_, "edges", kept)
         discard(spark, old + new)
-        old, new = kept, []
+        old = kept
         now = _state(edges)
         if now == seen:
             if made is not None:
@@ -279,10 +288,14 @@ def _state(edges: DataFrame) -> tuple:
 
 def _merged(links: DataFrame, comps: DataFrame | None, made: list[str]) -> DataFrame:
     """Components of those that there are and of more links."""
-    links = staged(links, "links", made)
-    if comps is not None and links.isEmpty():
+    old: list[str] = []
+    edges = staged(_oriented(links), "edges", old)
+    if comps is None:
+        return _stars(edges, old, made)
+    if edges.isEmpty():
+        discard(links.sparkSession, old)
         return comps
-    return components(links if comps is None else links.union(comps.select("node", "comp")), made)
+    return _stars(edges.union(comps.filter("node <> comp").select("node", "comp")), old, made)
 
 
 def _comp(node: str, comps: DataFrame | None, df: DataFrame, name: str = "comp") -> DataFrame:
@@ -298,10 +311,10 @@ def _apart(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(sig, node, comp, n) of buckets that still span two components."""
-    found = _comp("node", comps, members)
-    apart = found.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    return found.join(apart.select("sig", "n"), "sig")
+    """Members (sig, hub, node) of buckets that still span two components, with ``comp`` and the bucket's ``n``."""
+    of = W.partitionBy("sig")  # a bucket's rows stream and spill; they are three numbers each
+    found = _comp("node", comps, members).withColumns({"lo": F.min("comp").over(of), "hi": F.max("comp").over(of), "n": F.count(F.lit(1)).over(of)})
+    return found.filter("lo <> hi").drop("lo", "hi")
 
 
 def _cross(members: DataFrame) -> DataFrame:
@@ -427,18 +440,16 @@ def _linked(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         hits, met = _hits(todo, level, made)
         marks = staged(texts.select("node", "n_shingles", "sketch").join(met, "node", "left_semi"), "marks", made) if marks is None else marks
         pairs = staged(hits.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs", made)
-        # each node's least hub first: most of what is linked is one component after that
-        comps = _merged(verified(_apart(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), comps), texts, marks, made), comps, made)
         comps = _merged(verified(_apart(pairs, comps), texts, marks, made), comps, made)
         # hubs have been compared; what is left of a bucket are the others
-        left = staged(_open(hits.select("sig", "node"), comps), "open", made)
+        left = staged(_open(hits, comps), "open", made)
         comps = _merged(verified(_cross(left.filter(F.col("n") <= SMALL)), texts, marks, made), comps, made)
         large = left.filter(F.col("n") > SMALL)
         if large.isEmpty():
             break
         todo = texts.join(staged(large.select("node").distinct(), "large", made), "node", "left_semi")
     else:
-        ties = staged(large.join(hits, ["sig", "node"]).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "ties", made)
+        ties = staged(large.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "ties", made)
         comps = _merged(_blocks(ties, comps, texts, made), comps, made)
     comps, ids = staged(comps, "components"), staged(texts.select("digest", "node"), "ids")
     discard(spark, made)
