@@ -7,11 +7,18 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.staging import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, for scans by Python code."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: Annotations: a span for each line of an order, with the part as its concept.
 ANNOTATION = {
     "doc_id": "l_orderkey",
@@ -97,7 +104,7 @@ def expected(extractor: str) -> str:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(SENTENCE).alias("text"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.expr(SENTENCE).alias("text"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,14 +140,14 @@ hit AS (SELECT doc_id, idx.* FROM ahead JOIN idx ON CASE len(string_split(label_
 
 @query(f"WITH {_INDEX_SQL}, {_FIND_SQL} SELECT doc_id, iri, match_type, CASE match_type WHEN 'preferred' THEN 0.85 WHEN 'lemma' THEN 0.72 ELSE 0.75 END + CASE WHEN contains(label_key, ' ') THEN 0.05 ELSE 0 END AS confidence, count(*) AS n FROM hit GROUP BY ALL")
 def property_match(spark, sf):
-    found = properties.match(b.table(spark, sf, "documents"), _index(spark), resolve=False)
+    found = properties.match(b.texts(spark, sf), _index(spark), resolve=False)
     return found.groupBy("doc_id", "iri", "match_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def property_spans(spark, sf):
     """Matches of the index and a second source's finds on the same texts, merged."""
-    docs = b.table(spark, sf, "documents")
+    docs = b.texts(spark, sf)
     found = properties.match(docs, _index(spark))
     more = found.select("doc_id", "start", (F.col("end") + F.col("start") % 3).alias("end"), "text", "iri", F.lit("model").alias("match_type"), F.lit(0.8).alias("confidence"), F.lit("model").alias("source"))
     return properties.merged(found, more)

@@ -33,12 +33,12 @@ def sentence_split(spark, sf):
 
 @query()
 def sentence_offsets(spark, sf):
-    return chunks.sentences(b.table(spark, sf, "documents")).select("doc_id", "sentence", "start", "end", F.md5("text").alias("text_md5"))
+    return chunks.sentences(b.texts(spark, sf)).select("doc_id", "sentence", "start", "end", F.md5("text").alias("text_md5"))
 
 
 @query()
 def chunking(spark, sf):
-    return chunks.chunks(b.table(spark, sf, "documents"))
+    return chunks.chunks(b.texts(spark, sf))
 
 
 @query(r"""SELECT doc_id, md5(CASE WHEN length(text) > 1500 THEN left(text, 1000) || E'\n...\n' || right(text, 500) ELSE text END) AS ends_md5 FROM documents""")
@@ -115,7 +115,7 @@ found AS (SELECT doc_id, word, label_key, iri, label_type FROM runs JOIN lexicon
 
 @query(f"WITH {b.LARGE_LEXICON_SQL} SELECT doc_id, label_key, iri, CAST(count(*) AS BIGINT) AS n, min(s) AS first_start FROM met GROUP BY ALL")
 def lexicon_match(spark, sf):
-    m = lexicon.match(b.table(spark, sf, "documents"), b.large_lexicon(spark, sf))
+    m = lexicon.match(b.texts(spark, sf), b.large_lexicon(spark, sf))
     return m.groupBy("doc_id", "label_key", "iri").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"))
 
 
@@ -135,7 +135,7 @@ def match_confidence(spark, sf):
 
 @query()
 def overlap_resolve(spark, sf):
-    return lexicon.match(b.table(spark, sf, "documents"), b.large_lexicon(spark, sf), resolve=True).select("doc_id", "start", "end", "iri")
+    return lexicon.match(b.texts(spark, sf), b.large_lexicon(spark, sf), resolve=True).select("doc_id", "start", "end", "iri")
 
 
 _LABELS = {"label": "concat(p_brand, ' ', p_type)", "iri": "concat('urn:part/', CAST(p_partkey AS STRING))", "label_type": "CASE p_size % 4 WHEN 0 THEN 'preferred' WHEN 1 THEN 'alternative' WHEN 2 THEN 'hidden' ELSE 'translation' END"}
@@ -190,7 +190,7 @@ def sentence_for_span(spark, sf):
 
 @query()
 def sentence_for_span_documents(spark, sf):
-    docs = b.table(spark, sf, "documents")
+    docs = b.texts(spark, sf)
     found = lexicon.match(docs, b.lexicon(spark)).select("doc_id", "start", "end").distinct()
     return intervals.best_container(found, chunks.sentences(docs).select("doc_id", "start", "end"))
 
@@ -613,7 +613,7 @@ def rag_chunks(spark, sf):
 
 @query()
 def rag_chunks_documents(spark, sf):
-    docs = b.table(spark, sf, "documents")
+    docs = b.texts(spark, sf)
     found = lexicon.match(docs, b.lexicon(spark)).withColumnRenamed("label_key", "label")
     return export.rag_chunks(chunks.chunks(docs), found).select("doc_id", "chunk_index", "start", "end", F.col("n_entities").cast("long").alias("n_entities"))
 
@@ -638,7 +638,7 @@ def concept_report(spark, sf):
 @query()
 def annotated_documents(spark, sf):
     labels = b.lexicon(spark).withColumnRenamed("label_key", "label")
-    return annotate.annotate(b.table(spark, sf, "documents"), labels)
+    return annotate.annotate(b.texts(spark, sf), labels)
 
 
 # Registered with the rest

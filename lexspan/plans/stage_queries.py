@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspan.functions import scoring, text
 from lexspan.functions.constants import DOCUMENT_TYPES
 from lexspan.operators import annotations as ann
-from lexspan.operators import confidence, extract, feedback, hierarchy, metadata, models, properties, search, triples
+from lexspan.operators import confidence, extract, feedback, hierarchy, metadata, models, overlap, properties, search, triples
 from lexspan.plans import bindings as b
 from lexspan.plans import stages
 from lexspan.plans.registry import query
@@ -98,7 +98,7 @@ SELECT doc_id, 'the' AS said, CAST(CASE WHEN doc_id % 2 = 0 THEN 0.9 ELSE 0.6 EN
 )
 def model_concepts(spark, sf):
     """A model's namings differ from document to document: each is searched for its own."""
-    docs = b.table(spark, sf, "documents")
+    docs = b.texts(spark, sf)
     named = lambda where, *rows: docs.filter(where).select("doc_id", F.explode(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(i).alias("iri"), F.lit(c).alias("confidence"), F.lit(o).alias("ord")) for t, i, c, o in rows])).alias("x")).select("doc_id", "x.*")
     answers = named("doc_id % 3 <> 2 AND doc_id % 2 = 0", ("The", "u:1", 0.4, 0), ("the", "u:2", 0.9, 1), ("THE", "u:3", 0.9, 2)).unionByName(named("doc_id % 3 <> 2 AND doc_id % 2 = 1", ("the", "u:1", 0.6, 0))).unionByName(named("doc_id % 3 = 2", ("license", "u:4", 0.5, 0)))
     return stages.model_concepts(answers, docs).groupBy("doc_id", F.lower("text").alias("said"), "confidence").agg(F.count(F.lit(1)).alias("n"))
@@ -426,3 +426,22 @@ def feedback_export(spark, sf):
 @query("SELECT o_orderkey AS doc_id, '42 U.S.C. § ' || o_orderkey AS text, 'Statute' AS class, 'https://www.law.cornell.edu/uscode/text/42/' || o_orderkey AS url FROM orders WHERE o_orderkey % 4 = 1")
 def citations(spark, sf):
     return extract.citations(b.sentences(spark, sf)).select("doc_id", "text", "class", "url")
+
+
+@query()
+def same_concept_absorbed(spark, sf):
+    a = b.annotations(spark, sf).withColumn("iri", F.when(F.col("start") % 5 > 0, F.concat(F.lit("urn:"), F.col("start") % 3))).withColumn("lineage", F.array(F.lit("made")))
+    a = a.groupBy("doc_id", "ann_id").agg(*[F.min(c).alias(c) for c in ("start", "end", "iri", "confidence", "state", "lineage")])
+    return overlap.absorbed(a).select("doc_id", "ann_id", "start", "end", "iri", F.array_join("lineage", "|").alias("lineage"))
+
+
+@query(
+    """SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 THEN 'NAMED ENTITIES:' || chr(10) || '  Brand: ' || p_brand || ', x' || chr(10) || '  Name: ' || p_name || chr(10) || chr(10) ELSE '' END || CASE WHEN p_size % 3 = 0 THEN 'ENTITIES IN DOUBT:' || chr(10) || '  "' || p_name || '" (Name, 0.50)' || chr(10) || chr(10) ELSE '' END
+|| 'CONCEPTS:' || chr(10) || '  ' || p_type || ', ' || p_brand AS block FROM part"""
+)
+def context_blocks(spark, sf):
+    p = b.table(spark, sf, "part")
+    entities = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("Name"), F.array("p_name"), F.lit("Brand"), F.array("p_brand", F.lit("x")))).otherwise(F.expr("CAST(map() AS map<string,array<string>>)"))
+    one = F.array(F.struct(F.col("p_name").alias("name"), F.lit("Name").alias("type"), F.lit(0.5).alias("confidence")))
+    rows = p.select(F.col("p_partkey").alias("doc_id"), entities.alias("entities"), F.when(F.col("p_size") % 3 == 0, one).otherwise(F.slice(one, 1, 0)).alias("weak"), F.array().cast("array<string>").alias("relations"), F.array("p_type", "p_brand").alias("concepts"))
+    return metadata.context_block(rows)

@@ -39,3 +39,9 @@ def discard(spark: SparkSession, made: list[str]) -> None:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     made.clear()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a small file dealt over all cores, for work that is heavy for its bytes; one that has a split for each core stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

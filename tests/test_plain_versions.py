@@ -265,3 +265,27 @@ def test_vector_index_edges(spark):
     index = vectors.Index.fit(crowds, lists=20)
     assert index.probes <= 3  # few lists where vectors gather
     assert all(r["query_id"] % 20 == r["vec_id"] % 20 for r in index.search(crowds, 3).collect())
+
+
+def test_same_concept_absorbed(spark, sf):
+    rows = {}
+    for r in bindings.annotations(spark, sf).collect():
+        k = (r["doc_id"], r["ann_id"])
+        x = rows.setdefault(k, {"start": [], "end": [], "iri": [], "confidence": [], "state": []})
+        for c in x:
+            x[c].append((f"urn:{r['start'] % 3}" if r["start"] % 5 else None) if c == "iri" else r[c])
+    least = lambda v: min([i for i in v if i is not None], default=None)
+    rows = [{"doc_id": d, "ann_id": a, **{c: least(v) for c, v in x.items()}, "lineage": ["made"]} for (d, a), x in rows.items()]
+    kept = [r for r in rows if r["state"] == "rejected" or not r["iri"]]
+    groups = defaultdict(list)
+    for r in sorted((r for r in rows if r["state"] != "rejected" and r["iri"]), key=lambda r: (r["start"] - r["end"], -r["confidence"], r["ann_id"])):
+        group = groups[r["doc_id"], r["iri"]]
+        for k in group:
+            if r["start"] < k["end"] and k["start"] < r["end"]:
+                k["lineage"] += ["made", f"absorbed [{r['start']},{r['end']}] at {r['confidence']:.2f}"]
+                break
+        else:
+            group.append(r)
+    want = sorted((r["doc_id"], r["ann_id"], r["start"], r["end"], r["iri"] or "", "|".join(r["lineage"])) for r in [*kept, *(x for g in groups.values() for x in g)])
+    got = sorted((r["doc_id"], r["ann_id"], r["start"], r["end"], r["iri"] or "", r["lineage"]) for r in QUERIES["same_concept_absorbed"](spark, sf).collect())
+    assert got == want and any("absorbed" in x[-1] for x in want)
