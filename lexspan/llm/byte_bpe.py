@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lexspan.llm import safe_split
 from lexspan.llm.common import small
 
-MAX_STATES = 100_000
+MAX_STATES = 150_000
 MAX_PAIRS = 400_000
 #: Bounds of the memo of words: a word of more characters is never kept, and all are dropped when they take more bytes than this,
 #: of which every entry takes some beside its contents.
-MEMO_WORD, MEMO_BYTES, MEMO_ENTRY = 48, 128 << 20, 320
+MEMO_WORD, MEMO_BYTES, MEMO_ENTRY = 24, 256 << 20, 320
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -87,7 +88,8 @@ class Transducer:
         start = ((0, ()),)
         self._ids = {start: 0}
         self._states = [start]
-        self._next: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        # a state's moves: for a byte the moves of the state that it leads to, and what is emitted; at -1 the state's own number
+        self._next: list[dict[int, Any]] = [{-1: 0}]
 
     def _made_of(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose join makes this one; of a byte, itself twice; of one that merges never make, None."""
@@ -129,7 +131,7 @@ class Transducer:
             else:
                 return True
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> tuple[dict[int, Any], tuple[int, ...]]:
         """The transition: open prefixes grow by a byte; the one that closes a token opens anew."""
         child, tokens, inner = self._child, self._token, self._inner
         live, closed = [], None
@@ -149,35 +151,37 @@ class Transducer:
         same, least = 0, min(len(p) for _, p in live)
         while same < least and all(p[same] == closed[same] for _, p in live):
             same += 1
-        return self._number(tuple((n, p[same:]) for n, p in live)), closed[:same]
+        return self._next[self._number(tuple((n, p[same:]) for n, p in live))], closed[:same]
 
     def _number(self, state: tuple) -> int:
         found = self._ids.get(state)
         if found is None:
             found = self._ids[state] = len(self._states)
             self._states.append(state)
-            self._next.append({})
+            self._next.append({-1: found})
         return found
 
+    def _new_move(self, here: dict[int, Any], byte: int) -> tuple[dict[int, Any], tuple[int, ...]]:
+        if len(self._states) >= MAX_STATES:  # only the state that the input is in lives on
+            state = self._states[here[-1]]
+            self._clear()
+            here = self._next[self._number(state)]
+        move = here[byte] = self._step(here[-1], byte)
+        return move
+
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one match of the pattern; a match that is itself a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         out: list[int] = []
-        state, table = 0, self._next
+        here = self._next[0]
         for byte in piece:
-            move = table[state].get(byte)
-            if move is None:
-                if len(self._states) >= MAX_STATES:  # only the state that the input is in lives on
-                    here = self._states[state]
-                    self._clear()
-                    state, table = self._number(here), self._next
-                move = table[state][byte] = self._step(state, byte)
-            state, emitted = move
+            move = here.get(byte)
+            here, emitted = move if move is not None else self._new_move(here, byte)
             if emitted:
                 out += emitted
-        out += self._states[state][-1][1]  # the prefix that is the whole input comes last
+        out += self._states[here[-1]][-1][1]  # the prefix that is the whole input comes last
         return out
 
 
@@ -189,10 +193,12 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.machine = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self._memo: dict[str, tuple[bytes, str]] = {}
+        self._ids: dict[str, bytes] = {}
+        self._decimals: dict[str, str] = {}
         self._held = 0
         size = max(ranks.values()) + 1
         tokens = [self.machine.bytes_of.get(i, b"") for i in range(size)]
+        self._said = [str(i) for i in range(size)]
         self._flat = np.frombuffer(b"".join(tokens), np.uint8)
         self._length = np.array([len(x) for x in tokens], np.int64)
         self._start = np.cumsum(self._length) - self._length
@@ -204,30 +210,40 @@ class Encoder:
         return cls._made[path, pattern]
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        encode = self.machine.encode
-        found = self.pattern.findall(word)
-        ids = encode(word.encode()) if len(found) == 1 else [i for m in found for i in encode(m.encode())]
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(str, ids))
+        encode, said = self.machine.encode, self._said
+        if word[1:].isalpha() and word[0] == " ":  # letters after a space are one match
+            ids = encode(word.encode())
+        else:
+            ids = [i for m in self.pattern.findall(word) for i in encode(m.encode())]
+        return array("I", ids).tobytes(), " ".join([said[i] for i in ids])
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The text's ids, as numbers and as decimals joined by spaces. Cuts at safe places leave the pattern's matches as they are."""
         if not text:
             return np.zeros(0, "<u4"), ""
         first, *rest = safe_split.words(text)
-        memo = self._memo
         if self._held > MEMO_BYTES:
-            memo.clear()
+            self._ids.clear()
+            self._decimals.clear()
             self._held = 0
-        found = [self._word(first)]
-        for w in rest:
-            ids = memo.get(w)
-            if ids is None:
-                ids = self._word(" " + w)
-                if len(w) <= MEMO_WORD and self._held <= MEMO_BYTES:
-                    memo[w] = ids
-                    self._held += MEMO_ENTRY + 4 * len(w) + len(ids[0]) + len(ids[1])
-            found.append(ids)
-        return np.frombuffer(b"".join([x[0] for x in found]), "<u4"), " ".join([x[1] for x in found])
+        ids, decimals = list(map(self._ids.get, rest)), list(map(self._decimals.get, rest))
+        if None in ids:
+            for i, found in enumerate(ids):
+                if found is None:
+                    ids[i], decimals[i] = self._kept(rest[i])
+        head = self._word(first)
+        return np.frombuffer(b"".join([head[0], *ids]), "<u4"), " ".join([head[1], *decimals])
+
+    def _kept(self, word: str) -> tuple[bytes, str]:
+        """Ids of a word after a space, from the memo or into it, if its bounds allow."""
+        found = self._ids.get(word)
+        if found is not None:
+            return found, self._decimals[word]
+        made = self._word(" " + word)
+        if len(word) <= MEMO_WORD and self._held <= MEMO_BYTES:
+            self._ids[word], self._decimals[word] = made
+            self._held += MEMO_ENTRY + 4 * len(word) + len(made[0]) + len(made[1])
+        return made
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
         """The tokens' bytes, end to end."""
