@@ -53,7 +53,7 @@ LEVELS = ((3, 1), (5, 2))  # splits of a part, and how many of them a choice lea
 SMALL = 32
 BLOCK_ITEMS, BLOCK_SETS, COLUMNS = 400_000, 2048, 2048
 MET_SETS = 100_000
-HOT = 2_000  # at most about this many nodes have more than a HOT-th of all edges; theirs are joined by broadcast
+HOT, FEW = 2_000, 100_000  # fewer than HOT nodes have more than a HOT-th of all edges; if that is more than FEW, theirs are joined by broadcast
 
 #: Odd multipliers for mixing 64-bit numbers.
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -240,7 +240,9 @@ def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, made: list[st
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
     """Edges (u, v) with ``m``, the least v of their u: summed before the shuffle, and for the few nodes with very many edges broadcast."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    many = max(total // HOT, 10_000)
+    many = max(total // HOT, FEW)
+    if total <= many:  # no node can have more
+        return edges.join(least.select("u", "m"), "u")
     hot = F.broadcast(least.filter(F.col("n") > many).select("u", "m"))
     cold = least.filter(F.col("n") <= many).select("u", "m")
     return edges.join(hot, "u").unionByName(edges.join(hot, "u", "left_anti").join(cold, "u"))
@@ -260,30 +262,32 @@ def components(links: DataFrame, made: list[str] | None = None) -> DataFrame:
 
 
 def _stars(edges: DataFrame, old: list[str], made: list[str] | None) -> DataFrame:
-    """The components of staged edges (u, v), u > v, whose paths are ``old``."""
-    spark, seen = edges.sparkSession, _state(edges)
+    """The components of edges (u, v), u > v, whose staged tables are ``old``: done when each node that has an edge to a lesser one has that alone."""
+    spark = edges.sparkSession
     while True:
+        total, open_ = _state(edges)
+        if not open_:
+            if made is not None:
+                made += old
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         new: list[str] = []
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _with_least(both, 2 * seen[0])
+        least = _with_least(both, 2 * total)
         large = staged(least.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large", new)
-        low = _with_least(large, seen[0])
+        low = _with_least(large, 2 * total)
         small_ = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         kept: list[str] = []
         edges = staged(small_, "edges", kept)
         discard(spark, old + new)
         old = kept
-        now = _state(edges)
-        if now == seen:
-            if made is not None:
-                made += kept
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        seen = now
 
 
-def _state(edges: DataFrame) -> tuple:
-    """How many edges there are, and their sum as hashes: equal if nothing has changed."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """How many edges there are, and of how many nodes they aren't stars: those that are above one node and below another, or above two."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    said = each.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1)))).first()
+    return said[0] or 0, said[1] or 0
 
 
 def _merged(links: DataFrame, comps: DataFrame | None, made: list[str]) -> DataFrame:

@@ -107,7 +107,7 @@ def test_bpe_bounds(monkeypatch):
     rng = random.Random(6)
     for x in ["".join(rng.choice("etaoinshrdlu") for _ in range(5_000)), "the cat " * 300, "漢字" * 500]:
         assert e.encode(x)[0].tolist() == t.encode_ordinary(x)
-        assert len(e.machine._states) <= 21 and len(e._memo) <= 7
+        assert len(e.machine._states) <= 21 and len(e._ids) <= 7
 
 
 @settings(max_examples=200, deadline=None)
@@ -398,6 +398,7 @@ def test_jaccard_sketches():
 def test_components(spark, monkeypatch):
     """A star, a path and a ring; the star's centre counts as a node with very many edges."""
     monkeypatch.setattr(partenum, "HOT", 3)
+    monkeypatch.setattr(partenum, "FEW", 50)
     star = [(5, 100 + i) for i in range(400)]
     path = [(1000 + i, 1001 + i) for i in range(60)]
     ring = [(2000 + i, 2000 + (i + 1) % 9) for i in range(9)]
