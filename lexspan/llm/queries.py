@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import byte_bpe, chat, fixity, license_scan, media, mixing, partenum, token_counts, toxicity, winnowing
+from lexspan.llm import byte_bpe, chat, drake, fixity, license_scan, media, mixing, partenum, secret_scan, token_counts, toxicity, vector_codes, winnowing
 from lexspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,5 +62,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_chunks, op4_warc_fixity, op5_chat_format, op6_source_mix, op7_byte_bpe, op8_toxicity, op9_winnowing, op10_ngram_jaccard)}
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op4_warc_fixity": fixity.oracle(), "op6_source_mix": mixing.oracle()}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digested(secret_scan.scan(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
+
+
+def op12_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.report(drake.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = [op1_license_scan, op2_token_counts, op3_media_chunks, op4_warc_fixity, op5_chat_format, op6_source_mix, op7_byte_bpe, op8_toxicity, op9_winnowing, op10_ngram_jaccard]
+_ALL += [op11_secret_scan, op12_drake_clusters, op13_vector_codes]
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op4_warc_fixity": fixity.oracle(), "op6_source_mix": mixing.oracle(), "op12_drake_clusters": drake.oracle(), "op13_vector_codes": vector_codes.oracle()}
