@@ -154,3 +154,10 @@ DOCUMENT_TYPES = {
 
 #: Tasks that models are asked for.
 MODEL_TASKS = ["classifier", "extractor", "concept", "branch_judge", "area_of_law", "synthetic", "individual", "property", "document_type"]
+
+#: Abbreviations of legal and general English that are known before any text is read, without their last period.
+ABBREVIATIONS = [
+    *["adm", "admin", "aff'd", "al", "ann", "app", "art", "ass'n", "assn", "aug", "ave", "bankr", "bldg", "blvd", "bros", "ca", "cert", "cf", "ch", "cir", "civ", "cl", "co", "comm", "comm'n", "conf", "cong", "const", "corp", "crim", "ct"],
+    *["dec", "def", "dep't", "dept", "dist", "div", "dr", "ed", "eds", "esq", "etc", "evid", "ex", "exh", "feb", "fed", "fig", "gen", "gov", "gov't", "hon", "id", "inc", "int'l", "jan", "jr", "jul", "jun", "ltd", "mar", "mem", "messrs"],
+    *["mr", "mrs", "ms", "nat'l", "no", "nos", "nov", "oct", "op", "ord", "para", "pet", "pl", "pp", "proc", "prof", "pub", "reg", "rel", "rev", "rptr", "sec", "sen", "sep", "sept", "sr", "st", "stat", "super", "supp", "treas", "univ", "v", "vol", "vs"],
+]

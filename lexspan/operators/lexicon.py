@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -22,6 +24,10 @@ DEFAULT_CONFIDENCE = 0.50
 
 #: Characters of labels that one automaton holds, automata that a worker keeps, and texts whose matches leave together.
 PART_CHARS, KEPT_PARTS, TEXTS = 4_000_000, 4, 200
+#: A table of labels of up to so many bytes, counted as JSON, goes to every task; a larger one is joined as Spark chooses.
+BROADCAST_BYTES = 32 << 20
+#: Tokens are runs of word characters and single signs.
+TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def precedence(label_type: Column) -> Column:
@@ -50,14 +56,14 @@ def multi_index(labels: DataFrame) -> DataFrame:
 
 
 class Matcher:
-    """Labels in one automaton; made once for each Python worker and part of a lexicon."""
+    """Labels in one automaton, each with its code; made once for each Python worker and part of a lexicon."""
 
     _made: dict[str, Matcher] = {}
 
-    def __init__(self, keys: list[str]) -> None:
+    def __init__(self, keys: list[str], codes: list[int] | None = None) -> None:
         import ahocorasick
 
-        self.keys = keys
+        self.keys, self.codes = keys, codes or list(range(len(keys)))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, k in enumerate(keys):
             self.automaton.add_word(k, i)
@@ -69,7 +75,7 @@ class Matcher:
         if name not in cls._made:
             if len(cls._made) >= KEPT_PARTS:
                 cls._made.clear()
-            cls._made[name] = cls(keys.value)
+            cls._made[name] = cls(*keys.value)
         return cls._made[name]
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
@@ -89,51 +95,154 @@ class Matcher:
         return out
 
 
-def _parts(labels: DataFrame, chars: int) -> Iterator[list[str]]:
-    """The distinct keys, in as many parts as their length asks for; the driver holds one part at a time."""
-    keys = labels.select("label_key").filter("label_key <> ''").distinct()
-    total = keys.agg(F.sum(F.length("label_key").cast("long"))).first()[0] or 0
-    n = max(1, -(-total // chars))
-    for i in range(n):
-        part = keys if n == 1 else keys.filter(F.pmod(F.xxhash64("label_key"), F.lit(n)) == i)
-        yield [r[0] for r in part.collect()]
+def _tokens(text: str) -> int:
+    return len(TOKEN.findall(text))
 
 
-def match(docs: DataFrame, labels: DataFrame, resolve: bool = False, part_chars: int = PART_CHARS) -> DataFrame:
-    """Every occurrence of every label of ``labels`` (label_key in lower case, ...) between word borders: (doc_id, start, end, surface, label columns).
+class Lexicon(NamedTuple):
+    """``labels`` with the code of each key; the keys in parts, broadcast; and whether the labels are few enough to go to every task."""
+
+    labels: DataFrame
+    parts: list[Broadcast]
+    small: bool
+
+    def joined(self, found: DataFrame) -> DataFrame:
+        """Finds (code, ...) with the columns of their labels."""
+        return found.join(F.broadcast(self.labels) if self.small else self.labels, "code").drop("code")
+
+
+def prepared(labels: DataFrame, part_chars: int = PART_CHARS) -> Lexicon:
+    """Labels (label_key in lower case, ...) for passes over texts; blank keys are left out.
 
-    Texts pass once through an automaton in Arrow batches, whatever the labels' words and signs, and only occurrences leave.
-    The automaton is broadcast; a lexicon of more than ``part_chars`` characters is matched in several passes. With ``resolve``
-    overlaps are resolved as in ``overlap.resolve``, in the same pass if there is one.
+    A key's code is a hash of it, so finds leave as numbers; that no two keys share one is counted, and another seed taken if they do. The
+    driver holds one part of the keys at a time.
     """
-    spark, schema = docs.sparkSession, "doc_id long, start int, end int, surface string, label_key string"
-    parts = [spark.sparkContext.broadcast(p) for p in _parts(labels, part_chars)]
-    here = resolve and len(parts) == 1
+    labels = labels.filter(F.regexp_like("label_key", F.lit(r"(?U)\S")))
+    size = F.length(F.to_json(F.struct("*")))
+    by_key = labels.groupBy("label_key").agg(F.sum(size.cast("long")).alias("size"))
+    seed = -1
+    while True:
+        seed += 1
+        code = F.xxhash64("label_key", F.lit(seed))
+        keys = by_key.withColumn("code", code)
+        n, codes, chars, size_of_all = keys.agg(F.count(F.lit(1)), F.countDistinct("code"), F.sum(F.length("label_key").cast("long")), F.sum("size")).first()
+        if n == codes:
+            break
+    count = max(1, -(-(chars or 0) // part_chars))
+    parts = []
+    for i in range(count):
+        part = keys.filter(F.pmod("code", F.lit(count)) == i).select("label_key", "code").toArrow()
+        parts.append(labels.sparkSession.sparkContext.broadcast((part.column("label_key").to_pylist(), part.column("code").to_pylist())))
+    return Lexicon(labels.withColumn("code", code), parts, (size_of_all or 0) <= BROADCAST_BYTES)
+
+
+def _passes(docs: DataFrame, parts: list[Broadcast], rows: Callable[[Matcher, str], list[tuple]], schema: str) -> DataFrame:
+    """(doc_id, what ``rows`` says of each text): a pass over the texts for each part of the lexicon."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = docs.sparkSession
+    target = to_arrow_schema(spark.createDataFrame([], f"doc_id long, {schema}").schema)
 
     def scan(keys: Broadcast, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher.of(name, keys)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
             for b in batches:
                 for i in range(0, b.num_rows, TEXTS):
                     some, out = b.slice(i, TEXTS), []
                     for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
-                        found = matcher.spans(text or "")
-                        if here:
-                            found = [found[j] for j in overlap.kept([(s, e, 0.0) for s, e, _ in found])]
-                        out += [(doc_id, s, e, text[s:e], matcher.keys[k]) for s, e, k in found]
+                        if text:
+                            out += [(doc_id, *r) for r in rows(matcher, text)]
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "start", "end", "surface", "label_key"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
 
         return run
 
     found: DataFrame | None = None
     for keys in parts:
-        each = docs.select("doc_id", "text").mapInArrow(scan(keys, uuid.uuid4().hex), schema)
+        each = docs.select("doc_id", "text").mapInArrow(scan(keys, uuid.uuid4().hex), f"doc_id long, {schema}")
         found = each if found is None else found.unionByName(each)
+    return found
+
+
+def match(docs: DataFrame, labels: DataFrame, resolve: bool = False, longest: bool = False, surface: bool = True, part_chars: int = PART_CHARS) -> DataFrame:
+    """Every occurrence of every label of ``labels`` (label_key in lower case, ...) between word borders: (doc_id, start, end, surface, label columns).
+
+    Texts pass once through an automaton in Arrow batches, whatever the labels' words and signs; occurrences leave as numbers, and with their
+    ``surface`` only where that is asked for. A lexicon of more than ``part_chars`` characters is matched in several passes. With ``resolve``
+    overlaps are resolved as in ``overlap.resolve``, with ``longest`` as in ``overlap.longest``, in the same pass if there is one.
+    """
+    known = prepared(labels, part_chars)
+    here = len(known.parts) == 1
+
+    def rows(matcher: Matcher, text: str) -> list[tuple]:
+        found = matcher.spans(text)
+        if here and resolve:
+            found = [found[j] for j in overlap.kept([(s, e, 0.0) for s, e, _ in found])]
+        if here and longest:
+            found = [found[j] for j in overlap.longest_first([(s, e, _tokens(text[s:e])) for s, e, _ in found])]
+        out = [(s, e, matcher.codes[k]) for s, e, k in found]
+        if surface:
+            out = [(*r, text[r[0] : r[1]]) for r in out]
+        return out if here or not longest else [(*r, _tokens(text[r[0] : r[1]])) for r in out]
+
+    schema = "start int, end int, code long" + ", surface string" * surface
+    found = _passes(docs, known.parts, rows, schema + ", tokens int" * (longest and not here))
     if resolve and not here:
         found = overlap.resolve(found)
-    return found.join(labels, "label_key")
+    if longest and not here:
+        found = overlap.longest(found).drop("tokens")
+    return known.joined(found)
+
+
+def counts(docs: DataFrame, labels: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """(doc_id, n, first_start, label columns): how often each text has each of its labels, counted where they are found; rows that share an id are counted apart."""
+    known = prepared(labels, part_chars)
+
+    def rows(matcher: Matcher, text: str) -> list[tuple]:
+        by: dict[int, list[int]] = {}
+        for start, _, k in matcher.spans(text):
+            if k in by:
+                by[k][0] += 1
+                by[k][1] = min(by[k][1], start)
+            else:
+                by[k] = [1, start]
+        return [(n, first, matcher.codes[k]) for k, (n, first) in by.items()]
+
+    return known.joined(_passes(docs, known.parts, rows, "n long, first_start int, code long"))
+
+
+def match_own(docs: DataFrame, names: DataFrame, resolve: bool = True) -> DataFrame:
+    """Occurrences of each document's own names (doc_id, label_key in lower case, ...), and of no other's: (doc_id, start, end, surface, columns of names).
+
+    A document's names go to its task with its text, as one array, and a small automaton is made and used there; of equal keys the first
+    by its other columns counts. What leaves is what is kept, resolved if asked. Nothing passes through the driver, and each text is scanned for its own names
+    alone, however many documents there are. Blank names find nothing.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rest = [c for c in names.columns if c != "doc_id"]
+    own = names.filter(F.regexp_like("label_key", F.lit(r"(?U)\S"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("own"))
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surface", T.StringType())]
+    schema = T.StructType(fields + [names.schema[c] for c in rest])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc_id, text, mine in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "own")), strict=True):
+                by = {}
+                for x in mine:
+                    by.setdefault(x["label_key"], x)
+                said = list(by.values())
+                found = Matcher(list(by)).spans(text or "")
+                if resolve:
+                    found = [found[j] for j in overlap.kept([(s, e, 0.0) for s, e, _ in found])]
+                out += [(doc_id, s, e, text[s:e], *(said[k][c] for c in rest)) for s, e, k in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+
+    return docs.select("doc_id", "text").join(own, "doc_id").mapInArrow(run, schema)
 
 
 def match_native(docs: DataFrame, labels: DataFrame, most_words: int | None = None) -> DataFrame:

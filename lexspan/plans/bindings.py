@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.functions.constants import ALTERNATIVE_STOP, PATTERN_STOP
+from lexspan.operators.lexicon import admitted
 from lexspan.staging import spread
 
 
@@ -142,37 +144,43 @@ def lexicon(spark: SparkSession) -> DataFrame:
 LEXICON_SQL = "lexicon(iri, label_key, label_type) AS (VALUES " + ", ".join(f"('urn:term/{i}', '{a}', '{b}')" for i, (a, b) in enumerate(LEXICON)) + ")"
 
 
-#: A lexicon of at least 18,000 labels from sf0.01 on: the small one, labels with signs, one to eight words of each document, and names of 15,000 orders and
-#: 2,000 parts, so that an ontology doesn't grow with the facts. Every document is searched for all of them.
+#: A large lexicon, admitted as an ontology's labels are: the small one, labels with signs, one to eight words of each document, and the names of all parts
+#: and customers. Every document is searched for all of them. A part's name is an alternative label, a document's words are of any type.
 SIGNED = [("(c)", "preferred"), ("e.g.", "alternative"), ("100%", "preferred"), ("§", "hidden"), ("u.s.c.", "preferred"), ("...", "hidden")]
 _WORDS_OF = {
     "spark": "array_join(slice(split(lower(text), ' '), CAST(doc_id % 3 + 1 AS INT), CAST(doc_id % 8 + 1 AS INT)), ' ')",
     "duckdb": "array_to_string(string_split(lower(text), ' ')[doc_id % 3 + 1 : doc_id % 3 + doc_id % 8 + 1], ' ')",
 }
-_ORDER_LABEL = "concat('order ', CAST(o_orderkey AS STRING), ' of customer ', CAST(o_custkey AS STRING))"
 _PART_LABEL = "lower(concat(p_name, ' ', CAST(p_partkey AS STRING)))"
 _KIND = "CASE doc_id % 4 WHEN 0 THEN 'preferred' WHEN 1 THEN 'alternative' WHEN 2 THEN 'hidden' ELSE 'translation' END"
-#: Labels of more pieces, words or single signs, than DuckDB's SQL looks ahead are left out of both.
-PIECES = 24
 _PIECE, _SIGN = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]"
 
 
 def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = spark.createDataFrame([(f"urn:sign/{i}", a, k) for i, (a, k) in enumerate(SIGNED)], "iri string, label_key string, label_type string").unionByName(lexicon(spark))
     of_docs = table(spark, sf_dir, "documents").select(F.expr("concat('urn:document/', CAST(doc_id AS STRING))").alias("iri"), F.expr(_WORDS_OF["spark"]).alias("label_key"), F.expr(_KIND).alias("label_type"))
-    of_orders = table(spark, sf_dir, "orders").filter("o_orderkey < 15000").select(F.expr("concat('urn:order/', CAST(o_orderkey AS STRING))").alias("iri"), F.expr(_ORDER_LABEL).alias("label_key"), F.lit("preferred").alias("label_type"))
-    of_parts = table(spark, sf_dir, "part").filter("p_partkey < 2000").select(F.expr("concat('urn:part/', CAST(p_partkey AS STRING))").alias("iri"), F.expr(_PART_LABEL).alias("label_key"), F.lit("alternative").alias("label_type"))
-    every = small.unionByName(of_docs).unionByName(of_orders).unionByName(of_parts)
-    return every.filter((F.col("label_key") != "") & (F.length(F.regexp_replace("label_key", _PIECE, "x")) <= PIECES))
+    of_parts = table(spark, sf_dir, "part").select(F.expr("concat('urn:part/', CAST(p_partkey AS STRING))").alias("iri"), F.expr(_PART_LABEL).alias("label_key"), F.lit("alternative").alias("label_type"))
+    of_customers = table(spark, sf_dir, "customer").select(F.expr("concat('urn:customer/', CAST(c_custkey AS STRING))").alias("iri"), F.lower("c_name").alias("label_key"), F.lit("preferred").alias("label_type"))
+    every = small.unionByName(of_docs).unionByName(of_parts).unionByName(of_customers)
+    return admitted(every.withColumn("label", F.col("label_key"))).drop("label").filter(F.regexp_like("label_key", F.lit(r"(?U)\S")))
+
+
+def _listed(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
 LARGE_LEXICON_SQL = (
     LEXICON_SQL
-    + f""", signed(iri, label_key, label_type) AS (VALUES {", ".join(f"('urn:sign/{i}', '{a}', '{k}')" for i, (a, k) in enumerate(SIGNED))}),
-large AS (SELECT iri, label_key, label_type, regexp_replace(label_key, '{_PIECE}', 'x', 'g') AS shape FROM (SELECT * FROM lexicon UNION ALL SELECT * FROM signed
-UNION ALL SELECT concat('urn:document/', CAST(doc_id AS VARCHAR)), {_WORDS_OF["duckdb"]}, {_KIND} FROM documents
-UNION ALL SELECT concat('urn:order/', CAST(o_orderkey AS VARCHAR)), {_ORDER_LABEL.replace("STRING", "VARCHAR")}, 'preferred' FROM orders WHERE o_orderkey < 15000 UNION ALL SELECT concat('urn:part/', CAST(p_partkey AS VARCHAR)), {_PART_LABEL.replace("STRING", "VARCHAR")}, 'alternative' FROM part WHERE p_partkey < 2000) WHERE label_key <> '' AND length(regexp_replace(label_key, '{_PIECE}', 'x', 'g')) <= {PIECES}),
-pieces AS (SELECT doc_id, i, w[i] AS t FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_PIECE}|{_SIGN}') AS w FROM documents), unnest(range(1, len(w) + 1)) AS s(i)),
-ahead AS (SELECT doc_id, i, t AS t0, {", ".join(f"lead(t, {k}) OVER w AS t{k}" for k in range(1, PIECES + 1))}, lag(t) OVER w AS back, sum(length(t)) OVER w - length(t) AS place FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-met AS ({" UNION ALL ".join(f"SELECT doc_id, CAST(place AS INT) AS s, label_key, iri, label_type FROM ahead JOIN large ON length(shape) = {k} AND label_key = concat({', '.join(f't{j}' for j in range(k))}) WHERE t{k - 1} IS NOT NULL AND (regexp_matches(t0, '^{_PIECE}') OR back IS NULL OR NOT regexp_matches(back, '^{_PIECE}')) AND (regexp_matches(t{k - 1}, '^{_PIECE}') OR t{k} IS NULL OR NOT regexp_matches(t{k}, '^{_PIECE}'))" for k in range(1, PIECES + 1))})"""
+    + rf""", signed(iri, label_key, label_type) AS (VALUES {", ".join(f"('urn:sign/{i}', '{a}', '{k}')" for i, (a, k) in enumerate(SIGNED))}),
+every AS (SELECT * FROM lexicon UNION ALL SELECT * FROM signed UNION ALL SELECT concat('urn:document/', CAST(doc_id AS VARCHAR)), {_WORDS_OF["duckdb"]}, {_KIND} FROM documents
+UNION ALL SELECT concat('urn:part/', CAST(p_partkey AS VARCHAR)), {_PART_LABEL.replace("STRING", "VARCHAR")}, 'alternative' FROM part UNION ALL SELECT concat('urn:customer/', CAST(c_custkey AS VARCHAR)), lower(c_name), 'preferred' FROM customer),
+large AS (SELECT *, regexp_extract_all(label_key, '{_PIECE}|{_SIGN}') AS p FROM every WHERE regexp_matches(label_key, '[^[:space:]\p{{Z}}]') AND length(label_key) >= 3 AND label_key NOT IN ({_listed(PATTERN_STOP)})
+  AND (label_type <> 'alternative' OR (length(label_key) > 3 AND (contains(label_key, ' ') OR label_key NOT IN ({_listed(ALTERNATIVE_STOP)}))))),
+low AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
+pieces AS (SELECT doc_id, i, w[i] AS t FROM (SELECT doc_id, regexp_extract_all(low, '{_PIECE}|{_SIGN}') AS w FROM low), unnest(range(1, len(w) + 1)) AS s(i)),
+ahead AS (SELECT doc_id, t AS t0, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2, lag(t) OVER w AS back, sum(length(t)) OVER w - length(t) AS place FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+maybe AS (SELECT doc_id, place, label_key, iri, label_type, t0, back FROM ahead JOIN large ON len(p) = 1 AND p[1] = t0 UNION ALL SELECT doc_id, place, label_key, iri, label_type, t0, back FROM ahead JOIN large ON len(p) = 2 AND p[1] = t0
+UNION ALL SELECT doc_id, place, label_key, iri, label_type, t0, back FROM ahead JOIN large ON len(p) > 2 AND p[1] = t0 AND p[2] = t1 AND starts_with(t2, p[3])),
+met AS (SELECT doc_id, CAST(place AS INT) AS s, label_key, iri, label_type FROM maybe JOIN low USING (doc_id) WHERE substr(low, CAST(place AS BIGINT) + 1, length(label_key)) = label_key
+  AND NOT regexp_matches(substr(low, CAST(place AS BIGINT) + length(label_key) + 1, 1), '{_PIECE}') AND (regexp_matches(t0, '^{_PIECE}') OR back IS NULL OR NOT regexp_matches(back, '^{_PIECE}')))"""
 )

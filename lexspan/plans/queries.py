@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import scoring, text
 from lexspan.operators import annotations as ann
-from lexspan.operators import chunks, confidence, extract, feedback, hierarchy, intervals, lexicon, metadata, models, overlap, reconcile, search, triples, vectors
+from lexspan.operators import chunks, confidence, extract, feedback, hierarchy, intervals, lexicon, metadata, models, overlap, reconcile, search, sentences, triples, vectors
 from lexspan.plans import annotate
 from lexspan.plans import bindings as b
 from lexspan.plans.registry import ORACLE_SQL, QUERIES, query
@@ -31,6 +31,26 @@ def sentence_split(spark, sf):
     return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("sentences_md5"))
 
 
+@query(
+    rf"""WITH w AS (SELECT regexp_extract_all(text, '{sentences._WORD}') AS w FROM documents WHERE text IS NOT NULL), each AS (SELECT w[i] AS x, i = 1 OR regexp_matches(w[i - 1], '[.!?]$') AS opening FROM w, unnest(range(1, len(w) + 1)) AS t(i)),
+counts AS (SELECT lower(CASE WHEN ends_with(x, '.') THEN x[:-2] ELSE x END) AS type, count(*) FILTER (ends_with(x, '.')) AS k, count(*) AS n FROM each WHERE regexp_matches(x, '^\p{{L}}') GROUP BY 1),
+scored AS (SELECT type, k, n, least(sum(k) OVER () / sum(n) OVER (), 1 - 1e-9) AS p, length(replace(type, '.', '')) AS letters FROM counts),
+score AS (SELECT *, -2 * ((k * ln(p) + (n - k) * ln(1 - p)) - (k * ln(0.99::DOUBLE) + (n - k) * ln(0.01::DOUBLE))) * exp(-letters) * (length(type) - letters + 1) * pow(letters::DOUBLE, (k - n)::DOUBLE) AS score FROM scored WHERE k > 0)
+SELECT type, k AS n_period, n - k AS n_plain, round(score, 4) + 0.0 AS score, score >= {sentences.LEAST} AS abbreviation FROM score"""
+)
+def known_abbreviations(spark, sf):
+    """What the documents say of each word that ends with a period: its counts, and its score as an abbreviation."""
+    found = sentences.scored(sentences.word_counts(b.table(spark, sf, "documents")))
+    return found.select("type", "n_period", "n_plain", (F.round("score", 4) + 0.0).alias("score"), (F.col("score") >= sentences.LEAST).alias("abbreviation"))
+
+
+@query()
+def learned_sentences(spark, sf):
+    """Sentences between borders that know abbreviations, learned from all documents."""
+    docs = b.texts(spark, sf)
+    return sentences.split(docs, sentences.learned(docs)).select("doc_id", "place", "start", "end", F.md5("sentence").alias("sentence_md5"))
+
+
 @query()
 def sentence_offsets(spark, sf):
     return chunks.sentences(b.texts(spark, sf)).select("doc_id", "sentence", "start", "end", F.md5("text").alias("text_md5"))
@@ -115,8 +135,7 @@ found AS (SELECT doc_id, word, label_key, iri, label_type FROM runs JOIN lexicon
 
 @query(f"WITH {b.LARGE_LEXICON_SQL} SELECT doc_id, label_key, iri, CAST(count(*) AS BIGINT) AS n, min(s) AS first_start FROM met GROUP BY ALL")
 def lexicon_match(spark, sf):
-    m = lexicon.match(b.texts(spark, sf), b.large_lexicon(spark, sf))
-    return m.groupBy("doc_id", "label_key", "iri").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"))
+    return lexicon.counts(b.texts(spark, sf), b.large_lexicon(spark, sf)).select("doc_id", "label_key", "iri", "n", "first_start")
 
 
 @query(f"WITH {_RUNS_SQL} SELECT doc_id, label_key, iri, CAST(count(*) AS BIGINT) AS n, CAST(min(word) AS INT) AS first_word FROM found GROUP BY ALL")
@@ -135,7 +154,13 @@ def match_confidence(spark, sf):
 
 @query()
 def overlap_resolve(spark, sf):
-    return lexicon.match(b.texts(spark, sf), b.large_lexicon(spark, sf), resolve=True).select("doc_id", "start", "end", "iri")
+    return lexicon.match(b.texts(spark, sf), b.large_lexicon(spark, sf), resolve=True, surface=False).select("doc_id", "start", "end", "iri")
+
+
+@query()
+def longest_matches(spark, sf):
+    """Matches of which none overlaps another: those of most tokens first, then the earliest."""
+    return lexicon.match(b.texts(spark, sf), b.large_lexicon(spark, sf), longest=True, surface=False).select("doc_id", "start", "end", "iri")
 
 
 _LABELS = {"label": "concat(p_brand, ' ', p_type)", "iri": "concat('urn:part/', CAST(p_partkey AS STRING))", "label_type": "CASE p_size % 4 WHEN 0 THEN 'preferred' WHEN 1 THEN 'alternative' WHEN 2 THEN 'hidden' ELSE 'translation' END"}

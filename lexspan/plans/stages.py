@@ -21,9 +21,8 @@ def model_concepts(answers: DataFrame, docs: DataFrame) -> DataFrame:
     Of one text in any case the most confident naming counts, the earliest of equals; each document is searched for its own alone.
     """
     best = answers.groupBy("doc_id", F.lower("text").alias("label_key")).agg(F.max_by(F.struct("iri", "confidence"), F.struct("confidence", -F.col("ord"))).alias("b"))
-    found = lexicon.match(docs, best.select("label_key").distinct(), resolve=False)
-    own = found.join(best, ["doc_id", "label_key"]).select("doc_id", "start", "end", F.col("surface").alias("text"), "b.iri", "b.confidence")
-    return overlap.resolve(own).withColumn("state", F.lit("preliminary")).withColumn("lineage", F.array(F.lit("model: named")))
+    own = lexicon.match_own(docs, best.select("doc_id", "label_key", "b.iri", "b.confidence")).withColumnRenamed("surface", "text").drop("label_key")
+    return own.withColumn("state", F.lit("preliminary")).withColumn("lineage", F.array(F.lit("model: named")))
 
 
 def early_individuals(docs: DataFrame, labels: DataFrame, recognised: DataFrame | None = None) -> DataFrame:
