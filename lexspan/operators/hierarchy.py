@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexspan.staging import staged
+from lexspan.staging import discard, staged
 
 PATH_LIMIT, WALK_LIMIT = 10, 20
 
@@ -16,15 +16,18 @@ def closure(edges: DataFrame, limit: int = WALK_LIMIT) -> DataFrame:
 
     Each level is a table of its own, so the plan stays flat however deep the hierarchy is.
     """
+    spark, made = edges.sparkSession, []
     level = edges.select(F.col("child").alias("iri"), F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1))
-    found = level = staged(level, "closure")
+    found = level = staged(level, "closure", made)
     up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("above")).distinct()
     for depth in range(2, limit + 1):
-        level = staged(level.join(up, "ancestor").select("iri", F.col("above").alias("ancestor")).filter("iri <> ancestor").distinct().join(found, ["iri", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        level = staged(level.join(up, "ancestor").select("iri", F.col("above").alias("ancestor")).filter("iri <> ancestor").distinct().join(found, ["iri", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure", made)
         if level.isEmpty():
             break
         found = found.unionByName(level)
-    return found
+    whole = staged(found, "ancestors")
+    discard(spark, made)
+    return whole
 
 
 def paths(edges: DataFrame, limit: int = PATH_LIMIT, first_parent: bool = True) -> DataFrame:
@@ -48,30 +51,21 @@ def siblings(edges: DataFrame) -> DataFrame:
 
 
 def branch_of(edges: DataFrame, roots: DataFrame, limit: int = WALK_LIMIT) -> DataFrame:
-    """(iri, branch): the nearest ancestor, itself included, that is a root (iri, branch); else Unknown."""
-    every = edges.select(F.col("child").alias("iri")).union(edges.select("parent")).distinct()
-    up = closure(edges, limit).unionByName(every.select("iri", F.col("iri").alias("ancestor"), F.lit(0).alias("depth")))
-    met = up.join(roots.select(F.col("iri").alias("ancestor"), "branch"), "ancestor")
-    near = met.groupBy("iri").agg(F.min_by("branch", F.struct("depth", "ancestor")).alias("branch"))
-    return every.join(near, "iri", "left").select("iri", F.coalesce("branch", F.lit("Unknown")).alias("branch"))
-
+    """(iri, branch): the nearest ancestor, itself included, that is a root (iri, branch), of equally near ones the least; else Unknown.
 
-def neighbourhood(edges: DataFrame, see_also: DataFrame, starts: DataFrame, down: int = 2, also: int = 5, most: int = 200) -> DataFrame:
-    """Nodes of each start's graph (start, iri, depth): ancestors below 0, descendants to ``down``, ``also`` see-also nodes a node, with their ancestors.
-
-    At most ``most`` nodes a graph, nearer ones first; ``truncated`` says if there were more.
+    Roots' names go down level by level, and a concept takes the first that reaches it: each edge is looked at once, whatever the closure's size.
     """
-    up = closure(edges, 50)
-    mine = starts.select(F.col("iri").alias("start"))
-    self_ = mine.select("start", F.col("start").alias("iri"), F.lit(0).alias("depth"))
-    above = up.join(mine, up["iri"] == mine["start"]).select("start", F.col("ancestor").alias("iri"), (-F.col("depth")).alias("depth"))
-    below = up.filter(F.col("depth") <= down).join(mine, F.col("ancestor") == F.col("start")).select("start", "iri", "depth")
-    near = self_.unionByName(above).unionByName(below)
-    w = W.partitionBy("a").orderBy("b")
-    links = see_also.select("a", "b").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= also)
-    linked = near.join(links, near["iri"] == links["a"]).select("start", F.col("b").alias("iri"), F.col("depth"))
-    reached = linked.distinct().alias("l").join(up.alias("u"), F.col("l.iri") == F.col("u.iri")).select("l.start", F.col("u.ancestor").alias("iri"), (F.col("l.depth") - F.col("u.depth")).alias("depth"))
-    every = near.unionByName(linked).unionByName(reached).groupBy("start", "iri").agg(F.min_by("depth", F.struct(F.abs("depth"), "depth")).alias("depth"))
-    order = W.partitionBy("start").orderBy(F.abs("depth"), "depth", "iri")
-    numbered = every.withColumn("rank", F.row_number().over(order)).withColumn("truncated", F.count(F.lit(1)).over(W.partitionBy("start")) > most)
-    return numbered.filter(F.col("rank") <= most).drop("rank")
+    spark, made = edges.sparkSession, []
+    every = edges.select(F.col("child").alias("iri")).union(edges.select("parent")).distinct()
+    down = edges.select(F.col("parent").alias("iri"), F.col("child").alias("below")).distinct()
+    named = roots.groupBy("iri").agg(F.min("branch").alias("branch"))
+    found = level = staged(named.join(every, "iri", "left_semi").select("iri", F.col("iri").alias("root")), "branch", made)
+    for _ in range(limit):
+        level = level.join(down, "iri").groupBy(F.col("below").alias("iri")).agg(F.min("root").alias("root")).join(found, "iri", "left_anti")
+        level = staged(level, "branch", made)
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    met = staged(found.join(named.withColumnRenamed("iri", "root"), "root").select("iri", "branch"), "branches")
+    discard(spark, made)
+    return every.join(met, "iri", "left").select("iri", F.coalesce("branch", F.lit("Unknown")).alias("branch"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.operators import concepts, hierarchy, metadata, properties
+from lexspan.operators import concepts, graph, hierarchy, metadata, properties
 from lexspan.plans import bindings as b
 from lexspan.plans.registry import query
 from lexspan.sources import ontology
@@ -110,6 +110,39 @@ def actual_branches(spark, sf):
     return every.select("iri", F.array_join(ontology.actual_branches(F.array("branch", F.lit("Document Metadata"))), "|").alias("branches"))
 
 
+def _graphs(spark: SparkSession, sf: str) -> graph.Graph:
+    """The graph around each concept."""
+    c = _concepts(spark, sf)
+    also = c.select(F.col("iri").alias("a"), F.posexplode("see_also").alias("ord", "b")).join(c.select(F.col("iri").alias("b")), "b", "left_semi")
+    return graph.explore(concepts.edges(c), also, c.select("iri"))
+
+
+_GRAPH_SQL = f"""{_ALL_SQL}, anc AS (SELECT iri AS start, a AS iri, min(d) AS d FROM up GROUP BY ALL), des AS (SELECT a AS start, iri, min(d) AS d FROM up GROUP BY ALL),
+also AS (SELECT c.iri, o FROM (SELECT iri, unnest(see_also) AS o FROM cls) c JOIN cls e ON e.iri = o),
+near AS (SELECT start, iri, -d AS depth FROM anc UNION ALL SELECT start, iri, d FROM des d WHERE NOT EXISTS (SELECT 1 FROM anc a WHERE a.start = d.start AND a.iri = d.iri)),
+pairs AS (SELECT n.start, n.iri, o FROM near n JOIN also USING (iri)), fresh AS (SELECT DISTINCT start, o AS iri FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.start = p.start AND n.iri = p.o)),
+more AS (SELECT f.start, u.a AS iri, min(u.d) AS d FROM fresh f JOIN up u USING (iri) WHERE u.d > 0 GROUP BY ALL),
+nodes AS (SELECT * FROM near UNION ALL SELECT start, iri, 0 FROM fresh UNION ALL SELECT start, iri, -d FROM more m WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.start = m.start AND n.iri = m.iri) AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.start = m.start AND f.iri = m.iri))"""
+
+
+@query(
+    f"""WITH {_GRAPH_SQL} SELECT start, iri, depth, label, branch, coalesce((SELECT c FROM (VALUES ('Area of Law', '#1a5276'), ('Service', '#065e4e'), ('Event', '#b91c1c')) AS v(n, c) WHERE n = branch), '#4a5568') AS branch_color, iri = start AS is_focus, starts_with(iri, 'r') AS is_branch_root
+FROM nodes JOIN cls USING (iri) JOIN branched USING (iri)"""
+)
+def graph_nodes(spark, sf):
+    c = _concepts(spark, sf)
+    roots = concepts.roots(c, _known(spark, sf))
+    return graph.described(_graphs(spark, sf).nodes, c, roots, hierarchy.branch_of(concepts.edges(c), roots)).drop("definition")
+
+
+@query(
+    f"""WITH {_GRAPH_SQL}, climbed AS (SELECT start, iri FROM anc UNION SELECT start, iri FROM fresh UNION SELECT start, iri FROM more)
+SELECT start, parent AS source, child AS target, 'subClassOf' AS edge_type FROM climbed c JOIN edge e ON e.child = c.iri UNION SELECT start, parent, child, 'subClassOf' FROM des d JOIN edge e ON e.parent = d.iri WHERE d < 2 UNION SELECT start, least(iri, o), greatest(iri, o), 'seeAlso' FROM pairs"""
+)
+def graph_edges(spark, sf):
+    return _graphs(spark, sf).edges
+
+
 # Properties
 
 

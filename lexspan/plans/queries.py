@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import scoring, text
 from lexspan.operators import annotations as ann
-from lexspan.operators import chunks, confidence, extract, feedback, hierarchy, intervals, lexicon, metadata, models, overlap, reconcile, search, sentences, triples, vectors
+from lexspan.operators import chunks, confidence, extract, feedback, graph, hierarchy, intervals, lexicon, metadata, models, overlap, reconcile, search, sentences, triples, vectors
 from lexspan.plans import annotate
 from lexspan.plans import bindings as b
 from lexspan.plans.registry import ORACLE_SQL, QUERIES, query
@@ -264,10 +264,23 @@ def branch_of(spark, sf):
     return hierarchy.branch_of(b.edges(spark, sf), roots)
 
 
+def _nation_graphs(spark: SparkSession, sf: str, most: int = graph.MOST) -> graph.Graph:
+    supplier = b.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    exists = supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("b"))
+    also = supplier.selectExpr("concat('n', s_nationkey) AS a", "concat('s', s_suppkey + 1) AS b", "s_suppkey AS ord").join(exists, "b", "left_semi")
+    return graph.explore(b.edges(spark, sf), also, b.table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) AS iri"), most=most)
+
+
 @query()
 def entity_graph(spark, sf):
-    also = b.table(spark, sf, "supplier").selectExpr("concat('n', s_nationkey) AS a", "concat('s', s_suppkey + 1) AS b")
-    return hierarchy.neighbourhood(b.edges(spark, sf), also, b.table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) AS iri"))
+    """The graph around each nation, of at most 40 nodes, so that some are cut."""
+    g = _nation_graphs(spark, sf, most=40)
+    return g.nodes.join(g.totals, "start").select("start", "iri", "depth", "n_found", "truncated")
+
+
+@query()
+def entity_graph_edges(spark, sf):
+    return _nation_graphs(spark, sf, most=40).edges
 
 
 # Search and vectors

@@ -1,14 +1,16 @@
 """Queries that SQL can't express, over their whole tables, against plain versions that look at everything."""
 
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import plain_individuals
 
 from lexspan.functions.constants import EXPANSIONS, PATTERN_STOP, PHRASE_STOP, SEARCH_STOP
-from lexspan.operators import extract
+from lexspan.operators import extract, graph
 from lexspan.operators.models import hashed_embedding
 from lexspan.plans import bindings
 from lexspan.plans.queries import QUERIES
@@ -64,28 +66,74 @@ def test_rate_limit(spark, sf):
     assert False in want.values()
 
 
+def plain_graph(start, ups, also, most):
+    """One start's search, a level at a time: nodes with depths, edges, and how many were found."""
+    downs = defaultdict(set)
+    for c, ps in ups.items():
+        for p in ps:
+            downs[p].add(c)
+    nodes, refused = {start: 0}, 0
+
+    def take(found, depth):
+        nonlocal refused
+        fresh = sorted(x for x in found if x not in nodes)
+        room = most - len(nodes)
+        nodes.update(dict.fromkeys(fresh[:room], depth))
+        refused += len(fresh[room:])
+        return {x for x in found if x in nodes}
+
+    def walk(begin, steps, levels, sign, seen=()):
+        levels_of, front, seen = dict.fromkeys(begin, 0), set(begin), {*begin, *seen}
+        for level in range(1, levels + 1):
+            front = take({y for x in front for y in steps.get(x, ())} - seen, sign * level)
+            seen |= front
+            levels_of |= dict.fromkeys(front, level)
+        return levels_of
+
+    above = walk({start}, ups, 50, -1)
+    below = walk({start}, downs, 2, 1)
+    pairs = {(x, y) for x in nodes for y in also.get(x, ())[:5]}
+    before = set(nodes)
+    linked = take({y for _, y in pairs}, 0)
+    around = walk(linked - before, ups, 50, -1, above)
+    edges = {(p, c, "subClassOf") for c in {*above, *around} for p in ups.get(c, ())} | {(p, c, "subClassOf") for p, level in below.items() if level < 2 for c in downs[p]}
+    edges |= {(min(x, y), max(x, y), "seeAlso") for x, y in pairs}
+    return nodes, {e for e in edges if e[0] in nodes and e[1] in nodes}, len(nodes) + refused
+
+
 def test_entity_graph(spark, sf):
     nation, supplier = table(spark, sf, "nation"), table(spark, sf, "supplier")
-    up = {f"n{r['n_nationkey']}": f"r{r['n_regionkey']}" for r in nation} | {f"s{r['s_suppkey']}": f"n{r['s_nationkey']}" for r in supplier}
+    ups = {f"n{r['n_nationkey']}": [f"r{r['n_regionkey']}"] for r in nation} | {f"s{r['s_suppkey']}": [f"n{r['s_nationkey']}"] for r in supplier}
     also = defaultdict(list)
-    for r in supplier:
-        also[f"n{r['s_nationkey']}"].append(f"s{r['s_suppkey'] + 1}")
-    want = set()
+    for r in sorted(supplier, key=lambda r: r["s_suppkey"]):
+        if f"s{r['s_suppkey'] + 1}" in ups:
+            also[f"n{r['s_nationkey']}"].append(f"s{r['s_suppkey'] + 1}")
+    nodes, edges = set(), set()
     for n in (f"n{r['n_nationkey']}" for r in nation):
-        near = [(n, 0), (up[n], -1), *((s, 1) for s, p in up.items() if p == n)]
-        for x, d in list(near):
-            for y in sorted(also[x])[:5]:
-                near.append((y, d))
-                at, depth = y, d
-                while at in up:
-                    at, depth = up[at], depth - 1
-                    near.append((at, depth))
-        best = {}
-        for x, d in near:
-            best[x] = min(best.get(x, (99, 99)), (abs(d), d))
-        want |= {(n, x, d) for x, (_, d) in best.items()}
-    got = {(r["start"], r["iri"], r["depth"]) for r in QUERIES["entity_graph"](spark, sf).collect()}
-    assert got == want
+        found, between, total = plain_graph(n, ups, also, 40)
+        nodes |= {(n, x, d, total, total > len(found)) for x, d in found.items()}
+        edges |= {(n, *e) for e in between}
+    assert {tuple(r) for r in QUERIES["entity_graph"](spark, sf).collect()} == nodes
+    assert {tuple(r) for r in QUERIES["entity_graph_edges"](spark, sf).collect()} == edges
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_graphs_with_cycles(spark, seed):
+    rng = random.Random(seed)
+    names = [f"c{i:02d}" for i in range(30)]
+    ups = {c: sorted(rng.sample(names, rng.randint(0, 2))) for c in names}
+    also = {c: rng.sample(names, rng.randint(0, 7)) for c in names}
+    e = spark.createDataFrame([(c, p) for c, ps in ups.items() for p in ps] * 2 + [(None, "c00"), ("c00", None)], "child string, parent string")
+    a = spark.createDataFrame([(c, y, i) for c, ys in also.items() for i, y in enumerate(ys)], "a string, b string, ord int")
+    starts = spark.createDataFrame([("c00",), ("c07",), ("c07",), (None,)], "iri string")
+    g = graph.explore(e, a, starts, most=(6, 12, 20, 200)[seed])
+    for start in ("c00", "c07"):
+        nodes, edges, total = plain_graph(start, ups, also, (6, 12, 20, 200)[seed])
+        assert {(r["iri"], r["depth"]) for r in g.nodes.filter(F.col("start") == start).collect()} == set(nodes.items())
+        assert {(r["source"], r["target"], r["edge_type"]) for r in g.edges.filter(F.col("start") == start).collect()} == edges
+        t = g.totals.filter(F.col("start") == start).first()
+        assert (t["n_nodes"], t["n_found"], t["truncated"]) == (len(nodes), total, total > len(nodes))
+    assert g.nodes.select("start").distinct().count() == 2
 
 
 def words(x):
