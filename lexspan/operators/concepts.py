@@ -86,9 +86,12 @@ def typed(concepts: DataFrame) -> DataFrame:
 
 
 def lookup(concepts: DataFrame, keys: list[str], most: int = BATCH) -> DataFrame:
-    """Concepts by the last part of their iri; a batch takes at most ``most`` keys, and unknown ones give no row."""
-    asked = list(dict.fromkeys(keys))[:most]
-    return concepts.filter(iri_hash(F.col("iri")).isin(*asked)) if asked else concepts.limit(0)
+    """Concepts by the last part of their iri; unknown keys give no row. All keys are answered: those of more than a batch of ``most`` by a join in place of a list in the plan."""
+    asked = list(dict.fromkeys(keys))
+    if len(asked) <= most:
+        return concepts.filter(iri_hash(F.col("iri")).isin(*asked)) if asked else concepts.limit(0)
+    named = concepts.sparkSession.createDataFrame([(k,) for k in asked], "asked string")
+    return concepts.join(named, iri_hash(F.col("iri")) == F.col("asked"), "left_semi")
 
 
 def by_label(concepts: DataFrame, text: str, prefix: bool = False) -> DataFrame:

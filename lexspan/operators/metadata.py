@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexspan.functions.constants import FAMILIES, FIELD_CUES
+from lexspan.functions.constants import DOCUMENT_TYPES, FAMILIES, FIELD_CUES
 from lexspan.functions.text import lookback
 
 def promoted(annotations: DataFrame, docs: DataFrame, cues: dict[str, list[str]] | None = None) -> DataFrame:
@@ -86,6 +86,13 @@ def areas(answers: DataFrame, least: float = 0.5) -> DataFrame:
     return answers.filter(F.col("confidence") >= least).withColumn("rank", F.row_number().over(w))
 
 
+def catalogued(types: DataFrame, catalogue: dict[str, list[str]] = DOCUMENT_TYPES) -> DataFrame:
+    """(doc_id, document_type, field) of documents (doc_id, document_type): the type as the catalogue writes it, and its field; null for one that isn't there."""
+    known = F.create_map(*[F.lit(x) for f, ts in catalogue.items() for t in ts for x in (t.lower(), f"{f}|{t}")])
+    met = types.withColumn("found", F.split(known[F.lower(F.btrim("document_type"))], r"\|"))
+    return met.select("doc_id", F.get("found", F.lit(1)).alias("document_type"), F.get("found", F.lit(0)).alias("field"))
+
+
 def context_block(c: DataFrame) -> DataFrame:
     """(doc_id, block): what a model is told of a document, from (doc_id, entities map<string,array<string>>, weak array<struct<name,type,confidence>>, relations, concepts array<string>); empty parts are left out."""
     part = lambda title, lines: F.when(F.size(lines) > 0, F.concat_ws("\n", F.lit(title), F.array_join(lines, "\n")))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.functions.constants import PROPERTY_STOP
 from lexspan.operators import concepts, graph, hierarchy, metadata, properties
 from lexspan.plans import bindings as b
 from lexspan.plans.registry import query
 from lexspan.sources import ontology
+from lexspan.staging import shared_dir
 
 #: The ontology of the queries: regions under the top, nations under one region or two, suppliers under one nation or two; some parents don't exist.
 _PARENTS = {
@@ -76,9 +80,9 @@ def branch_counts(spark, sf):
     return concepts.branch_counts(_concepts(spark, sf), _known(spark, sf))
 
 
-@query("SELECT 's' || s_suppkey AS iri, s_name AS label FROM supplier WHERE s_suppkey < 98 UNION ALL SELECT 'n3', n_name FROM nation WHERE n_nationkey = 3")
+@query("SELECT 's' || s_suppkey AS iri, s_name AS label FROM supplier WHERE s_suppkey < 150 UNION ALL SELECT 'n3', n_name FROM nation WHERE n_nationkey = 3")
 def concept_batch(spark, sf):
-    """A batch of keys, some unknown and some twice, cut at a hundred."""
+    """More keys than a batch has, some unknown and some twice."""
     keys = ["n3", "none", "n3", *[f"s{i}" for i in range(150)]]
     return concepts.lookup(_concepts(spark, sf), keys).select("iri", "label")
 
@@ -161,9 +165,57 @@ def _index(spark: SparkSession) -> DataFrame:
     return properties.index(props, ["ex", "own"], spark.createDataFrame(LEMMAS, "label_key string, lemma string"))
 
 
-@query(f"WITH {_INDEX_SQL} SELECT * FROM idx")
+#: An ontology's properties, from the parts: "ex:hasRedBolt", with "own:boltRed" and, for some, one word alone; some are deprecated. Base forms lack the last letter.
+_HUMP = "concat(upper(left({0}, 1)), substr({0}, 2))"
+_WORDS = ("split(p_name, ' ')[0]", "split(p_name, ' ')[1]")
+
+
+def _owl_properties(spark: SparkSession, sf: str) -> DataFrame:
+    one, two = _WORDS
+    empty, none = "CAST(array() AS array<string>)", "CAST(NULL AS string)"
+    return b.table(spark, sf, "part").selectExpr(
+        "concat('urn:prop/', p_partkey) AS iri", f"concat('ex:has', {_HUMP.format(one)}, {_HUMP.format(two)}, CASE WHEN p_size % 11 = 0 THEN ' DEPRECATED' ELSE '' END) AS label", "p_type AS definition", f"{none} AS preferred_label",
+        f"CASE WHEN p_size % 5 = 0 THEN array(concat('own:', {two}, {_HUMP.format(one)}), {one}) ELSE array(concat('own:', {two}, {_HUMP.format(one)})) END AS alternatives", "array(concat('urn:brand/', p_brand)) AS domains", f"{empty} AS ranges",
+        "CASE WHEN p_size % 2 = 0 THEN concat('urn:prop/', p_partkey + 1) END AS inverse", "p_size % 3 = 0 AS deprecated",
+    )
+
+
+def _owl(spark: SparkSession, sf: str) -> str:
+    """The ontology of the queries as RDF/XML files in the shared folder."""
+    path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/owl-{uuid.uuid4().hex}"
+    ontology.write_owl(path, _concepts(spark, sf), _owl_properties(spark, sf))
+    return path
+
+
+@query("SELECT 'urn:prop/' || p_partkey AS iri, p_type AS definition, 'urn:brand/' || p_brand AS domains, 0 AS n_ranges, CASE WHEN p_size % 2 = 0 THEN 'urn:prop/' || (p_partkey + 1) END AS inverse, p_size % 3 = 0 AS deprecated, CASE WHEN p_size % 5 = 0 THEN 2 ELSE 1 END AS n_alternatives FROM part")
+def ontology_properties(spark, sf):
+    """Object properties, written as an ontology's file and read again."""
+    p = ontology.read_properties(spark, _owl(spark, sf))
+    return p.select("iri", "definition", F.array_join("domains", "|").alias("domains"), F.size("ranges").alias("n_ranges"), "inverse", "deprecated", F.size("alternatives").alias("n_alternatives"))
+
+
+@query(
+    f"""WITH {_ALL_SQL} SELECT iri, label, pref AS preferred_label, coalesce((SELECT string_agg(parent, '|' ORDER BY ord) FROM edge e WHERE e.child = c.iri), '') || CASE WHEN starts_with(iri, 'r') THEN 'http://www.w3.org/2002/07/owl#Thing' WHEN starts_with(iri, 's') AND CAST(substr(iri, 2) AS INT) % 10 = 1 AND CAST(substr(iri, 2) AS INT) % 4 <> 0 THEN 'n-gone' ELSE '' END AS parents,
+array_to_string(see_also, '|') AS see_also, CASE WHEN starts_with(iri, 'n') THEN 'Land ' || substr(iri, 2) ELSE '' END AS alternatives, starts_with(iri, 's') AND CAST(substr(iri, 2) AS INT) % 9 = 0 AS deprecated FROM cls c"""
+)
+def ontology_classes(spark, sf):
+    """Classes, written as an ontology's file and read again."""
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return ontology.read_owl(spark, _owl(spark, sf)).select("iri", "label", "preferred_label", joined("parents"), joined("see_also"), joined("alternatives"), "deprecated")
+
+
+@query(
+    f"""WITH p AS (SELECT 'urn:prop/' || p_partkey AS iri, p_size, string_split(p_name, ' ')[1] AS one, string_split(p_name, ' ')[2] AS two FROM part WHERE p_size % 11 <> 0),
+every AS (SELECT 'has ' || one || ' ' || two AS label_key, iri, 'preferred' AS match_type FROM p UNION ALL SELECT two || ' ' || one, iri, 'alternative' FROM p UNION ALL SELECT one, iri, 'alternative' FROM p WHERE p_size % 5 = 0),
+idx AS (SELECT label_key, max_by(iri, (match_type = 'preferred', iri)) AS iri, max(match_type) AS match_type FROM every WHERE length(label_key) > 2 AND label_key NOT IN ({", ".join(f"'{w}'" for w in PROPERTY_STOP)}) GROUP BY label_key),
+more AS (SELECT left(label_key, length(label_key) - 1) AS lemma, min_by(iri, label_key) AS iri FROM idx WHERE NOT contains(label_key, ' ') AND length(label_key) > 3 GROUP BY 1)
+SELECT * FROM idx UNION ALL SELECT lemma, iri, 'lemma' FROM more WHERE length(lemma) > 2 AND lemma NOT IN ({", ".join(f"'{w}'" for w in PROPERTY_STOP)}) AND lemma NOT IN (SELECT label_key FROM idx)"""
+)
 def property_index(spark, sf):
-    return _index(spark)
+    """The index of an ontology's properties, read from its file."""
+    words = b.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("label_key")).distinct()
+    lemmas = words.withColumn("lemma", F.expr("left(label_key, length(label_key) - 1)"))
+    return properties.index(ontology.read_properties(spark, _owl(spark, sf)), ["ex", "own"], lemmas)
 
 
 _FIND_SQL = r"""low AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]') AS w FROM documents), piece AS (SELECT doc_id, i, w[i] AS t FROM low, unnest(range(1, len(w) + 1)) AS s(i)),

@@ -27,7 +27,7 @@ def early_individuals(spark, sf):
 
 #: A model's answers on one chunk a sentence: the court by name, in other words, and someone whom no pattern finds.
 def _model_people(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = b.sentences(spark, sf).filter("doc_id % 4 = 0")
+    docs = b.sentences(spark, sf)
     chunks = docs.selectExpr("doc_id", "0 AS chunk_index", "text", "0 AS chunk_start")
     said = F.array(F.struct(F.lit("united states district court").alias("name"), F.lit("that court").alias("mention"), F.lit("Tribunal").alias("class_label")), F.struct(F.lit("the buyer").alias("name"), F.lit("buyer").alias("mention"), F.lit("Person").alias("class_label")), F.struct(F.lit("nobody").alias("name"), F.lit("nobody").alias("mention"), F.lit("Person").alias("class_label")))
     answers = docs.select("doc_id", F.lit(0).alias("chunk_index"), F.explode(said).alias("x"), F.lit(0.7).alias("confidence")).select("doc_id", "chunk_index", "x.*", "confidence")
@@ -35,30 +35,31 @@ def _model_people(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
 
 
 @query(
-    f"""SELECT o_orderkey AS doc_id, x.name, x.links, x.source FROM orders, unnest([{{'name': 'United States District Court', 'links': 'Court|Tribunal', 'source': 'regex'}}, {{'name': 'the buyer', 'links': 'Person', 'source': 'model'}}, {{'name': CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'links': 'Date', 'source': 'regex'}}]) AS t(x) WHERE o_orderkey % 4 = 0"""
+    f"""SELECT o_orderkey AS doc_id, unnest({b.expected("court")}) AS mention, CASE WHEN o_orderkey % 4 = 0 THEN 'Court|Tribunal' ELSE 'Court' END AS links, 'regex' AS source FROM orders
+UNION ALL SELECT o_orderkey, unnest({b.expected("date")}), 'Date', 'regex' FROM orders UNION ALL SELECT o_orderkey, 'buyer', 'Person', 'model' FROM orders WHERE o_orderkey % 4 = 0"""
 )
 def model_individuals(spark, sf):
     docs, chunks, answers = _model_people(spark, sf)
     existing = extract.found_individuals(docs, ["court", "date"]).drop("n_merged")
     labels = spark.createDataFrame([("x", "u")], "label string, iri string")
     found = stages.model_individuals(existing, answers, chunks, labels)
-    return found.select("doc_id", "name", F.array_join(F.transform("links", lambda x: x["label"]), "|").alias("links"), "source")
+    return found.select("doc_id", "mention", F.array_join(F.transform("links", lambda x: x["label"]), "|").alias("links"), "source")
 
 
 @query(
-    """SELECT o_orderkey AS doc_id, x.text, x.match_type, x.confidence, x.source FROM orders, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [{'text': 'buyer', 'match_type': 'preferred', 'confidence': 0.73::DOUBLE, 'source': 'automaton'}, {'text': 'shall pay $', 'match_type': 'model', 'confidence': 0.95::DOUBLE, 'source': 'model'}]
-ELSE [{'text': 'buyer', 'match_type': 'preferred', 'confidence': 0.73, 'source': 'automaton'}, {'text': 'shall pay', 'match_type': 'preferred', 'confidence': 0.90, 'source': 'automaton'}] END) AS t(x) WHERE o_orderkey % 4 = 0 OR o_orderkey % 4 = 3 AND false"""
+    """SELECT o_orderkey AS doc_id, x.text, x.match_type, x.confidence, x.source FROM orders, unnest([{'text': 'buyer', 'match_type': 'preferred', 'confidence': 0.73::DOUBLE, 'source': 'automaton', 'every': 4}, {'text': 'shall pay', 'match_type': 'preferred', 'confidence': 0.90, 'source': 'automaton', 'every': 4},
+{'text': 'shall pay $', 'match_type': 'model', 'confidence': 0.95, 'source': 'model', 'every': 8}]) AS t(x) WHERE o_orderkey % x.every = 0"""
 )
 def model_properties(spark, sf):
-    docs = b.sentences(spark, sf).filter("doc_id % 4 = 0")
+    """The longer of two that contain each other and the shorter both stay; a model names the longer in some documents."""
+    docs = b.sentences(spark, sf)
     index = spark.createDataFrame([("buyer", "urn:p/1", "preferred"), ("shall pay", "urn:p/2", "preferred")], "label_key string, iri string, match_type string")
     existing = stages.early_properties(docs, index)
     at = F.call_function("locate", F.lit("shall pay"), F.col("text")) - 1
-    answers = docs.filter("doc_id % 2 = 0").select("doc_id", at.cast("int").alias("start"), (at + 11).cast("int").alias("end"), F.lit("shall pay $").alias("text"), F.lit("urn:p/2").alias("iri"), F.lit(0.95).alias("confidence"))
+    answers = docs.filter("doc_id % 8 = 0").select("doc_id", at.cast("int").alias("start"), (at + 11).cast("int").alias("end"), F.lit("shall pay $").alias("text"), F.lit("urn:p/2").alias("iri"), F.lit(0.95).alias("confidence"))
     pos = existing.select("doc_id", "start", "end", F.when(F.col("text") == "buyer", "NOUN").otherwise("VERB").alias("pos"))
     found = stages.model_properties(existing, answers, pos)
-    # the longer of two that contain each other and the shorter both stay; only the model's is asked for where there are both
-    return found.filter((F.col("text") != "shall pay") | (F.col("doc_id") % 2 == 1)).select("doc_id", "text", "match_type", "confidence", "source")
+    return found.select("doc_id", "text", "match_type", "confidence", "source")
 
 
 _TRIPLES = ["l_orderkey AS doc_id", "concat(l_orderkey, '-', l_linenumber) AS triple_id", "concat('Customer ', l_partkey % 7) AS subject", "CASE WHEN l_suppkey % 2 = 0 THEN 'was Paid By' ELSE 'sold' END AS predicate", "concat('Part ', l_partkey) AS object", "CASE WHEN l_suppkey % 3 > 0 THEN CAST(l_linenumber * 45 AS INT) END AS subject_start", "CAST(l_linenumber * 45 + 20 AS INT) AS subject_end", "CAST(l_linenumber * 45 + 25 AS INT) AS object_start", "CAST(l_linenumber * 45 + 30 AS INT) AS object_end"]
@@ -150,9 +151,15 @@ def prompts(spark, sf):
     )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{field}', '{t}')" for field, types in DOCUMENT_TYPES.items() for t in types) + ") AS v(field, document_type)")
+_TYPES = [t for types in DOCUMENT_TYPES.values() for t in types]
+_FIELDS = [f for f, types in DOCUMENT_TYPES.items() for _ in types]
+
+
+@query(f"WITH catalogue(n, field, document_type) AS (VALUES {', '.join(f"({i}, '{f}', '{t}')" for i, (f, t) in enumerate(zip(_FIELDS, _TYPES, strict=True)))}) SELECT doc_id, document_type, field FROM documents LEFT JOIN catalogue ON doc_id % {len(_TYPES) + 1} = n")
 def document_catalogue(spark, sf):
-    return spark.createDataFrame([(f, t) for f, types in DOCUMENT_TYPES.items() for t in types], "field string, document_type string")
+    """The field of law of each document's type, in any case, by the catalogue; a type that it doesn't have has none."""
+    kind = F.get(F.array(*[F.lit(t.upper()) for t in _TYPES]), (F.col("doc_id") % (len(_TYPES) + 1)).cast("int"))
+    return metadata.catalogued(b.table(spark, sf, "documents").select("doc_id", kind.alias("document_type")))
 
 
 # Confidence
@@ -199,11 +206,11 @@ def semantic_matches(spark, sf):
 
 
 def _branched(spark: SparkSession, sf: str) -> DataFrame:
-    return b.table(spark, sf, "part").selectExpr("concat('urn:part/', p_partkey) AS iri", "p_name AS label", "p_type AS definition", "CASE p_partkey % 4 WHEN 0 THEN 'Area of Law' WHEN 1 THEN 'Service' WHEN 2 THEN 'Document Metadata' END AS branch").filter("substring(iri, 10) < 300")
+    return b.table(spark, sf, "part").selectExpr("concat('urn:part/', p_partkey) AS iri", "p_name AS label", "p_type AS definition", "CASE p_partkey % 4 WHEN 0 THEN 'Area of Law' WHEN 1 THEN 'Service' WHEN 2 THEN 'Document Metadata' END AS branch")
 
 
 @query(
-    """WITH c AS (SELECT 'urn:part/' || p_partkey AS iri, p_name AS label, CASE p_partkey % 4 WHEN 1 THEN 'Service' WHEN 2 THEN 'Actor / Player|Document / Artifact' ELSE '' END AS branches, p_partkey FROM part WHERE p_partkey % 4 > 0 AND p_partkey < 300),
+    """WITH c AS (SELECT 'urn:part/' || p_partkey AS iri, p_name AS label, CASE p_partkey % 4 WHEN 1 THEN 'Service' WHEN 2 THEN 'Actor / Player|Document / Artifact' ELSE '' END AS branches, p_partkey FROM part WHERE p_partkey % 4 > 0),
 r AS (SELECT o_orderkey AS doc_id, 'reconciled' AS source, 0.7 AS confidence, o_custkey % 400 AS k FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'entity_ruler', 0.6, o_custkey % 400 FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT o_orderkey, 'llm', 0.5, o_custkey % 300 + 1 FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 2 = 0)
 SELECT doc_id, source, c.iri, label, branches, CAST(confidence AS DOUBLE) AS confidence FROM r JOIN c ON p_partkey = k"""
 )
@@ -356,13 +363,12 @@ def stage_summary(spark, sf):
 
 
 @query(
-    f"""WITH {b.ANNOTATIONS_SQL}, old AS (SELECT doc_id, "start", "end", any_value(text) AS text, any_value(iri) AS iri, min(ann_id) AS ann_id FROM annotations WHERE doc_id % 2 = 0 GROUP BY doc_id, "start", "end" HAVING count(*) = 1)
+    f"""WITH {b.ANNOTATIONS_SQL}, old AS (SELECT doc_id, "start", "end", min(ann_id) AS ann_id FROM annotations GROUP BY doc_id, "start", "end")
 SELECT o.doc_id, o."start", o."end", CASE WHEN o.doc_id % 3 < 2 THEN ann_id END AS ann_id, o.doc_id % 3 = 2 AS created FROM old o"""
 )
 def attached_matches(spark, sf):
     """Matches meet the annotation of their span and iri, else of their span and text; other ones are new."""
-    a = b.annotations(spark, sf).filter("doc_id % 2 = 0")
-    single = a.groupBy("doc_id", "start", "end").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"), F.first("iri").alias("iri"), F.min("ann_id").alias("ann_id")).filter("n = 1").drop("n")
+    single = b.annotations(spark, sf).groupBy("doc_id", "start", "end").agg(F.min_by("text", "ann_id").alias("text"), F.min_by("iri", "ann_id").alias("iri"), F.min("ann_id").alias("ann_id"))
     text = F.when(F.col("doc_id") % 3 == 2, "other").otherwise(F.upper("text"))
     matches = single.select("doc_id", "start", "end", text.alias("text"), F.when(F.col("doc_id") % 3 == 0, F.col("iri")).otherwise("urn:other").alias("iri"))
     return ann.attach(matches, single).select("doc_id", "start", "end", "ann_id", "created")

@@ -7,19 +7,112 @@ from pyspark.sql import functions as F
 
 from lexspan.functions.constants import BRANCHES, EXCLUDED_BRANCHES, VIRTUAL_BRANCHES
 
+#: The name spaces of an ontology's file.
+SPACES = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#", "skos": "http://www.w3.org/2004/02/skos/core#", "xml": "http://www.w3.org/XML/1998/namespace"}
+_TEXT = "array<struct<_VALUE:string,`_xml:lang`:string>>"
+_LINKS = "array<struct<`_rdf:resource`:string>>"
+_CLASS = f"`_rdf:about` string, `rdfs:label` {_TEXT}, `skos:definition` {_TEXT}, `skos:prefLabel` {_TEXT}, `skos:altLabel` {_TEXT}, `skos:example` {_TEXT}, `rdfs:subClassOf` {_LINKS}, `rdfs:seeAlso` {_LINKS}, `owl:deprecated` {_TEXT}"
+_PROPERTY = f"`_rdf:about` string, `rdfs:label` {_TEXT}, `skos:definition` {_TEXT}, `skos:prefLabel` {_TEXT}, `skos:altLabel` {_TEXT}, `rdfs:domain` {_LINKS}, `rdfs:range` {_LINKS}, `owl:inverseOf` {_LINKS}, `owl:deprecated` {_TEXT}"
+_INDIVIDUAL = f"`_rdf:about` string, `rdfs:label` {_TEXT}, `rdf:type` {_LINKS}"
+
+
+def _tagged(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).filter("`_rdf:about` IS NOT NULL")
+
+
+def _texts(name: str, language: bool = False) -> Column:
+    """An element's texts: those without a language, or those with one."""
+    c = F.coalesce(F.col(f"`{name}`"), F.array().cast(_TEXT))
+    kept = F.filter(c, lambda x: x["_VALUE"].isNotNull() & (x["_xml:lang"].isNotNull() if language else x["_xml:lang"].isNull()))
+    return kept if language else F.transform(kept, lambda x: x["_VALUE"])
+
+
+def _first(name: str) -> Column:
+    """An element's text without a language, else in English, else the first."""
+    c = F.filter(F.col(f"`{name}`"), lambda x: x["_VALUE"].isNotNull())
+    plain, english = F.filter(c, lambda x: x["_xml:lang"].isNull()), F.filter(c, lambda x: F.startswith(x["_xml:lang"], F.lit("en")))
+    return F.coalesce(F.get(plain, F.lit(0)), F.get(english, F.lit(0)), F.get(c, F.lit(0)))["_VALUE"]
+
+
+def _links(name: str) -> Column:
+    return F.filter(F.transform(F.coalesce(F.col(f"`{name}`"), F.array().cast(_LINKS)), lambda p: p["_rdf:resource"]), lambda x: x.isNotNull())
+
+
+_deprecated = lambda: F.coalesce(F.lower(_first("owl:deprecated")) == "true", F.lit(False)).alias("deprecated")
+
+
 def read_owl(spark: SparkSession, path: str) -> DataFrame:
-    """(iri, label, definition, parents, alternatives) of an RDF/XML file's classes."""
-    schema = "`_rdf:about` string, `rdfs:label` string, `skos:definition` string, `rdfs:subClassOf` array<struct<`_rdf:resource`:string>>, `skos:altLabel` array<string>"
-    rows = spark.read.format("xml").option("rowTag", "owl:Class").schema(schema).load(path)
-    return rows.select(
+    """Classes of an RDF/XML file: (iri, label, definition, preferred_label, parents, see_also, alternatives, translations map<string,string>, examples, deprecated).
+
+    Alternative labels with a language are translations, the least of several in one language. Classes without an iri, such as restrictions, are none.
+    """
+    by_language = F.array_sort(F.transform(_texts("skos:altLabel", True), lambda x: F.struct(x["_xml:lang"].alias("key"), x["_VALUE"].alias("value"))))
+    once = F.filter(by_language, lambda x, i: (i == 0) | (F.get(by_language, i - 1)["key"] != x["key"]))
+    return _tagged(spark, path, "owl:Class", _CLASS).select(
         F.col("`_rdf:about`").alias("iri"),
-        F.col("`rdfs:label`").alias("label"),
-        F.col("`skos:definition`").alias("definition"),
-        F.transform(F.coalesce("`rdfs:subClassOf`", F.array()), lambda p: p["_rdf:resource"]).alias("parents"),
-        F.coalesce("`skos:altLabel`", F.array().cast("array<string>")).alias("alternatives"),
+        _first("rdfs:label").alias("label"),
+        _first("skos:definition").alias("definition"),
+        _first("skos:prefLabel").alias("preferred_label"),
+        _links("rdfs:subClassOf").alias("parents"),
+        _links("rdfs:seeAlso").alias("see_also"),
+        _texts("skos:altLabel").alias("alternatives"),
+        F.map_from_entries(once).alias("translations"),
+        _texts("skos:example").alias("examples"),
+        _deprecated(),
     )
 
 
+def read_properties(spark: SparkSession, path: str) -> DataFrame:
+    """Object properties of an RDF/XML file: (iri, label, definition, preferred_label, alternatives, domains, ranges, inverse, deprecated)."""
+    return _tagged(spark, path, "owl:ObjectProperty", _PROPERTY).select(
+        F.col("`_rdf:about`").alias("iri"),
+        _first("rdfs:label").alias("label"),
+        _first("skos:definition").alias("definition"),
+        _first("skos:prefLabel").alias("preferred_label"),
+        _texts("skos:altLabel").alias("alternatives"),
+        _links("rdfs:domain").alias("domains"),
+        _links("rdfs:range").alias("ranges"),
+        F.get(_links("owl:inverseOf"), F.lit(0)).alias("inverse"),
+        _deprecated(),
+    )
+
+
+def read_individuals(spark: SparkSession, path: str) -> DataFrame:
+    """Named individuals of an RDF/XML file: (iri, label, types)."""
+    return _tagged(spark, path, "owl:NamedIndividual", _INDIVIDUAL).select(F.col("`_rdf:about`").alias("iri"), _first("rdfs:label").alias("label"), _links("rdf:type").alias("types"))
+
+
+def _written(df: DataFrame, path: str, tag: str) -> None:
+    root = "rdf:RDF " + " ".join(f'xmlns:{k}="{v}"' for k, v in SPACES.items() if k != "xml")
+    df.write.mode("append").format("xml").option("rowTag", tag).option("rootTag", root).option("validateName", "false").save(path)
+
+
+def _said(c: str, language: Column | None = None) -> Column:
+    """A text, or null, as an element's list."""
+    none = F.lit(None).cast("string")
+    return F.when(F.col(c).isNotNull(), F.array(F.struct(F.col(c).alias("_VALUE"), (none if language is None else language).alias("_xml:lang"))))
+
+
+def _each(c: str) -> Column:
+    return F.transform(F.col(c), lambda x: F.struct(x.alias("_VALUE"), F.lit(None).cast("string").alias("_xml:lang")))
+
+
+def _linked(c: Column) -> Column:
+    return F.transform(c, lambda x: F.struct(x.alias("_rdf:resource")))
+
+
+def write_owl(path: str, concepts: DataFrame | None = None, properties: DataFrame | None = None) -> None:
+    """Classes and object properties, as the readers give them, as RDF/XML files in one folder, which the readers take as one ontology."""
+    deprecated = F.when(F.col("deprecated"), F.array(F.struct(F.lit("true").alias("_VALUE"), F.lit(None).cast("string").alias("_xml:lang")))).alias("owl:deprecated")
+    if concepts is not None:
+        translated = F.transform(F.map_entries(F.coalesce("translations", F.create_map().cast("map<string,string>"))), lambda x: F.struct(x["value"].alias("_VALUE"), x["key"].alias("_xml:lang"))) if "translations" in concepts.columns else F.array().cast(_TEXT)
+        names = F.concat(F.coalesce(_each("alternatives"), F.array().cast(_TEXT)), translated).alias("skos:altLabel")
+        _written(concepts.select(F.col("iri").alias("_rdf:about"), _said("label").alias("rdfs:label"), _said("definition").alias("skos:definition"), _said("preferred_label").alias("skos:prefLabel"), names, _each("examples").alias("skos:example"), _linked(F.col("parents")).alias("rdfs:subClassOf"), _linked(F.col("see_also")).alias("rdfs:seeAlso"), deprecated), path, "owl:Class")
+    if properties is not None:
+        inverse = F.when(F.col("inverse").isNotNull(), F.array("inverse"))
+        _written(properties.select(F.col("iri").alias("_rdf:about"), _said("label").alias("rdfs:label"), _said("definition").alias("skos:definition"), _said("preferred_label").alias("skos:prefLabel"), _each("alternatives").alias("skos:altLabel"), _linked(F.col("domains")).alias("rdfs:domain"), _linked(F.col("ranges")).alias("rdfs:range"), _linked(inverse).alias("owl:inverseOf"), deprecated), path, "owl:ObjectProperty")
+
+
 def edges(concepts: DataFrame) -> DataFrame:
     """(child, parent, ord)."""
     return concepts.select(F.col("iri").alias("child"), F.posexplode("parents").alias("ord", "parent"))

@@ -150,14 +150,6 @@ def test_search_candidates(spark):
     assert {r["text"]: r["iri"] for r in search.resolve(mentions, concepts).collect()} == {"Survey Report": "u:3", "general": "u:1"}
 
 
-def test_reconcile(spark):
-    make = lambda rows: spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "text string, iri string, confidence double, ord int")
-    ruler = make([("Court", "u:1", 0.9), ("low", "u:2", 0.5), ("high", "u:3", 0.7), ("bare", "u:4", 0.8)])
-    model = make([("court", "u:1", 0.8), ("only", "u:5", 0.4), ("bare", "", 0.6)])
-    got = {(r["text"], r["iri"]): (r["category"], round(r["confidence"], 4)) for r in reconcile.reconcile(ruler, model).collect()}
-    assert got == {("court", "u:1"): ("both_agree", 0.905), ("high", "u:3"): ("ruler_only", 0.7), ("only", "u:5"): ("llm_only", 0.4), ("bare", "u:4"): ("conflict_resolved", 0.81)}
-
-
 def test_individuals(spark):
     rows = [(1, "Acme", "Acme", 0, 4, "ner", ["org"]), (1, "Acme Corp", "Acme Corp", 0, 9, "regex", ["co"]), (1, "Bolt", "Bolt", 30, 34, "ner", ["org"])]
     df = spark.createDataFrame(rows, "doc_id long, name string, mention string, start int, end int, source string, links array<string>")
