@@ -57,8 +57,8 @@ EXTRACTORS: dict[str, Extractor] = {
     "duration": Extractor(rf"(?:\b[0-9]+(?:\.[0-9]+)?|\b{_any(ONES + TENS)})(?:\s*\([0-9]+\))?[\s-]+(?:business\s+|calendar\s+)?{_any(UNITS)}s?\b", 0.90, kind="Duration", folded=True, gates=('second', 'minute', 'hour', 'day', 'week', 'month', 'year', 'decade')),
     "percent": Extractor(rf"\b[0-9]+(?:\.[0-9]+)?\s*%|\b(?:[0-9]+(?:\.[0-9]+)?|{_any([*ONES, *TENS, 'hundred'])})\s+per\s?cent\b|\b[0-9]+(?:\.[0-9]+)?\s+basis\s+points?\b", 0.93, kind="Percentage", folded=True, gates=('%', 'cent', 'basis')),
     "court": Extractor(
-        rf"(?:United States|U\.S\.) (?:(?:District|Circuit|Bankruptcy|Tax) Court|Supreme Court|Court of Appeals)|Supreme Court of (?:the United States|{_NAME})|{_any(CIRCUITS)} Circuit\b"
-        rf"|\b[SNWCE]\.D\.\s*(?:[A-Z]\.)?[A-Z][a-z]*\.?|Court of (?:Appeals?|Common Pleas|Claims|Chancery)(?: (?:for|of) (?:the )?{_NAME})?|\b{_any(COURTS)} Court\b(?: (?:of|for) (?:the )?{_NAME})?",
+        rf"(?i:(?:United States|U\.S\.) (?:(?:District|Circuit|Bankruptcy|Tax) Court|Supreme Court|Court of Appeals))|(?i:Supreme Court of) (?:(?i:the United States)|{_NAME})|(?i:\b{_any(CIRCUITS)} Circuit\b)"
+        rf"|(?i:\b[SNWCE]\.D\.\s*(?:[A-Z]\.)?[A-Z][a-z]*\.?)|(?i:Court of (?:Appeals?|Common Pleas|Claims|Chancery))(?: (?i:for|of) (?:(?i:the) )?{_NAME})?|(?i:\b{_any(COURTS)} Court\b)(?: (?i:of|for) (?:(?i:the) )?{_NAME})?",
         0.91, kind="Court", gates=('court', 'circuit', '.d.'),
     ),
     "definition": Extractor(rf"{_QUOTED}\s+{_any(MEANS)}\b", 0.88, 1, 1, kind="Definition", folded=True, gates=('"', '“')),

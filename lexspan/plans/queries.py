@@ -118,6 +118,28 @@ def ingest_documents(spark, sf):
     return ingest.ingest(pages.unionByName(docs)).select("doc_id", "format", F.length("full_text").alias("n_chars"))
 
 
+#: Files of every format by doc_id: good ones, ones in base 64, as a whole or their body alone, broken ones, and one that no converter takes.
+_FILE_KINDS = 11
+
+
+@query(
+    f"""WITH s AS (SELECT o_orderkey AS doc_id, {b.SENTENCE.replace("STRING", "VARCHAR")} AS text, CAST(o_orderkey % {_FILE_KINDS} AS INT) AS k FROM orders), mail AS (SELECT *, 'From: a@b.c' || chr(10) || 'Subject: Order ' || doc_id || chr(10) || chr(10) || text AS mail FROM s),
+read AS (SELECT doc_id, CASE WHEN k < 4 THEN 'email' WHEN k < 7 THEN 'rtf' WHEN k < 8 THEN 'word' WHEN k < 9 THEN 'pdf' WHEN k < 10 THEN 'plain_text' ELSE 'html' END AS format, CASE WHEN k < 4 THEN mail WHEN k < 6 OR k = 9 THEN text WHEN k = 10 THEN trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) END AS t,
+CASE k WHEN 6 THEN 'ValueError' WHEN 7 THEN 'BadZipFile' WHEN 8 THEN 'no converter for pdf' END AS error FROM mail)
+SELECT doc_id, format, md5(t) AS text_md5, error FROM read"""
+)
+def ingest_files(spark, sf):
+    docs = b.sentences(spark, sf).withColumn("k", F.col("doc_id") % _FILE_KINDS)
+    b64 = lambda c: F.base64(F.encode(c, "utf-8"))
+    mail = F.concat(F.lit("From: a@b.c\nSubject: Order "), F.col("doc_id").cast("string"), F.lit("\n\n"), "text")
+    body = F.concat(F.lit("From: a@b.c\nSubject: Order "), F.col("doc_id").cast("string"), F.lit('\nContent-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: base64\n\n'), b64(F.col("text")))
+    rtf = F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Font;}} "), "text", F.lit("}"))
+    contents = [(mail, "a.eml"), (b64(mail), "a.EML"), (body, ""), (body, "b.eml"), (rtf, "c.rtf"), (b64(rtf), "c.rtf"), (F.col("text"), "c.rtf"), (F.concat(F.lit("UEsDBBQA"), b64(F.col("text"))), "d.docx"), (F.lit("JVBERi0x"), ""), (F.col("text"), "e.txt"), (F.concat(F.lit("<p>"), "text", F.lit("</p>")), "f.html")]
+    nth = lambda i: F.coalesce(*[F.when(F.col("k") == n, c[i] if i == 0 else F.lit(c[i])) for n, c in enumerate(contents)])
+    files = docs.select("doc_id", nth(1).alias("filename"), nth(0).alias("content"))
+    return ingest.ingest(files).select("doc_id", "format", F.md5("full_text").alias("text_md5"), F.substring_index("error", ":", 1).alias("error"))
+
+
 # Lexicons
 
 

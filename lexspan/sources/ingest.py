@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import email
 import email.policy
 import io
@@ -126,12 +127,38 @@ def html_elements(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(key, html).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, ord int, text string, element_type string, section_path array<string>, level int")
 
 
+def unwrapped(raw: str, looks: Callable[[str], bool]) -> str:
+    """The text, or what it is in base 64 if only that looks like its format."""
+    if looks(raw):
+        return raw
+    try:
+        inner = decoded(base64.b64decode("".join(raw.split()), validate=True))
+    except ValueError:
+        return raw
+    return inner if looks(inner) else raw
+
+
+def decoded(data: bytes, charset: str | None = None) -> str:
+    """Bytes in the charset that they name, else in UTF-8, else in that of Western Windows."""
+    for c in (charset, "utf-8"):
+        try:
+            if c:
+                return data.decode(c)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return data.decode("cp1252", "replace")
+
+
+_HEADER = re.compile(r"\s*[A-Za-z][A-Za-z0-9-]*:[ \t]")
+
+
 def eml_text(raw: str) -> str:
-    """Four headers and the body, plain before HTML."""
-    m = email.message_from_string(raw, policy=email.policy.default)
+    """Four headers and the body, plain before HTML; the message itself may be in base 64, and so may its body."""
+    raw = unwrapped(raw, lambda x: bool(_HEADER.match(x)))
+    m = email.message_from_bytes(raw.lstrip().encode("utf-8", "surrogateescape"), policy=email.policy.default)
     head = [f"{h}: {m[h]}" for h in ("From", "To", "Date", "Subject") if m[h]]
     body = m.get_body(preferencelist=("plain", "html"))
-    text = body.get_content() if body else ""
+    text = decoded(body.get_payload(decode=True) or b"", body.get_content_charset()) if body else ""
     if body is not None and body.get_content_type() == "text/html":
         text = " ".join(re.sub(r"(?s)<[^>]*>", " ", text).split())
     return "\n".join(head) + "\n\n" + text.strip()
@@ -146,7 +173,10 @@ def docx_text(data: bytes) -> str:
 
 
 def rtf_text(raw: str) -> str:
-    """Rich text without groups that hold no text, and with its escapes resolved."""
+    """Rich text without groups that hold no text, and with its escapes resolved; it may be in base 64."""
+    raw = unwrapped(raw, lambda x: x.lstrip().startswith("{\\rtf"))
+    if not raw.lstrip().startswith("{\\rtf"):
+        raise ValueError("no rich text")
     raw = re.sub(r"\{\\(?:\*|fonttbl|colortbl|stylesheet|info|pict)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", raw)
     raw = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "replace"), raw)
     raw = re.sub(r"\\u(-?[0-9]+) ?\??", lambda m: chr(int(m[1]) % 65536), raw)
@@ -155,34 +185,51 @@ def rtf_text(raw: str) -> str:
     return re.sub(r"[{}]", "", raw).strip()
 
 
-def _by_python(f: Callable[[str], str]) -> Callable[[Column], Column]:
-    def each(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(x))
-
-    return lambda c: F.pandas_udf(each, "string")(c)  # made when used: there must be a session
-
-
-def _bytes(x: str) -> bytes:
-    import base64
-
-    return base64.b64decode(x)
-
-
-#: Converters by format. A PDF's needs a parser, which ``register`` takes.
-CONVERTERS: dict[str, Callable[[Column], Column]] = {"plain_text": lambda c: c, "markdown": markdown_text, "html": html_text, "email": _by_python(eml_text), "rtf": _by_python(rtf_text), "word": _by_python(lambda x: docx_text(_bytes(x)))}
+#: Converters by format: expressions, and functions of one text, which may raise. A PDF's needs a parser, which ``register`` takes.
+CONVERTERS: dict[str, Callable[[Column], Column]] = {"plain_text": lambda c: c, "markdown": markdown_text, "html": html_text}
+BY_PYTHON: dict[str, Callable[[str], str]] = {"email": eml_text, "rtf": rtf_text, "word": lambda x: docx_text(base64.b64decode("".join(x.split())))}
 
 
 def register(name: str, convert: Callable[[Column], Column]) -> None:
+    BY_PYTHON.pop(name, None)
     CONVERTERS[name] = convert
 
 
+def register_python(name: str, convert: Callable[[str], str]) -> None:
+    """A converter of one text at a time; what it raises is that file's error."""
+    CONVERTERS.pop(name, None)
+    BY_PYTHON[name] = convert
+
+
 def ingest(df: DataFrame) -> DataFrame:
-    """(doc_id, format, full_text) from (doc_id, filename, content): each format's rows through its converter; without one, null."""
+    """(doc_id, format, full_text, error) from (doc_id, filename, content): each format's rows through its converter.
+
+    A file that its converter can't read, or whose format has none, has a null text and an error that says why; the others aren't touched by it. Null contents stay null.
+    """
     found = df.withColumn("format", detect_format(F.col("filename"), F.col("content")))
+    functions = dict(BY_PYTHON)
+
+    def each(formats: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        texts, errors = [], []
+        for f, x in zip(formats, contents, strict=True):
+            text = error = None
+            if x is not None:
+                try:
+                    text = functions[f](x)
+                except Exception as e:  # noqa: BLE001  whatever a broken file makes a parser raise
+                    error = f"{type(e).__name__}: {e}"[:200]
+            texts.append(text)
+            errors.append(error)
+        return pd.DataFrame({"text": texts, "error": errors}, dtype=object)
+
+    own = F.col("format").isin(*functions)
     out = F.lit(None).cast("string")
     for name, convert in CONVERTERS.items():
         out = F.when(F.col("format") == name, convert(F.when(F.col("format") == name, F.col("content")))).otherwise(out)
-    return found.select("doc_id", "format", out.alias("full_text"))
+    none = ~own & ~F.col("format").isin(*CONVERTERS) & F.col("content").isNotNull()
+    read = F.pandas_udf(each, "text string, error string")(F.col("format"), F.when(own, F.col("content")))
+    met = found.withColumn("read", read).withColumn("plain", out)
+    return met.select("doc_id", "format", F.coalesce("read.text", "plain").alias("full_text"), F.when(none, F.concat(F.lit("no converter for "), "format")).otherwise(F.col("read.error")).alias("error"))
 
 
 def pdf_pages(df: DataFrame) -> DataFrame:

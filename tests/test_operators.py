@@ -1,5 +1,8 @@
+import base64
+import io
 import random
 import re
+import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -158,7 +161,7 @@ def test_individuals(spark):
 
 
 def test_extractors():
-    cases = {"money": "paid $1,200.50 today", "date": "on March 3, 2021 it", "duration": "thirty (30) days", "percent": "12.5% of", "court": "the Supreme Court of Ohio", "definition": '"Goods" means things', "condition": "provided that he", "constraint": "not to exceed ten", "address": "at 12 North Main Street, Suite 4", "trademark": "Acme® tools", "copyright": "© 2020 Acme", "citation": "at 410 U.S. 113", "email": "a.b@c.org"}
+    cases = {"money": "paid $1,200.50 today", "date": "on March 3, 2021 it", "duration": "thirty (30) days", "percent": "12.5% of", "court": "the superior court of Kent", "definition": '"Goods" means things', "condition": "provided that he", "constraint": "not to exceed ten", "address": "at 12 North Main Street, Suite 4", "trademark": "Acme® tools", "copyright": "© 2020 Acme", "citation": "at 410 U.S. 113", "email": "a.b@c.org"}
     for name, sample in cases.items():
         assert list(extract._finds(sample, extract._compiled([name]))), name
 
@@ -213,6 +216,18 @@ def test_sources(spark):
     assert one(spark, ingest.markdown_text(F.col("c")), c="# A\n\n**b** [c](d) ![e](f)\n- g") == "A\n\nb c e\ng"
     assert ingest.rtf_text(r"{\rtf1\ansi Hello\par World}") == "Hello\nWorld"
     assert ingest.eml_text("From: a@b.c\nSubject: S\nContent-Type: text/plain\n\nBody").endswith("Body")
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    assert ingest.rtf_text(b64(r"{\rtf1\ansi Hello\par World}")) == "Hello\nWorld"
+    assert ingest.eml_text(b64("From: a@b.c\nSubject: S\n\nGrüße “§”")) == "From: a@b.c\nSubject: S\n\nGrüße “§”"
+    assert ingest.eml_text("Subject: S\n\nGrüße").endswith("\n\nGrüße")
+    assert ingest.eml_text(f"Subject: S\nContent-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: base64\n\n{b64('Grüße'.encode('latin-1'))}\n").endswith("\n\nGrüße")
+    word = io.BytesIO()
+    with zipfile.ZipFile(word, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>One</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Two</w:t></w:r></w:p></w:body></w:document>')
+    files = [(1, "a.docx", b64(word.getvalue())), (2, "a.docx", "UEsDBBQAbroken"), (3, "a.docx", "no base 64!"), (4, "a.eml", None), (5, "a.pdf", "JVBERi0x"), (6, "a.rtf", "plain"), (7, "a.txt", "x"), (8, "a.docx", b64(b"PK\x03\x04" + bytes(50)))]
+    read = {r["doc_id"]: (r["full_text"], r["error"] and r["error"].split(":")[0]) for r in ingest.ingest(spark.createDataFrame(files, "doc_id long, filename string, content string")).collect()}
+    assert read == {1: ("One\n\nTwo", None), 2: (None, read[2][1]), 3: (None, read[3][1]), 4: (None, None), 5: (None, "no converter for pdf"), 6: (None, "ValueError"), 7: ("x", None), 8: (None, "BadZipFile")}
+    assert read[2][1] and read[3][1]
     pages = spark.createDataFrame([(1, "<h1>A</h1><p>one</p><h2>B</h2><li>two</li><script>no</script>")], "page_id long, html string")
     got = [(r["text"], r["element_type"], r["section_path"]) for r in ingest.html_elements(pages, "page_id", "html").orderBy("ord").collect()]
     assert got == [("A", "heading", ["A"]), ("one", "paragraph", ["A"]), ("B", "heading", ["A", "B"]), ("two", "list_item", ["A", "B"])]
