@@ -150,3 +150,127 @@ def _listed(vectors: DataFrame, centroids: np.ndarray, lists: int) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
     return vectors.mapInArrow(run, f"{fields}, list int")
+
+
+#: Codes: components of a part, entries of a part's book, rows that books are fitted on at most, and how many candidates for each of ``k`` are compared exactly, a share of the rows at most.
+PART, ENTRIES, CODE_SAMPLE, RERANK, RERANK_SHARE = 4, 256, 20_000, 20, 8
+
+
+def _books(x: np.ndarray, part: int, entries: int, rounds: int) -> np.ndarray:
+    """By part and number the means that parts of ``x`` gather round; the last part is filled up with zeros."""
+    parts = -(-x.shape[1] // part)
+    x = np.pad(x, ((0, 0), (0, parts * part - x.shape[1]))).reshape(len(x), parts, part)
+    books = x[np.linspace(0, len(x) - 1, min(entries, len(x))).astype(int)].transpose(1, 0, 2).copy()
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            mine = x[:, p]
+            at = np.argmin((book * book).sum(1) - 2 * mine @ book.T, axis=1)
+            n = np.bincount(at, minlength=len(book))
+            total = np.stack([np.bincount(at, weights=mine[:, d], minlength=len(book)) for d in range(part)], axis=1)
+            book[n > 0] = total[n > 0] / n[n > 0][:, None]
+    return books
+
+
+def _decoded(codes: list[bytes], books: np.ndarray, dim: int) -> np.ndarray:
+    at = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), len(books))
+    return np.concatenate([book[at[:, p]] for p, book in enumerate(books)], axis=1)[:, :dim]
+
+
+@dataclass
+class Codes:
+    """Every usable row of a table as a product code: a byte a part, with how far the code is from the vector.
+
+    A search reads codes, a sixteenth of the vectors, and only what these can't rule out is compared by its vector: the best few for each
+    query, or, above a threshold, exactly those that may reach it, since by a code's distance a similarity is bounded on both sides.
+    """
+
+    vectors: DataFrame
+    rows: DataFrame
+    books: np.ndarray
+    dim: int
+    n: int
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, sample: int = CODE_SAMPLE) -> Codes:
+        """Books from at most about ``sample`` rows (vec_id, embedding), drawn by hash; all rows are coded."""
+        kept = vectors.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull())
+        n = kept.count()
+        part = kept.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(n, 1)))) if n > sample else kept
+        x = np.array([r["embedding"] for r in part.select("embedding").orderBy("vec_id").toLocalIterator()], np.float64)  # ``sample`` rows
+        dim = x.shape[1] if len(x) else 0
+        books = _books(x, PART, ENTRIES, ROUNDS) if len(x) else np.zeros((0, 1, PART))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows or not dim:
+                    continue
+                y = np.array(b.column("embedding").to_pylist(), np.float64)
+                cut = np.pad(y, ((0, 0), (0, len(books) * PART - dim))).reshape(len(y), len(books), PART)
+                at = np.stack([np.argmin((book * book).sum(1) - 2 * cut[:, p] @ book.T, axis=1) for p, book in enumerate(books)], axis=1).astype(np.uint8)
+                codes = [r.tobytes() for r in at]
+                off = np.linalg.norm(y - _decoded(codes, books, dim), axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(codes, pa.binary()), pa.array(off)], ["vec_id", "code", "off"])
+
+        kind = kept.schema["vec_id"].dataType.simpleString()
+        return cls(kept.select("vec_id", "embedding"), kept.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, code binary, off double"), books, dim, n)
+
+    def _met(self, queries: DataFrame, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+        """(query_id, vec_id, near): of each two blocks of queries (query_id, embedding) and codes the pairs that ``choose`` takes by (similarities to codes, distances of codes, lengths of queries)."""
+        q = queries.filter(F.col("embedding").isNotNull() & F.col("query_id").isNotNull())
+        n_q, n_v = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-self.n // (4 * ROW_BLOCK)))
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        asked = q.select("query_id", "embedding", F.lit(None).cast(self.rows.schema["vec_id"].dataType).alias("vec_id"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("off"), block("query_id", n_q).alias("q"), all_of(n_v).alias("v"))
+        rows = self.rows.select(F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast(q.schema["embedding"].dataType).alias("embedding"), "vec_id", "code", "off", all_of(n_q).alias("q"), block("vec_id", n_v).alias("v"))
+        books, dim = self.books, self.dim
+
+        def compare(group: pa.Table) -> pa.Table:
+            mine, theirs = group.filter(pa.compute.is_valid(group.column("query_id"))), group.filter(pa.compute.is_valid(group.column("code")))
+            parts = [pa.table({"query_id": mine.column("query_id").slice(0, 0), "vec_id": theirs.column("vec_id").slice(0, 0), "near": pa.array([], pa.float64())})]
+            if mine.num_rows and theirs.num_rows:
+                theirs = theirs.sort_by("vec_id")
+                coded, off = _decoded(theirs.column("code").to_pylist(), books, dim), theirs.column("off").to_numpy()
+                for i in range(0, mine.num_rows, QUERY_BLOCK):
+                    some = mine.slice(i, QUERY_BLOCK)
+                    x = np.array(some.column("embedding").to_pylist(), np.float64)
+                    near = x @ coded.T
+                    r, c = np.nonzero(choose(near, off, np.linalg.norm(x, axis=1)))
+                    parts.append(pa.table({"query_id": some.column("query_id").take(pa.array(r)), "vec_id": theirs.column("vec_id").take(pa.array(c)), "near": pa.array(near[r, c])}))
+            return pa.concat_tables(parts).combine_chunks()
+
+        kinds = [f"{name} {df.schema[name].dataType.simpleString()}" for name, df in (("query_id", q), ("vec_id", self.rows))]
+        return asked.unionByName(rows).groupBy("q", "v").applyInArrow(compare, ", ".join([*kinds, "near double"]))
+
+    def _exact(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """(query_id, vec_id, similarity) of pairs by their vectors, to six places."""
+        from lexspan.functions.scoring import dot
+
+        met = pairs.join(queries.select("query_id", F.col("embedding").alias("a")), "query_id").join(self.vectors.select("vec_id", F.col("embedding").alias("b")), "vec_id")
+        return met.select("query_id", "vec_id", F.round(dot(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+    def search(self, queries: DataFrame, k: int = 10, rerank: int | None = None) -> DataFrame:
+        """(query_id, vec_id, similarity, rank): the ``k`` best of the ``rerank`` rows that look nearest to a query (vec_id, embedding) by their codes, itself left out."""
+        m = max(k, min(rerank or RERANK * k, max(self.n // RERANK_SHARE, 1)))
+        q = queries.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("query_id"), "embedding")
+
+        def choose(near: np.ndarray, off: np.ndarray, length: np.ndarray) -> np.ndarray:
+            if near.shape[1] <= m + 1:
+                return np.ones_like(near, bool)
+            out = np.zeros_like(near, bool)
+            np.put_along_axis(out, np.argpartition(-near, m, axis=1)[:, : m + 1], True, 1)  # one more, as a query may be among its own
+            return out
+
+        w = W.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id")
+        best = self._met(q, choose).filter("query_id <> vec_id").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= m)
+        return _ranked(self._exact(best.select("query_id", "vec_id"), q), k)
+
+    def nearest_within(self, queries: DataFrame, least: float) -> DataFrame:
+        """(query_id, vec_id, similarity): for each query (query_id, embedding) the row most like it, the least id of equals, if it is ``least`` at least. Exact: codes only rule out."""
+
+        def choose(near: np.ndarray, off: np.ndarray, length: np.ndarray) -> np.ndarray:
+            room = off[None, :] * length[:, None] + 2e-6  # and rounding to six places
+            return (near + room >= least) & (near + room >= (near - room).max(axis=1, keepdims=True))
+
+        found = self._exact(self._met(queries, choose).select("query_id", "vec_id"), queries).filter(F.col("similarity") >= least)
+        best = found.groupBy("query_id").agg(F.min_by(F.struct("vec_id", "similarity"), F.struct(-F.col("similarity"), "vec_id")).alias("b"))
+        return best.select("query_id", "b.vec_id", "b.similarity")

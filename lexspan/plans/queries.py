@@ -347,6 +347,13 @@ def vector_index(spark, sf):
     return vectors.Index.fit(v).search(v.filter("vec_id % 20 = 0"), 10)
 
 
+@query()
+def vector_code_search(spark, sf):
+    """The same by codes, of which the best are compared by their vectors: an eighth of the rows at most."""
+    v = b.table(spark, sf, "embeddings")
+    return vectors.Codes.fit(v).search(v.filter("vec_id % 20 = 0"), 10)
+
+
 @query("SELECT a.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])))), 6) AS similarity FROM embeddings a JOIN embeddings x ON x.vec_id = a.vec_id + 1")
 def vector_pair_similarity(spark, sf):
     v = b.table(spark, sf, "embeddings")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import text as T
 from lexspan.functions.constants import EXCLUDED_BRANCHES, PATTERN_STOP, PHRASE_STOP
-from lexspan.operators import confidence, extract, lexicon, metadata, models, overlap, properties, search, triples
+from lexspan.operators import confidence, extract, lexicon, metadata, models, overlap, properties, search, triples, vectors
 from lexspan.operators.intervals import containment_join
 from lexspan.sources import ontology
 
@@ -155,36 +155,13 @@ def phrases(docs: DataFrame, known: DataFrame, low: int = 2, high: int = 4) -> D
 def semantic_matches(found: DataFrame, labels: DataFrame, embed=models.hashed_embedding, least: float = 0.80) -> DataFrame:
     """(doc_id, start, end, phrase, iri, similarity): phrases whose nearest label (label, iri) is at least that near; of equally near ones the first by iri.
 
-    Distinct phrases are embedded once and compared with all labels by matrix products, block by block.
+    Distinct phrases are embedded once and compared with the labels' codes; what a code's distance can't rule out is compared by its vector.
     """
     known = models.embedded(labels.select("iri", "label"), "label", "iri", embed).withColumnRenamed("iri", "vec_id")
     asked = found.select("phrase").distinct()
-    vectors = models.embedded(asked.withColumn("text", F.col("phrase")), "text", "phrase", embed)
-    best = nearest_label(vectors, known)
-    return found.join(best.filter(F.col("similarity") >= least), "phrase").select("doc_id", "start", "end", "phrase", "iri", F.round("similarity", 6).alias("similarity"))
-
-
-def nearest_label(asked: DataFrame, known: DataFrame, blocks: int = 16) -> DataFrame:
-    """(phrase, iri, similarity): for each phrase (phrase, embedding) the nearest of ``known`` (vec_id, embedding), whose blocks each meet all phrases' blocks once."""
-    import numpy as np
-    import pyarrow as pa
-
-    side = lambda df, key, name: df.select(F.col(key).alias("key"), "embedding", F.lit(name).alias("side"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(c)
-    rows = side(asked, "phrase", "a").select("*", every("other")).withColumnRenamed("block", "x").withColumnRenamed("other", "y").unionByName(side(known, "vec_id", "k").select("*", every("other")).withColumnRenamed("block", "y").withColumnRenamed("other", "x"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        part = lambda name: group.filter(pa.compute.equal(group.column("side"), name))
-        a, k = part("a"), part("k").sort_by("key")
-        if not a.num_rows or not k.num_rows:
-            return pa.table({"phrase": pa.array([], pa.string()), "iri": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
-        m, n = (np.array(x.column("embedding").to_pylist(), np.float64) for x in (a, k))
-        scores = m @ n.T
-        at = scores.argmax(axis=1)
-        return pa.table({"phrase": a.column("key"), "iri": k.column("key").take(pa.array(at)), "similarity": pa.array(scores[np.arange(len(at)), at])})
-
-    found = rows.groupBy("x", "y").applyInArrow(compare, "phrase string, iri string, similarity double")
-    return found.groupBy("phrase").agg(F.min_by(F.struct("iri", "similarity"), F.struct(-F.col("similarity"), "iri")).alias("b")).select("phrase", "b.iri", "b.similarity")
+    queries = models.embedded(asked.withColumn("text", F.col("phrase")), "text", "phrase", embed).withColumnRenamed("phrase", "query_id")
+    best = vectors.Codes.fit(known).nearest_within(queries, least)
+    return found.join(best.withColumnRenamed("query_id", "phrase").withColumnRenamed("vec_id", "iri"), "phrase").select("doc_id", "start", "end", "phrase", "iri", "similarity")
 
 
 def triple_rows(parsed: DataFrame, annotations: DataFrame, individuals: DataFrame, found: DataFrame) -> DataFrame:

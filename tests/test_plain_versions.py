@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_operators import plain_individuals
 
 from lexspan.functions.constants import EXPANSIONS, PATTERN_STOP, PHRASE_STOP, SEARCH_STOP
-from lexspan.operators import extract, graph
+from lexspan.operators import extract, graph, vectors
 from lexspan.operators.models import hashed_embedding
 from lexspan.plans import bindings
 from lexspan.plans.queries import QUERIES
@@ -337,3 +337,34 @@ def test_same_concept_absorbed(spark, sf):
     want = sorted((r["doc_id"], r["ann_id"], r["start"], r["end"], r["iri"] or "", "|".join(r["lineage"])) for r in [*kept, *(x for g in groups.values() for x in g)])
     got = sorted((r["doc_id"], r["ann_id"], r["start"], r["end"], r["iri"] or "", r["lineage"]) for r in QUERIES["same_concept_absorbed"](spark, sf).collect())
     assert got == want and any("absorbed" in x[-1] for x in want)
+
+
+def test_vector_codes(spark):
+    """Nearly all of the nearest, though at most an eighth of the rows are compared by their vectors."""
+    sf = "/root/testdata/sf0.1"
+    want = {(r["query_id"], r["vec_id"]): r["similarity"] for r in QUERIES["vector_topk"](spark, sf).collect()}
+    found = {(r["query_id"], r["vec_id"]): r["similarity"] for r in QUERIES["vector_code_search"](spark, sf).collect()}
+    assert len(found) == len(want) and len(set(found) & set(want)) >= 0.95 * len(want)
+    assert all(found[x] == want[x] for x in set(found) & set(want))
+
+
+def test_nearest_within(spark):
+    """Exact above the threshold, with equal vectors, vectors of other lengths than 1, nulls, and no rows at all."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 10))
+    x[100:200] = x[:100] + rng.normal(scale=0.05, size=(100, 10))
+    x[200:205] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:50] *= 1.3
+    rows = [(f"v{i:03d}", v.tolist()) for i, v in enumerate(x[:205])] + [("none", None)]
+    asked = [(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)]
+    known, queries = spark.createDataFrame(rows, "vec_id string, embedding array<double>"), spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    want = {}
+    for i, v in enumerate(x):
+        near = np.round(x[:205] @ v, 6)
+        if near.max() >= 0.8:
+            want[i] = (f"v{int(near.argmax()):03d}", near.max())
+    got = {r["query_id"]: (r["vec_id"], r["similarity"]) for r in vectors.Codes.fit(known).nearest_within(queries, 0.8).collect()}
+    assert set(got) == set(want) and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-6 for i in got)
+    assert vectors.Codes.fit(known.limit(0)).nearest_within(queries, 0.8).count() == 0
+    assert vectors.Codes.fit(known).nearest_within(queries.limit(0), 0.8).count() == 0
