@@ -16,10 +16,10 @@ def canonical(docs: DataFrame) -> DataFrame:
 
 
 def annotate(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, ann_id, start, end, text, iri, label_type, confidence, state, sentence_start, sentence_end).
+    """(doc_id, ann_id, start, end, text, iri, label_type, confidence, state, lineage array<string>, sentence_start, sentence_end).
 
     Labels (iri, label, label_type) are admitted, indexed and matched; crossing spans are resolved within each
-    document; each span gets its sentence. Confidence is the label type's; below 0.6 a match stays preliminary.
+    document; each span gets its sentence, and its lineage says where it comes from. Confidence is the label type's; below 0.6 a match stays preliminary.
     """
     text = canonical(docs)
     index = lexicon.multi_index(lexicon.admitted(labels)).select("label_key", "iri", "label", "label_type")
@@ -29,4 +29,6 @@ def annotate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     placed = best_container(spans.select("doc_id", "start", "end").distinct(), sentences)
     out = linked.join(placed, ["doc_id", "start", "end"], "left")
     ann_id = F.sha2(F.concat_ws("|", "doc_id", "start", "end", "iri"), 256)  # the same in every run
-    return out.select("doc_id", ann_id.alias("ann_id"), "start", "end", "text", "iri", "label_type", "confidence", F.when(F.col("confidence") >= 0.6, "confirmed").otherwise("preliminary").alias("state"), "sentence_start", "sentence_end")
+    state = F.when(F.col("confidence") >= 0.6, "confirmed").otherwise("preliminary")
+    lineage = F.array(F.concat(F.lit("lexicon: "), "label_type", F.lit(" label")), F.concat(F.lit("state: "), state))
+    return out.select("doc_id", ann_id.alias("ann_id"), "start", "end", "text", "iri", "label_type", "confidence", state.alias("state"), lineage.alias("lineage"), "sentence_start", "sentence_end")

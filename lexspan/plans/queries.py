@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.functions import scoring, text
 from lexspan.operators import annotations as ann
 from lexspan.operators import chunks, confidence, extract, feedback, graph, hierarchy, intervals, lexicon, metadata, models, overlap, reconcile, search, sentences, triples, vectors
-from lexspan.plans import annotate
+from lexspan.plans import annotate, runs
 from lexspan.plans import bindings as b
 from lexspan.plans.registry import ORACLE_SQL, QUERIES, query
 from lexspan.sinks import export
 from lexspan.sources import ingest
+from lexspan.staging import shared_dir
 
 # Text
 
@@ -708,6 +711,27 @@ def annotated_documents(spark, sf):
     return annotate.annotate(b.texts(spark, sf), labels)
 
 
+@query()
+def resumed_run(spark, sf):
+    """Documents annotated by a run that breaks off before its last stage and goes on from there."""
+    docs, labels = b.texts(spark, sf), b.lexicon(spark).withColumnRenamed("label_key", "label")
+    classes = spark.createDataFrame([("court", "urn:class/court", "b"), ("DATE", "urn:class/date", "b")], "label string, iri string, branch string")
+    *most, last = runs.annotation_stages(labels, classes)
+    fails = [True]
+
+    def once(t: dict[str, DataFrame]) -> DataFrame:
+        if fails.pop() if fails else False:
+            raise RuntimeError("broken off")
+        return last.run(t)
+
+    run = runs.Run(spark, f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/run-{uuid.uuid4().hex}", [*most, runs.Stage(last.name, last.needs, once)])
+    try:
+        run.execute({"documents": docs}, {"documents": sf})
+    except runs.Broken:
+        tables = run.execute({"documents": docs}, {"documents": sf})
+    return tables["summary"].withColumn("stages_done_again", F.lit(len(run.made)))
+
+
 # Registered with the rest
 from lexspan.plans import concept_queries, export_queries, stage_queries  # noqa: E402
 
