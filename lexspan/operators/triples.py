@@ -9,62 +9,132 @@ from pyspark.sql import functions as F
 from lexspan.operators.intervals import overlap_join
 
 SUBJECTS, OBJECTS = ("nsubj", "nsubjpass"), ("dobj", "obj", "attr", "oprd")
-TRIPLE = "doc_id long, sentence_index int, subject string, predicate string, object string, voice string, confidence double"
-
-
-def _under(i: int, heads: list[int], deps: list[str], skip: tuple[str, ...] = ("relcl", "cc", "conj", "punct")) -> list[int]:
-    """The token and those below it, in order, without clauses and conjuncts."""
-    found = [i]
-    for j, h in enumerate(heads):
-        if h == i and j != i and deps[j] not in skip:
-            found += _under(j, heads, deps, skip)
-    return sorted(found)
+_SPANS = [f"{part}_{end}" for part in ("subject", "predicate", "object") for end in ("start", "end")]
+TRIPLE = "doc_id long, sentence_index int, subject string, predicate string, object string, voice string, confidence double, predicate_text string, " + ", ".join(f"{c} int" for c in _SPANS)
+#: What of a subtree isn't part of its phrase: clauses, conjuncts, and what joins them.
+_APART = ("relcl", "cc", "conj", "punct")
+_VERBS, _NOUNS = ("VERB", "AUX"), ("NOUN", "PROPN")
+
+
+class Parse:
+    """One sentence's parse: each token's children, and the reach of its phrase, by one pass up from the leaves. Tokens in a cycle of heads hang from nothing."""
+
+    def __init__(self, tokens: list[str], lemmas: list[str], pos: list[str], deps: list[str], heads: list[int]) -> None:
+        self.tokens, self.lemmas, self.pos, self.deps, self.heads = tokens, lemmas, pos, deps, heads
+        n = len(tokens)
+        self.children: list[list[int]] = [[] for _ in range(n)]
+        for i, h in enumerate(heads):
+            if h != i and 0 <= h < n:
+                self.children[h].append(i)
+        order = [i for i, h in enumerate(heads) if h == i]
+        for i in order:  # grows while it is read: parents before children
+            order += self.children[i]
+        self.reach = [(i, i) for i in range(n)]
+        for i in reversed(order):
+            h = heads[i]
+            if h != i and deps[i] not in _APART:
+                (a, b), (c, d) = self.reach[i], self.reach[h]
+                self.reach[h] = (min(a, c), max(b, d))
+        self.order = set(order)
+
+    def below(self, i: int, *names: str) -> list[int]:
+        return [j for j in self.children[i] if self.deps[j] in names]
+
+    def phrase(self, i: int) -> str:
+        """The words of a token's subtree, in order, without clauses and conjuncts."""
+        found, open_ = [], [i]
+        while open_:
+            j = open_.pop()
+            found.append(j)
+            open_ += [k for k in self.children[j] if self.deps[k] not in _APART]
+        return " ".join(self.tokens[j] for j in sorted(found))
+
+    def verb(self, i: int) -> str:
+        """A verb with the auxiliaries before it."""
+        return " ".join([self.tokens[j] for j in self.below(i, "aux", "auxpass") if j < i] + [self.tokens[i]])
+
+    def confidence(self, s: int, v: int, o: int, passive: bool) -> float:
+        matches = (self.pos[s] in _NOUNS) + (self.pos[v] in _VERBS) + (self.pos[o] in _NOUNS)
+        return round(min(0.85, max(0.30, 0.5 + 0.1 * matches - 0.05 * passive)), 2)
+
+    def triples(self) -> list[tuple[int | None, int, int, str, str, float]]:
+        """(subject, verb, object, predicate, voice, confidence) by tokens: main verbs, their conjuncts and relative clauses; prepositions join the predicate; passives with an agent turn round."""
+        out = []
+        for v in sorted(self.order):
+            if self.pos[v] not in _VERBS or self.deps[v] not in ("ROOT", "relcl", "conj"):
+                continue
+            passive = bool(self.below(v, "nsubjpass", "auxpass"))
+            subjects = self.below(v, *SUBJECTS)
+            at = v
+            while not subjects and self.deps[at] == "conj":
+                at = self.heads[at]
+                subjects = self.below(at, *SUBJECTS)
+            if not subjects and self.deps[at] == "relcl":
+                subjects = [self.heads[at]]
+            subjects += [c for s in subjects if s != self.heads[at] for c in self.below(s, "conj")]
+            direct = self.below(v, *OBJECTS)
+            direct += [c for o in direct for c in self.below(o, "conj")]
+            lemma = self.lemmas[v]
+            targets = [(lemma, o) for o in direct] + [(f"{lemma} {self.lemmas[p]}", o) for p in self.below(v, "prep") for o in self.below(p, "pobj")]
+            agents = [o for a in self.below(v, "agent") for o in self.below(a, "pobj")]
+            for s in subjects:
+                if passive and agents:
+                    out += [(a, v, s, lemma, "passive", self.confidence(a, v, s, True)) for a in agents]
+                elif passive and not targets:
+                    out.append((None, v, s, lemma, "passive", 0.5))
+                else:
+                    out += [(s, v, o, predicate, "passive" if passive else "active", self.confidence(s, v, o, passive)) for predicate, o in targets]
+        return out
 
 
 def svo(tokens: list[str], lemmas: list[str], pos: list[str], deps: list[str], heads: list[int]) -> list[tuple[str, str, str, str, float]]:
-    """Triples of one sentence: main verbs, their conjuncts and relative clauses; prepositions join the predicate; passives turn round."""
-    words = lambda i: " ".join(tokens[j] for j in _under(i, heads, deps))
-    below = lambda i, *names: [j for j, h in enumerate(heads) if h == i and j != i and deps[j] in names]
-    out = []
-    verbs = [i for i, (p, d) in enumerate(zip(pos, deps, strict=True)) if p == "VERB" and d in ("ROOT", "relcl", "conj")]
-    for v in verbs:
-        subjects = below(v, *SUBJECTS)
-        if not subjects and deps[v] == "conj":
-            subjects = below(heads[v], *SUBJECTS)
-        if not subjects and deps[v] == "relcl":
-            subjects = [heads[v]]
-        subjects += [c for s in subjects for c in below(s, "conj")]
-        passive = bool(below(v, "nsubjpass", "auxpass"))
-        direct = below(v, *OBJECTS)
-        direct += [c for o in direct for c in below(o, "conj")]
-        targets = [(lemmas[v], o) for o in direct] + [(f"{lemmas[v]} {lemmas[p]}", o) for p in below(v, "prep") for o in below(p, "pobj")]
-        agents = [o for a in below(v, "agent") for o in below(a, "pobj")]
-        for s in subjects:
-            if passive:
-                for a in agents:
-                    out.append((words(a), lemmas[v], words(s), "passive", _confidence(pos[a], pos[s], True)))
-                if not agents:
-                    out.append(("", lemmas[v], words(s), "passive", 0.5))
-                continue
-            for predicate, o in targets:
-                out.append((words(s), predicate, words(o), "active", _confidence(pos[s], pos[o], False)))
+    """Triples of one sentence as words: (subject, predicate, object, voice, confidence). A passive without an agent or other objects has an empty subject."""
+    p = Parse(tokens, lemmas, pos, deps, heads)
+    return [("" if s is None else p.phrase(s), predicate, p.phrase(o), voice, sure) for s, _, o, predicate, voice, sure in p.triples()]
+
+
+def offsets(text: str, start: int, tokens: list[str]) -> list[tuple[int, int]]:
+    """Places of a sentence's tokens, each looked for from the end of the one before; one that isn't found takes no place there."""
+    out, at = [], 0
+    for t in tokens:
+        found = text.find(t, at)
+        out.append((start + at, start + at) if found < 0 else (start + found, start + found + len(t)))
+        at = at if found < 0 else found + len(t)
     return out
 
 
-def _confidence(a: str, b: str, passive: bool) -> float:
-    nouns = ("NOUN", "PROPN", "PRON")
-    return round(min(0.85, max(0.30, 0.5 + 0.1 * ((a in nouns) + (b in nouns) + 1) - 0.05 * passive)), 2)
-
-
 def triples(parsed: DataFrame) -> DataFrame:
-    """From rows (doc_id, sentence_index, tokens, lemmas, pos, deps, heads), whichever parser made them."""
+    """From rows (doc_id, sentence_index, tokens, lemmas, pos, deps, heads), whichever parser made them, and perhaps the sentence's ``text`` and ``start``.
+
+    ``predicate_text`` is the verb with its auxiliaries; spans are of whole phrases and of the verb, null without a text. Null lists give none.
+    """
+    names = ["tokens", "lemmas", "pos", "deps", "heads"]
+    rows = parsed
+    for name, kind in (("text", "string"), ("start", "int")):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast(kind))
+    rows = rows.select("doc_id", "sentence_index", *names, "text", F.col("start").cast("double").alias("start"))
 
     def run(batches):
         for pdf in batches:
-            rows = [(r.doc_id, r.sentence_index, *t) for r in pdf.itertuples() for t in svo(list(r.tokens), list(r.lemmas), list(r.pos), list(r.deps), list(r.heads))]
-            yield pd.DataFrame(rows, columns=["doc_id", "sentence_index", "subject", "predicate", "object", "voice", "confidence"])
-
-    return parsed.mapInPandas(run, TRIPLE)
+            out = []
+            for r in pdf.itertuples():
+                if any(getattr(r, c) is None for c in names):
+                    continue
+                p = Parse(*(list(getattr(r, c)) for c in names))
+                places = None if r.text is None or pd.isna(r.start) else offsets(r.text, int(r.start), p.tokens)
+
+                def span(i, whole, p=p, places=places):
+                    if i is None or places is None:
+                        return None, None
+                    a, b = p.reach[i] if whole else (i, i)
+                    return places[a][0], places[b][1]
+
+                for s, v, o, predicate, voice, sure in p.triples():
+                    out.append((r.doc_id, r.sentence_index, "" if s is None else p.phrase(s), predicate, p.phrase(o), voice, sure, p.verb(v), *span(s, True), *span(v, False), *span(o, True)))
+            columns = [c.split()[0] for c in TRIPLE.split(", ")]
+            yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(_SPANS, "Int32"))
+
+    return rows.mapInPandas(run, TRIPLE)
 
 
 def linked(triples_: DataFrame, annotations: DataFrame) -> DataFrame:

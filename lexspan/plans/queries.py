@@ -497,11 +497,43 @@ def triple_links(spark, sf):
     return triples.linked(ends, b.annotations(spark, sf)).select("doc_id", "triple_id", "iri")
 
 
-@query()
+#: Sentences of orders with their parses: tokens as expressions, lemmas (null: the token's own), tags, relations and heads; and the triples that they
+#: hold: (subject tokens, verb, object tokens, predicate, voice, confidence), the tokens of a phrase by their first and last.
+_PARSES = [
+    (["'Customer'", "CAST(o_custkey AS STRING)", "'has'", "'ordered'", "'goods'", "'from'", "'Acme'"], [None, None, "have", "order", "good", "from", None], "NOUN NUM AUX VERB NOUN ADP PROPN", "nsubj nummod aux ROOT dobj prep pobj", [3, 0, 3, 3, 3, 3, 5], [((0, 1), 3, (4, 4), "order", "active", 0.8), ((0, 1), 3, (6, 6), "order from", "active", 0.8)]),
+    (["'Order'", "CAST(o_orderkey AS STRING)", "'was'", "'shipped'", "'by'", "'the'", "'clerk'"], [None, None, "be", "ship", "by", None, None], "NOUN NUM AUX VERB ADP DET NOUN", "nsubjpass nummod auxpass ROOT agent det pobj", [3, 0, 3, 3, 3, 6, 4], [((5, 6), 3, (0, 1), "ship", "passive", 0.75)]),
+    (["'Order'", "CAST(o_orderkey AS STRING)", "'has'", "'been'", "'cancelled'"], [None, None, "have", "be", "cancel"], "NOUN NUM AUX AUX VERB", "nsubjpass nummod aux auxpass ROOT", [4, 0, 4, 4, 4], [(None, 4, (0, 1), "cancel", "passive", 0.5)]),
+    (["'She'", "'filed'", "'and'", "'paid'", "'claim'", "CAST(o_custkey AS STRING)"], ["she", "file", "and", "pay", None, None], "PRON VERB CCONJ VERB NOUN NUM", "nsubj ROOT cc conj dobj nummod", [1, 1, 1, 1, 3, 4], [((0, 0), 3, (4, 5), "pay", "active", 0.7)]),
+    (["'Acme'", "'and'", "o_orderpriority", "'sold'", "'parts'", "'and'", "'tools'"], [None, None, None, "sell", "part", "and", "tool"], "PROPN CCONJ PROPN VERB NOUN CCONJ NOUN", "nsubj cc conj ROOT dobj cc conj", [3, 0, 0, 3, 3, 4, 4], [((0, 0), 3, (4, 4), "sell", "active", 0.8), ((0, 0), 3, (6, 6), "sell", "active", 0.8), ((2, 2), 3, (4, 4), "sell", "active", 0.8), ((2, 2), 3, (6, 6), "sell", "active", 0.8)]),
+    (["'The'", "'court'", "'reversed'", "'ruling'", "CAST(o_orderkey AS STRING)", "'that'", "'barred'", "'claims'"], ["the", None, "reverse", None, None, "that", "bar", "claim"], "DET NOUN VERB NOUN NUM PRON VERB NOUN", "det nsubj ROOT dobj nummod mark relcl dobj", [1, 2, 2, 2, 3, 6, 3, 6], [((0, 1), 2, (3, 4), "reverse", "active", 0.8), ((3, 4), 6, (7, 7), "bar", "active", 0.8)]),
+    (["'Invoices'", "'were'", "'sent'", "'to'", "'buyer'", "CAST(o_custkey AS STRING)"], ["invoice", "be", "send", "to", None, None], "NOUN AUX VERB ADP NOUN NUM", "nsubjpass auxpass ROOT prep pobj nummod", [2, 2, 2, 2, 3, 4], [((0, 0), 2, (4, 5), "send to", "passive", 0.75)]),
+]
+
+
+def _triples_sql() -> str:
+    """The triples as the templates name them, with places by the lengths of the tokens before."""
+    each = []
+    for k, (tokens, _, _, deps, heads, found) in enumerate(_PARSES):
+        at = lambda i, tokens=tokens: f"10 + {i} + " + " + ".join(["0", *[f"length({t})" for t in tokens[:i]]])
+        said = lambda a, b, tokens=tokens: f"concat_ws(' ', {', '.join(tokens[a : b + 1])})"
+        for s, v, o, predicate, voice, sure in found:
+            aux = [i for i, (d, h) in enumerate(zip(deps.split(), heads, strict=True)) if d in ("aux", "auxpass") and h == v and i < v]
+            end = lambda i, tokens=tokens, at=at: f"{at(i)} + length({tokens[i]})"
+            subject, places = ("''", "NULL, NULL") if s is None else (said(*s), f"{at(s[0])}, {end(s[1])}")
+            each.append(f"SELECT o_orderkey, {subject}, '{predicate}', {said(*o)}, '{voice}', {sure}::DOUBLE, concat_ws(' ', {', '.join(tokens[i] for i in [*aux, v])}), {places}, {at(v)}, {end(v)}, {at(o[0])}, {end(o[1])} FROM orders WHERE o_orderkey % {len(_PARSES)} = {k}")
+    names = "doc_id, subject, predicate, object, voice, confidence, predicate_text, subject_start, subject_end, predicate_start, predicate_end, object_start, object_end"
+    return f"SELECT * FROM ({' UNION ALL '.join(each)}) AS t({names})".replace("STRING", "VARCHAR")
+
+
+@query(_triples_sql())
 def svo_triples(spark, sf):
-    words = lambda *x: F.array(*[F.lit(v) for v in x])
-    parsed = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("sentence_index"), F.array(F.lit("Customer"), F.col("o_custkey").cast("string"), F.lit("ordered"), F.lit("goods"), F.lit("from"), F.lit("Acme")).alias("tokens"), words("customer", "0", "order", "good", "from", "Acme").alias("lemmas"), words("NOUN", "NUM", "VERB", "NOUN", "ADP", "PROPN").alias("pos"), words("nsubj", "nummod", "ROOT", "dobj", "prep", "pobj").alias("deps"), F.array(*[F.lit(i) for i in (2, 0, 2, 2, 2, 4)]).alias("heads"))
-    return triples.triples(parsed)
+    """Triples of parses that differ from row to row, with the places of their parts."""
+    nth = lambda f: F.coalesce(*[F.when(F.col("k") == k, f(p)) for k, p in enumerate(_PARSES)])
+    strings = lambda x: F.array(*[F.lit(w) for w in x.split()])
+    tokens = nth(lambda p: F.array(*[F.expr(t) for t in p[0]]))
+    lemmas = nth(lambda p: F.array(*[F.lower(F.expr(t)) if lemma is None else F.lit(lemma) for t, lemma in zip(p[0], p[1], strict=True)]))
+    rows = b.table(spark, sf, "orders").withColumn("k", F.col("o_orderkey") % len(_PARSES)).select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("sentence_index"), tokens.alias("tokens"), lemmas.alias("lemmas"), nth(lambda p: strings(p[2])).alias("pos"), nth(lambda p: strings(p[3])).alias("deps"), nth(lambda p: F.array(*[F.lit(h) for h in p[4]])).alias("heads"))
+    return triples.triples(rows.withColumn("text", F.array_join("tokens", " ")).withColumn("start", F.lit(10))).drop("sentence_index")
 
 
 @query(

@@ -448,3 +448,13 @@ def test_reject_leaves_feedback(spark):
     now, entries = annotations.rejected_with_feedback(rows, old, F.lit(True), "wrong")
     assert {r["ann_id"]: len(r["lineage"]) for r in now.collect()} == {"a": 2, "b": 1}
     assert [(r["ann_id"], r["rating"], r["note"]) for r in entries.collect()] == [("a", "dismissed", "wrong")]
+
+
+def test_parses():
+    p = triples.Parse(["a", "b", "c"], ["a", "b", "c"], ["NOUN", "VERB", "NOUN"], ["nsubj", "ROOT", "dobj"], [2, 1, 0])  # a and c hang from each other
+    assert p.triples() == [] and p.phrase(1) == "b"
+    deep = triples.Parse(["x"] * 5000, ["x"] * 5000, ["VERB"] + ["NOUN"] * 4999, ["ROOT", "dobj"] + ["nmod"] * 4998, [0, *range(4999)])
+    assert deep.reach[1] == (1, 4999) and len(deep.phrase(1).split()) == 4999  # as long as a sentence may be
+    assert triples.offsets("The court,  ruled", 7, ["The", "court", ",", "gone", "ruled"]) == [(7, 10), (11, 16), (16, 17), (17, 17), (19, 24)]
+    got = triples.svo(["It", "is", "void"], ["it", "be", "void"], ["PRON", "AUX", "ADJ"], ["nsubj", "ROOT", "attr"], [1, 1, 1])
+    assert got == [("It", "be", "void", "active", 0.6)]
