@@ -39,15 +39,15 @@ def _keys(words: Column) -> Column:
     return F.array_distinct(F.concat(words, F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(F.left(w, F.lit(3)), F.lit("*")))))
 
 
-def _grams(c: Column) -> Column:
-    """All distinct runs of 1, 2, 4 and 8 characters."""
+def _grams(c: Column, sizes: tuple[int, ...] = (4, 8)) -> Column:
+    """All distinct runs of so many characters."""
     runs = lambda k: F.transform(F.when(F.length(c) >= k, F.sequence(F.lit(1), F.length(c) - k + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, F.lit(k)))
-    return F.array_distinct(F.flatten(F.array(*[runs(k) for k in (1, 2, 4, 8)])))
+    return F.array_distinct(F.flatten(F.array(*[runs(k) for k in sizes])))
 
 
 def _lead(c: Column) -> Column:
-    """The longest beginning that ``_grams`` of any text around it has."""
-    return F.left(c, F.when(F.length(c) >= 8, 8).when(F.length(c) >= 4, 4).otherwise(F.least(F.length(c), F.lit(2))))
+    """The longest beginning that ``_grams`` of any text around it has, of a text of four characters or more."""
+    return F.left(c, F.when(F.length(c) >= 8, 8).otherwise(4))
 
 
 def _described(concepts: DataFrame) -> DataFrame:
@@ -71,20 +71,32 @@ def _variants(queries: DataFrame) -> DataFrame:
     return q.select("query", F.explode(phrases).alias("phrase")).filter("phrase <> ''").withColumn("words", query_words(F.col("phrase")))
 
 
-def candidates(queries: DataFrame, concepts: DataFrame) -> DataFrame:
+def candidates(queries: DataFrame, concepts: DataFrame, top: int | None = None) -> DataFrame:
     """Pairs of a query or an expansion of it and a concept, all that the relevance can be above 0 of.
 
-    They share a word or a beginning of three letters in label, preferred label, alternative labels or
-    definition, or one contains the other: the beginning of the shorter is then a gram of the longer.
+    They are equal, or share a word or a beginning of three letters in label, preferred label, alternative labels or
+    definition, or one contains the other: the beginning of the shorter is then a gram of the longer. Texts that contain each other count from
+    four characters on, but a definition counts for any query. A query of up to three characters scores the same by every definition that
+    has it, so with ``top`` only the first so many of these, by iri, are candidates: no others can be among a query's ``top`` best.
     """
     q, c = _variants(queries), _described(concepts)
+    whole = lambda df, name: df.filter(F.length(name) >= scoring.CONTAINED_LEAST)
     by_words = q.select("query", "phrase", F.explode(_keys(F.col("words"))).alias("key")).join(c.select("iri", F.explode(_keys(F.array_distinct(F.concat("l_words", "d_words", "p_words", F.flatten("s_words"))))).alias("key")), "key")
-    names = c.select("iri", F.explode(F.array(F.lower("label"), F.lower("preferred_label"), F.lower("definition"))).alias("name")).filter("name <> ''")
-    within = q.select("query", "phrase", _lead(F.col("phrase")).alias("key")).join(names.select("iri", "name", F.explode(_grams(F.col("name"))).alias("key")), "key").filter(F.contains("name", "phrase"))
-    labels = c.select("iri", F.lower("label").alias("name")).filter("name <> ''")
-    around = q.select("query", "phrase", F.explode(_grams(F.col("phrase"))).alias("key")).join(labels.withColumn("key", _lead(F.col("name"))), "key").filter(F.contains("phrase", "name"))
-    pairs = by_words.select("query", "phrase", "iri").union(within.select("query", "phrase", "iri")).union(around.select("query", "phrase", "iri")).distinct()
-    return pairs.join(q, ["query", "phrase"]).join(c, "iri")
+    names = whole(c.select("iri", F.explode(F.array(F.lower("label"), F.lower("preferred_label"), F.lower("definition"))).alias("name")), "name")
+    within = whole(q, "phrase").select("query", "phrase", _lead(F.col("phrase")).alias("key")).join(names.select("iri", "name", F.explode(_grams(F.col("name"))).alias("key")), "key").filter(F.contains("name", "phrase"))
+    labels = whole(c.select("iri", F.lower("label").alias("name")), "name")
+    around = whole(q, "phrase").select("query", "phrase", F.explode(_grams(F.col("phrase"))).alias("key")).join(labels.withColumn("key", _lead(F.col("name"))), "key").filter(F.contains("phrase", "name"))
+    same = c.select("iri", F.explode(F.array_distinct(F.array(F.lower("label"), F.lower("preferred_label")))).alias("phrase")).join(q.select("query", "phrase"), "phrase")
+    # the grams of definitions that some short query asks for, and of each the first by iri
+    short = q.filter(F.length("phrase") < scoring.CONTAINED_LEAST).select("query", "phrase")
+    held = c.select("iri", F.explode(_grams(F.lower("definition"), (1, 2, 3))).alias("phrase")).join(short.select("phrase").distinct(), "phrase", "left_semi")
+    if top is not None:
+        held = held.withColumn("place", F.row_number().over(W.partitionBy("phrase").orderBy("iri"))).filter(F.col("place") <= top)
+    brief = held.join(short, "phrase")
+    pairs = by_words.select("query", "phrase", "iri")
+    for more in (within, around, same, brief):
+        pairs = pairs.union(more.select("query", "phrase", "iri"))
+    return pairs.distinct().join(q, ["query", "phrase"]).join(c, "iri")
 
 
 def search(queries: DataFrame, concepts: DataFrame, top: int = 10, threshold: float = THRESHOLD) -> DataFrame:
@@ -95,7 +107,7 @@ def search(queries: DataFrame, concepts: DataFrame, top: int = 10, threshold: fl
     """
     described = _described(concepts)
     texts = described.groupBy(*_TEXTS).agg(F.min("iri").alias("iri"))
-    met = candidates(queries, texts)
+    met = candidates(queries, texts, top)
     words = F.col("words")
     by_synonym = F.coalesce(F.array_max(F.transform("s_words", lambda s: scoring.word_overlap(words, s))), F.lit(0.0))
     overlaps = {"by_label": "l_words", "by_definition": "d_words", "by_preferred": "p_words"}

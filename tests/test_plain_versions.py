@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_operators import plain_individuals
 
 from lexspan.functions.constants import EXPANSIONS, PATTERN_STOP, PHRASE_STOP, SEARCH_STOP
-from lexspan.operators import extract, graph, vectors
+from lexspan.operators import extract, graph, search, vectors
 from lexspan.operators.models import hashed_embedding
 from lexspan.plans import bindings
 from lexspan.plans.queries import QUERIES
@@ -185,10 +185,26 @@ def test_multi_search(spark, sf):
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=0.11) for k in want)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_search_like_plain(spark, seed):
+    """Short queries, ties, queries within definitions, and labels within queries; all scores and ranks."""
+    rng = random.Random(seed)
+    words_ = ["law", "a", "of", "ip", "contract", "contracts", "contracting", "tax", "taxation", "court", "courts", "x", "deed", "lawsuit", "estate"]
+    concepts = [{"iri": f"u:{i:03d}", "label": " ".join(rng.choices(words_, k=rng.randint(1, 3))), "definition": " ".join(rng.choices(words_, k=rng.randint(0, 6))) or None} for i in range(60)]
+    queries = sorted({*words_, "t", "co", "ct", "cou", "urt", "zz", *(" ".join(rng.choices(words_, k=rng.randint(1, 4))) for _ in range(25))})
+    df = spark.createDataFrame([(c["iri"], c["label"], c["definition"]) for c in concepts], "iri string, label string, definition string")
+    got = {}
+    for r in search.search(spark.createDataFrame([(q,) for q in queries], "query string"), df, top=7).collect():
+        got[r["query"], r["iri"]] = (r["rank"], r["score"])
+    want = {(q, i): (n + 1, s) for q in queries for n, (s, i) in enumerate(plain_search(q, concepts, 7))}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=0.11) for k in want)
+
+
 def test_resolve_with_hints(spark, sf):
     names = {0: "Area of Law", 1: "Service", 2: "Document Metadata", 3: None}
     parts = table(spark, sf, "part")
-    concepts = [{"iri": f"urn:part/{r['p_partkey']}", "label": r["p_name"], "definition": r["p_type"], "branch": names[r["p_partkey"] % 4]} for r in parts if r["p_partkey"] < 300]
+    concepts = [{"iri": f"urn:part/{r['p_partkey']}", "label": r["p_name"], "definition": r["p_type"], "branch": names[r["p_partkey"] % 4]} for r in parts]
     branch = {c["iri"]: c["branch"] for c in concepts}
     want = set()
     for text, hint in {(r["p_name"].lower(), "serv" if r["p_partkey"] % 2 == 0 else None) for r in parts}:
