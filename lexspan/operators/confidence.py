@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +17,24 @@ CONCEPT_PENALTY, PROPERTY_PENALTY, AFFINITY, REJECT_BELOW = 0.15, 0.12, 0.05, 0.
 
 
 def token_rows(sentences: DataFrame) -> DataFrame:
-    """(doc_id, start, end, token, pos, tag, position) from sentences (doc_id, start, text, tokens, pos_tags, fine_tags): tokens found one after the other."""
-    found = F.aggregate(
-        F.arrays_zip("tokens", "pos_tags", "fine_tags"),
-        F.struct(F.expr("CAST(array() AS array<struct<at:int,token:string,pos:string,tag:string>>)").alias("out"), F.lit(0).alias("at")),
-        lambda acc, t: F.struct(
-            F.concat(acc["out"], F.array(F.struct(_place(t["tokens"], acc["at"]).alias("at"), t["tokens"].alias("token"), t["pos_tags"].alias("pos"), t["fine_tags"].alias("tag")))).alias("out"),
-            (_place(t["tokens"], acc["at"]) + F.length(t["tokens"])).cast("int").alias("at"),
-        ),
-        lambda acc: acc["out"],
-    )
-    rows = sentences.select("doc_id", F.col("start").alias("base"), F.posexplode(found).alias("position", "t"))
-    return rows.select("doc_id", (F.col("base") + F.col("t.at")).alias("start"), (F.col("base") + F.col("t.at") + F.length("t.token")).alias("end"), F.col("t.token").alias("token"), F.col("t.pos").alias("pos"), F.col("t.tag").alias("tag"), "position")
-
-
-def _place(token, at):
-    found = F.call_function("locate", token, F.col("text"), at + 1)
-    return F.when(found > 0, found - 1).otherwise(at).cast("int")
+    """(doc_id, start, end, token, pos, tag, position) from sentences (doc_id, start, text, tokens, pos_tags, fine_tags): tokens found one after the other, one that isn't found standing where the last one ended."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if r.text is None or r.tokens is None:
+                    continue
+                at = 0
+                tags, fine = (list(x) if x is not None else [] for x in (r.pos_tags, r.fine_tags))
+                for i, token in enumerate(r.tokens):
+                    found = r.text.find(token, at)
+                    at = at if found < 0 else found
+                    out.append((r.doc_id, r.start + at, r.start + at + len(token), token, tags[i] if i < len(tags) else None, fine[i] if i < len(fine) else None, i))
+                    at += len(token)
+            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "token", "pos", "tag", "position"])
+
+    return sentences.select("doc_id", F.col("start").cast("int").alias("start"), "text", "tokens", "pos_tags", "fine_tags").mapInPandas(run, "doc_id long, start int, end int, token string, pos string, tag string, position int")
 
 
 def span_pos(spans: DataFrame, tokens: DataFrame) -> DataFrame:

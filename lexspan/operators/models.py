@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.functions.constants import MODEL_TASKS
+from lexspan.functions.constants import METADATA_FIELDS, MODEL_TASKS
 from lexspan.functions.text import bookends, unfenced
 
 Answer = Callable[[list[str]], list[str]]
@@ -93,16 +93,22 @@ def loaded(spark, path: str, model: str, count: int | None = None) -> DataFrame:
 
 
 def asked(df: DataFrame, prompt: str, answer: Answer) -> DataFrame:
-    """``df`` with ``answer`` and ``error``: prompts go to the model in batches."""
+    """``df`` with ``answer`` and ``error``: prompts go to the model in batches, and those of a batch that fails one by one, so that an error is its own prompt's alone."""
     kept = [f for f in df.schema.fields if f.name not in ("answer", "error")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", answer string, error string"
 
+    def tried(prompts: list[str]) -> tuple[list[str | None], list[str | None]]:
+        try:
+            return list(answer(prompts)), [None] * len(prompts)
+        except Exception as e:  # noqa: BLE001  the model's own errors, of any kind
+            if len(prompts) == 1:
+                return [None], [f"{type(e).__name__}: {e}"]
+        each = [tried([p]) for p in prompts]
+        return [a[0] for a, _ in each], [e[0] for _, e in each]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            try:
-                found, wrong = answer(pdf[prompt].tolist()), None
-            except Exception as e:  # the model's own errors, of any kind
-                found, wrong = [None] * len(pdf), f"{type(e).__name__}: {e}"
+            found, wrong = tried(pdf[prompt].tolist()) if len(pdf) else ([], [])
             yield pdf.assign(answer=found, error=wrong)
 
     return df.select(*[f.name for f in kept]).mapInPandas(run, schema)
@@ -157,3 +163,28 @@ def monthly_cost(prices: DataFrame, tokens_in: int = 800, tokens_out: int = 200)
     cost = prices.select("model", F.round(F.col("in_cost") * tokens_in + F.col("out_cost") * tokens_out, 8).alias("cost"))
     bare = cost.filter(F.contains("model", F.lit("/"))).select(F.substring_index("model", "/", -1).alias("model"), "cost")
     return cost.unionByName(bare).groupBy("model").agg(F.min("cost").alias("cost"))
+
+
+def metadata_prompt(kind: Column, block: Column) -> Column:
+    """Asks for a document's fields, given its type and what is known of it."""
+    names = ", ".join(f"{k} (a list)" if many else k for k, many in METADATA_FIELDS.items())
+    return F.concat(F.lit(f"Fill in what the context says of these fields; leave out the others. Answer as one JSON object. Fields: {names}.\nType: "), F.coalesce(kind, F.lit("unknown")), F.lit("\n\n"), block)
+
+
+def metadata_fields(answers: DataFrame) -> DataFrame:
+    """(doc_id, a column for each field) of answers (doc_id, answer): the object's known fields, texts or lists of texts; what isn't JSON, or of another kind, gives nulls.
+
+    A single text for a list is a list of one; blank texts and empty lists are null; other fields are passed over.
+    """
+    said = F.from_json(unfenced(F.col("answer")), ", ".join(f"`{k}` string" for k in METADATA_FIELDS))
+    met = answers.select("doc_id", said.alias("said"))
+
+    def one(name: str, many: bool) -> Column:
+        c = F.btrim(F.col(f"said.{name}"))
+        if not many:
+            return F.when((c != "") & ~F.startswith(c, F.lit("[")) & ~F.startswith(c, F.lit("{")), c).alias(name)
+        parts = F.when(F.startswith(c, F.lit("[")), F.from_json(c, "array<string>")).when((c != "") & ~F.startswith(c, F.lit("{")), F.array(c))
+        kept = F.filter(parts, lambda x: x.isNotNull() & (F.btrim(x) != ""))
+        return F.when(F.size(kept) > 0, kept).alias(name)
+
+    return met.select("doc_id", *[one(k, many) for k, many in METADATA_FIELDS.items()])

@@ -484,6 +484,30 @@ def majority_type(spark, sf):
     return metadata.majority(b.table(spark, sf, "events"), ["user_id"], "event_type", "event_id")
 
 
+@query(
+    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 < 3 THEN 'Order ' || o_orderkey END AS case_name, CASE o_orderkey % 5 WHEN 0 THEN 'Acme|Customer ' || o_custkey WHEN 1 THEN 'Acme' END AS parties, CASE WHEN o_orderkey % 5 < 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date_filed,
+CAST(CASE o_orderkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END AS INT) AS n_fields FROM orders"""
+)
+def metadata_fields(spark, sf):
+    """A model's answers on orders: whole ones, ones of other kinds than asked, and ones that are no JSON."""
+    o = b.table(spark, sf, "orders").withColumn("name", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))).withColumn("day", F.to_date("o_orderdate").cast("string"))
+    whole = F.to_json(F.struct(F.col("name").alias("case_name"), F.array(F.lit("Acme"), F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.lit(" ")).alias("parties"), F.col("day").alias("date_filed"), F.lit("true").alias("has_exhibits"), F.lit("x").alias("other")))
+    loose = F.to_json(F.struct(F.col("name").alias("case_name"), F.lit("Acme").alias("parties"), F.col("day").alias("date_filed"), F.array(F.lit("a")).alias("court"), F.lit("").alias("judge"), F.array().cast("array<string>").alias("witnesses")))
+    few = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("name").alias("case_name"))), F.lit("\n```"))
+    answer = F.coalesce(*[F.when(F.col("o_orderkey") % 5 == i, x) for i, x in enumerate((whole, loose, few, F.lit("none of these")))])
+    got = models.metadata_fields(o.select(F.col("o_orderkey").alias("doc_id"), answer.alias("answer")))
+    n = sum((F.col(c).isNotNull().cast("int") for c in got.columns if c != "doc_id"), F.lit(0))
+    return got.select("doc_id", "case_name", F.array_join("parties", "|").alias("parties"), "date_filed", n.alias("n_fields"))
+
+
+@query()
+def promoted_cues(spark, sf):
+    """Fields of sentences by the cues that are known for them."""
+    docs = b.sentences(spark, sf)
+    found = extract.extract(docs, ["court", "date", "money", "address"])
+    return metadata.promoted(found.select("doc_id", "start", "end", "text"), docs)
+
+
 @query()
 def promoted_fields(spark, sf):
     found = extract.extract(b.sentences(spark, sf), ["money", "date", "court", "duration"])

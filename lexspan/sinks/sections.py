@@ -175,7 +175,7 @@ def standoff(s: Sections) -> DataFrame:
     """
     flat = lambda c: F.regexp_replace(c, r"\s+", " ")
     name = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
-    attribute = lambda k, v: F.when(v.isNotNull() & (v != ""), F.struct(F.lit(k).alias("k"), v.alias("v")))
+    attribute = lambda k, v: F.when(v.isNotNull() & (v != ""), F.struct(F.lit(k).alias("k"), flat(v).alias("v")))
     none = F.lit(None).cast("string")
     concepts = F.array_sort(F.collect_list(F.struct("iri", "label")))
     a = s.annotations.groupBy("doc_id", "ann_id", "start", "end", "text").agg(F.min("branch").alias("branch"), concepts.alias("c"))
@@ -183,7 +183,7 @@ def standoff(s: Sections) -> DataFrame:
     rows = entity(a, 0, "ann_id", F.coalesce(name(F.col("branch")), F.lit("CONCEPT")), F.col("text"), F.flatten(F.transform("c", lambda x: F.array(attribute("IRI", x["iri"]), attribute("Label", x["label"])))))
     of_class = F.get("links", F.lit(0))["label"]
     links = F.transform("links", lambda x: attribute("IRI", x["iri"]))
-    rows = rows.unionByName(entity(s.individuals, 1, "ind_id", F.coalesce(name(of_class), F.upper(name(F.col("kind")))), F.col("mention"), F.concat(F.array(F.when(F.col("name") != F.col("mention"), F.struct(F.lit("CanonicalName").alias("k"), F.col("name").alias("v")))), links)))
+    rows = rows.unionByName(entity(s.individuals, 1, "ind_id", F.coalesce(name(of_class), F.upper(name(F.col("kind")))), F.col("mention"), F.concat(F.array(F.when(F.col("name") != F.col("mention"), F.struct(F.lit("CanonicalName").alias("k"), flat(F.col("name")).alias("v")))), links)))
     rows = rows.unionByName(entity(s.properties, 2, "prop_id", F.coalesce(name(F.col("label")), F.lit("PROPERTY")), F.col("text"), F.array(attribute("IRI", F.col("iri")))))
     both = s.triples.filter("subject_start IS NOT NULL AND object_start IS NOT NULL")
     empty = F.array(attribute("IRI", none))
@@ -239,6 +239,16 @@ def _csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def _standoff(s: Sections, path: str) -> None:
+    """Many documents to a file, each after a line ``# doc_id``, and beside them how many lines each has: (doc_id, n_lines)."""
+    lines = standoff(s)
+    head = F.struct(F.lit(0).alias("t"), F.lit(0).alias("o")).cast(lines.schema["ord"].dataType)
+    counted = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    every = lines.unionByName(counted.select("doc_id", head.alias("ord"), F.concat(F.lit("# "), F.col("doc_id").cast("string")).alias("line")))
+    every.repartition("doc_id").sortWithinPartitions("doc_id", "ord").select("line").write.text(f"{path}/lines")
+    counted.write.parquet(f"{path}/index")
+
+
 #: Writers of all sections by format: each takes sections and a path.
 WRITERS = {
     "csv": lambda s, path: _folders({"annotations": export.csv_rows(s.annotations), "individuals": csv_individuals(s.individuals), "properties": csv_properties(s.properties), "triples": csv_triples(s.triples)}, path, _csv),
@@ -249,7 +259,7 @@ WRITERS = {
     "elasticsearch": _text(bulk_lines),
     "neo4j": lambda s, path: _folders(dict(zip(("nodes", "relations"), graph(s), strict=True)), path, _csv),
     "rdf": _text(turtle),
-    "brat": lambda s, path: standoff(s).repartition("doc_id").sortWithinPartitions("doc_id", "ord").select("doc_id", "line").write.partitionBy("doc_id").text(path),
+    "brat": _standoff,
 }
 
 

@@ -272,6 +272,14 @@ def test_models(spark):
 
     assert models.asked(df, "prompt", fails).first()["error"] == "ValueError: no"
 
+    def some(prompts):
+        if "bad" in prompts:
+            raise ValueError("bad")
+        return [p.upper() for p in prompts]
+
+    mixed = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "bad", "b", "c"])], "doc_id long, prompt string").coalesce(1)
+    assert [(r["answer"], r["error"]) for r in models.asked(mixed, "prompt", some).orderBy("doc_id").collect()] == [("A", None), (None, "ValueError: bad"), ("B", None), ("C", None)]
+
 
 def test_ontology(spark, tmp_path):
     from lexspan.sources import ontology
@@ -401,6 +409,12 @@ def test_writers_of_sections(spark, tmp_path):
     back = spark.read.json(f"{tmp_path}/json")
     assert back.count() == 40 and {r["individuals"][0]["name"] for r in back.collect()} == {'a "b" <c>, d\n'}
     assert spark.read.format("xml").option("rowTag", "document").load(f"{tmp_path}/xml").count() == 40
+    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/brat/lines").collect()]
+    index = {r["doc_id"]: r["n_lines"] for r in spark.read.parquet(f"{tmp_path}/brat/index").collect()}
+    for d, n in index.items():  # a document's lines follow its head
+        at = lines.index(f"# {d}")
+        assert lines[at + 1].startswith("T1\t") and not any(x.startswith("# ") for x in lines[at + 1 : at + 1 + n])
+    assert len(lines) == sum(index.values()) + len(index)
     rejected = few.annotations.filter("state = 'rejected'").count()
     assert rejected and sections.shown(few, include_dismissed=True).annotations.count() - sections.shown(few).annotations.count() == rejected
     docs = spark.createDataFrame([(1, "a < b court")], "doc_id long, text string")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import plain_individuals
 
-from lexspan.functions.constants import EXPANSIONS, PATTERN_STOP, PHRASE_STOP, SEARCH_STOP
+from lexspan.functions.constants import EXPANSIONS, FIELD_CUES, PATTERN_STOP, PHRASE_STOP, SEARCH_STOP
 from lexspan.operators import extract, graph, search, vectors
 from lexspan.operators.models import hashed_embedding
 from lexspan.plans import bindings
@@ -384,3 +384,58 @@ def test_nearest_within(spark):
     assert set(got) == set(want) and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-6 for i in got)
     assert vectors.Codes.fit(known.limit(0)).nearest_within(queries, 0.8).count() == 0
     assert vectors.Codes.fit(known).nearest_within(queries.limit(0), 0.8).count() == 0
+
+
+@pytest.mark.parametrize("name", ["promoted_fields", "promoted_cues"])
+def test_promoted(spark, sf, name):
+    """Each find in order fills the first field that is still empty and whose cue stands within 50 characters before it."""
+    cues, kinds = (FIELD_CUES, ["court", "date", "money", "address"]) if name == "promoted_cues" else ({"price": ["pay"], "date": ["on "], "term": ["within"], "court": ["that the"]}, ["money", "date", "court", "duration"])
+    docs = bindings.sentences(spark, sf)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    by_doc = defaultdict(list)
+    for r in extract.extract(docs, kinds).collect():
+        by_doc[r["doc_id"]].append((r["start"], r["end"], r["text"]))
+    want = set()
+    for d, found in by_doc.items():
+        filled = {}
+        for start, _, text in sorted(found):
+            before = texts[d][max(0, start - 50) : start].lower()
+            field = next((f for f, c in cues.items() if f not in filled and any(x in before for x in c)), None)
+            if field:
+                filled[field] = text
+        want |= {(d, f, v) for f, v in filled.items()}
+    got = {(r["doc_id"], r["field"], r["value"]) for r in QUERIES[name](spark, sf).collect()}
+    assert got == want and want
+
+
+def test_span_pos(spark, sf):
+    """The most frequent tag of the tokens that a span touches, the first of equals."""
+    docs = bindings.sentences(spark, sf)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = set()
+    for r in extract.extract(docs, ["money", "duration"]).collect():
+        at, tags = 0, []
+        for t in texts[r["doc_id"]].split(" "):
+            if at < r["end"] and r["start"] < at + len(t):
+                tags.append("NUM" if re.match("[0-9]", t) else "NOUN")
+            at += len(t) + 1
+        want.add((r["doc_id"], r["start"], r["end"], max(tags, key=lambda t: (tags.count(t), -tags.index(t))) if tags else None))
+    got = {(r["doc_id"], r["start"], r["end"], r["pos"]) for r in QUERIES["span_pos"](spark, sf).collect()}
+    assert got == want
+
+
+def test_resolve_mentions(spark, sf):
+    parts = table(spark, sf, "part")
+    concepts = [{"iri": f"urn:part/{r['p_partkey']}", "label": r["p_name"], "definition": r["p_type"]} for r in parts]
+    best = {}
+    got = QUERIES["resolve_mentions"](spark, sf).collect()
+    assert len(got) == len(parts)
+    for r in got:
+        if r["asked_iri"]:
+            assert (r["iri"], r["confidence"]) == (r["asked_iri"], 0.7)
+            continue
+        if r["text"] not in best:
+            best[r["text"]] = plain_search(r["text"], concepts, 5)
+        score, iri = best[r["text"]][0]
+        assert r["iri"] == iri and r["confidence"] == pytest.approx(0.7 * 0.6 + score / 100 * 0.4, abs=1e-3)
+        assert [x["iri"] for x in r["backups"]] == [i for _, i in best[r["text"]][1:]]
