@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.staging import discard, shared_dir, staged
+
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "discard", "lower_ascii", "partitions", "scoped", "shared_dir", "small", "staged", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -53,38 +55,5 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset a temporary one, on one machine only: elsewhere that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, tag: str, made: list[str] | None = None) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends there, and a lost executor costs no rerun.
-
-    The path is added to ``made``, so that whoever reads the table last can give it to ``discard``. What a
-    returned DataFrame still reads stays, in a folder named after the application.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if made is not None:
-        made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, made: list[str]) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for path in made:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    made.clear()
-
-
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)

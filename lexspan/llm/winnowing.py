@@ -26,7 +26,7 @@ from lexspan.llm.common import partitions, small
 
 K = 8
 WINDOW = 8  # at most 255, as gaps are written in a byte
-RANGE_BYTES = 32 << 20  # of text in a range, which is one task
+RANGE_BYTES, MOST_RANGES = 32 << 20, 10_000  # of text in a range, which is one task; and ranges at most
 
 _BASE = 0x9E3779B97F4A7C15  # fixed value: an odd multiplier
 _LOWEST = -(1 << 63)
@@ -129,9 +129,9 @@ def _bounds(ids: DataFrame, ranges: int) -> list[tuple[int, int]]:
 
 
 def ranges_of(df: DataFrame) -> int:
-    """Ranges of about RANGE_BYTES of text, and two for each shuffle partition at least."""
+    """Ranges of about RANGE_BYTES of text, two for each shuffle partition at least; MOST_RANGES at most, which are larger then: their bounds stand in the plan, and a range is sorted with spills and streamed."""
     size = df.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(2 * partitions(df.sparkSession), -(-size // RANGE_BYTES))
+    return max(2 * partitions(df.sparkSession), min(MOST_RANGES, -(-size // RANGE_BYTES)))
 
 
 def with_next(df: DataFrame, ranges: int) -> DataFrame:
