@@ -94,10 +94,16 @@ def catalogued(types: DataFrame, catalogue: dict[str, list[str]] = DOCUMENT_TYPE
 
 
 def context_block(c: DataFrame) -> DataFrame:
-    """(doc_id, block): what a model is told of a document, from (doc_id, entities map<string,array<string>>, weak array<struct<name,type,confidence>>, relations, concepts array<string>); empty parts are left out."""
+    """(doc_id, block): what a model is told of a document, from (doc_id, entities map<string,array<string>>, weak array<struct<name,type,confidence>>, relations, concepts array<string>, and perhaps areas array<struct<area,confidence>>, header, footer string); empty parts are left out."""
     part = lambda title, lines: F.when(F.size(lines) > 0, F.concat_ws("\n", F.lit(title), F.array_join(lines, "\n")))
     named = F.transform(F.array_sort(F.map_entries("entities")), lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), F.array_join(e["value"], ", ")))
     weak = F.transform(F.slice("weak", 1, WEAK), lambda w: F.format_string('  "%s" (%s, %.2f)', w["name"], w["type"], w["confidence"]))
     relations = F.transform(F.slice("relations", 1, TRIPLES), lambda r: F.concat(F.lit("  "), r))
     concepts = F.when(F.size("concepts") > 0, F.concat(F.lit("CONCEPTS:\n  "), F.array_join(F.slice("concepts", 1, CONCEPTS), ", ")))
-    return c.select("doc_id", F.concat_ws("\n\n", part("NAMED ENTITIES:", named), part("ENTITIES IN DOUBT:", weak), part("RELATIONSHIPS:", relations), concepts).alias("block"))
+    more = []
+    if "areas" in c.columns:
+        more.append(part("AREAS OF LAW:", F.transform("areas", lambda a: F.concat(F.lit("  "), a["area"], F.lit(" ("), F.round(a["confidence"] * 100).cast("int").cast("string"), F.lit("%)")))))
+    for name, title in (("header", "HOW IT BEGINS:"), ("footer", "HOW IT ENDS:")):
+        if name in c.columns:
+            more.append(F.when(F.col(name) != "", F.concat(F.lit(f"{title}\n"), name)))
+    return c.select("doc_id", F.concat_ws("\n\n", part("NAMED ENTITIES:", named), part("ENTITIES IN DOUBT:", weak), part("RELATIONSHIPS:", relations), concepts, *more).alias("block"))

@@ -295,6 +295,25 @@ def document_metadata(spark, sf):
     return out.select("doc_id", "document_type", "confidence", F.to_json("fields").alias("fields"), F.to_json("entities").alias("entities"))
 
 
+@query(
+    f"""WITH s AS (SELECT o_orderkey AS doc_id, {b.SENTENCE.replace("STRING", "VARCHAR")} AS text, * FROM orders), parts AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'NAMED ENTITIES:' || chr(10) || '  Courts: Court ' || o_custkey END AS named,
+CASE WHEN o_orderkey % 3 = 1 THEN 'ENTITIES IN DOUBT:' || chr(10) || '  "Court ' || o_custkey || '" (Courts, 0.40)' END AS doubt, CASE WHEN o_orderkey % 2 = 0 THEN 'RELATIONSHIPS:' || chr(10) || '  Acme pay Customer ' || o_custkey || chr(10) || '  sue Acme' END AS related,
+CASE WHEN o_orderkey % 5 < 4 THEN 'CONCEPTS:' || chr(10) || '  ' || CASE WHEN o_orderkey % 5 < 2 THEN 'lease, deed' ELSE 'lease' END END AS concepts, CASE WHEN o_orderkey % 7 < 5 THEN 'AREAS OF LAW:' || chr(10) || '  Tax (90%)' || CASE WHEN o_orderkey % 7 < 2 THEN chr(10) || '  Property (50%)' ELSE '' END END AS areas FROM s)
+SELECT doc_id, md5(concat_ws(chr(10) || chr(10), named, doubt, related, concepts, areas, 'HOW IT BEGINS:' || chr(10) || left(text, 1000), CASE WHEN length(text) > 1000 THEN 'HOW IT ENDS:' || chr(10) || right(text, least(length(text) - 1000, 500)) END)) AS block_md5 FROM parts"""
+)
+def document_context(spark, sf):
+    """What a model is told of each order's sentence, parts of it missing here and there."""
+    docs, o = b.sentences(spark, sf), b.table(spark, sf, "orders").withColumn("doc_id", F.col("o_orderkey"))
+    some = lambda where, *cols: o.filter(where).selectExpr("doc_id", *cols)
+    people = some("doc_id % 3 < 2", "concat('Court ', o_custkey) AS name", "'Courts' AS type", "CASE WHEN doc_id % 3 = 0 THEN 0.9D ELSE 0.4D END AS confidence", "0 AS start")
+    relations = some("doc_id % 2 = 0", "1 AS place", "'' AS subject", "'sue' AS predicate", "'Acme' AS object").unionByName(some("doc_id % 2 = 0", "0 AS place", "'Acme' AS subject", "'pay' AS predicate", "concat('Customer ', o_custkey) AS object"))
+    concept = lambda where, label, sure, place: some(where, f"'{label}' AS label", f"{sure}D AS confidence", f"{place} AS place")
+    concepts = concept("doc_id % 5 < 2", "deed", 0.8, 9).unionByName(concept("doc_id % 5 < 4", "lease", 0.95, 2)).unionByName(concept("true", "doubtful", 0.5, 0))
+    area = lambda where, name, sure: some(where, f"'{name}' AS area", f"{sure}D AS confidence")
+    areas = area("doc_id % 7 < 2", "Property", 0.5).unionByName(area("doc_id % 7 < 5", "Tax", 0.9)).unionByName(area("true", "Unlikely", 0.2))
+    return stages.document_context(docs, people, relations, concepts, areas).select("doc_id", F.md5("block").alias("block_md5"))
+
+
 # Feedback, jobs and history
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import text as T
 from lexspan.functions.constants import EXCLUDED_BRANCHES, PATTERN_STOP, PHRASE_STOP
-from lexspan.operators import confidence, extract, lexicon, metadata, models, overlap, properties, search, triples, vectors
+from lexspan.operators import confidence, extract, lexicon, metadata, models, overlap, properties, search, vectors
 from lexspan.operators.intervals import containment_join
 from lexspan.sources import ontology
 
@@ -164,11 +164,6 @@ def semantic_matches(found: DataFrame, labels: DataFrame, embed=models.hashed_em
     return found.join(best.withColumnRenamed("query_id", "phrase").withColumnRenamed("vec_id", "iri"), "phrase").select("doc_id", "start", "end", "phrase", "iri", "similarity")
 
 
-def triple_rows(parsed: DataFrame, annotations: DataFrame, individuals: DataFrame, found: DataFrame) -> DataFrame:
-    """Flat triples with what they are linked to."""
-    return triples.enriched(parsed, annotations, individuals, found)
-
-
 def document_metadata(docs: DataFrame, answers: DataFrame, individuals: DataFrame, spans: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, document_type, confidence, fields map<string,string>, entities map<string,array<string>>).
 
@@ -182,3 +177,26 @@ def document_metadata(docs: DataFrame, answers: DataFrame, individuals: DataFram
     entities = metadata.entities_by_type(individuals).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "names")))).alias("entities"))
     return docs.select("doc_id").join(said, "doc_id", "left").join(fields, "doc_id", "left").join(entities, "doc_id", "left")
 
+
+
+#: Characters of a text's beginning and end that a model is shown.
+HEADER, FOOTER = 1000, 500
+
+
+def document_context(docs: DataFrame, individuals: DataFrame, relations: DataFrame, concepts: DataFrame, areas: DataFrame) -> DataFrame:
+    """(doc_id, block): what a model is told of each document (doc_id, text): its individuals (doc_id, name, type, confidence, start), certain and in doubt, triples (doc_id, place,
+    subject, predicate, object), concepts (doc_id, label, confidence, place), areas of law (doc_id, area, confidence), and how its text begins and, if it is longer than that, ends.
+
+    Each part is aggregated by document and joined; what a document lacks is left out of its block.
+    """
+    gathered = lambda df, name, x: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(x)).alias(name))
+    entities = metadata.entities_by_type(individuals).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "names")))).alias("entities"))
+    weak = gathered(metadata.weak_entities(individuals), "weak", F.struct("name", "type", "confidence"))
+    said = relations.select("doc_id", "place", F.concat_ws(" ", F.nullif("subject", F.lit("")), "predicate", "object").alias("line"))
+    related = said.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]).alias("relations"))
+    ranked = metadata.areas(areas).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "area", "confidence"))), lambda x: F.struct(x["area"].alias("area"), x["confidence"].alias("confidence"))).alias("areas"))
+    text = F.coalesce("text", F.lit(""))
+    ends = docs.select("doc_id", F.left(text, F.lit(HEADER)).alias("header"), F.when(F.length(text) > HEADER, F.right(text, F.least(F.length(text) - HEADER, F.lit(FOOTER)))).alias("footer"))
+    out = ends.join(entities, "doc_id", "left").join(weak, "doc_id", "left").join(related, "doc_id", "left").join(metadata.top_labels(concepts).withColumnRenamed("labels", "concepts"), "doc_id", "left").join(ranked, "doc_id", "left")
+    out = out.withColumn("entities", F.coalesce("entities", F.create_map().cast("map<string,array<string>>"))).withColumn("weak", F.coalesce("weak", F.array().cast("array<struct<name:string,type:string,confidence:double>>")))
+    return metadata.context_block(out)

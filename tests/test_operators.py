@@ -472,3 +472,11 @@ def test_parses():
     assert triples.offsets("The court,  ruled", 7, ["The", "court", ",", "gone", "ruled"]) == [(7, 10), (11, 16), (16, 17), (17, 17), (19, 24)]
     got = triples.svo(["It", "is", "void"], ["it", "be", "void"], ["PRON", "AUX", "ADJ"], ["nsubj", "ROOT", "attr"], [1, 1, 1])
     assert got == [("It", "be", "void", "active", 0.6)]
+
+
+def test_visible_branches():
+    from lexspan.functions.constants import BRANCHES, EXCLUDED_BRANCHES
+    from lexspan.operators import concepts
+
+    names = concepts.visible_branches()
+    assert names == sorted(names) and not set(names) & set(EXCLUDED_BRANCHES) and set(names) | set(EXCLUDED_BRANCHES) >= {n for n, _ in BRANCHES.values()}
