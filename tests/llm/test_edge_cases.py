@@ -270,6 +270,45 @@ def test_mixing(spark, odd, none):
     assert all(abs(r["t"] - r["target"]) <= 7 for r in by)
 
 
+def test_mixing_divides_repeated_rows(spark):
+    """A source, null too, that is one repeated row meets its target by rows, of which equal ones may differ in other columns."""
+    rows = [(5, "one two three", "a", i) for i in range(3001)] + [(6, "w " * 11, None, i) for i in range(1500)] + [(i, "x " * 9, "b", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(7)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        mine = by.setdefault(r["source"], [0, r["target"]])
+        mine[0] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    assert set(by) == {"a", "b", None}
+    assert all(abs(taken - target) <= size / 2 for (taken, target), size in ((by["a"], 3), (by[None], 11), (by["b"], 9)))
+    again = mixing.repeated(df)
+    assert again.columns == df.columns
+    size = {"a": 3, None: 11, "b": 9}
+    assert {r["source"]: r["count"] * size[r["source"]] for r in again.groupBy("source").count().collect()} == {k: v[0] for k, v in by.items() if v[0]}
+    assert mixing.mix(df).groupBy("doc_id", "taken").count().orderBy("doc_id", "taken").collect() == mixing.mix(df.repartition(3)).groupBy("doc_id", "taken").count().orderBy("doc_id", "taken").collect()
+
+
+def test_fixity_copies_leave_a_task_once(spark, monkeypatch):
+    def batch(rows):
+        return pa.RecordBatch.from_pylist([{"file_id": f, "path": p, "sha": d, "data": d * 9, "copies": c} for f, p, d, c in rows])
+
+    given = [[(1, "p", b"a", 1), (1, "p", b"a", 2), (1, "q", b"b", 1)], [(1, "p", b"a", 4), (2, "p", b"a", 1)], [], [(1, "q", b"b", 1), (1, "p", b"a", 1)]]
+    for most in (100_000, 2):
+        monkeypatch.setattr(fixity, "MET_RECORDS", most)
+        out = [r for b in fixity._collapsed(iter([batch(x) if x else batch(given[0]).slice(0, 0) for x in given])) for r in b.to_pylist()]
+        sums = {}
+        for r in out:
+            key = r["file_id"], r["path"], r["sha"]
+            sums.setdefault(key, [0, set()])
+            sums[key][0] += r["copies"]
+            sums[key][1].add(r["data"])
+        assert {k: v[0] for k, v in sums.items()} == {(1, "p", b"a"): 8, (1, "q", b"b"): 2, (2, "p", b"a"): 1}
+        assert all(v[1] - {None} == {k[2] * 9} for k, v in sums.items())
+    assert list(fixity._collapsed(iter([]))) == []
+
+
 def test_toxicity(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.score(odd, labels).collect()
