@@ -27,9 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexspan.llm.common import staged
+from lexspan.llm.common import discard, staged
 
 FILE_RECORDS = 4096
+MET_RECORDS = 100_000
+KEYS = ("file_id", "path", "sha")
 LEVELS = 3  # digits: a node of the last level has about one record of a file
 MARK = "WARC-Record-ID: <urn:page:"
 
@@ -63,17 +65,35 @@ def file_of(name: Column, files: int) -> Column:
 
 
 def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal records of a batch as one, with how many they are: a group of copies shrinks before it meets in one file."""
+    """A task's records (file_id, path, sha, data, copies), each with its bytes once: what comes again is counted, and leaves as one row without bytes.
+
+    So a group of copies sends its file a row or two from each task. MET_RECORDS digests are kept at most, then they are let go and met anew.
+    """
+    again: dict[tuple, int] = {}
+    schema = None
     for b in batches:
-        found = pa.Table.from_batches([b]).group_by(["file_id", "data"]).aggregate([("copies", "sum")])
-        yield from found.select(["file_id", "data", "copies_sum"]).rename_columns(["file_id", "data", "copies"]).combine_chunks().to_batches()
+        schema, new = b.schema, []
+        for key, n in zip(zip(*(b.column(c).to_pylist() for c in KEYS), strict=True), b.column("copies").to_pylist(), strict=True):
+            new.append(key not in again)
+            again[key] = 0 if new[-1] else again[key] + n
+        yield b.filter(pa.array(new, pa.bool_()))
+        if len(again) >= MET_RECORDS:
+            yield from _counted(again, schema)
+            again.clear()
+    if schema is not None:
+        yield from _counted(again, schema)
+
+
+def _counted(again: dict[tuple, int], schema: pa.Schema) -> list[pa.RecordBatch]:
+    rows = [{**dict(zip(KEYS, key, strict=True)), "data": None, "copies": n} for key, n in again.items() if n]
+    return pa.Table.from_pylist(rows, schema).to_batches()
 
 
 def pack(records: DataFrame) -> DataFrame:
     """(file_id, record_offset, data, copies) of records (file_id, data, copies): one after the other, by the digest of their id, then of their bytes; all in one shuffle by file."""
-    few = records.select(F.col("file_id").cast("long"), "data", F.col("copies").cast("long")).mapInArrow(_collapsed, "file_id long, data binary, copies long")
-    keyed = few.select("file_id", F.md5(record_id(F.col("data"))).alias("path"), F.unhex(F.sha2("data", 256)).alias("sha"), "data", "copies").repartition("file_id")
-    each = keyed.groupBy("file_id", "path", "sha").agg(F.first("data").alias("data"), F.sum("copies").alias("copies")).withColumn("n", F.octet_length("data").cast("long"))
+    keyed = records.select(F.col("file_id").cast("long"), F.md5(record_id(F.col("data"))).alias("path"), F.unhex(F.sha2("data", 256)).alias("sha"), "data", F.col("copies").cast("long"))
+    few = keyed.mapInArrow(_collapsed, "file_id long, path string, sha binary, data binary, copies long").repartition("file_id")
+    each = few.groupBy(*KEYS).agg(F.first("data", ignorenulls=True).alias("data"), F.sum("copies").alias("copies")).withColumn("n", F.octet_length("data").cast("long"))
     w = W.partitionBy("file_id").orderBy("path", "sha").rowsBetween(W.unboundedPreceding, W.currentRow)
     return each.select("file_id", (F.sum("n").over(w) - F.col("n")).alias("record_offset"), "data", "copies")
 
@@ -124,7 +144,8 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     replica_root_sha256, status.
     """
     a, b = (staged(tree(leaves(x)), "tree") for x in (ours, theirs))
-    pairs = staged(differing(a, b), "differing")
+    made: list[str] = []
+    pairs = staged(differing(a, b), "differing", made)
     listed = lambda mine, other: pairs.select("file_id", F.explode(mine).alias("r"), F.transform(F.coalesce(other, F.array()), lambda x: x["hash"]).alias("others")).filter(~F.array_contains("others", F.col("r.hash")))
     left = listed(F.col("a"), F.col("b")).select("file_id", F.col("r.start").alias("start"), F.col("r.id").alias("id"), F.col("r.hash").alias("sha"), F.col("r.copies").alias("copies"))
     right = listed(F.col("b"), F.col("a")).select(F.col("file_id").alias("rf"), F.col("r.start").alias("rs"), (F.col("r.end") - F.col("r.start")).alias("rl"), F.col("r.id").alias("id"), F.col("r.hash").alias("rsha"), F.col("r.formed").alias("rformed"))
@@ -136,6 +157,7 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     status = F.when(F.col("rsha").isNull(), "missing").when(F.col("sha").isNull(), "extra").otherwise("damaged")
     other = nth(rest_l, "file_id", "start").join(nth(rest_r, "rf", "rs"), ["id", "nth"], "full").select("id", "file_id", "start", "rf", "rs", "rl", "rsha", "rformed", status.alias("status"))
     wrong = staged(same.unionByName(other), "wrong")
+    discard(ours.sparkSession, made)
     return _report(a, b, wrong)
 
 
@@ -173,17 +195,17 @@ def _page(data: Column) -> Column:
     return F.regexp_extract(record_id(data), r"^(-?[0-9]{1,19}):", 1)
 
 
-def replicas(pages: DataFrame, per_file: int = FILE_RECORDS) -> tuple[DataFrame, DataFrame]:
+def replicas(pages: DataFrame, per_file: int = FILE_RECORDS, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Two replicas of pages (page_id, url, html), laid out apart; the first with how many rows each record is.
 
     The second one has planted faults, drawn by page_id: some records have lost their last ten bytes, some have another byte in their
-    first line, some are missing, some lie in the next file, and some are followed by one that we don't have.
+    first line, some are missing, some lie in the next file, and some are followed by one that we don't have. The paths of both tables are added to ``paths``.
     """
     files = max(1, -(-pages.count() // per_file))
     data, text, n = F.col("data"), F.col("data").cast("string"), F.octet_length("data")
     place = file_of(record_id(data), files)
     made = pages.select(record(F.col("page_id"), F.col("url"), F.col("html")).alias("data"), F.lit(1).alias("copies"))
-    ours = staged(pack(made.select(place.alias("file_id"), "data", "copies")), "replica")
+    ours = staged(pack(made.select(place.alias("file_id"), "data", "copies")), "replica", paths)
     draw = F.when(_page(data) == "", 0).otherwise(F.conv(F.substring(F.md5(_page(data)), 1, 6), 16, 10).cast("long"))
     each = ours.select("data", F.lit(1).alias("copies"), draw.alias("draw"), place.alias("place"))
     changed = F.concat(F.substring(text, 1, 9), F.lit("R"), F.substring(text, 11, 1 << 30))
@@ -191,12 +213,14 @@ def replicas(pages: DataFrame, per_file: int = FILE_RECORDS) -> tuple[DataFrame,
     kept = each.filter("draw % 211 <> 5").select(((F.col("place") + F.when(F.col("draw") % 223 == 6, 1).otherwise(0)) % files).alias("file_id"), fault.alias("data"), "copies")
     more = record(F.concat(F.lit("x"), record_id(data)), F.lit(""), F.lit("extra"))
     added = each.filter("draw % 227 = 8").select(F.col("place").alias("file_id"), more.alias("data"), "copies")
-    return ours, staged(pack(kept.unionByName(added)), "replica")
+    return ours, staged(pack(kept.unionByName(added)), "replica", paths)
 
 
 def audited(pages: DataFrame, per_file: int = FILE_RECORDS) -> DataFrame:
     """``audit`` of two replicas of ``pages``, with the page_id that the record's bytes name."""
-    found = audit(*replicas(pages, per_file))
+    made: list[str] = []
+    found = audit(*replicas(pages, per_file, made))
+    discard(pages.sparkSession, made)  # the trees hold all that is reported
     return found.withColumn("page_id", F.regexp_extract("record_id", r"^(-?[0-9]{1,19}):", 1).try_cast("long"))
 
 
