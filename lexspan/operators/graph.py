@@ -2,7 +2,7 @@
 
 A step joins the frontiers of all starts with the edges, so the number of steps is that of levels, not of
 starts. A start never has more than ``most`` nodes, so neither has its frontier; what a step finds beyond that is
-counted and dropped, the first by iri staying. Nodes are taken in phases: ancestors up to the roots, descendants, see-also nodes of all
+counted and dropped, the first by iri staying; with None for ``most`` all stay. Nodes are taken in phases: ancestors up to the roots, descendants, see-also nodes of all
 these, and the ancestors of see-also nodes. Within a phase nearer nodes come first.
 """
 
@@ -31,7 +31,7 @@ class Graph(NamedTuple):
 class _Search:
     """Nodes so far (start, iri, depth), and how many new ones each step found, kept or not (start, n), as staged tables."""
 
-    def __init__(self, starts: DataFrame, most: int) -> None:
+    def __init__(self, starts: DataFrame, most: int | None) -> None:
         self.most, self.made = most, []
         self.nodes = staged(starts.select("start", F.col("start").alias("iri"), F.lit(0).alias("depth")), "graph", self.made)
         self.found: DataFrame | None = None
@@ -40,10 +40,13 @@ class _Search:
         """Of (start, iri, depth) those that are nodes or become nodes, with ``new``: a start takes as many as it has room for."""
         known = self.nodes.select("start", "iri", F.lit(True).alias("known"))
         met = found.join(known, ["start", "iri"], "left")
-        room = self.nodes.groupBy("start").agg((F.lit(self.most) - F.count(F.lit(1))).alias("room"))
-        # the rank's bound lets each task keep its own first ones before the shuffle
-        ranked = met.filter("known IS NULL").withColumn("rank", F.row_number().over(W.partitionBy("start").orderBy("iri"))).filter(F.col("rank") <= self.most)
-        fresh = ranked.join(room, "start").filter("rank <= room").select("start", "iri", "depth", F.lit(True).alias("new"))
+        fresh = met.filter("known IS NULL")
+        if self.most is not None:
+            room = self.nodes.groupBy("start").agg((F.lit(self.most) - F.count(F.lit(1))).alias("room"))
+            # the rank's bound lets each task keep its own first ones before the shuffle
+            ranked = fresh.withColumn("rank", F.row_number().over(W.partitionBy("start").orderBy("iri"))).filter(F.col("rank") <= self.most)
+            fresh = ranked.join(room, "start").filter("rank <= room")
+        fresh = fresh.select("start", "iri", "depth", F.lit(True).alias("new"))
         old = met.filter("known").select("start", "iri", "depth", F.lit(False).alias("new"), F.lit(0).cast("long").alias("n"))
         count = met.filter("known IS NULL").groupBy("start").agg(F.count(F.lit(1)).alias("n")).select("start", F.lit(None).cast("string").alias("iri"), F.lit(None).cast("int").alias("depth"), F.lit(False).alias("new"), "n")
         level = staged(old.unionByName(fresh.withColumn("n", F.lit(0).cast("long"))).unionByName(count), "graph", self.made)
@@ -66,7 +69,7 @@ class _Search:
         return every
 
 
-def explore(edges: DataFrame, see_also: DataFrame, starts: DataFrame, up: int = UP, down: int = DOWN, also: int = ALSO, most: int = MOST) -> Graph:
+def explore(edges: DataFrame, see_also: DataFrame, starts: DataFrame, up: int = UP, down: int = DOWN, also: int = ALSO, most: int | None = MOST) -> Graph:
     """The graph of each start (iri), along (child, parent) and the first ``also`` links (a, b, ord) of each node; a see-also edge goes from the lesser iri to the greater.
 
     Depths are below 0 upwards, 0 for see-also nodes, and an ancestor of a see-also node has its distance from the nearest of these. The ends
