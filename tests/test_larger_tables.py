@@ -29,3 +29,15 @@ def test_graphs_of_many_nodes_are_whole(spark, tables, name):
     con = connect(folder)
     assert con.execute(f"SELECT max(n) FROM (SELECT count(*) AS n FROM ({ORACLE_SQL['graph_nodes']}) GROUP BY start)").fetchall()[0][0] > 200
     assert_same(spark, con, folder, QUERIES[name], ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_annotations_whose_ids_repeat_are_told_apart(spark, sf, monkeypatch, ascending):
+    """Of lines of one order, number and span but of several parts the least part counts, in whatever order they are read."""
+    plain, seen = stage_queries.b.annotations, []
+    more = lambda spark, sf: plain(spark, sf).select("doc_id", "ann_id", "start", "end", F.explode(F.array(*[F.concat("text", F.lit(f" {i}")) for i in range(3)])).alias("text")).withColumn("iri", F.col("text")).coalesce(1).sortWithinPartitions("text", ascending=ascending)
+    monkeypatch.setattr(stage_queries.b, "annotations", more)
+    monkeypatch.setattr(stage_queries.ann, "attach", lambda matches, single: seen.append(single) or matches.select("doc_id", "start", "end", F.lit("").alias("ann_id"), F.lit(True).alias("created")))
+    QUERIES["attached_matches"](spark, sf)
+    want = more(spark, sf).groupBy("doc_id", "start", "end").agg(F.min(F.struct("ann_id", "text", "iri")).alias("x")).select("doc_id", "start", "end", "x.text")
+    assert sorted(map(tuple, seen[0].select("doc_id", "start", "end", "text").collect())) == sorted(map(tuple, want.collect()))
