@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from pathlib import Path
 
@@ -487,3 +488,29 @@ def test_jaccard(odd, none):
     assert partenum.join(none).count() == 0
     kept = partenum.representatives(odd)
     assert kept.columns == odd.columns and kept.count() == 5
+
+
+def test_staged_tables_leave_no_shuffle_files(spark, tmp_path):
+    """A staged table's shuffle files are deleted when it is written, not when the driver collects its garbage."""
+    from lexspan.staging import CLEANUP, staged
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(folder.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(CLEANUP)
+    made = staged(spark.range(50_000).repartition(8, "id"), "shuffled")
+    assert spark.conf.get(CLEANUP) == setting
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert made.count() == 50_000
+
+
+def test_a_worker_keeps_one_operators_tables(spark):
+    """Near duplicates drop the encoder that a stage before has left in the worker."""
+    encoder = byte_bpe.Encoder.of(RANKS, P.PATTERN)
+    assert byte_bpe.Encoder._made and encoder
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1], "k1": [1], "k2": [1], "text": ["a b c d e f"]})
+    assert [b.num_rows for b in partenum._describe(iter([rows]))] == [1]
+    assert not byte_bpe.Encoder._made
