@@ -1,10 +1,13 @@
 """Queries against SQL on tables that have what the small ones lack: hubs, repeated ids."""
 
+import random
+
 import duckdb
 import pytest
 from compare import assert_same, connect
 from pyspark.sql import functions as F
 
+from lexspan.operators import overlap
 from lexspan.plans import concept_queries, stage_queries  # noqa: F401
 from lexspan.plans.queries import ORACLE_SQL, QUERIES
 
@@ -41,3 +44,33 @@ def test_annotations_whose_ids_repeat_are_told_apart(spark, sf, monkeypatch, asc
     QUERIES["attached_matches"](spark, sf)
     want = more(spark, sf).groupBy("doc_id", "start", "end").agg(F.min(F.struct("ann_id", "text", "iri")).alias("x")).select("doc_id", "start", "end", "x.text")
     assert sorted(map(tuple, seen[0].select("doc_id", "start", "end", "text").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_absorbed_spans_of_many_groups(spark, capsys):
+    """Against the rule said plainly; groups go to Python by the batch, not one by one."""
+    rng = random.Random(4)
+    schema = "doc_id long, ann_id string, start int, end int, iri string, confidence double, state string, lineage array<string>"
+    rows = []
+    for i in range(3000):
+        start = rng.randrange(60)
+        rows.append((rng.choice([None, *range(40)]), f"a{i}", start, start + rng.choice([0, 1, 3, 3, 9, 20]), rng.choice(["u", "v", "", None]), rng.choice([0.125, 0.5]), rng.choice(["rejected", "made", "made"]), rng.choice([None, ["x"]])))
+    want, groups = [], {}
+    for r in rows:
+        if r[6] == "rejected" or not r[4]:
+            want.append((*r[:7], tuple(r[7]) if r[7] else None))
+        else:
+            groups.setdefault((r[0], r[4]), []).append(list(r))
+    for group in groups.values():
+        kept = []
+        for r in sorted(group, key=lambda r: (r[2] - r[3], -r[5], r[1])):
+            into = next((k for k in kept if r[2] < k[3] and k[2] < r[3]), None)
+            if into is None:
+                kept.append(r)
+            else:
+                into[7] = [*(into[7] or []), *(r[7] or []), f"absorbed [{r[2]},{r[3]}] at {r[5]:.2f}"]
+        want += [(*r[:7], tuple(r[7]) if r[7] else None) for r in kept]
+    found = overlap.absorbed(spark.createDataFrame(rows, schema))
+    assert sorted(map(repr, want)) == sorted(repr((*r[:7], tuple(r[7]) if r[7] else None)) for r in found.collect())
+    capsys.readouterr()
+    found.explain()
+    assert "FlatMapGroupsInArrow" not in capsys.readouterr().out
