@@ -9,6 +9,9 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from lexspan.operators.folds import folded
 
 #: Words that patterns are made of.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
@@ -291,11 +294,10 @@ def individuals(df: DataFrame) -> DataFrame:
     for c in ("normal_form", "url"):
         df = df if c in df.columns else df.withColumn(c, F.lit(None).cast("string"))
 
-    def fold(group: pa.Table) -> pa.Table:
-        doc = group.column("doc_id")[0].as_py()
-        return pa.Table.from_arrays(_table([(doc, *r) for r in _merged(group.to_pylist())]), _MERGED_NAMES)
+    def fold(rows: list[dict]) -> list[dict]:
+        return [dict(zip(_MERGED_NAMES, (rows[0]["doc_id"], *r), strict=True)) for r in _merged(rows)]
 
-    return df.select(*[c for c in _MERGED_NAMES if c != "n_merged"]).groupBy("doc_id").applyInArrow(fold, _MERGED)
+    return folded(df.select(*[c for c in _MERGED_NAMES if c != "n_merged"]), ["doc_id"], fold, StructType.fromDDL(_MERGED))
 
 
 def found_individuals(docs: DataFrame, names: list[str] | None = None, more: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from lexspan.functions.constants import EXCLUDED_BRANCHES, PATTERN_STOP, PHRASE_
 from lexspan.operators import confidence, extract, lexicon, metadata, models, overlap, properties, search, vectors
 from lexspan.operators.intervals import containment_join
 from lexspan.sources import ontology
+from lexspan.staging import discard, staged
 
 
 def model_concepts(answers: DataFrame, docs: DataFrame) -> DataFrame:
@@ -42,10 +43,10 @@ def early_individuals(docs: DataFrame, labels: DataFrame, recognised: DataFrame
 def linked(found: DataFrame, labels: DataFrame) -> DataFrame:
     """Individuals whose ``links`` are labels, with the iri of each label that is known, ignoring case; their order stays."""
     known = labels.groupBy(F.lower("label").alias("key")).agg(F.min("iri").alias("iri"))
-    key = F.xxhash64("doc_id", "start", "end", "name")
-    each = found.select(key.alias("row"), F.posexplode("links").alias("place", "label")).withColumn("key", F.lower("label")).join(known, "key", "left")
-    again = each.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label", "iri"))), lambda x: F.struct(x["label"].alias("label"), x["iri"].alias("iri"))).alias("links"))
-    return found.drop("links").withColumn("row", key).join(again, "row", "left").drop("row")
+    found = staged(found, "individuals")  # read twice: for the lists of links that there are, and for the rows
+    each = found.select("links").distinct().select("links", F.posexplode("links").alias("place", "label")).withColumn("key", F.lower("label")).join(known, "key", "left")
+    named = each.groupBy("links").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label", "iri"))), lambda x: F.struct(x["label"].alias("label"), x["iri"].alias("iri"))).alias("named"))
+    return found.join(named, "links", "left").select(*[c for c in found.columns if c != "links"], F.col("named").alias("links"))
 
 
 def model_individuals(existing: DataFrame, answers: DataFrame, chunks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -57,14 +58,17 @@ def model_individuals(existing: DataFrame, answers: DataFrame, chunks: DataFrame
     placed = models.in_chunk(answers.join(chunks, ["doc_id", "chunk_index"]))
     inside = chunks.select("doc_id", "chunk_index", F.col("chunk_start").alias("cs"), (F.col("chunk_start") + F.length("text")).alias("ce"))
     asked = answers.join(inside, ["doc_id", "chunk_index"]).select("doc_id", "chunk_index", F.lower("name").alias("n"), F.lower("mention").alias("m"), "class_label", "cs", "ce")
-    e = existing.withColumn("row", F.xxhash64("doc_id", "start", "end", "name"))
+    made: list[str] = []
+    e = staged(existing.withColumn("row", F.xxhash64("doc_id", "start", "end", "name")), "existing", made)  # read three times, found once
     met = e.join(asked, "doc_id").filter((F.col("end") > F.col("cs")) & (F.col("start") < F.col("ce")) & ((F.lower("name") == F.col("n")) | (F.lower("mention") == F.col("m"))))
     more = met.groupBy("row").agg(F.array_sort(F.collect_set("class_label")).alias("more"))
     old = e.join(more, "row", "left").withColumn("links", F.array_distinct(F.concat("links", F.coalesce("more", F.array().cast("array<string>"))))).drop("row", "more")
     used = met.select("doc_id", "chunk_index", "n", "m").distinct()
     new = placed.withColumn("n", F.lower("name")).withColumn("m", F.lower("mention")).join(used, ["doc_id", "chunk_index", "n", "m"], "left_anti")
     new = new.select("doc_id", "name", "mention", F.col("start").cast("int"), F.col("end").cast("int"), F.lit("model").alias("source"), F.array("class_label").alias("links"))
-    return linked(extract.individuals(old.unionByName(new, allowMissingColumns=True)), labels)
+    whole = linked(extract.individuals(old.unionByName(new, allowMissingColumns=True)), labels)
+    discard(existing.sparkSession, made)
+    return whole
 
 
 def early_properties(docs: DataFrame, index: DataFrame) -> DataFrame:

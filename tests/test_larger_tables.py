@@ -8,7 +8,7 @@ from compare import assert_same, connect
 from pyspark.sql import functions as F
 
 from lexspan.operators import overlap
-from lexspan.plans import concept_queries, stage_queries  # noqa: F401
+from lexspan.plans import concept_queries, stage_queries, stages  # noqa: F401
 from lexspan.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -74,3 +74,11 @@ def test_absorbed_spans_of_many_groups(spark, capsys):
     capsys.readouterr()
     found.explain()
     assert "FlatMapGroupsInArrow" not in capsys.readouterr().out
+
+
+def test_class_links_are_named_for_rows_that_repeat(spark):
+    """Rows that are alike but for their links each keep their own."""
+    rows = [(1, "a", 0, 1, ["Court", "Date"]), (1, "a", 0, 1, ["Person"]), (2, "b", 0, 1, None)]
+    found = stages.linked(spark.createDataFrame(rows, "doc_id long, name string, start int, end int, links array<string>"), spark.createDataFrame([("court", "u:1"), ("PERSON", "u:2")], "label string, iri string"))
+    got = sorted((r["doc_id"], [tuple(x) for x in r["links"] or []]) for r in found.collect())
+    assert got == [(1, [("Court", "u:1"), ("Date", None)]), (1, [("Person", "u:2")]), (2, [])]
