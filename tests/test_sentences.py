@@ -133,6 +133,22 @@ def test_longest_rules(spark):
     assert counted == {("breach of contract", 1, 0), ("contract", 3, 10), ("contract law", 1, 23), ("law of contract", 1, 32), ("of", 2, 7)}
 
 
+def test_a_lexicon_beyond_one_automaton_is_found_in_one_pass(spark, monkeypatch):
+    from lexspan.operators import hashed
+
+    monkeypatch.setattr(hashed, "WINDOW", 40)  # texts in windows
+    words = ["new", "york", "county", "court", "(c)", "u.s.c.", "İ", "é"]
+    texts = [" ".join(words[(i * k + j) % 8] for j in range(i % 30)) for i in range(40) for k in (1, 3)]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")  # two rows an id
+    labels = spark.createDataFrame([(f"{i}", k) for i, k in enumerate(("new york", "york county", "york county", "county court (c)", "(c)", "u.s.c.", "c", "new york county court (c) u.s.c.", "é new", " "))], "iri string, label_key string")
+    listed = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    for more in ({}, {"resolve": True}, {"longest": True}, {"surface": False}):
+        assert listed(lexicon.match(docs, labels, part_chars=5, **more)) == listed(lexicon.match(docs, labels, **more)) != []
+    many = lexicon.counts(docs, labels, part_chars=5)
+    assert listed(many) == listed(lexicon.counts(docs, labels))
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_own_names(spark):
     docs = spark.createDataFrame([(1, "a b A c"), (2, "a b"), (3, None), (4, ""), (5, "a"), (1, "b")], "doc_id long, text string")
     names = spark.createDataFrame([(1, "a", "u:2"), (1, "a", "u:1"), (1, "b a", "u:3"), (2, "b", "u:4"), (2, " ", "u:5"), (3, "a", "u:6"), (9, "a", "u:7")], "doc_id long, label_key string, iri string")
