@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 QUERY_BLOCK, ROW_BLOCK = 1_024, 8_192
+#: Similarities to codes that a task holds at once; choosing among them takes about four times their bytes.
+NEAR_CELLS = 1 << 20
 
 #: The index: rows that centroids are fitted on at most, lists at most, rounds of fitting, and what share of the sample's neighbours
 #: the lists that a query meets must hold, measured on so many of its rows.
@@ -230,8 +232,9 @@ class Codes:
             if mine.num_rows and theirs.num_rows:
                 theirs = theirs.sort_by("vec_id")
                 coded, off = _decoded(theirs.column("code").to_pylist(), books, dim), theirs.column("off").to_numpy()
-                for i in range(0, mine.num_rows, QUERY_BLOCK):
-                    some = mine.slice(i, QUERY_BLOCK)
+                step = max(1, NEAR_CELLS // theirs.num_rows)
+                for i in range(0, mine.num_rows, step):
+                    some = mine.slice(i, step)
                     x = np.array(some.column("embedding").to_pylist(), np.float64)
                     near = x @ coded.T
                     r, c = np.nonzero(choose(near, off, np.linalg.norm(x, axis=1)))
