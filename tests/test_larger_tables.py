@@ -82,3 +82,23 @@ def test_class_links_are_named_for_rows_that_repeat(spark):
     found = stages.linked(spark.createDataFrame(rows, "doc_id long, name string, start int, end int, links array<string>"), spark.createDataFrame([("court", "u:1"), ("PERSON", "u:2")], "label string, iri string"))
     got = sorted((r["doc_id"], [tuple(x) for x in r["links"] or []]) for r in found.collect())
     assert got == [(1, [("Court", "u:1"), ("Date", None)]), (1, [("Person", "u:2")]), (2, [])]
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
+    from lexspan.staging import TASK_ROWS, spread
+
+    spark.range(40_000).selectExpr("id", "uuid() AS text").coalesce(1).write.parquet(str(tmp_path / "one"))  # one row group
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        scan = spark.read.parquet(str(tmp_path / "one"))
+        assert scan.rdd.getNumPartitions() > 4  # more splits than cores, all but one of them empty
+        sizes = [r["count"] for r in spread(scan).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 40_000 and max(sizes) <= 11_000
+        small = spark.range(0, 3 * TASK_ROWS * 4, 1, 2)
+        assert spread(small).rdd.getNumPartitions() == 12
+        assert spread(scan.limit(0)).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

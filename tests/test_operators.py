@@ -480,3 +480,24 @@ def test_visible_branches():
 
     names = concepts.visible_branches()
     assert names == sorted(names) and not set(names) & set(EXCLUDED_BRANCHES) and set(names) | set(EXCLUDED_BRANCHES) >= {n for n, _ in BRANCHES.values()}
+
+
+def test_codes_are_compared_in_blocks_of_bounded_size(spark, monkeypatch):
+    from lexspan.operators import vectors
+
+    rng = random.Random(4)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)], "vec_id long, embedding array<double>")
+    rows = lambda: sorted(map(tuple, vectors.Codes.fit(v).search(v.filter("vec_id % 5 = 0"), 4).collect()))
+    want = rows()
+    monkeypatch.setattr(vectors, "NEAR_CELLS", 1)  # a query at a time
+    assert rows() == want and len(want) == 240
+
+
+def test_courts_are_looked_for_where_they_may_begin():
+    from lexspan.operators import extract
+
+    new = extract._compiled(["court"])
+    e, rx, beginnings = new["court"]
+    for text in ("xUnited States District Court", "the ſupreme Court of Ohio", "NİNTH circuit, SUPERIOR COURT of Kent", "s.d.N.Y. and U.S. Tax court", "Court of Court of Appeals for the City", ""):
+        assert list(extract._finds(text, new)) == list(extract._finds(text, {"court": (e, rx, None)}))
+    assert not list(beginnings.finditer("a plain line of text without any"))
