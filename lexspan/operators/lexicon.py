@@ -273,21 +273,61 @@ def match_own(docs: DataFrame, names: DataFrame, resolve: bool = True) -> DataFr
     return docs.select("doc_id", "text").join(own, "doc_id").mapInArrow(run, schema)
 
 
+#: A word: a run of ASCII letters in lower case, digits, underscores and other characters than ASCII.
+WORD = r"[a-z0-9_\x{80}-\x{10FFFF}]+"
+
+
 def match_native(docs: DataFrame, labels: DataFrame, most_words: int | None = None) -> DataFrame:
-    """Runs of words that equal a label, whatever stands between the words, all in the JVM: (doc_id, word, label_key, n_words, label columns).
+    """Runs of words that equal a label, whatever stands between the words: (doc_id, word, label_key, n_words, label columns).
 
-    A word is a run of ASCII letters in lower case, digits, underscores and other characters than ASCII; labels are words with single spaces.
-    Runs are as long as the longest label, or as ``most_words`` says.
+    Words are as ``WORD`` says; labels are words with single spaces. Runs are as long as the longest label, or as ``most_words`` says. Keys
+    of up to PART_CHARS characters go to every task, where a text's words are looked up as they come, so that only what is found
+    leaves; with more keys all runs are joined with them, in the JVM.
     """
-    if most_words is None:
-        most_words = labels.agg(F.max(F.size(F.split("label_key", " ")))).first()[0] or 1
-    found = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_\x{80}-\x{10FFFF}]+"), F.lit(0)).alias("w"))
+    longest, chars = labels.agg(F.max(F.size(F.split("label_key", " "))), F.sum(F.length("label_key").cast("long"))).first()
+    most_words = longest or 1 if most_words is None else most_words
+    found = _known_runs(docs, labels, most_words) if (chars or 0) <= PART_CHARS else _all_runs(docs, most_words)
+    return found.join(labels, "label_key").select("label_key", "doc_id", "word", "n_words", *[c for c in labels.columns if c != "label_key"])
+
+
+def _all_runs(docs: DataFrame, most_words: int) -> DataFrame:
+    """(doc_id, word, label_key, n_words): every run of words."""
+    found = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
     every: DataFrame | None = None
     for k in range(1, most_words + 1):
         runs = found.withColumnRenamed("w", "runs") if k == 1 else NGram(n=k, inputCol="w", outputCol="runs").transform(found)
         each = runs.select("doc_id", F.posexplode("runs").alias("word", "label_key"), F.lit(k).alias("n_words"))
         every = each if every is None else every.unionByName(each)
-    return every.join(labels, "label_key")
+    return every
+
+
+def _known_runs(docs: DataFrame, labels: DataFrame, most_words: int) -> DataFrame:
+    """As ``_all_runs``, of those that are labels."""
+    by_first: dict[str, list[tuple[list[str], str]]] = {}
+    for r in labels.select("label_key").filter("label_key IS NOT NULL").distinct().toLocalIterator():
+        parts = r["label_key"].split(" ")
+        if len(parts) <= most_words:
+            by_first.setdefault(parts[0], []).append((parts, r["label_key"]))
+    sent, word = docs.sparkSession.sparkContext.broadcast(by_first), re.compile(WORD.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"))
+    kinds = [pa.int32(), pa.string(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            at, found = [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                words = word.findall(text or "")
+                for j, w in enumerate(words):
+                    if w in known:
+                        for parts, key in known[w]:
+                            if words[j : j + len(parts)] == parts:
+                                at.append(i)
+                                found.append((j, key, len(parts)))
+            if found:
+                ids = b.column("doc_id").take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]], ["doc_id", "word", "label_key", "n_words"])
+
+    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, word int, label_key string, n_words int")
 
 
 def confidence(label_type: Column, label: Column) -> Column:

@@ -149,6 +149,21 @@ def test_a_lexicon_beyond_one_automaton_is_found_in_one_pass(spark, monkeypatch)
     assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_runs_of_words_are_looked_up_where_they_stand(spark, monkeypatch):
+    texts = ["The lease, the LEASE-agreement of the", "é the é_1 the é", None, "", "ÉCOLE a  b\na b a", "the\U00010400lease lease"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([("u:1", "the"), ("u:2", "the"), ("u:3", "lease agreement of"), ("u:4", "the é"), ("u:5", "école"), ("u:6", "a b"), ("u:7", "b a b a"), ("u:8", "")], "iri string, label_key string")
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    found = lexicon.match_native(docs, labels)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # runs that are no labels never become rows
+    few = listed(lexicon.match_native(docs, labels, 2))
+    monkeypatch.setattr(lexicon, "PART_CHARS", 0)
+    known = docs.filter("text IS NOT NULL")
+    other = lexicon.match_native(known, labels)
+    assert listed(found) == listed(other) != [] and found.dtypes == other.dtypes
+    assert few == listed(lexicon.match_native(known, labels, 2))
+
+
 def test_own_names(spark):
     docs = spark.createDataFrame([(1, "a b A c"), (2, "a b"), (3, None), (4, ""), (5, "a"), (1, "b")], "doc_id long, text string")
     names = spark.createDataFrame([(1, "a", "u:2"), (1, "a", "u:1"), (1, "b a", "u:3"), (2, "b", "u:4"), (2, " ", "u:5"), (3, "a", "u:6"), (9, "a", "u:7")], "doc_id long, label_key string, iri string")
