@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -9,6 +11,8 @@ from pyspark.sql.window import Window as W
 from lexspan.staging import discard, staged
 
 PATH_LIMIT, WALK_LIMIT = 10, 20
+#: Children of one parent that are a side of a block of pairs; and tasks that blocks are dealt to at most.
+PART, MOST_TASKS = 2048, 20_000
 
 
 def closure(edges: DataFrame, limit: int = WALK_LIMIT) -> DataFrame:
@@ -43,11 +47,38 @@ def paths(edges: DataFrame, limit: int = PATH_LIMIT, first_parent: bool = True)
     return at.select("iri", "path").distinct()
 
 
-def siblings(edges: DataFrame) -> DataFrame:
-    """(iri, sibling): other children of the first parent."""
+def first_parents(edges: DataFrame) -> DataFrame:
+    """(iri, parent): each child's first parent, by ``ord``."""
     w = W.partitionBy("child").orderBy("ord", "parent")
-    first = edges.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select(F.col("child").alias("iri"), "parent")
-    return first.join(edges.select("parent", F.col("child").alias("sibling")), "parent").filter("iri <> sibling").select("iri", "sibling").distinct()
+    return edges.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select(F.col("child").alias("iri"), "parent")
+
+
+def _parts(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(parent, parts): in how many parts a parent's children are dealt; and in how many tasks all pairs of children are."""
+    sizes = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+    pairs = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
+    tasks = min(max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / PART**2)), MOST_TASKS)
+    return sizes.select("parent", F.ceil(F.col("n") / PART).alias("parts")), tasks
+
+
+def siblings(edges: DataFrame) -> DataFrame:
+    """(iri, sibling): other children of the first parent.
+
+    The pairs are as many as the squares of the families: they are made in blocks, two parts of a family each, and none is shuffled.
+    """
+    parts, tasks = _parts(edges)
+    deal = lambda df, key, own, other: df.join(parts, "parent").withColumn(own, F.pmod(F.xxhash64(key), "parts")).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).repartition(tasks, "parent", "a", "b").drop("parts")
+    every = edges.select("parent", F.col("child").alias("sibling")).distinct()
+    return deal(first_parents(edges), "iri", "a", "b").join(deal(every, "sibling", "b", "a"), ["parent", "a", "b"]).filter("iri <> sibling").select("iri", "sibling")
+
+
+def with_parents(df: DataFrame, edges: DataFrame, said: DataFrame) -> DataFrame:
+    """Rows (iri, ...) with what ``said`` (parent, ...) says of their first parents; of a large family some parts of rows meet a copy of it each."""
+    parts, tasks = _parts(edges)
+    spread = edges.sparkSession.sparkContext.defaultParallelism  # parts of rows without a parent
+    rows = df.join(first_parents(edges), "iri", "left").join(parts, "parent", "left").withColumn("part", F.pmod(F.xxhash64("iri"), F.coalesce("parts", F.lit(spread)))).drop("parts")
+    copies = said.join(parts, "parent").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return rows.repartition(tasks, "parent", "part").join(copies.repartition(tasks, "parent", "part"), ["parent", "part"], "left").drop("parent", "part")
 
 
 def branch_of(edges: DataFrame, roots: DataFrame, limit: int = WALK_LIMIT) -> DataFrame:
