@@ -45,20 +45,32 @@ def _named(df: DataFrame, concepts: DataFrame, name: str) -> DataFrame:
     return df.join(known, "other").groupBy("iri").agg(F.array_sort(F.collect_set(F.struct("label", F.col("other").alias("iri")))).alias(name))
 
 
-def relatives(concepts: DataFrame) -> DataFrame:
-    """(iri, all_parents, children, siblings, related): each an array of (label, iri), by label."""
-    e = edges(concepts)
+def _near(concepts: DataFrame, e: DataFrame) -> DataFrame:
+    """(iri, all_parents, children, related): each an array of (label, iri), by label, or null."""
     pairs = {
         "all_parents": e.select(F.col("child").alias("iri"), F.col("parent").alias("other")),
         "children": e.select(F.col("parent").alias("iri"), F.col("child").alias("other")),
-        "siblings": hierarchy.siblings(e).withColumnRenamed("sibling", "other"),
         "related": concepts.select("iri", F.explode("see_also").alias("other")),
     }
     out = concepts.select("iri")
     for name, df in pairs.items():
         out = out.join(_named(df, concepts, name), "iri", "left")
+    return out
+
+
+def _with_siblings(df: DataFrame, concepts: DataFrame, e: DataFrame) -> DataFrame:
+    """Rows with ``siblings``: their first parents' children but themselves. The lists, as long as the family for each of it, are made last and never shuffled."""
+    family = _named(e.select(F.col("parent").alias("iri"), F.col("child").alias("other")), concepts, "family").withColumnRenamed("iri", "parent")
+    met = hierarchy.with_parents(df, e, family)
+    lists = met.withColumn("siblings", F.filter("family", lambda x: x["iri"] != F.col("iri"))).drop("family")
     empty = F.array().cast("array<struct<label:string,iri:string>>")
-    return out.select("iri", *[F.coalesce(c, empty).alias(c) for c in pairs])
+    return lists.withColumns({c: F.coalesce(c, empty) for c in ("all_parents", "children", "siblings", "related")})
+
+
+def relatives(concepts: DataFrame) -> DataFrame:
+    """(iri, all_parents, children, siblings, related): each an array of (label, iri), by label."""
+    e = edges(concepts)
+    return _with_siblings(_near(concepts, e), concepts, e).select("iri", "all_parents", "children", "siblings", "related")
 
 
 def detail(concepts: DataFrame, known: DataFrame) -> DataFrame:
@@ -72,9 +84,9 @@ def detail(concepts: DataFrame, known: DataFrame) -> DataFrame:
     own = F.coalesce("label", iri_hash(F.col("iri")))
     preferred = F.when(F.lower(F.coalesce("preferred_label", F.lit(""))) != F.lower(F.coalesce("label", F.lit(""))), F.nullif(F.col("preferred_label"), F.lit("")))
     base = concepts.select("iri", iri_hash(F.col("iri")).alias("iri_hash"), own.alias("label"), "definition", preferred.alias("preferred_label"), F.col("alternatives").alias("synonyms"), "examples", F.coalesce("deprecated", F.lit(False)).alias("deprecated"))
-    met = base.join(branch, "iri", "left").join(relatives(concepts), "iri").join(paths, "iri", "left")
+    met = base.join(branch, "iri", "left").join(_near(concepts, e), "iri").join(paths, "iri", "left")
     met = met.withColumn("branch", F.coalesce("branch", F.lit("Unknown"))).withColumn("branch_color", color(F.col("branch")))
-    return met.withColumn("hierarchy_paths", F.coalesce("hierarchy_paths", F.array(F.col("label"))))
+    return _with_siblings(met.withColumn("hierarchy_paths", F.coalesce("hierarchy_paths", F.array(F.col("label")))), concepts, e)
 
 
 def typed(concepts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexspan.operators import hierarchy
+from lexspan.operators import concepts, hierarchy
 
 
 @pytest.fixture
@@ -26,3 +26,19 @@ def test_siblings_are_made_in_blocks(families, monkeypatch, part):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join") < plan.index("Exchange")  # pairs are made last: no shuffle holds them
     assert found.rdd.getNumPartitions() >= 4  # one family is more than one task's work
+
+
+@pytest.mark.parametrize("part", [7, 2048])
+def test_relatives_take_siblings_from_lists_of_families(spark, families, monkeypatch, part):
+    edges = [tuple(r) for r in families.collect()]
+    names = sorted({x for c, p, _ in edges for x in (c, p)})
+    parents = {n: [p for _, p in sorted({(o, p) for c, p, o in edges if c == n})] for n in names}
+    rows = [(n, n.upper(), parents[n] + ["gone"], ["a", "gone"] if n == "c" else []) for n in names]
+    known = spark.createDataFrame(rows, "iri string, label string, parents array<string>, see_also array<string>")
+    monkeypatch.setattr(hierarchy, "PART", part, raising=False)
+    monkeypatch.setattr(hierarchy, "siblings", None)  # pairs aren't made
+    got = {r["iri"]: {c: [tuple(x) for x in r[c]] for c in ("all_parents", "children", "siblings", "related")} for r in concepts.relatives(known).collect()}
+    of = lambda some: sorted((x.upper(), x) for x in some)
+    kids = {n: {c for c, p, _ in edges if p == n} for n in names}
+    want = {n: {"all_parents": of(parents[n]), "children": of(kids[n]), "siblings": of(kids[parents[n][0]] - {n} if parents[n] else ()), "related": of(["a"] if n == "c" else ())} for n in names}
+    assert got == want
