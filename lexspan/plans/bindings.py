@@ -16,6 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of one partition of a shuffle at most, on average, before Spark joins small ones; and bytes of a scan's and of a joined one.
+ROWS, SCAN_BYTES, JOINED_BYTES = 400_000, 32 << 20, 16 << 20
+_sized: dict[tuple[int, int], SparkSession] = {}
+
+
+def sized(spark: SparkSession, sf_dir: str, *names: str) -> SparkSession:
+    """A session of the same application with the settings of ``spark``, but for as many partitions as the tables' rows ask for: what a task sorts or holds stays as it is when they grow."""
+    rows = sum(table(spark, sf_dir, n).count() for n in names)
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+    own = _sized.get((id(spark), wanted))
+    if own is None or own.sparkContext is not spark.sparkContext:
+        own = _sized[id(spark), wanted] = spark.newSession()
+    most = {"spark.sql.files.maxPartitionBytes": SCAN_BYTES, "spark.sql.adaptive.advisoryPartitionSizeInBytes": JOINED_BYTES, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 2 * JOINED_BYTES}
+    settings = {"spark.sql.shuffle.partitions": str(wanted), **{k: str(v) for k, v in most.items()}}
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        if own.conf.get(key, None) != value and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, for scans by Python code."""
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))

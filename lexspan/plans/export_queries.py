@@ -56,6 +56,7 @@ TRIPLE = {
 
 
 def _sections(spark: SparkSession, sf: str) -> sections.Sections:
+    spark = b.sized(spark, sf, "orders", "lineitem")
     orders = b.table(spark, sf, "orders")
     made = lambda cols, *more: orders.select(*[F.expr(e).alias(c) for c, e in cols.items()], *more)
     link = lambda iri, label, sure: F.struct(iri.alias("iri"), label.alias("label"), F.lit(sure).alias("confidence"))

@@ -47,13 +47,26 @@ def bulk_lines(a: DataFrame, index: str = "annotations") -> DataFrame:
     return a.select("doc_id", "ann_id", F.concat_ws("\n", action, F.to_json(F.struct(*FIELDS))).alias("line"))
 
 
+def document_nodes(ids: DataFrame) -> DataFrame:
+    """(id, kind, label) of distinct documents (doc_id)."""
+    return ids.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.lit("Document").alias("kind"), F.col("doc_id").cast("string").alias("label"))
+
+
+def concept_nodes(a: DataFrame) -> DataFrame:
+    """(id, kind, label) of the concepts of annotations. Rows alike are put together by hash before labels are compared, which sorts."""
+    return a.select("iri", "label").distinct().groupBy("iri").agg(F.min("label").alias("label")).select(F.col("iri").alias("id"), F.lit("Concept").alias("kind"), "label")
+
+
+def contained(a: DataFrame) -> DataFrame:
+    """(source, relation, target), each once: the concepts of each document."""
+    each = a.select("doc_id", "iri").distinct()
+    return each.select(F.concat(F.lit("doc:"), "doc_id").alias("source"), F.lit("CONTAINS_CONCEPT").alias("relation"), F.col("iri").alias("target"))
+
+
 def graph(a: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, kind, label), each once, and relations (source, relation, target) whose ends exist."""
-    docs = a.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.lit("Document").alias("kind"), F.col("doc_id").cast("string").alias("label")).distinct()
-    concepts = a.groupBy("iri").agg(F.min("label").alias("label")).select(F.col("iri").alias("id"), F.lit("Concept").alias("kind"), "label")
-    nodes = docs.unionByName(concepts)
-    relations = a.select(F.concat(F.lit("doc:"), "doc_id").alias("source"), F.lit("CONTAINS_CONCEPT").alias("relation"), F.col("iri").alias("target")).distinct()
-    return nodes, relations.join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
+    nodes = document_nodes(a.select("doc_id").distinct()).unionByName(concept_nodes(a))
+    return nodes, contained(a).join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
 
 
 def turtle(a: DataFrame) -> DataFrame:

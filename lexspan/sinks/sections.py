@@ -107,33 +107,29 @@ def graph(s: Sections) -> tuple[DataFrame, DataFrame]:
     Documents contain concepts, individuals and properties; individuals are instances of concepts; properties have domains and
     ranges; triples go from what their subject is linked with first, an individual or a concept, to what their object is.
     """
-    nodes, contains = export.graph(s.annotations)
     doc, ind, prop = (F.concat(F.lit(x), F.col(c)) for x, c in (("doc:", "doc_id"), ("ind:", "ind_id"), ("prop:", "prop_id")))
-    node = lambda df, i, kind, label: df.select(i.alias("id"), F.lit(kind).alias("kind"), label.alias("label"))
-    docs = [x.select("doc_id").distinct() for x in (s.individuals, s.properties, s.triples)]
-    more = [node(d, doc, "Document", F.col("doc_id").cast("string")) for d in docs]
-    more += [node(s.individuals, ind, "Individual", F.col("name")), node(s.properties, prop, "Property", F.coalesce("label", "text"))]
-    for x in more:
-        nodes = nodes.unionByName(x)
-    nodes = nodes.groupBy("id", "kind").agg(F.min("label").alias("label"))
+    a, i, p, t = (x.select("doc_id") for x in s)
+    docs = a.unionByName(i).unionByName(p).unionByName(t).distinct()
+    # ids of different kinds never meet, so each kind is told apart by its own key
+    node = lambda df, key, i, kind, label: df.select(F.col(key), label.alias("label")).groupBy(key).agg(F.min("label").alias("label")).select(i.alias("id"), F.lit(kind).alias("kind"), "label")
+    nodes = export.document_nodes(docs).unionByName(export.concept_nodes(s.annotations))
+    nodes = nodes.unionByName(node(s.individuals, "ind_id", ind, "Individual", F.col("name"))).unionByName(node(s.properties, "prop_id", prop, "Property", F.coalesce("label", "text")))
     edge = lambda df, a, r, b: df.select(a.alias("source"), (r if isinstance(r, Column) else F.lit(r)).alias("relation"), b.alias("target"))
     each = lambda df, c: df.withColumn("to", F.explode(c))
     end = lambda c: F.get(F.filter(F.transform(c, lambda x: F.when(x["kind"] == "individual", F.concat(F.lit("ind:"), x["id"])).when(x["kind"] == "concept", x["iri"])), lambda x: x.isNotNull()), F.lit(0))
-    relations = [
-        contains,
-        edge(s.individuals, doc, "CONTAINS_INDIVIDUAL", ind),
-        edge(each(s.individuals, "links"), ind, "INSTANCE_OF", F.col("to.iri")),
-        edge(s.properties, doc, "CONTAINS_PROPERTY", prop),
-        edge(each(s.properties, "domain_iris"), prop, "HAS_DOMAIN", F.col("to")),
-        edge(each(s.properties, "range_iris"), prop, "HAS_RANGE", F.col("to")),
-        edge(s.triples, end("subject_links"), relation_name(F.col("predicate")), end("object_links")),
-    ]
-    found = relations[0]
-    for x in relations[1:]:
+    contains = [export.contained(s.annotations), edge(s.individuals, doc, "CONTAINS_INDIVIDUAL", ind), edge(s.properties, doc, "CONTAINS_PROPERTY", prop)]  # their ends are nodes as they are
+    refers = edge(each(s.individuals, "links"), ind, "INSTANCE_OF", F.col("to.iri"))
+    for name, to in (("HAS_DOMAIN", "domain_iris"), ("HAS_RANGE", "range_iris")):
+        refers = refers.unionByName(edge(each(s.properties, to), prop, name, F.col("to")))
+    ids = docs.select(F.concat(F.lit("doc:"), "doc_id").alias("id"))
+    for x in (s.annotations.select(F.col("iri").alias("id")).distinct(), s.individuals.select(ind.alias("id")), s.properties.select(prop.alias("id"))):
+        ids = ids.unionByName(x)
+    among = lambda df, c: df.join(ids.withColumnRenamed("id", c), c, "left_semi")
+    stated = among(edge(s.triples, end("subject_links"), relation_name(F.col("predicate")), end("object_links")).filter("source IS NOT NULL AND target IS NOT NULL"), "source")
+    found = among(refers.unionByName(stated).filter("source IS NOT NULL AND target IS NOT NULL"), "target").select("source", "relation", "target")
+    for x in contains:
         found = found.unionByName(x)
-    found = found.filter("source IS NOT NULL AND target IS NOT NULL").distinct()
-    ids = nodes.select("id").distinct()
-    return nodes, found.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "relation", "target")
+    return nodes, found.filter("source IS NOT NULL AND target IS NOT NULL").distinct()
 
 
 def _quoted(c: Column) -> Column:

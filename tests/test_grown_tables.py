@@ -1,8 +1,11 @@
 """Steps whose time or memory grew faster than their tables: the same rows, made in bounded parts."""
 
 import pytest
+from compare import assert_same, connect
 
 from lexspan.operators import concepts, hierarchy
+from lexspan.plans import bindings
+from lexspan.plans.queries import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture
@@ -42,3 +45,19 @@ def test_relatives_take_siblings_from_lists_of_families(spark, families, monkeyp
     kids = {n: {c for c, p, _ in edges if p == n} for n in names}
     want = {n: {"all_parents": of(parents[n]), "children": of(kids[n]), "siblings": of(kids[parents[n][0]] - {n} if parents[n] else ()), "related": of(["a"] if n == "c" else ())} for n in names}
     assert got == want
+
+
+def _dealt_by_rows(spark, sf, monkeypatch, name):
+    """The query in a session of as many partitions as its rows ask for, which leaves the caller's as it is."""
+    monkeypatch.setattr(bindings, "ROWS", 200, raising=False)
+    before = spark.conf.getAll
+    df = QUERIES[name](spark, sf)
+    assert int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > int(before["spark.sql.shuffle.partitions"])
+    assert spark.conf.getAll == before
+    return df
+
+
+@pytest.mark.parametrize("name", ["export_graph_nodes_sections", "export_graph_relations_sections"])
+def test_graphs_are_dealt_by_their_rows(spark, sf, monkeypatch, name):
+    df = _dealt_by_rows(spark, sf, monkeypatch, name)
+    assert_same(spark, connect(sf), sf, lambda *_: df, ORACLE_SQL[name])
