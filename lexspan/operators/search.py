@@ -114,9 +114,12 @@ def search(queries: DataFrame, concepts: DataFrame, top: int = 10, threshold: fl
     every = met.withColumns({k: scoring.word_overlap(words, F.col(v)) for k, v in overlaps.items()} | {"by_synonym": by_synonym})
     score = scoring.relevance(F.col("phrase"), F.col("label"), F.col("definition"), F.col("by_label"), F.col("by_definition"), F.col("preferred_label"), F.col("by_preferred"), F.col("by_synonym"))
     # a query's score is the best of its own and its expansions'
-    scored = every.withColumn("score", score).groupBy("query", *_TEXTS).agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
-    found = scored.join(described.select("iri", *_TEXTS), _TEXTS)
+    scored = every.withColumn("score", score).groupBy("query", "iri", *_TEXTS).agg(F.max("score").alias("score")).filter((F.col("score") >= threshold) & F.col("label").isNotNull())
     w = W.partitionBy("query").orderBy(F.col("score").desc(), "iri")
+    # the best concepts are of the best texts, each by its first iri, and of a text they are among its first iris
+    best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("iri", "rank")
+    first = described.select("iri", *_TEXTS).withColumn("place", F.row_number().over(W.partitionBy(*_TEXTS).orderBy("iri"))).filter(F.col("place") <= top)
+    found = best.join(first, _TEXTS)
     return found.select("query", "iri", "label", "score", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= top)
 
 

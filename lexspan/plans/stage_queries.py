@@ -216,6 +216,7 @@ SELECT doc_id, source, c.iri, label, branches, CAST(confidence AS DOUBLE) AS con
 )
 def resolution(spark, sf):
     """Rows whose iris are known; a document of both sources keeps the model's rows of other texts only."""
+    spark = b.sized(spark, sf, "orders", "part")
     o = b.table(spark, sf, "orders")
     rows = lambda where, text, k, sure: o.filter(where).selectExpr("o_orderkey AS doc_id", f"{text} AS text", f"concat('urn:part/', {k}) AS iri", f"CAST({sure} AS DOUBLE) AS confidence")
     reconciled = rows("o_orderkey % 3 = 0", "'zq'", "o_custkey % 400", 0.7)
@@ -229,6 +230,7 @@ def resolution(spark, sf):
 @query()
 def resolve_with_hints(spark, sf):
     """Names searched with a hint of a branch: what the hint puts first, and the others as backups."""
+    spark = b.sized(spark, sf, "part")
     mentions = b.table(spark, sf, "part").select(F.lower("p_name").alias("text"), F.lit(None).cast("string").alias("iri"), F.lit(0.5).alias("confidence"), F.when(F.col("p_partkey") % 2 == 0, "serv").alias("hint")).distinct()
     return search.resolve(mentions, _branched(spark, sf), excluded=("Area of Law",)).select("text", "iri", "branch", "confidence", F.size("backups").alias("n_backups"))
 

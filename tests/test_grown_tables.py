@@ -3,7 +3,7 @@
 import pytest
 from compare import assert_same, connect
 
-from lexspan.operators import concepts, hierarchy
+from lexspan.operators import concepts, hierarchy, search
 from lexspan.plans import bindings
 from lexspan.plans.queries import ORACLE_SQL, QUERIES
 
@@ -49,7 +49,7 @@ def test_relatives_take_siblings_from_lists_of_families(spark, families, monkeyp
 
 def _dealt_by_rows(spark, sf, monkeypatch, name):
     """The query in a session of as many partitions as its rows ask for, which leaves the caller's as it is."""
-    monkeypatch.setattr(bindings, "ROWS", 200, raising=False)
+    monkeypatch.setattr(bindings, "ROWS", 20, raising=False)
     before = spark.conf.getAll
     df = QUERIES[name](spark, sf)
     assert int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > int(before["spark.sql.shuffle.partitions"])
@@ -61,3 +61,23 @@ def _dealt_by_rows(spark, sf, monkeypatch, name):
 def test_graphs_are_dealt_by_their_rows(spark, sf, monkeypatch, name):
     df = _dealt_by_rows(spark, sf, monkeypatch, name)
     assert_same(spark, connect(sf), sf, lambda *_: df, ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name", ["resolution", "resolve_with_hints"])
+def test_resolution_is_dealt_by_its_rows(spark, sf, monkeypatch, name):
+    df = _dealt_by_rows(spark, sf, monkeypatch, name)
+    if name in ORACLE_SQL:
+        assert_same(spark, connect(sf), sf, lambda *_: df, ORACLE_SQL[name])
+
+
+def test_a_search_meets_no_more_concepts_of_one_text_than_it_gives(spark):
+    """Many concepts share their texts: the best by score and iri, without a row for each of them and each query."""
+    texts = {"b": ("red bolt", "steel"), "n": ("red nut", "steel"), "x": (None, "red bolt")}
+    rows = [(f"{k}{i:03}", *v) for k, v in texts.items() for i in range(200)] + [("c", "red bolt", "iron")]
+    found = search.search(spark.createDataFrame([("red bolt",)], "query string"), spark.createDataFrame(rows, "iri string, label string, definition string"), top=202)
+    got = [(r["rank"], r["iri"]) for r in found.orderBy("rank").collect()]
+    assert got == [(n + 1, i) for n, i in enumerate([*(f"b{i:03}" for i in range(200)), "c", "n000"])]
+    few = search.search(spark.createDataFrame([("red bolt",)], "query string"), spark.createDataFrame(rows, "iri string, label string, definition string"), top=3)
+    assert [r["iri"] for r in few.orderBy("rank").collect()] == ["b000", "b001", "b002"]
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "place" in plan  # a text's concepts are cut before they meet queries
