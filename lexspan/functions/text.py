@@ -6,11 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Unicode's white space without newline and space; named one by one, since ``(?U)\\s`` is several times slower.
+_BLANK = r"\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def normalize_whitespace(c: Column) -> Column:
     """Runs of white space but newlines become a space, three or more newlines two, then lines and ends are trimmed."""
-    c = F.regexp_replace(c, r"(?U)[^\S\n]+", " ")
+    c = F.regexp_replace(c, rf"[{_BLANK}][ {_BLANK}]*| [ {_BLANK}]+", " ")  # a single space is one already
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return F.btrim(F.regexp_replace(c, r" ?\n ?", "\n"), F.lit(" \n"))
+    return F.btrim(F.regexp_replace(c, r" \n ?|\n ", "\n"), F.lit(" \n"))
 
 
 def sentences(c: Column) -> Column:

@@ -68,7 +68,7 @@ EXTRACTORS: dict[str, Extractor] = {
     ),
     "definition": Extractor(rf"{_QUOTED}\s+{_any(MEANS)}\b", 0.88, 1, 1, kind="Definition", folded=True, gates=('"', '“')),
     "condition": Extractor(rf"\b{_any(CONDITIONS)}\b", 0.85, kind="Condition", folded=True, gates=('if', 'unless', 'provided', 'subject', 'condition', 'event', 'notwithstanding', 'except', 'contingent')),
-    "constraint": Extractor(rf"\b{_any(CONSTRAINTS)}\b", 0.85, kind="Constraint", folded=True, gates=('than', 'at', 'exceed', 'up', 'maximum', 'minimum')),
+    "constraint": Extractor(rf"\b{_any(CONSTRAINTS)}\b", 0.85, kind="Constraint", folded=True, gates=('than', 'least', 'most', 'exceed', 'up', 'maximum', 'minimum')),
     "address": Extractor(rf"\b[0-9]{{1,5}}\s+{_NAME}\s+{_any(STREETS)}\b\.?(?:,?\s+(?:Suite|Ste|Apt|Unit|Floor|Fl|Room|Rm)\.?\s*[0-9A-Z]+\b)?(?:,?\s+{_NAME})?(?:,?\s+[A-Z]{{2}}\b)?(?:\s+[0-9]{{5}}(?:-[0-9]{{4}})?\b)?", 0.87, 10, kind="Address", gates=('st', 'ave', 'blvd', 'boulevard', 'road', 'rd', 'drive', 'dr', 'lane', 'ln', 'way', 'court', 'ct', 'pl', 'cir', 'ter', 'pike', 'highway', 'hwy')),
     "trademark": Extractor(r"[A-Z]\w*(?: [A-Z]\w*)* ?[®™]", 0.93, kind="Trademark", gates=('®', '™')),
     "copyright": Extractor(rf"(?i:©|\(c\)|Copyright(?:\s*(?:©|\(c\)))?)\s*[0-9]{{4}}(?:\s*[-–]\s*[0-9]{{4}})?(?:\s+{_NAME}(?:,? (?:Inc|LLC|Ltd|Corp)\.?)?)?", 0.93, kind="Copyright", gates=('©', '(c)', 'copyright')),
@@ -179,6 +179,39 @@ CITATION_FORMS: dict[str, tuple[str, str, str]] = {
 }
 
 
+#: Where a form may begin, if it begins with a number: each is followed by white space and a capital. Other forms are looked for where the text has their word.
+_NUMBERED, _UNNUMBERED = re.compile(r"\b[0-9]+(?=\s+[A-Z])"), {"id": "d.", "supra": "supra"}
+
+
+def _forms() -> list[tuple[str, re.Pattern[str], str, str]]:
+    return [(form, re.compile(p), normal, url) for form, (p, normal, url) in CITATION_FORMS.items()]
+
+
+def _cited(text: str, forms: list[tuple[str, re.Pattern[str], str, str]]) -> list[tuple]:
+    """(start, end, text, form, class, normal_form, url, confidence) of a text's citations, in order."""
+    out: list[tuple] = []
+    numbers = [m.start() for m in _NUMBERED.finditer(text)]
+    for form, rx, normal, url in forms:
+        word = _UNNUMBERED.get(form)
+        for m in _begun(rx, text, numbers) if word is None else rx.finditer(text) if word in text else ():
+            if any(m.start() < e and s < m.end() for s, e, *_ in out):
+                continue
+            parts = {k: re.sub(r"\s+", " ", v) for k, v in m.groupdict().items() if v}
+            parts["slug"] = re.sub(r"[^a-z0-9]+", "-", parts.get("reporter", "").lower().replace(". ", ".").replace(".", "")).strip("-")
+            said = normal.format(**parts) + (f" ({parts['year']})" if "year" in parts else "")
+            out.append((m.start(), m.end(), m.group(), form, CITATION_CLASSES[form], said if said != m.group() else None, url.format(**parts) or None, 0.92))
+    return sorted(out)
+
+
+def _begun(rx: re.Pattern[str], text: str, places: list[int]) -> Iterator[re.Match[str]]:
+    """As ``rx.finditer(text)``, where a match can only begin at these places."""
+    end = 0
+    for i in places:
+        if i >= end and (m := rx.match(text, i)):
+            yield m
+            end = m.end()
+
+
 def citations(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, text, form, class, normal_form, url, confidence): what an earlier form has found isn't found again within it.
 
@@ -187,22 +220,10 @@ def citations(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, start int, end int, text string, form string, class string, normal_form string, url string, confidence double"
     kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.float64())
 
-    def found(text: str, forms: list[tuple]) -> list[tuple]:
-        out: list[tuple] = []
-        for form, rx, normal, url in forms:
-            for m in rx.finditer(text):
-                if any(m.start() < e and s < m.end() for s, e, *_ in out):
-                    continue
-                parts = {k: re.sub(r"\s+", " ", v) for k, v in m.groupdict().items() if v}
-                parts["slug"] = re.sub(r"[^a-z0-9]+", "-", parts.get("reporter", "").lower().replace(". ", ".").replace(".", "")).strip("-")
-                said = normal.format(**parts) + (f" ({parts['year']})" if "year" in parts else "")
-                out.append((m.start(), m.end(), m.group(), form, CITATION_CLASSES[form], said if said != m.group() else None, url.format(**parts) or None, 0.92))
-        return sorted(out)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms = [(form, re.compile(p), normal, url) for form, (p, normal, url) in CITATION_FORMS.items()]
+        forms = _forms()
         for b in batches:
-            out = [(d, *f) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for f in found(t or "", forms)]
+            out = [(d, *f) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for f in _cited(t or "", forms)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
 
@@ -325,19 +346,21 @@ def individuals(df: DataFrame) -> DataFrame:
     return folded(df.select(*[c for c in _MERGED_NAMES if c != "n_merged"]), ["doc_id"], fold, StructType.fromDDL(_MERGED))
 
 
-def found_individuals(docs: DataFrame, names: list[str] | None = None, more: str | None = None) -> DataFrame:
+def found_individuals(docs: DataFrame, names: list[str] | None = None, more: str | None = None, cited: bool = False) -> DataFrame:
     """What the extractors find in (doc_id, text), merged within each document in the pass that finds it: no shuffle.
 
-    ``more`` names a column of individuals from elsewhere, array<struct> with the fields of ``individuals``, that join in.
+    With ``cited`` what ``citations`` finds joins in, in the same pass. ``more`` names a column of individuals from elsewhere, array<struct> with the fields of ``individuals``, that join in.
     """
     chosen = _compiled(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = _forms() if cited else []
         for b in batches:
             out = []
             given = b.column(more).to_pylist() if more else [None] * b.num_rows
             for d, t, also in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), given, strict=True):
                 rows = [{"name": v, "mention": x, "start": s, "end": e, "source": "citation" if n == "citation" else "regex", "links": [chosen[n][0].kind or n], "normal_form": None, "url": None} for n, s, e, x, v, _, error in _finds(t or "", chosen) if error is None]
+                rows += [{"name": x, "mention": x, "start": s, "end": e, "source": "citation", "links": [kind], "normal_form": normal, "url": url} for s, e, x, _, kind, normal, url, _ in _cited(t or "", forms)] if forms else []
                 out += [(d, *r) for r in _merged(rows + list(also or []))]
             yield pa.RecordBatch.from_arrays(_table(out), _MERGED_NAMES)
 

@@ -3,6 +3,8 @@ meet only near each other; each pair is found in exactly one bin, where the late
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -37,3 +39,15 @@ def best_container(spans: DataFrame, sentences: DataFrame) -> DataFrame:
     w = W.partitionBy("doc_id", "a_start", "a_end").orderBy(inside.desc(), F.when(inside, 0).otherwise(-shared), "b_start")
     best = met.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("doc_id", F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("b_start").alias("sentence_start"), F.col("b_end").alias("sentence_end"))
     return spans.join(best, ["doc_id", "start", "end"], "left")
+
+
+def best_in(start: int, end: int, outer: list[tuple[int, int]]) -> tuple[int, int] | tuple[None, None]:
+    """As ``best_container``, of one span and the spans ``outer`` of its text, which are in order and don't overlap."""
+    ranked = []
+    for i in range(bisect_right(outer, start, key=lambda x: x[1]), len(outer)):
+        a, b = outer[i]
+        if a >= end:
+            break
+        inside = a <= start and end <= b
+        ranked.append((not inside, 0 if inside else max(a, start) - min(b, end), a, b))
+    return min(ranked)[2:] if ranked else (None, None)

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 from lexspan.functions.constants import ALTERNATIVE_STOP, PATTERN_STOP
 from lexspan.operators import hashed, overlap
 from lexspan.operators.folds import folded
+from lexspan.operators.intervals import best_in
 from lexspan.staging import staged
 
 #: Precedence of label types, and confidence by (type, several words).
@@ -188,13 +189,14 @@ def _passed(docs: DataFrame, known: Lexicon, rows: Callable[[str, list[tuple]],
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def match(docs: DataFrame, labels: DataFrame, resolve: bool = False, longest: bool = False, surface: bool = True, part_chars: int = PART_CHARS) -> DataFrame:
+def match(docs: DataFrame, labels: DataFrame, resolve: bool = False, longest: bool = False, surface: bool = True, part_chars: int = PART_CHARS, sentences: Callable[[str], list[tuple[int, int]]] | None = None) -> DataFrame:
     """Every occurrence of every label of ``labels`` (label_key in lower case, ...) between word borders: (doc_id, start, end, surface, label columns).
 
     Texts pass once through an automaton in Arrow batches, whatever the labels' words and signs; occurrences leave as numbers, and with their
     ``surface`` only where that is asked for. A lexicon of more than ``part_chars`` characters is looked up by hashes, and what they find joined with
     it. With ``resolve`` overlaps are resolved as in ``overlap.resolve``, with ``longest`` as in ``overlap.longest``: in the same pass with an
-    automaton, else when the join has left labels alone.
+    automaton, else when the join has left labels alone. ``sentences``, which gives a text's sentences in order, adds (sentence_start, sentence_end) of
+    the one that ``intervals.best_container`` would choose, in the same pass.
     """
     known = prepared(labels, part_chars)
     here = known.automaton is not None
@@ -208,9 +210,15 @@ def match(docs: DataFrame, labels: DataFrame, resolve: bool = False, longest: bo
         out = [(s, e, _tokens(text[s:e]) if longest else 0, k) for s, e, k in spans]
         if here and (resolve or longest):
             out = [out[j] for j in taken(out)]
-        return [(*r, text[r[0] : r[1]]) for r in out] if surface else out
+        if surface:
+            out = [(*r, text[r[0] : r[1]]) for r in out]
+        if sentences and out:
+            borders = sentences(text)
+            out = [(*r, *best_in(r[0], r[1], borders)) for r in out]
+        return out
 
-    found = _passed(docs, known, rows, f"start int, end int, tokens int, {known.key} {'long' if here else 'string'}" + ", surface string" * surface, not here)
+    more = ", surface string" * surface + ", sentence_start int, sentence_end int" * bool(sentences)
+    found = _passed(docs, known, rows, f"start int, end int, tokens int, {known.key} {'long' if here else 'string'}{more}", not here)
     if not here and (resolve or longest):
         found = found.join(known.labels.select("label_key").distinct(), "label_key", "left_semi")
 

@@ -12,20 +12,26 @@ The counts are one aggregate over word types. What the splitter takes with it is
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 from typing import NamedTuple
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.constants import ABBREVIATIONS
+from lexspan.staging import discard, staged
 
 MOST = 10_000
 #: Least score of an abbreviation, and how many times as often as with a capital in mid-sentence an opener stands with a small letter.
 LEAST, OPENS = 0.3, 20
-_WORD = r"\p{L}+(?:\.\p{L}+)*\.?|[\p{N}.,-]*\p{N}\.?|[.!?]+"
-_BORDER = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+_WORD = regex.compile(r"\p{L}+(?:\.\p{L}+)*\.?|[\p{N}.,-]*\p{N}\.?|[.!?]+")
+#: Pieces between white space, and characters of texts, that a task counts before it hands their words' counts on.
+HELD, HELD_CHARS = 200_000, 32_000_000
+_BORDER = re.compile(r"[.!?](\s+)(?=[A-Z])")
 _BEFORE = re.compile(r"[^\s\"'“‘(\[]*\Z")
 _NEXT = re.compile(r"\w+")
 #: Characters before a border that may belong to its word.
@@ -39,16 +45,69 @@ class Knowledge(NamedTuple):
     openers: frozenset[str]
 
 
+def _words(piece: str) -> list[str]:
+    """The words of a text without white space; most are letters, with a comma or a period at most."""
+    if piece.isalpha():
+        return [piece]
+    if piece[-1] in ",." and piece[:-1].isalpha():
+        return [piece.removesuffix(",")]
+    return _WORD.findall(piece)
+
+
+class _Ends(dict):
+    """Of a piece whether its last word ends with an end mark: 1, 0, or 2 where it has no words."""
+
+    def __missing__(self, piece: str) -> int:
+        found = _words(piece)
+        self[piece] = kind = (found[-1][-1] in ".!?") + 0 if found else 2
+        return kind
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, n, n_opening): how often each word of a task's texts stands there, and how often at the start or after an end mark.
+
+    No word has white space, so it is pieces between white space that are counted, and each piece is taken apart once.
+    """
+    n, first, ends, chars = Counter(), Counter(), _Ends(), 0
+
+    def said() -> pa.RecordBatch:
+        words, opening = Counter(), Counter()
+        for piece, k in n.items():
+            end, opens = False, first[piece]
+            for x in _words(piece):
+                words[x] += k
+                opening[x] += opens or k * end
+                end, opens = x[-1] in ".!?", 0
+        return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64()), pa.array([opening[x] for x in words], pa.int64())], ["x", "n", "n_opening"])
+
+    for b in batches:
+        for text in b.column("text").to_pylist():
+            pieces = (text or "").split()
+            n.update(pieces)
+            kinds = [ends[x] for x in pieces]
+            if 2 in kinds:
+                pieces, kinds = [x for x, k in zip(pieces, kinds, strict=True) if k != 2], [k for k in kinds if k != 2]
+            first.update(pieces[:1])
+            first.update(compress(pieces[1:], kinds))
+            chars += len(text or "")
+            if len(n) >= HELD or chars >= HELD_CHARS:
+                yield said()
+                n, first, ends, chars = Counter(), Counter(), _Ends(), 0
+    if n:
+        yield said()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(type, n_period, n_plain, n_small, n_capital, n_opening): of each word in lower case how often it has a period, not, a small letter, a capital in mid-sentence, a capital after an end mark."""
-    w = docs.select(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("w"))
-    ends = lambda x: x.rlike(r"[.!?]$")
-    each = F.zip_with("w", F.concat(F.array(F.lit(".")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))), lambda x, before: F.struct(x.alias("x"), ends(before).alias("opening")))
-    one = w.filter(F.size("w") > 0).select(F.explode(each).alias("e")).select("e.x", "e.opening").filter(F.col("x").rlike(r"^\p{L}"))
+    """(type, n_period, n_plain, n_small, n_capital, n_opening): of each word in lower case how often it has a period, not, a small letter, a capital in mid-sentence, a capital after an end mark.
+
+    Words are counted in the task as they are written; what leaves it is a row for each, not one for each place.
+    """
+    one = docs.select("text").mapInArrow(_counted, "x string, n long, n_opening long").filter(F.col("x").rlike(r"^\p{L}"))
     period, capital = F.endswith("x", F.lit(".")), F.col("x").rlike(r"^\p{Lu}")
-    count = lambda c, name: F.sum(c.cast("long")).alias(name)
+    count = lambda c, n, name: F.sum(F.when(c, n).otherwise(0)).alias(name)
     kind = F.lower(F.when(period, F.expr("left(x, length(x) - 1)")).otherwise(F.col("x")))
-    return one.groupBy(kind.alias("type")).agg(count(period, "n_period"), count(~period, "n_plain"), count(~capital, "n_small"), count(capital & ~F.col("opening"), "n_capital"), count(capital & F.col("opening"), "n_opening"))
+    inner = F.col("n") - F.col("n_opening")
+    return one.groupBy(kind.alias("type")).agg(count(period, F.col("n"), "n_period"), count(~period, F.col("n"), "n_plain"), count(~capital, F.col("n"), "n_small"), count(capital, inner, "n_capital"), count(capital, F.col("n_opening"), "n_opening"))
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -66,10 +125,12 @@ def scored(counts: DataFrame) -> DataFrame:
 
 def learned(docs: DataFrame, known: list[str] = ABBREVIATIONS, most: int = MOST) -> Knowledge:
     """What the collection (doc_id, text) says, with the abbreviations ``known``; of each table the ``most`` best go to the driver."""
-    counts = word_counts(docs)
+    made: list[str] = []
+    counts = staged(word_counts(docs), "words", made)  # read three times, counted once
     best = scored(counts).filter(F.col("score") >= LEAST).orderBy(F.col("score").desc(), "type").select("type").limit(most).collect()
     opening = counts.filter((F.col("n_opening") > 0) & (F.col("n_small") > 0) & (F.col("n_capital") * OPENS <= F.col("n_small")))
     openers = opening.orderBy(F.col("n_opening").desc(), "type").select("type").limit(most).collect()
+    discard(docs.sparkSession, made)
     return Knowledge(frozenset(r["type"] for r in best) | frozenset(known), frozenset(r["type"] for r in openers))
 
 
@@ -83,10 +144,11 @@ def spans(text: str, known: Knowledge) -> list[tuple[int, int]]:
     """Sentences' places, white space between them in none; a text without any but white space has none."""
     out, start = [], 0
     for m in _BORDER.finditer(text):
-        before = _BEFORE.search(text[max(start, m.start() - _BACK) : m.start()]).group()
+        at = m.start(1)
+        before = _BEFORE.search(text[max(start, at - _BACK) : at]).group()
         if before.endswith(".") and abbreviated(before, known) and _NEXT.match(text, m.end()).group().lower() not in known.openers:
             continue
-        out.append((start, m.start()))
+        out.append((start, at))
         start = m.end()
     out.append((start, len(text)))
     return [(a, b) for a, b in out if text[a:b].strip()]

@@ -138,7 +138,7 @@ def annotation_stages(labels: DataFrame, classes: DataFrame) -> list[Stage]:
     return [
         Stage("text", ("documents",), lambda t: annotate.canonical(t["documents"])),
         Stage("sentences", ("text",), lambda t: sentences.split(t["text"], sentences.learned(t["text"]))),
-        Stage("annotations", ("documents",), lambda t: annotate.annotate(t["documents"], labels)),
+        Stage("annotations", ("text",), lambda t: annotate.annotated(t["text"], labels)),
         Stage("individuals", ("text",), lambda t: stages.early_individuals(t["text"], classes)),
         Stage("summary", ("text", "sentences", "annotations", "individuals"), summary),
     ]

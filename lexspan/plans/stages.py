@@ -31,12 +31,11 @@ def early_individuals(docs: DataFrame, labels: DataFrame, recognised: DataFrame
 
     ``labels`` are (label, iri, branch); links become array<struct<label, iri>>.
     """
-    cited = extract.citations(docs)
-    rows = extract.as_individuals(cited, F.lit("citation"), F.col("class"))
+    names, more = [n for n in extract.EXTRACTORS if n != "citation"], None
     if recognised is not None:
-        rows = rows.unionByName(extract.as_individuals(extract.entities(recognised), F.lit("ner"), F.col("class")))
-    names = [n for n in extract.EXTRACTORS if n != "citation"]
-    found = extract.found_individuals(docs.join(extract.gathered(rows), "doc_id", "left"), names, more="more")
+        rows, more = extract.as_individuals(extract.entities(recognised), F.lit("ner"), F.col("class")), "more"
+        docs = docs.join(extract.gathered(rows), "doc_id", "left")
+    found = extract.found_individuals(docs, names, more=more, cited=True)
     return linked(found, labels)
 
 

@@ -27,6 +27,27 @@ def test_whitespace(spark):
     assert n("") == ""
 
 
+def test_whitespace_in_tasks(spark):
+    """Python's way over a collection and the JVM's give the same, and what the plain patterns say."""
+    import random
+
+    from lexspan.plans import annotate
+
+    at = random.Random(3)
+    said = ["".join(at.choice("ab \n\n  \t\x0b\r\x85\xa0\x1c\x1f\u2003\u2028\u180e\u200b\u3000\ufeff") for _ in range(at.randrange(30))) for _ in range(2000)]
+    docs = spark.createDataFrame([*enumerate(said), (-1, None)], "doc_id long, text string")
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)[^\S\n]+", " "), r"\n{3,}", "\n\n")
+    want = {r[0]: r[1] for r in docs.select("doc_id", F.btrim(F.regexp_replace(plain, r" ?\n ?", "\n"), F.lit(" \n"))).collect()}
+    assert {r[0]: r[1] for r in docs.select("doc_id", text.normalize_whitespace(F.coalesce("text", F.lit("")))).collect()} == want
+    assert {r[0]: r[1] for r in annotate.canonical(docs).collect()} == want
+
+
+def test_best_in():
+    """The first sentence around a span, else that which it overlaps most, else none."""
+    s = [(0, 10), (11, 20), (22, 30)]
+    assert [intervals.best_in(*x, s) for x in ((0, 3), (9, 10), (9, 12), (8, 13), (9, 14), (20, 22), (20, 23), (5, 29), (30, 31))] == [(0, 10), (0, 10), (0, 10), (0, 10), (11, 20), (None, None), (22, 30), (11, 20), (None, None)]
+
+
 def test_sentences_and_chunks():
     parts = chunks.split("First one. Second one! third stays. Fourth? Yes.")
     assert parts == ["First one.", "Second one! third stays.", "Fourth?", "Yes."]

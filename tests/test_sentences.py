@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,6 +68,22 @@ def test_learned(spark):
     assert sentences.split(docs.limit(0), known).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aZé中½٣1.,-!?'\" \n\x85\x1c_", max_size=40), max_size=6))
+def test_counted_by_pieces(texts):
+    """What a task counts by pieces between white space is what the words of whole texts, one after another, give."""
+    want = {}
+    for x in texts:
+        before = "."
+        for w in sentences._WORD.findall(x):
+            n, opening = want.get(w, (0, 0))
+            want[w] = (n + 1, opening + (before[-1] in ".!?"))
+            before = w
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None], pa.string())], ["text"])
+    got = [r for b in sentences._counted(iter([batch])) for r in b.to_pylist()]
+    assert {r["x"]: (r["n"], r["n_opening"]) for r in got} == want and len(got) == len(want)
+
+
 def test_sentences_of_documents(spark, sf):
     """Whole documents: borders by a loop over the text's characters."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
