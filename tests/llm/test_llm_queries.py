@@ -7,6 +7,7 @@ import wave
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -204,6 +205,20 @@ def test_op10(spark, sf, docs):
     assert got == brute_components(docs)
 
 
+def test_op10_signing_cost(monkeypatch):
+    """A set's elements, which are mixed already, are dealt to splits by one multiplication: only what splits hold is mixed, and linked sets still meet."""
+    a = partenum.shingles(" ".join(f"w{i}" for i in range(900)))
+    b = np.sort(np.r_[a[40:], partenum.mix(np.arange(50, dtype=np.uint64))])
+    sizes, plain = [], partenum.mix
+    monkeypatch.setattr(partenum, "mix", lambda x, seed=0: sizes.append(len(x)) or plain(x, seed))
+    for level in range(len(partenum.LEVELS)):
+        partenum.signatures(a, level)  # what depends on the seed alone is kept
+        sizes.clear()
+        met = np.intersect1d(partenum.signatures(a, level), partenum.signatures(b, level))
+        assert len(met) > 0 and not {len(a), len(b)} & {*sizes} and len(sizes) == sum(len(partenum.bands(len(x))) for x in (a, b))
+        assert len(np.intersect1d(partenum.signatures(a, level), partenum.signatures(plain(a), level))) == 0
+
+
 def test_op10_groups(spark, monkeypatch):
     """Families of near copies around the threshold, with small bounds, so that every path is taken."""
     monkeypatch.setattr(partenum, "SMALL", 3)
