@@ -514,3 +514,35 @@ def test_a_worker_keeps_one_operators_tables(spark):
     rows = pa.RecordBatch.from_pydict({"doc_id": [1], "k1": [1], "k2": [1], "text": ["a b c d e f"]})
     assert [b.num_rows for b in partenum._describe(iter([rows]))] == [1]
     assert not byte_bpe.Encoder._made
+
+
+def test_sets_that_share_common_lines_alone_are_not_compared_in_blocks(spark, monkeypatch):
+    """Texts of common lines and of words of their own meet in large buckets of both levels, but not by their rare elements; copies still link."""
+    monkeypatch.setattr(partenum, "SMALL", 4)
+    rng = random.Random(4)
+    lines = [" ".join(f"line{i}word{j}" for j in range(40)) for i in range(3)]
+    docs = [" ".join([*lines, *(f"own{i}x{rng.random()}" for _ in range(60))]) for i in range(60)]
+    docs += [docs[0] + " more", docs[30] + " other"]
+    tied, plain = [], partenum._blocks
+    monkeypatch.setattr(partenum, "_blocks", lambda ties, *rest: tied.append(ties.count()) or plain(ties, *rest))
+    found = {r["doc_id"]: r["component_id"] for r in partenum.join(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert not sum(tied)
+    assert found == {**{i: i for i in range(60)}, 60: 0, 61: 30}
+
+
+def test_blocks_meet_in_rounds(spark, monkeypatch):
+    """What a round copies is bounded, and all rounds together find what one finds."""
+    monkeypatch.setattr(partenum, "BLOCK_SETS", 4)
+    texts = [(i, " ".join(f"w{i // 8}x{j}" if j else f"z{i}" for j in range(30))) for i in range(40)]
+    df = spark.createDataFrame(texts, "node long, text string")
+    ties = df.filter("node > 0").select(F.lit(0).cast("long").alias("a"), F.col("node").alias("b"))
+    rounds, plain = [], partenum.staged
+    monkeypatch.setattr(partenum, "staged", lambda d, tag, made=None: rounds.append(tag) or plain(d, tag, made))
+    got = {}
+    for most in (1, 1 << 30):
+        made: list[str] = []
+        rounds.clear()
+        links = partenum._blocks(ties, None, df, made, most)
+        assert (rounds.count("forest") > 1) == (most == 1)
+        got[most] = {(r["node"], r["comp"]) for r in partenum.components(links, made).collect()}
+    assert got[1] == got[1 << 30] == {(i, i // 8 * 8) for i in range(40)}
