@@ -166,6 +166,32 @@ def test_a_lexicon_beyond_one_automaton_is_found_in_one_pass(spark, monkeypatch)
     assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_a_large_lexicon_is_told_from_the_filter_in_the_pass(spark, monkeypatch):
+    """Overlaps are resolved where they are found, without a shuffle of finds, whichever way labels come in; keys that share a code have none."""
+    from lexspan.operators import hashed
+
+    docs = spark.createDataFrame([(i, f"the new york county court of the {i} and new york") for i in range(60)], "doc_id long, text string")
+    keys = [*(("the", f"a{i}") for i in range(9)), *(("new york", f"b{i}") for i in range(3)), ("york county court", "c"), *((f"the {i}", f"d{i}") for i in range(60))]
+    labels = spark.createDataFrame(keys, "label_key string, iri string")
+    listed = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    ways = ({}, {"resolve": True}, {"longest": True})
+    want, counted = [listed(lexicon.match(docs, labels, **more)) for more in ways], listed(lexicon.counts(docs, labels))
+    assert all(want) and counted
+    known = lexicon.prepared(labels, 5)
+    assert known.key == "code" and sorted(known.codes.value.of(["the", "the 7", "the 77", "york"]), key=str)[2:] == [None, None]
+    for most in (32 << 20, 0):  # labels for every task, and few of them
+        monkeypatch.setattr(lexicon, "BROADCAST_BYTES", most)
+        for few in (5, 10, 100):
+            monkeypatch.setattr(lexicon, "BROADCAST_LABELS", few)
+            assert lexicon.prepared(labels, 5).crowded == {5: None, 10: 9, 100: 3}[few]
+            plans = [lexicon.match(docs, labels, part_chars=5, **more) for more in ways]
+            assert [listed(x) for x in plans] == want and listed(lexicon.counts(docs, labels, part_chars=5)) == counted
+            assert all("Aggregate" not in (plan := x._jdf.queryExecution().optimizedPlan().toString()) and "RepartitionByExpression" not in plan for x in plans)
+    monkeypatch.setattr(hashed.Known, "distinct", lambda self: False)
+    assert lexicon.prepared(labels, 5).key == "label_key"
+    assert [listed(lexicon.match(docs, labels, part_chars=5, **more)) for more in ways] == want
+
+
 def test_runs_of_words_are_looked_up_where_they_stand(spark, monkeypatch):
     texts = ["The lease, the LEASE-agreement of the", "é the é_1 the é", None, "", "ÉCOLE a  b\na b a", "the\U00010400lease lease"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
