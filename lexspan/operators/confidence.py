@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.scoring import blend, clamp
+from lexspan.operators import extract
 from lexspan.operators.intervals import overlap_join
 from lexspan.operators.metadata import majority
 
@@ -44,6 +47,48 @@ def span_pos(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     return spans.join(best.select("doc_id", F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("b_pos").alias("pos")), ["doc_id", "start", "end"], "left")
 
 
+def found_pos(docs: DataFrame, names: list[str]) -> DataFrame:
+    """(doc_id, start, end, label, pos): finds of the named extractors in rows (doc_id, text, tokens, pos_tags), each of one sentence.
+
+    As ``span_pos`` of ``extract.extract`` and ``token_rows``, but in the pass that finds them: no token becomes a row. Rows that share an id have their own tokens.
+    """
+    chosen = extract._compiled(names)
+    kinds = {"doc_id": pa.int64(), "start": pa.int32(), "end": pa.int32(), "label": pa.string(), "pos": pa.string()}
+
+    def places(text: str, tokens: list[str]) -> tuple[list[int], list[int]]:
+        starts, ends, at = [], [], 0
+        for token in tokens:
+            found = text.find(token, at)
+            at = at if found < 0 else found
+            starts.append(at)
+            at += len(token)
+            ends.append(at)
+        return starts, ends
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, tokens, tags = (b.column(c).to_pylist() for c in ("doc_id", "text", "tokens", "pos_tags"))
+            out: list[tuple] = []
+            for doc_id, text, words, said in zip(ids, texts, tokens, tags, strict=True):
+                spans = [(s, e, label) for label, s, e, *_, error in extract._finds(text or "", chosen) if error is None]
+                if not spans:
+                    continue
+                words, said = (words if text is not None else None) or [], said or []
+                starts, ends = places(text or "", words)
+                longest = max(map(len, words), default=0)
+                for start, end, label in spans:
+                    counts: dict[str | None, int] = {}
+                    for i in range(bisect.bisect_left(starts, start - longest), bisect.bisect_left(starts, end)):
+                        if ends[i] > start:
+                            tag = said[i] if i < len(said) else None
+                            counts[tag] = counts.get(tag, 0) + 1
+                    out.append((doc_id, start, end, label, max(counts, key=counts.__getitem__) if counts else None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
+
+    return docs.select("doc_id", "text", "tokens", "pos_tags").mapInArrow(run, "doc_id long, start int, end int, label string, pos string")
+
+
 def concept_penalty(df: DataFrame) -> DataFrame:
     """One-word alternative labels that are verbs or adverbs lose confidence; below the floor they are rejected."""
     single = ~F.contains(F.btrim("text"), F.lit(" "))
