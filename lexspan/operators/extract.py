@@ -281,23 +281,37 @@ class _Kept:
         self._blocks: dict[int, list[int]] = {}
 
     def find(self, r: dict) -> int | None:
-        name, mention = r["name"].lower().strip(), r["mention"].lower().strip()
-        by_name = self._names.get(name)
-        if by_name is None:
-            by_name = next((i for i, x in enumerate(self._kept_names) if name in x or x in name), None)
-            if by_name is not None:
-                self._names[name] = by_name
-        blocks = range(r["start"] // BLOCK, max(r["start"], r["end"] - 1) // BLOCK + 1)
-        by_span = min((i for b in blocks for i in self._blocks.get(b, ()) if self.rows[i]["start"] < r["end"] and r["start"] < self.rows[i]["end"]), default=None)
-        return min((i for i in (by_name, by_span, self._mentions.get(mention)) if i is not None), default=None)
-
-    def add(self, r: dict) -> None:
+        """The first kept one that r belongs to; without any r is kept."""
+        said, start, end = r["name"], r["start"], r["end"]
+        name = said.lower().strip()
+        mention = name if r["mention"] == said else r["mention"].lower().strip()
+        first = self._names.get(name)
+        if first is None:
+            for i, x in enumerate(self._kept_names):
+                if name in x or x in name:
+                    self._names[name] = first = i
+                    break
+        also = self._mentions.get(mention)
+        if also is not None and (first is None or also < first):
+            first = also
+        blocks = range(start // BLOCK, max(start, end - 1) // BLOCK + 1)
+        for b in blocks:
+            for i in self._blocks.get(b, ()):  # in the order in which they were kept
+                if first is not None and i >= first:
+                    break
+                x = self.rows[i]
+                if x["start"] < end and start < x["end"]:
+                    first = i
+                    break
+        if first is not None:
+            return first
         i = len(self.rows)
         self.rows.append({**r, "links": list(r["links"] or []), "n_merged": 1, "sources": {r["source"]}})
-        self._kept_names.append(r["name"].lower().strip())
-        self._mentions.setdefault(r["mention"].lower().strip(), i)
-        for b in range(r["start"] // BLOCK, max(r["start"], r["end"] - 1) // BLOCK + 1):
+        self._kept_names.append(name)
+        self._mentions.setdefault(mention, i)
+        for b in blocks:
             self._blocks.setdefault(b, []).append(i)
+        return None
 
     def merge(self, i: int, r: dict) -> None:
         into = self.rows[i]
@@ -316,9 +330,7 @@ def _merged(rows: list[dict]) -> list[tuple]:
     kept = _Kept()
     for r in sorted(rows, key=lambda r: (-PRIORITY.get(r["source"], 0), r["start"], r["end"], r["name"])):
         i = kept.find(r)
-        if i is None:
-            kept.add(r)
-        else:
+        if i is not None:
             kept.merge(i, r)
     return [(k["name"], k["mention"], k["start"], k["end"], k["source"] if len(k["sources"]) == 1 else "hybrid", k["links"], k["normal_form"], k["url"], k["n_merged"]) for k in kept.rows]
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lexspan.functions import scoring, text
-from lexspan.operators import annotations, chunks, extract, feedback, hierarchy, intervals, lexicon, overlap, reconcile, search, triples, vectors
+from lexspan.operators import annotations, chunks, confidence, extract, feedback, hierarchy, intervals, lexicon, overlap, reconcile, search, triples, vectors
 from lexspan.sinks import export
 from lexspan.sources import ingest
 
@@ -522,3 +522,61 @@ def test_courts_are_looked_for_where_they_may_begin():
     for text in ("xUnited States District Court", "the ſupreme Court of Ohio", "NİNTH circuit, SUPERIOR COURT of Kent", "s.d.N.Y. and U.S. Tax court", "Court of Court of Appeals for the City", ""):
         assert list(extract._finds(text, new)) == list(extract._finds(text, {"court": (e, rx, None)}))
     assert not list(beginnings.finditer("a plain line of text without any"))
+
+
+def test_pos_of_finds_in_their_pass(spark):
+    texts = ["pay $5 and  $6 now", "five days or 5 days five", "", None, "ten dollars 10 ten"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("tokens", F.split("text", " "))
+    tagged = docs.withColumn("pos_tags", F.slice(F.transform("tokens", lambda x: F.when(x.rlike("[0-9]"), "NUM").otherwise("NOUN")), 1, 4)).withColumn("fine_tags", F.col("pos_tags"))
+    apart = confidence.span_pos(extract.extract(docs, ["money", "duration"]).select("doc_id", "start", "end", "label"), confidence.token_rows(tagged.withColumn("start", F.lit(0))))
+    from lexspan.plans.queries import QUERIES
+
+    found = confidence.found_pos(tagged, ["money", "duration"])
+    assert found.dtypes == apart.dtypes and sorted(map(str, found.collect())) == sorted(map(str, apart.collect())) and found.count() == 5
+    assert "Join" not in (plan := QUERIES["span_pos"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+
+
+def test_groups_are_picked_from_batches(spark):
+    """Spans are resolved document by document without a call for each, wherever a batch ends."""
+    rng = random.Random(8)
+    spans = [(rng.choice([None, *range(9)]), s := rng.randrange(60), s + rng.randrange(1, 20), rng.choice([0.2, 0.5, 0.9]), rng.choice(["a", "b", None])) for _ in range(300)]
+    df = spark.createDataFrame(spans, 'doc_id long, start int, `end` int, confidence double, text string')
+    want = []
+    for d in [None, *range(9)]:
+        mine = sorted((x for x in spans if x[0] == d), key=lambda x: (x[1], x[2], x[3], x[4] is None, x[4] or ""))
+        want += [mine[i] for i in overlap.kept([(x[1], x[2], x[3]) for x in mine])]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            found = overlap.resolve(df, "confidence")
+            assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_individuals_are_kept_without_looking_twice():
+    """An individual is lowered once when it is looked for and kept, and what a plain search finds is found."""
+    lowered = []
+
+    class Said(str):
+        def lower(self):
+            lowered.append(str(self))
+            return str.lower(self)
+
+    rng = random.Random(2)
+    row = lambda w, s: {"name": w, "mention": w, "start": s, "end": s + rng.randrange(1, 400), "source": rng.choice(["regex", "ner", "citation"]), "links": [rng.choice("xy")], "normal_form": None, "url": None}
+    rows = [row(Said(f"n{i}q"), 1000 * i) for i in range(20)]
+    assert len(extract._merged(rows)) == 20 and len(lowered) == 20
+    for _ in range(200):
+        rows = [row("".join(rng.choice("abC ") for _ in range(rng.randint(1, 4))), rng.randrange(3000)) for _ in range(rng.randint(1, 12))]
+        kept = []
+        for r in sorted(rows, key=lambda r: (-extract.PRIORITY.get(r["source"], 0), r["start"], r["end"], r["name"])):
+            n = r["name"].lower().strip()
+            met = next((k for k in kept if n in k["name"].lower().strip() or k["name"].lower().strip() in n or (k["start"] < r["end"] and r["start"] < k["end"]) or k["mention"].lower().strip() == n), None)
+            if met is None:
+                kept.append({**r, "n": 1})
+            else:
+                met["n"] += 1
+        assert [(k["name"], k["start"], k["end"], k["n"]) for k in kept] == [(x[0], x[2], x[3], x[-1]) for x in extract._merged(rows)]
